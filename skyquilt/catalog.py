@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import maps, mesh, planning, scalar  # noqa: F401
+from .plans import imagery, lineage, maps, mesh, planning, scalar, telemetry, zones  # noqa: F401
 
 
 def queries() -> dict:

@@ -308,12 +308,12 @@ def _along() -> Window:
 STEP = "coalesce(sqrt((x-lag(x) OVER w)^2+(y-lag(y) OVER w)^2), 0)"
 
 
-@query(cte("ways", "nodes") + TRACK + f", d AS (SELECT *, {STEP} AS step FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node)), c AS (SELECT *, CAST(floor(1000*sum(step) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS metre FROM d) SELECT way, pos, node, metre, round(avg(z) OVER (PARTITION BY way ORDER BY metre RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING)/0.3048e0, 4) AS feet FROM c")
+@query(cte("ways", "nodes") + TRACK + f", d AS (SELECT *, {STEP} AS step FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node)), c AS (SELECT *, CAST(sum(CAST(round(1000*step) AS BIGINT)) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS BIGINT) AS metre FROM d) SELECT way, pos, node, metre, round(avg(z) OVER (PARTITION BY way ORDER BY metre RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING)/0.3048e0, 4) AS feet FROM c")
 def wn14_smooth_along(spark, sf_dir):
     """Mean height within a window of arc length."""
     w = _along()
     step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
-    c = track(spark, sf_dir).withColumn("step", step).withColumn("metre", F.floor(1000 * F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    c = track(spark, sf_dir).withColumn("step", step).withColumn("metre", F.sum(F.round(1000 * F.col("step")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return c.select("way", "pos", "node", "metre", F.round(F.avg("z").over(Window.partitionBy("way").orderBy("metre").rangeBetween(-400, 400)) / 0.3048, 4).alias("feet"))
 
 
