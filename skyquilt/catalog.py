@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import imagery, lineage, maps, mesh, planning, scalar, telemetry, zones  # noqa: F401
+from .plans import diff, imagery, lineage, maps, mesh, planning, raster, scalar, sky, telemetry, zones  # noqa: F401
 
 
 def queries() -> dict:
