@@ -110,7 +110,7 @@ def st_coord(lat, lon, x, y, zl) -> tuple[Column, Column]:
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     h = F.pow(F.sin(F.radians(c(lat2) - c(lat1)) / 2), 2) + F.cos(F.radians(c(lat1))) * F.cos(F.radians(c(lat2))) * F.pow(F.sin(F.radians(c(lon2) - c(lon1)) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def bearing_deg(lat1, lon1, lat2, lon2) -> Column:

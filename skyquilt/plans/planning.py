@@ -226,7 +226,7 @@ def tk9_flight_order(spark, sf_dir):
 HAV = "2*6371.0088*asin(least(1, sqrt(sin(radians(lat-la)/2)^2 + cos(radians(la))*cos(radians(lat))*sin(radians(lon-lo)/2)^2)))"
 
 
-@query(cte("fixes") + f", p AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM fixes WINDOW w AS (PARTITION BY aircraft ORDER BY ts, event_id)) SELECT aircraft, event_id, round({HAV}, 4) AS km, round(sum(coalesce({HAV}, 0)) OVER (PARTITION BY aircraft ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS so_far FROM p")
+@query(cte("fixes") + f", p AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM fixes WINDOW w AS (PARTITION BY aircraft ORDER BY ts, event_id)) SELECT aircraft, event_id, CASE WHEN la IS NOT NULL THEN round({HAV}, 4) END AS km, round(sum(CASE WHEN la IS NULL THEN 0 ELSE {HAV} END) OVER (PARTITION BY aircraft ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS so_far FROM p")
 def wn6_leg_lengths(spark, sf_dir):
     w = Window.partitionBy("aircraft").orderBy("ts", "event_id")
     p = view(spark, sf_dir, "fixes").withColumn("km", geo.haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"))
