@@ -95,13 +95,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Of equal texts the row with the largest doc_id stays (null ids come last); of repeated rows with that
     same id the first read stays alone. Nulls are equal to empty texts. An empty table gives no row.
-    Grouping is pre-aggregated in each task and its result joined back by list; both sides of that join
-    come straight from exchanges, so the adaptive planner splits a list that a third of all rows share.
+    Grouping is pre-aggregated in each task; the groups are written, so that both sides of the join back
+    come straight from exchanges and the adaptive planner splits a list that a third of all rows share.
     """
     rows = verified(written(recipes(docs), "recipes")).select("doc_id", "row", "list", "text_sha256")
     best = F.max(F.struct(F.col("doc_id").alias("id"), (-F.col("row")).alias("r")))
     groups = rows.groupBy("list").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.where("group_size > 1")
+    groups = written(groups.where("group_size > 1"), "recipe-groups")
     out = rows.join(groups, "list", "left")
     alone = F.col("group_size").isNull()
     return out.select(
