@@ -199,16 +199,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for nodes of ``links``; root is the smallest node that links reach.
 
     Large-star and small-star steps in turn, until the links are stars. Every step is written, so a lost
-    executor costs one step; the minimum of a node is pre-aggregated and joined back, never gathered.
+    executor costs one step; the minimum of a node is pre-aggregated, written and joined back, so that a node
+    with very many links is split over tasks, never gathered.
     """
     links = written(links.where("a <> b"), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large-least")
         large = written(both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "large-star")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "small-least")
         small = down.join(least, "u").select("m", F.explode(F.array("u", "v")).alias("b"))
         links = written(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "small-star")
         state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
