@@ -58,3 +58,20 @@ def ud1_stage(spark, sf_dir):
     _, _, first = count_by_square(spark, store, {"points": ("points@" + sf_dir, points)}, size=20)
     _, table, second = count_by_square(spark, store, {"points": ("points@" + sf_dir, points)}, size=20)
     return table.select("a", "b", "n", F.lit(first).alias("first"), F.lit(second).alias("second"))
+
+
+@query()
+def ud5_grouped_map(spark, sf_dir):
+    """Grouped maps for SQL-less work: ring order by relation, kept points by chain, counted side by side."""
+    from .maps import ar6_simplify, it2_stitch_rings
+
+    rings = it2_stitch_rings(spark, sf_dir).agg(F.lit("rings").alias("kind"), F.count("*").alias("n"))
+    return rings.unionByName(ar6_simplify(spark, sf_dir).agg(F.lit("points").alias("kind"), F.count("*").alias("n")))
+
+
+@query("SELECT CAST(count(*)*169 AS BIGINT) AS posts, count(*) AS cells FROM supplier")
+def ud6_binary_decode(spark, sf_dir):
+    """Binary cells decoded in Arrow batches."""
+    from ..sources.queries import src5_read_elevation
+
+    return src5_read_elevation(spark, sf_dir).agg(F.sum("posts").alias("posts"), F.count("*").alias("cells"))
