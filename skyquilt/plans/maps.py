@@ -135,9 +135,6 @@ def it3_join_chains(spark, sf_dir):
     return named.groupBy("chain").agg(F.count("*").alias("ways")).where("ways > 1").join(open_ends, "chain").select("chain", "ways", (F.col("open") == 0).alias("closed"))
 
 
-BORDER = "CASE side WHEN 0 THEN f WHEN 1 THEN 1+f WHEN 2 THEN 2+f ELSE 3+f END"
-
-
 @query(cte("nodes") + """, e AS (SELECT id, id%200 AS tile, CASE id//200%4 WHEN 0 THEN x WHEN 1 THEN 1+y WHEN 2 THEN 2+(1-x) ELSE 3+(1-y) END AS p, id%2=0 AS opens FROM nodes)
 SELECT tile, id, round(p, 5) AS place, coalesce(lead(id) OVER (PARTITION BY tile ORDER BY p, id), first_value(id) OVER (PARTITION BY tile ORDER BY p, id)) AS next_end, opens = coalesce(lead(opens) OVER (PARTITION BY tile ORDER BY p, id), first_value(opens) OVER (PARTITION BY tile ORDER BY p, id)) AS fault FROM e""")
 def it11_coast_topology(spark, sf_dir):

@@ -16,7 +16,7 @@ from ..operators.joins import shared_dir
 WATERMARK = "10 seconds"
 
 
-def stream_of(df: DataFrame, name: str, order: str | None = None) -> DataFrame:
+def stream_of(df: DataFrame, name: str) -> DataFrame:
     """A file stream of a table: its rows are staged in the shared folder and read as they come."""
     path = shared_dir(df, f"stream-{name}")
     df.write.parquet(path)
