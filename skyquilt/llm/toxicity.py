@@ -172,12 +172,19 @@ class Chain:
 
 
 def toxic_signs(texts: list[str], labels: list[int]) -> set[str]:
-    """Signs of label 1: by the share of documents that hold them."""
+    """Signs of label 1: by the share of documents that hold them, and only if that is no chance among so many signs."""
     held = [Counter(), Counter()]
     for text, label in zip(texts, labels):
         held[label].update({s for w in set(text.split()) for s in signs(w)})
     n = [labels.count(0) + 1, labels.count(1) + 1]
-    return {s for s, k in held[1].items() if k >= LEAST_DOCS and (k + 0.5) / n[1] > LEAST_ODDS * (held[0][s] + 0.5) / n[0]}
+    share, tried = n[1] / sum(n), math.log(1 + sum(k >= LEAST_DOCS for k in held[1].values()))
+
+    def surprise(k: int, m: int) -> float:
+        """Minus the log of the chance (Chernoff's bound) that k of m documents have label 1."""
+        f = k / m
+        return m * (f * math.log(f / share) + ((1 - f) * math.log((1 - f) / (1 - share)) if f < 1 else 0.0))
+
+    return {s for s, k in held[1].items() if k >= LEAST_DOCS and (k + 0.5) / n[1] > LEAST_ODDS * (held[0][s] + 0.5) / n[0] and surprise(k, k + held[0][s]) > tried}
 
 
 def sequences_of(text: str, marked: set[str], toxic: bool) -> Iterator[tuple[list[list[str]], list[int]]]:
