@@ -1,10 +1,11 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labels mark documents, so words are labelled first: a word form or stem (its first four to seven letters)
-that occurs in many documents labelled toxic and in next to none of the others marks its words in those
-documents. A chain with two states is fit on these tags by maximum likelihood. In scoring, forward-backward
-gives every word its marginal; spans of likely words are the offending offsets, and a logistic of the highest
-marginal and of their sum, fit on the sampled documents, is the document's score.
+that is much more frequent in documents labelled toxic than in the others marks its words in those documents.
+Frequency counts distinct contexts (a word with its neighbours), so copies of a document count once. A chain
+with two states is fit on these tags by maximum likelihood. In scoring, forward-backward gives every word its
+marginal; spans of likely words are the offending offsets, and a logistic of the highest marginal, of their sum
+and of their density, fit on the sampled documents, is the document's score.
 """
 
 from __future__ import annotations
@@ -23,11 +24,10 @@ from .common import crc_of_id, documents, text_chunks
 
 #: At most about this many rows of either label fit the model, none with a text of more characters.
 SAMPLE, SAMPLE_CHARS = 1_500, 200_000
-#: A sign needs this many documents of label 1 and this much more than its share of the others.
-LEAST_DOCS, LEAST_ODDS = 3, 12.0
+#: A sign needs this many contexts in documents of label 1, and to be this many times as frequent as in the others.
+LEAST_CONTEXTS, LEAST_ODDS = 3, 12.0
 #: Marks that end a sequence: no tag depends on a word of another sentence.
 STOPS = (".", "!", "?", "\n")
-STRIP = ".,;:!?\"'()[]{}<>*_-"
 MEMO = 500_000
 
 
@@ -35,9 +35,19 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.pmod(crc_of_id(doc_id), F.lit(5)) == 0
 
 
+def bare(word: str) -> str:
+    """The word in lower case without the marks around it."""
+    first, last = 0, len(word)
+    while first < last and not word[first].isalnum():
+        first += 1
+    while last > first and not word[last - 1].isalnum():
+        last -= 1
+    return word[first:last].lower()
+
+
 def signs(word: str) -> list[str]:
     """What is known of a word: its form, and its stems."""
-    word = word.strip(STRIP).lower()
+    word = bare(word)
     return [word, *(f"{word[:n]}*" for n in range(4, min(8, len(word))))] if word else []
 
 
@@ -58,7 +68,7 @@ def softplus(x: np.ndarray) -> np.ndarray:
 class Chain:
     """Two states; ``emit[sign]`` and ``bias`` speak for state 1, ``step`` is the 2x2 transition score."""
 
-    def __init__(self, emit: dict[str, float], bias: float = -6.0, step: np.ndarray | None = None, doc: tuple = (1.0, 0.0, 0.0)):
+    def __init__(self, emit: dict[str, float], bias: float = -6.0, step: np.ndarray | None = None, doc: tuple = (1.0, 0.0, 0.0, 0.0)):
         self.emit, self.bias, self.doc = emit, bias, doc
         self.step = np.zeros((2, 2)) if step is None else step
         self.memo: dict[str, float] = {}
@@ -158,33 +168,54 @@ class Chain:
         return one, offsets, names, index
 
     def evidence(self, one: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(texts, 2): logit of the highest marginal, log of one plus the sum of those over a half."""
+        """(texts, 3): logit of the highest marginal, log of one plus their sum, log of their density."""
         some = offsets[1:] > offsets[:-1]
         most, total = np.zeros(len(some)), np.zeros(len(some))
         if some.any():
             most[some] = np.maximum.reduceat(one, offsets[:-1][some])
-            total[some] = np.add.reduceat(np.where(one > 0.5, one, 0.0), offsets[:-1][some])
+            total[some] = np.add.reduceat(one, offsets[:-1][some])
         most = np.clip(most, 1e-6, 1 - 1e-6)
-        return np.stack([np.log(most / (1 - most)), np.log1p(total)], axis=1)
+        dense = (total + 0.5) / (np.diff(offsets) + 50)  # a short text says little of its density
+        return np.stack([np.log(most / (1 - most)), np.log1p(total), np.log(dense)], axis=1)
 
     def doc_scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(evidence @ np.array(self.doc[:2]) + self.doc[2])))
+        return 1 / (1 + np.exp(-(evidence @ np.array(self.doc[:3]) + self.doc[3])))
+
+
+def contexts(texts: list[str]) -> tuple[Counter, int]:
+    """Distinct contexts of every sign, and of all words: a word with the words beside it."""
+    number: dict[str, int] = {}
+    keys, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for text in texts:
+        own = np.array([number.setdefault(w, len(number) + 1) for w in map(bare, text.split()) if w], np.uint64)
+        beside = np.concatenate([[0], own, [0]]).astype(np.uint64)
+        keys.append((beside[:-2] * np.uint64(0x9E3779B97F4A7C15) + own) * np.uint64(0xC2B2AE3D27D4EB4F) + beside[2:])
+        words.append(own.astype(np.uint32))
+    _, first = np.unique(np.concatenate(keys), return_index=True)
+    seen = np.bincount(np.concatenate(words)[first], minlength=len(number) + 1).tolist()
+    held: Counter = Counter()
+    for word, n in number.items():
+        for s in signs(word):
+            held[s] += seen[n]
+    return held, len(first)
 
 
 def toxic_signs(texts: list[str], labels: list[int]) -> set[str]:
-    """Signs of label 1: by the share of documents that hold them, and only if that is no chance among so many signs."""
-    held = [Counter(), Counter()]
-    for text, label in zip(texts, labels):
-        held[label].update({s for w in set(text.split()) for s in signs(w)})
-    n = [labels.count(0) + 1, labels.count(1) + 1]
-    share, tried = n[1] / sum(n), math.log(1 + sum(k >= LEAST_DOCS for k in held[1].values()))
+    """Signs of label 1: by their share of all contexts, and only if that is no chance among so many signs."""
+    held, n = zip(*(contexts([t for t, own in zip(texts, labels) if own == label]) for label in (0, 1)))
+    n = [k + 1 for k in n]
+    share, tried = n[1] / sum(n), math.log(1 + sum(k >= LEAST_CONTEXTS for k in held[1].values()))
 
     def surprise(k: int, m: int) -> float:
-        """Minus the log of the chance (Chernoff's bound) that k of m documents have label 1."""
+        """Minus the log of the chance (Chernoff's bound) that k of m contexts have label 1."""
         f = k / m
         return m * (f * math.log(f / share) + ((1 - f) * math.log((1 - f) / (1 - share)) if f < 1 else 0.0))
 
-    return {s for s, k in held[1].items() if k >= LEAST_DOCS and (k + 0.5) / n[1] > LEAST_ODDS * (held[0][s] + 0.5) / n[0] and surprise(k, k + held[0][s]) > tried}
+    return {
+        s
+        for s, k in held[1].items()
+        if k >= LEAST_CONTEXTS and (k + 0.5) / n[1] > LEAST_ODDS * (held[0][s] + 0.5) / n[0] and surprise(k, k + held[0][s]) > tried
+    }
 
 
 def sequences_of(text: str, marked: set[str], toxic: bool) -> Iterator[tuple[list[list[str]], list[int]]]:
@@ -204,7 +235,7 @@ def train(texts: list[str], labels: list[int]) -> Chain:
     """The chain, and the logistic over a document's evidence."""
     if len(set(labels)) < 2:
         share = (sum(labels) + 0.5) / (len(labels) + 1)
-        return Chain({}, doc=(0.0, 0.0, math.log(share / (1 - share))))
+        return Chain({}, doc=(0.0, 0.0, 0.0, math.log(share / (1 - share))))
     marked = toxic_signs(texts, labels)
     chain = Chain({s: 0.0 for s in marked})
     picked, plain = [], 0
@@ -217,10 +248,10 @@ def train(texts: list[str], labels: list[int]) -> Chain:
     chain.fit(picked)
     one, offsets, _, _ = chain.tag(pa.array(texts, pa.large_string()))
     x = np.concatenate([chain.evidence(one, offsets), np.ones((len(texts), 1))], axis=1)
-    y, w = np.array(labels, float), np.zeros(3)
+    y, w = np.array(labels, float), np.zeros(4)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
         w = w + np.linalg.solve(hess, x.T @ (y - p) - 0.1 * w)
     chain.doc = tuple(map(float, w))
     return chain
