@@ -373,6 +373,19 @@ def test_marginals_by_enumeration():
     assert np.allclose(pair.sum(axis=0), 1)
 
 
+def test_contexts_by_brute_force():
+    texts = ["one two one", "One two, one!", "", "...", "two two two two", "x **Rotten** y", "rotten y\nx"]
+    seen = set()
+    for text in texts:
+        own = ["", *(w for w in map(toxicity.bare, text.split()) if w), ""]
+        seen |= set(zip(own, own[1:], own[2:]))
+    held, n = toxicity.contexts(texts)
+    assert n == len(seen) and toxicity.contexts([]) == ({}, 0)
+    for word in ("one", "two", "rotten", "rott*", "rotte*", "x"):
+        assert held[word] == sum(word in toxicity.signs(w) for _, w, _ in seen)
+    assert toxicity.bare("--É1$%") == "é1" and toxicity.bare("###") == "" and toxicity.signs("|") == []
+
+
 def test_toxicity(spark, docs, odd, empty, sf_dir):
     big = "/root/testdata/sf0.1"
     own = spark.read.parquet(f"{big}/documents.parquet")
