@@ -74,13 +74,18 @@ def _bucket(level: int) -> Column:
     return F.shiftright(word, BITS - STEP * (level + 1))
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size and hashes of every row, without the texts.
+def row_hash() -> Column:
+    """60 bits that tell rows apart. They differ between reads, so they are written before they are used."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4)
+
+
+def sized(docs: DataFrame, seed: str = "mix", h2: Column | None = None) -> DataFrame:
+    """doc_id, source, size, hashes and key of every row, without the texts.
 
     ``h1`` orders documents. ``h2`` orders rows that share one id, which ``h1`` cannot tell apart.
     """
-    h2 = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4)
-    return docs.select("doc_id", "source", words("text").alias("size"), id_hash("doc_id", seed).alias("h1"), h2.alias("h2"))
+    h2 = row_hash() if h2 is None else h2
+    return docs.select("doc_id", "source", words("text").alias("size"), id_hash("doc_id", seed).alias("h1"), h2.alias("h2"), _key().alias("key"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -122,6 +127,20 @@ def _inside() -> Column:
     return F.coalesce(cut, F.lit(False))
 
 
+def planned(rows: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
+    """One row per source: key, source_size, target, whole and where its threshold lies."""
+    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = written(plan.withColumn("key", _key()).withColumn("whole", whole), "mix-targets")
+    budgets = plan.where("source_size > 0").select("key", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    plan = written(plan.join(thresholds(rows, budgets), "key", "left"), "mix-plan").drop("source")
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
+def _copies() -> Column:
+    return F.col("whole") + _inside().cast("long")
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -130,26 +149,22 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     null sources are a source of their own, last in order; repeated rows are each their own row; an empty
     table gives an empty result.
     """
-    rows = written(sized(docs, seed).withColumn("key", _key()), "mix-sized")
-    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = written(plan.withColumn("key", _key()).withColumn("whole", whole), "mix-targets")
-    budgets = plan.where("source_size > 0").select("key", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    plan = written(plan.join(thresholds(rows, budgets), "key", "left"), "mix-plan").drop("source")
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    copies = F.col("whole") + _inside().cast("long")
-    return rows.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", "h1", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = written(sized(docs, seed), "mix-sized")
+    return rows.join(planned(rows, share, cap, weights), "key").select("doc_id", "source", "size", "source_size", "target", "h1", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as ``mix`` takes it, with the columns of ``docs``.
+def apply_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row as often as ``mix`` takes it, with the columns of ``docs``.
 
-    Ids that repeat are brought to one row first (equal ids are one document to a mix).
+    Rows are written once with the hash that tells them apart, so sizes and copies are of the same rows,
+    also where ids are null or repeat. The threshold is then a filter on each row; no text is shuffled
+    as long as the plan of sources is broadcast.
     """
-    counts = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(counts, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(docs.columns)
+    own = written(docs.select(F.struct(*docs.columns).alias("doc"), row_hash().alias("h2")), "mix-docs")
+    rows = written(sized(own.select("doc.doc_id", "doc.source", "doc.text", "h2"), seed, F.col("h2")), "mix-sized")
+    keyed = own.select("doc", id_hash("doc.doc_id", seed).alias("h1"), "h2", _key("doc.source").alias("key"))
+    out = keyed.join(planned(rows, share, cap, weights), "key").select("doc", _copies().cast("int").alias("copies")).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,18 @@ def test_mix_applied(docs, odd):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def test_mix_applied_row_by_row(spark, odd):
+    assert mixing.apply_mix(odd).count() == sum(r["copies"] for r in rows(mixing.mix(odd)))
+    own = [(i, t, "en", s, 0) for i in (1, None) for s, n in (("s1", 300), ("s2", 50), ("s3", 50)) for t in ["a b c"] * n]
+    many = written(spark.createDataFrame([*own, (2, "d e f", "en", "s1", 0)], KIND), "repeated-applied")
+    want, got = Counter(), Counter()
+    for r in rows(mixing.mix(many)):
+        want[r["doc_id"], r["source"]] += r["copies"]
+    for r in rows(mixing.apply_mix(many)):
+        got[r["doc_id"], r["source"]] += 1
+    assert got == want and any(d is None for d, _ in got)
+
+
 # 2: media
 
 
