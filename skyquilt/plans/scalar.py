@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, table, view
@@ -325,11 +329,30 @@ def sc41_canonical_key(spark, sf_dir):
     return view(spark, sf_dir, "artifacts").select("key", F.sha2(F.to_json(recipe), 256).alias("content_key"))
 
 
+def group_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each brand's digests joined; rows come sorted by brand, so one hash state is held."""
+    now, state = None, None
+    for batch in batches:
+        brands, own = batch["brand"].to_pylist(), batch["d"].to_pylist()
+        out = []
+        for brand, d in zip(brands, own):
+            if state is None or brand != now:
+                if state is not None:
+                    out.append((now, state.hexdigest()))
+                now, state = brand, hashlib.sha256()
+            state.update(d.encode())
+        if out:
+            yield pa.RecordBatch.from_pydict({"brand": pa.array([b for b, _ in out], pa.string()), "digest": [h for _, h in out]})
+    if state is not None:
+        yield pa.RecordBatch.from_pydict({"brand": pa.array([now], pa.string()), "digest": [state.hexdigest()]})
+
+
 @query(cte("tags") + "SELECT brand, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT brand, sha256(id || '|' || type || '|' || size) AS d FROM tags) GROUP BY brand")
 def sc42_element_digest(spark, sf_dir):
-    """A digest that does not depend on the order of elements; one a group, each group of bounded size."""
+    """A digest that does not depend on the order of elements: a group's digests are sorted, which spills, and hashed as they pass."""
     one = F.sha2(F.concat_ws("|", F.col("id").cast("string"), "type", "size"), 256)
-    return view(spark, sf_dir, "tags").groupBy("brand").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(one)), ""), 256).alias("digest"))
+    d = view(spark, sf_dir, "tags").select("brand", one.alias("d")).repartition("brand").sortWithinPartitions("brand", "d")
+    return d.mapInArrow(group_digests, "brand string, digest string")
 
 
 @query(cte("tags") + "SELECT id, CASE id%3 WHEN 0 THEN 'relation' WHEN 1 THEN 'way' ELSE 'node' END AS kind, 'brand' AS key, CASE WHEN id%2=0 THEN brand ELSE '' END AS value FROM tags")

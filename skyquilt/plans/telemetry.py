@@ -204,6 +204,9 @@ def tk4_queue(spark, sf_dir):
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, quantile_disc(value, 0.5) AS median FROM events GROUP BY user_id")
 def ud3_nearest_rank(spark, sf_dir):
-    """Nearest-rank median as a fold over a user's sorted values (a bounded group: one user's events)."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return e.select("user_id", F.size("v").cast("long").alias("n"), F.get("v", F.ceil(F.size("v") / 2).cast("int") - 1).alias("median"))
+    """Nearest-rank median from counts of equal values, so that no user's events are gathered in one row."""
+    t = table(spark, sf_dir, "events").groupBy("user_id", "value").agg(F.count("*").alias("k"))
+    user, known = Window.partitionBy("user_id"), F.when(F.col("value").isNotNull(), F.col("k")).otherwise(0)
+    r = t.withColumn("n", F.sum("k").over(user)).withColumn("valued", F.sum(known).over(user))
+    r = r.withColumn("upto", F.sum(known).over(user.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    return r.groupBy("user_id").agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= F.ceil(F.col("valued") / 2), F.col("value"))).alias("median"))

@@ -30,6 +30,14 @@ def src1_read_airports(spark, sf_dir):
     return readers.read_airports(spark, path + "/part-*").select("ident", "kind", "elev_ft", "icao", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
 
 
+#: Ids that one map document, or one flight plan, covers: documents grow in number with the rows, not in size.
+LOT = 5_000
+
+
+def lot():
+    return F.floor(F.col("id") / LOT)
+
+
 def osm_elements(spark, sf_dir):
     n = view(spark, sf_dir, "nodes").selectExpr("'node' AS type", "id", "y AS lat", "x AS lon", "map('k', string(id%7)) AS tags")
     w = view(spark, sf_dir, "ways").groupBy("way").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda v: v["node"]).alias("nodes"))
@@ -39,7 +47,7 @@ def osm_elements(spark, sf_dir):
 @query(cte("nodes", "ways") + "SELECT 'node' AS kind, count(*) AS n, round(sum(x)+sum(y), 3) AS total FROM nodes UNION ALL SELECT 'way', count(DISTINCT way), sum(node)::DOUBLE FROM ways")
 def src2_read_osm_json(spark, sf_dir):
     n, w = osm_elements(spark, sf_dir)
-    both = n.unionByName(w, allowMissingColumns=True).withColumn("lot", F.expr("id%16"))
+    both = n.unionByName(w, allowMissingColumns=True).withColumn("lot", lot())
     path = shared_dir(both, "osm")
     both.groupBy("lot").agg(F.collect_list(F.struct("type", "id", "lat", "lon", "nodes", "tags")).alias("elements")).select("elements").write.json(path)
     t = readers.read_osm_json(spark, path, lines=True)
@@ -53,10 +61,10 @@ def src3_read_osm_xml(spark, sf_dir):
     node = F.format_string('<node id="%d" lat="%.6f" lon="%.6f"><tag k="k" v="%s"/></node>', "id", "lat", "lon", F.col("tags")["k"])
     refs = F.array_join(F.transform("nodes", lambda v: F.concat(F.lit('<nd ref="'), v.cast("string"), F.lit('"/>'))), "")
     way = F.concat(F.lit('<way id="'), F.col("id").cast("string"), F.lit('">'), refs, F.lit('<tag k="highway" v="1"/></way>'))
-    out = n.select(node.alias("value"), F.expr("id%16").alias("lot")).union(w.select(way, F.expr("id%16")))
+    out = n.select(node.alias("value"), lot().alias("lot")).union(w.select(way, lot()))
     path = shared_dir(out, "osmxml")
     whole = out.groupBy("lot").agg(F.concat(F.lit("<osm>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n</osm>")).alias("value"))
-    whole.repartition(16, "lot").write.partitionBy("lot").text(path)
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a document a file
     t = readers.read_osm_xml(spark, path)
     nodes = t["nodes"].agg(F.lit("node").alias("kind"), F.count("*").alias("n"), F.round(F.sum("lat") + F.sum("lon"), 3).alias("total"))
     return nodes.unionByName(t["ways"].select("id", F.explode("nodes").alias("v")).agg(F.lit("way").alias("kind"), F.count_distinct("id").alias("n"), F.sum("v").cast("double").alias("total")))
@@ -127,10 +135,10 @@ def src9_read_terrain_files(spark, sf_dir):
 
 @query(cte("sites") + "SELECT ident, round(lat, 4) AS lat, round(lon, 4) AS lon FROM sites")
 def src10_read_flight_plan(spark, sf_dir):
-    """One plan a region, each point named twice in a row; the second goes."""
+    """Plans of at most LOT sites, each point named twice in a row; the second goes."""
     s = view(spark, sf_dir, "sites")
     line = F.format_string("1 %s 0 %.6f %.6f", "ident", "lat", "lon")
-    plans = s.groupBy(F.expr("id%8").alias("plan")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.concat(line, F.lit("\n"), line).alias("l")))), lambda x: x["l"]), "\n").alias("value"))
+    plans = s.groupBy(lot().alias("plan")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.concat(line, F.lit("\n"), line).alias("l")))), lambda x: x["l"]), "\n").alias("value"))
     path = shared_dir(plans, "fms")
     plans.write.partitionBy("plan").text(path)
     return readers.read_flight_plan(spark, path).select("ident", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
