@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from skyquilt import catalog
+from skyquilt.fixtures import view
 from skyquilt.plans import scalar
 from skyquilt.sources import queries
 
@@ -48,3 +49,14 @@ def test_digest_gathers_no_group(spark, sf_dir):
 
 def test_median_gathers_no_group(spark, sf_dir):
     assert "collect_list" not in QUERIES["ud3_nearest_rank"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_all_texts_and_names_are_written(spark, sf_dir, folder):
+    QUERIES["snk4_write_terrain_text"](spark, sf_dir)
+    texts = sorted(line for f in folder.glob("terrain/*/part-*") for line in f.read_text().splitlines())
+    want = view(spark, sf_dir, "built").select("til_x", "til_y", "kind").distinct().collect()
+    assert texts == sorted(f"TEX {r.til_x} {r.til_y} {r.kind}" for r in want)
+    assert max(r.til_x for r in want) >= 320
+    QUERIES["src8_read_texture_names"](spark, sf_dir)
+    names = view(spark, sf_dir, "chunks").selectExpr("x div 256", "y div 256", "provider").distinct()
+    assert len(list(folder.glob("names/name=*"))) == names.count()
