@@ -154,7 +154,11 @@ def identify(docs: DataFrame, model: KernelRidge) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: KernelRidge | None = None) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told (``und``), same columns."""
+    """``docs`` without the rows whose language cannot be told, same columns.
+
+    Those are null texts, texts without a letter, and texts taken for a label that itself is ``und``; the
+    score decides nothing. If there was no labelled row to learn from, all texts with a letter stay.
+    """
     model = model or fit(docs)
     kind = docs.schema
 
@@ -164,7 +168,8 @@ def keep_identified(docs: DataFrame, model: KernelRidge | None = None) -> DataFr
                 part = chunk.slice(at, ROWS)
                 names, _ = model.predict(presence(part["text"]))
                 letters = pc.fill_null(pc.match_substring_regex(part["text"].cast(pa.large_string()), r"\pL"), False)
-                yield part.filter(pc.and_(letters, pc.not_equal(pa.array(names, pa.string()), UNKNOWN)))
+                told = pc.not_equal(pa.array(names, pa.string()), UNKNOWN) if model.names else pa.array([True] * len(part))
+                yield part.filter(pc.and_(letters, told))
 
     return docs.mapInArrow(run, kind)
 

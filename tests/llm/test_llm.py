@@ -430,6 +430,11 @@ def test_language(spark, docs, odd, empty):
     assert {r["lang_pred"] for r in rows(language_id.identify(odd, language_id.fit(empty)))} == {"und"}
 
 
+def test_no_labels_keep_texts_with_letters(odd):
+    bare = odd.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    assert Counter(r["doc_id"] for r in rows(language_id.keep_identified(bare))) == Counter(r[0] for r in ROWS) - Counter([2, 3, 8])
+
+
 def test_presence_is_of_whole_texts():
     x = language_id.presence(pa.array(["abcd", None, "", "zz" + "q" * 9_000 + "abcd"]))
     assert x[1].sum() == x[2].sum() == 0
