@@ -1,17 +1,21 @@
-"""Exact token counts at every prefix of a text.
-
-Between two characters that no vocabulary piece holds side by side, no merge of a BPE can cross. There the
-count of a prefix is the count up to the boundary plus the count of the rest: the recurrence
-``C[j] = C[i] + c(text[i:j])`` with ``i`` the last boundary before ``j``. ``c`` is asked of the library once
-for each distinct prefix of a unit, and the table of a text is the differences ``C[j] - C[j-1]``, one signed
-byte a code point, so that any truncation or budget question is answered without encoding again.
+"""Exact token counts at every prefix of a text, by dynamic programming over last tokens.
+
+A BPE splits a text in one way, and a row of tokens is that way if and only if each two neighbours are what the
+model makes of their own two strings. So every prefix has one last token: of the vocabulary's pieces that end
+there, the one that agrees with the last token of the prefix before it. With ``size`` its length the recurrence is
+``C[j] = C[j - size] + 1``. An automaton gives the pieces that end at each place; two tokens agree if, while both are
+merged, no merge over their border ever comes first. The work is linear in the text times the longest piece.
+The table of a text is the differences ``C[j] - C[j-1]``, one signed byte a code point, so that any truncation or
+budget question is answered without encoding again.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,14 +24,15 @@ from pyspark.sql import DataFrame
 from .common import documents, text_chunks
 from .tokens import LONG, gather
 
-#: Where units are not plainly words and line feeds: other white space in a row, or control characters.
-ODD = r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}▁]"
-#: A unit of more characters than this is cut at hard boundaries between its characters.
-UNIT = 48
-#: A longer unit without any boundary has its whole count at its last character.
-UNBROKEN = 2_048
-#: Entries after which a worker's memo is emptied.
-MEMO = 700_000
+#: Runs of blanks, which stand before a word as one unit, and the byte that separates units.
+ODD = r"  |\x00"
+#: What the memos may hold: bytes of units with their tables, and pairs of tokens.
+MEMO_BYTES, MEMO_PAIRS = 192 << 20, 1_000_000
+NEVER = float("-inf")
+#: The entry of a row of pairs that names its last token; a row without it stands for the start of a unit.
+LAST = -1
+#: Longer units are not remembered.
+REMEMBERED = 1_000
 
 
 class PrefixCounter:
@@ -37,68 +42,135 @@ class PrefixCounter:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
-        self.joined = {p[i : i + 2].replace("▁", " ") for p in pieces for i in range(len(p) - 1)}
-        if any(a != " " and b == " " for a, b in self.joined) or any("\n" in p for p in pieces):
+        pieces = {i: sp.id_to_piece(i).replace("▁", " ") for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        joined = {p[i : i + 2] for p in pieces.values() for i in range(len(p) - 1)}
+        longest = max(map(len, pieces.values()))
+        if any(a != " " and b == " " for a, b in joined) or any("\n" in p for p in pieces.values()):
             raise ValueError("pieces of this model cross word limits")
+        if longest > 31:
+            raise ValueError("a difference of counts would pass a byte")
         letters = "A-Za-zÀ-ÖØ-öø-ÿ"
-        marks = "".join(m for m in ".,;:!?" if not any(b == m and re.match(f"[{letters}]", a) for a, b in self.joined))
+        marks = "".join(m for m in ".,;:!?" if not any(b == m and re.match(f"[{letters}]", a) for a, b in joined))
         self.marked = f"([{letters}])([{re.escape(marks)}])" if marks else None
-        self.counts: dict[str, int] = {}
+        self.pieces, self.single = pieces, {p for p in pieces.values() if len(p) == 1}
+        self.ends = ahocorasick.Automaton()
+        for i, p in pieces.items():
+            self.ends.add_word(p, (i, len(p)))
+        self.ends.make_automaton()
+        self.score = {p: sp.get_score(i) for i, p in pieces.items() if len(p) > 1}
+        self.histories = {i: self.history(i) for i in pieces}
+        self.agreed: dict[int, dict[int, bool]] = {}  # by last token, and in it by the next
+        self.asked = 0
         self.tables: dict[str, bytes] = {"": b""}
-        self.base = len(sp.encode("\n"))
+        self.held = 0
 
     def total(self, text: str) -> int:
         return len(self.sp.encode(text))
 
-    def _ask(self, pieces: set[str]) -> None:
-        """Token counts of pieces standing alone, by the library."""
-        pieces = [p for p in pieces if p not in self.counts]
-        asked = [p[1:] if p[0] == " " else "\n" + p for p in pieces]
-        for p, ids in zip(pieces, self.sp.encode(asked, num_threads=1) if asked else []):
-            self.counts[p] = 1 if p == " " else len(ids) - (0 if p[0] == " " else self.base)
-
-    def _cut(self, unit: str) -> list[str]:
-        """A long unit, cut wherever its neighbouring characters never stand together in a piece."""
-        out, start = [], 0
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in self.joined:
-                out.append(unit[start:i])
-                start = i
-        return [*out, unit[start:]]
+    def history(self, token: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How a token is merged from its characters: the score of each merge to come, and the first and the last
+        symbol before it; None for a piece that the model never makes."""
+        parts, scores, first, last = list(self.pieces[token]), [], [], []
+        while True:
+            first.append(parts[0])
+            last.append(parts[-1])
+            best, i = max(((self.score.get(x + y, NEVER), -i) for i, (x, y) in enumerate(zip(parts, parts[1:]))), default=(NEVER, 0))
+            scores.append(best)
+            if best == NEVER:
+                return (scores, first, last) if len(parts) == 1 else None
+            parts[-i : 2 - i] = [parts[-i] + parts[1 - i]]
+
+    def agree(self, last: int, token: int) -> bool:
+        """Whether the model makes these two tokens of their strings; ``last`` -1: the token alone.
+
+        The best merge comes first, the leftmost of equal ones, so the merges within either token come in the order
+        in which each has them alone; the border holds if the merge over it is never the next.
+        """
+        own = self.histories[token]
+        if last < 0 or own is None:
+            return own is not None
+        (left, _, ends), (right, starts, _) = self.histories[last], own
+        i = j = 0
+        while True:
+            over, a, b = self.score.get(ends[i] + starts[j], NEVER), left[i], right[j]
+            if over > a and over >= b and over != NEVER:
+                return False
+            if a >= b:
+                if a == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def fill(self, names: list[str]) -> np.ndarray:
+        """Differences of the counts of all prefixes, the units end to end, a signed byte a code point.
+
+        Units in order share beginnings, whose tokens stand already from the unit before.
+        """
+        out, upto, rows, before, agreed = array("i"), array("i", [0]), [self.agreed.setdefault(-1, {})], "", self.agreed
+        for name in names:
+            n, at = len(name), 0
+            for x, y in zip(before, name):
+                if x != y:
+                    break
+                at += 1
+            before = name
+            del upto[at + 1 :], rows[at + 1 :]
+            for end, (token, size) in self.ends.iter(name):
+                if end < at:  # this place has its token
+                    continue
+                if at < end:
+                    at = self.unknown(name, at, end, upto, rows)
+                good = rows[end + 1 - size].get(token)
+                if good is None:
+                    good = self.ask(rows[end + 1 - size], token)
+                if good:
+                    upto.append(upto[end + 1 - size] + 1)
+                    row = agreed.get(token)
+                    rows.append(agreed.setdefault(token, {LAST: token}) if row is None else row)
+                    at = end + 1
+            self.unknown(name, at, n, upto, rows)
+            out.extend(upto)
+        lengths = np.fromiter(map(len, names), np.int64, len(names)) + 1
+        steps = np.diff(np.frombuffer(out, np.int32), prepend=np.int32(0))
+        return np.delete(steps, np.cumsum(lengths) - lengths).astype(np.int8)
+
+    def ask(self, row: dict[int, bool], token: int) -> bool:
+        if self.asked >= MEMO_PAIRS:  # rows in use stay as they are, new ones start empty
+            self.agreed.clear()
+            self.asked = 0
+        self.asked += 1
+        row[token] = good = self.agree(row.get(LAST, -1), token)
+        return good
+
+    def unknown(self, name: str, at: int, end: int, upto: array, rows: list) -> int:
+        """Characters of no piece are as many tokens as they have bytes; nothing is merged over them."""
+        for x in name[at:end]:
+            if x in self.single:
+                raise AssertionError("no last token")
+            upto.append(upto[-1] + len(x.encode()))
+            rows.append(self.agreed.setdefault(-1, {}))
+        return end
 
     def units(self, names: list[str]) -> list[bytes]:
-        """The table of each unit: differences of counts, a signed byte a code point."""
-        if len(self.tables) > MEMO or len(self.counts) > 2 * MEMO:
-            self.tables, self.counts = {"": b""}, {}
-        new = [n for n in names if n not in self.tables]
-        cut = {n: self._cut(n) if len(n) > UNIT else [n] for n in new}
-        parts = {p for own in cut.values() for p in own}
-        self._ask({p[:i] for p in parts for i in (range(1, len(p) + 1) if len(p) <= UNBROKEN else [len(p)])})
-        counts = self.counts
+        """The table of each unit."""
+        if self.held > MEMO_BYTES:
+            self.tables, self.held = {"": b""}, 0
+        tables = self.tables
+        new = sorted({n for n in names if n not in tables})
+        steps, own, at = self.fill(new).tobytes(), {}, 0
         for n in new:
-            steps: list[int] = []
-            for p in cut[n]:
-                if len(p) <= UNBROKEN:
-                    upto = [counts[p[:i]] for i in range(1, len(p) + 1)]
-                    steps += [upto[0], *(b - a for a, b in zip(upto, upto[1:]))]
-                else:
-                    steps += self._unbroken(len(p), counts[p])
-            self.tables[n] = np.array(steps, np.int8).tobytes()
-        return [self.tables[n] for n in names]
-
-    @staticmethod
-    def _unbroken(length: int, count: int) -> list[int]:
-        """The count of a unit too long for its own table, as late as single bytes can hold it."""
-        steps = [0] * length
-        for i in range(length - 1, -1, -1):
-            steps[i] = min(count, 127)
-            count -= steps[i]
-        return steps
+            own[n] = steps[at : at + len(n)]
+            at += len(n)
+            if len(n) <= REMEMBERED:
+                self.held += 250 + 5 * len(n)
+        found = [tables[n] if n in tables else own[n] for n in names]
+        tables.update((n, t) for n, t in own.items() if len(n) <= REMEMBERED)
+        return found
 
     def tables_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tables end to end, code points of each text, tokens of each text; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "▁", " ")  # one and the same to the library
         padded = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
         hard = pc.or_(pc.match_substring_regex(padded, ODD), pc.greater(pc.binary_length(texts), LONG))
         cut = pc.replace_substring(pc.replace_substring(pc.if_else(hard, "", padded), " ", "\x00 "), "\n", "\x00\n\x00")
@@ -172,8 +244,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, keep_table: bool = T
     """doc_id, n_bytes, n_tokens and, with ``keep_table``, ``prefix``: the table of every prefix's count.
 
     Null texts count as empty (no token, an empty table); repeated rows give repeated rows; other columns
-    are not read. A single unit of over 2,048 characters in which all neighbours occur in pieces has its
-    count at its end, so only prefixes that end inside such a unit are not told apart.
+    are not read; an empty table gives no row. Every prefix of every text is counted exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +261,4 @@ def prefix_counts(docs: DataFrame, path: str | None = None, keep_table: bool = T
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    return prefix_counts(documents(spark, sf_dir), keep_table=False).selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
+    return prefix_counts(documents(spark, sf_dir)).selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit", "prefix")

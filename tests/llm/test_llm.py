@@ -183,7 +183,7 @@ def test_token_counts(docs, odd, empty):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab cde.,'\n é日\t<s>/0XY"), max_size=30))
+@given(st.one_of(st.text(st.sampled_from("ab cde.,'\n é日\t<s>/0XY▁"), max_size=30), st.text(st.sampled_from(" ▁the\x00"), max_size=30)))
 def test_every_prefix(text):
     own = token_counts.counter()
     steps, lengths, tokens_ = own.tables_of(pa.array([text, "x y"]))
@@ -196,6 +196,27 @@ def test_every_prefix(text):
     assert own.total(text[:k]) <= 4
 
 
+def test_unbroken_texts():
+    own, rng = token_counts.counter(), np.random.default_rng(4)
+    texts_ = ["".join(rng.choice(list(letters), n)) for letters, n in (("etaoinshrdlu", 5_000), ("a", 3_000), ("ab ▁", 2_000), ("日語é", 1_500))]
+    steps, lengths, tokens_ = own.tables_of(pa.array(texts_))
+    ends = np.cumsum(lengths)
+    for text, end, n in zip(texts_, ends, tokens_):
+        upto = np.cumsum(steps[end - len(text) : end], dtype=np.int64)
+        assert n == upto[-1] == own.total(text)
+        assert all(upto[i - 1] == own.total(text[:i]) for i in range(1, len(text) + 1, 7))
+
+
+def test_memos_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 2_000)
+    monkeypatch.setattr(token_counts, "MEMO_PAIRS", 20)
+    own = token_counts.PrefixCounter(P.path("piece_bpe_32k.model"))
+    for k in range(20):
+        texts_ = [f"some words of text {k} and more{j}" for j in range(20)]
+        assert own.tables_of(pa.array(texts_))[2].tolist() == [own.total(t) for t in texts_]
+        assert own.held < 20_000 and own.asked <= 20
+
+
 # 4 and 9: ids
 
 
