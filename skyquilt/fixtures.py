@@ -52,12 +52,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "ways": ("lineitem", ["l_orderkey AS way", "l_linenumber AS pos", "(l_orderkey*31+l_linenumber*17)%15000 AS node", "l_shipdate AS at"]),
 }
 
-# Short pieces of line and small boxes, spread over the unit square by the order's key.
+# Short pieces of line and small boxes; each 20,000 keys are spread over a unit square of their own, so density stays.
 VIEWS["segments"] = (
     "orders",
     [
-        "o_orderkey AS id", "((o_orderkey*613)%10007)/10007e0 AS x1", "((o_orderkey*389)%9973)/9973e0 AS y1",
-        "((o_orderkey*613)%10007)/10007e0 + 0.002e0*(o_orderkey%5+1) AS x2", "((o_orderkey*389)%9973)/9973e0 + 0.0015e0*(o_orderkey%7-3) AS y2",
+        "o_orderkey AS id", "((o_orderkey*613)%10007)/10007e0 + floor(o_orderkey/20000) AS x1", "((o_orderkey*389)%9973)/9973e0 AS y1",
+        "((o_orderkey*613)%10007)/10007e0 + floor(o_orderkey/20000) + 0.002e0*(o_orderkey%5+1) AS x2", "((o_orderkey*389)%9973)/9973e0 + 0.0015e0*(o_orderkey%7-3) AS y2",
         "o_totalprice/1000e0 AS z1", "o_totalprice/1000e0 + 1 AS z2",
     ],
 )

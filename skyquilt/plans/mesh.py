@@ -128,6 +128,8 @@ def boxed(df: DataFrame, suffix: str = "") -> DataFrame:
     return df.select(*(F.col(n).alias(n + suffix) for n in df.columns), *(f("x1" if k in "we" else "y1", "x2" if k in "we" else "y2").alias(f"{k}{suffix}") for k, f in (("w", F.least), ("s", F.least), ("e", F.greatest), ("n", F.greatest))))
 
 
+#: Side of the grid cells: about a box, so that a cell holds little else than what may meet.
+CELL = 0.005
 CROSS = "((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1))"
 
 
@@ -137,7 +139,7 @@ SELECT id, other, round(x1+t*(x2-x1), 6) AS x, round(y1+t*(y2-y1), 6) AS y, roun
 def jn14_crossing_pairs(spark, sf_dir):
     """Pairs of segments that cross inside both; the height is that of the lower id."""
     s = view(spark, sf_dir, "segments")
-    p = box_join(boxed(s), boxed(s, "_b"), 0.02, ("w", "s", "e", "n"), ("w_b", "s_b", "e_b", "n_b")).where("id < id_b")
+    p = box_join(boxed(s), boxed(s, "_b"), CELL, ("w", "s", "e", "n"), ("w_b", "s_b", "e_b", "n_b")).where("id < id_b")
     cross = "nullif((x2-x1)*(y2_b-y1_b)-(y2-y1)*(x2_b-x1_b), 0)"
     p = p.withColumn("t", F.expr(f"((x1_b-x1)*(y2_b-y1_b)-(y1_b-y1)*(x2_b-x1_b))/{cross}")).withColumn("u", F.expr(f"((x1_b-x1)*(y2-y1)-(y1_b-y1)*(x2-x1))/{cross}"))
     p = p.where("t > 1e-9 AND t < 1-1e-9 AND u > 1e-9 AND u < 1-1e-9")
@@ -150,7 +152,7 @@ TOL = 0.0008
 def near_edges(points: DataFrame, edges: DataFrame, tol: float) -> DataFrame:
     """Points (pid, px, py) with edges closer than ``tol``, and the distance."""
     grown = points.select("*", *(F.expr(e).alias(k) for k, e in (("pw", f"px-{tol}"), ("ps", f"py-{tol}"), ("pe", f"px+{tol}"), ("pn", f"py+{tol}"))))
-    p = box_join(grown, boxed(edges), 0.02, ("pw", "ps", "pe", "pn"), ("w", "s", "e", "n"))
+    p = box_join(grown, boxed(edges), CELL, ("pw", "ps", "pe", "pn"), ("w", "s", "e", "n"))
     p = p.withColumn("t", F.expr("greatest(0D, least(1D, ((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))))"))
     return p.withColumn("d", F.expr("sqrt(power(px-x1-t*(x2-x1), 2)+power(py-y1-t*(y2-y1), 2))")).where(F.col("d") < tol)
 
@@ -179,7 +181,7 @@ BOX = "a.x1 < b.x1+0.004 AND b.x1 < a.x1+0.004 AND a.y1 < b.y1+0.003 AND b.y1 <
 def overlaps(spark, sf_dir) -> DataFrame:
     """Pairs of small boxes whose interiors meet, once each."""
     b = view(spark, sf_dir, "segments").selectExpr("id", "x1 AS w", "y1 AS s", "x1+0.004 AS e", "y1+0.003 AS n")
-    pairs = box_join(b, b.toDF(*(f"{n}2" for n in b.columns)), 0.02, ("w", "s", "e", "n"), ("w2", "s2", "e2", "n2"))
+    pairs = box_join(b, b.toDF(*(f"{n}2" for n in b.columns)), CELL, ("w", "s", "e", "n"), ("w2", "s2", "e2", "n2"))
     return pairs.where("id < id2 AND w < e2 AND w2 < e AND s < n2 AND s2 < n").select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
@@ -193,14 +195,14 @@ def it1_connected_components(spark, sf_dir):
     return connected_components(overlaps(spark, sf_dir))
 
 
-@query(cte("segments") + """SELECT p.id AS point, min(t.id) AS tri FROM (SELECT id, ((id*7919)%10007)/10007e0 AS x, ((id*4099)%9973)/9973e0 AS y FROM segments) p JOIN segments t
+@query(cte("segments") + """SELECT p.id AS point, min(t.id) AS tri FROM (SELECT id, ((id*7919)%10007)/10007e0 + floor(id/20000) AS x, ((id*4099)%9973)/9973e0 AS y FROM segments) p JOIN segments t
  ON p.x >= t.x1 AND p.y >= t.y1 AND (p.x-t.x1)/0.01+(p.y-t.y1)/0.01 <= 1 GROUP BY p.id""")
 def jn27_locate(spark, sf_dir):
     """The first triangle that holds a point."""
     s = view(spark, sf_dir, "segments")
-    p = s.selectExpr("id AS point", "((id*7919)%10007)/10007e0 AS px", "((id*4099)%9973)/9973e0 AS py")
+    p = s.selectExpr("id AS point", "((id*7919)%10007)/10007e0 + floor(id/20000) AS px", "((id*4099)%9973)/9973e0 AS py")
     t = s.selectExpr("id AS tri", "x1", "y1", "x1+0.01 AS x2", "y1+0.01 AS y2")
-    return box_join(p, t, 0.02, ("px", "py", "px", "py"), ("x1", "y1", "x2", "y2")).where("px >= x1 AND py >= y1 AND (px-x1)/0.01+(py-y1)/0.01 <= 1").groupBy("point").agg(F.min("tri").alias("tri"))
+    return box_join(p, t, CELL, ("px", "py", "px", "py"), ("x1", "y1", "x2", "y2")).where("px >= x1 AND py >= y1 AND (px-x1)/0.01+(py-y1)/0.01 <= 1").groupBy("point").agg(F.min("tri").alias("tri"))
 
 
 LEVELS = 8
