@@ -41,6 +41,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(doc, row): each row as one struct, so that no column of the user's can clash with one of ours, and its number.
+
+    Numbers would differ between two reads, so both are written once and every later step reads the same.
+    """
+    return written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), name)
+
+
+def without(own: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """The rows of a ``numbered`` table without those whose numbers are in ``dropped``, with the user's columns.
+
+    Only numbers are written, so the planner knows their size: few go to the texts, many meet them in a shuffle.
+    """
+    return own.join(written(dropped.select("row"), name), "row", "left_anti").select("doc.*")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as keep it from clashing with ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(doc_id: str | Column) -> Column:
     """crc32 of the id written as text, unsigned; null ids count as an empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_chunks, written
+from .common import documents, numbered, text_chunks, without, written
 
 #: Bytes of a chunk: at least, about, at most.
 LEAST, ABOUT, MOST = 2_048, 8_192, 65_536
@@ -52,8 +52,9 @@ def cut_points(data: bytes) -> list[int]:
     return out
 
 
-def recipes(docs: DataFrame) -> DataFrame:
+def recipes(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id, row (a number of the row), the text's recipe and its SHA-256; null counts as empty."""
+    row = F.monotonically_increasing_id() if row is None else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("id", pa.binary()), ("size", pa.int32()), ("check", pa.binary())]))
@@ -70,7 +71,7 @@ def recipes(docs: DataFrame) -> DataFrame:
                 sums.append(parts[0]["id"].hex() if len(parts) == 1 else hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk["row"], pa.array(lists, kind), pa.array(sums)], names=["doc_id", "row", "recipe", "text_sha256"])
 
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, RECIPE)
+    return docs.select("doc_id", row.alias("row"), "text").mapInArrow(run, RECIPE)
 
 
 def verified(rows: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def verified(rows: DataFrame) -> DataFrame:
     return rows.join(held, "row", "left").withColumn("list", F.when(F.col("_clash"), full).otherwise(plain)).drop("_clash")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id, row, keep_id, group_size, kept, text_sha256 of every row.
 
     Of equal texts the row with the largest doc_id stays (null ids come last); of repeated rows with that
@@ -98,7 +99,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Grouping is pre-aggregated in each task; the groups are written, so that both sides of the join back
     come straight from exchanges and the adaptive planner splits a list that a third of all rows share.
     """
-    rows = verified(written(recipes(docs), "recipes")).select("doc_id", "row", "list", "text_sha256")
+    rows = verified(written(recipes(docs, row), "recipes")).select("doc_id", "row", "list", "text_sha256")
     best = F.max(F.struct(F.col("doc_id").alias("id"), (-F.col("row")).alias("r")))
     groups = rows.groupBy("list").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = written(groups.where("group_size > 1"), "recipe-groups")
@@ -111,17 +112,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``.
+    """The rows of ``docs`` that stay, one of each text, with the columns of ``docs``, whatever they are called.
 
-    Rows are matched by id and SHA-256; only where rows repeat one id and one text are they brought to one.
+    Rows are matched by their numbers, so null and repeated ids and repeated rows are told apart. An empty
+    table stays empty.
     """
-    groups = written(exact_groups(docs), "exact-groups")
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sum"))
-    own = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sum")), "left_semi")
-    if not groups.where("NOT kept AND doc_id <=> keep_id").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_own"])
-    return rows.drop("_own")
+    own = numbered(docs, "exact-docs")
+    groups = exact_groups(own.select("doc.doc_id", "doc.text", "row"), F.col("row"))
+    return without(own, groups.where("NOT kept"), "exact-dropped")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ from .common import WORD, documents, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Bits by which one round cuts a bucket, and bits of each of the two hash words.
+#: Bits by which one round cuts a bucket, and bits of each hash word; the words that order rows, and a source's edge in them.
 STEP, BITS = 12, 60
+WORDS, EDGES = ("h1", "h2", "h3"), ("e1", "e2", "e3")
 #: A plan of at most this many sources is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -61,17 +62,18 @@ def _key(source: str = "source") -> Column:
 
 
 def _prefix(level: int) -> Column:
-    """The leading bits of the 120-bit (h1, h2) that round ``level`` tells apart, as a string key."""
-    per = BITS // STEP
-    if level < per:
-        return F.shiftright("h1", BITS - STEP * (level + 1)).cast("string")
-    return F.concat_ws("/", F.col("h1").cast("string"), F.shiftright("h2", BITS - STEP * (level - per + 1)).cast("string"))
+    """The leading bits of the hash words that round ``level`` tells apart, as a string key."""
+    word = level * STEP // BITS
+    return F.concat_ws("/", *(F.col(h).cast("string") for h in WORDS[:word]), _bucket(level).cast("string"))
 
 
 def _bucket(level: int) -> Column:
-    per = BITS // STEP
-    word, level = ("h1", level) if level < per else ("h2", level - per)
-    return F.shiftright(word, BITS - STEP * (level + 1))
+    word, level = divmod(level, BITS // STEP)
+    return F.shiftright(WORDS[word], BITS - STEP * (level + 1))
+
+
+def text_hash(text: str, seed: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(text), F.lit(""))), 4)
 
 
 def row_hash() -> Column:
@@ -79,52 +81,52 @@ def row_hash() -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4)
 
 
-def sized(docs: DataFrame, seed: str = "mix", h2: Column | None = None) -> DataFrame:
+def sized(docs: DataFrame, seed: str = "mix", h3: Column | None = None) -> DataFrame:
     """doc_id, source, size, hashes and key of every row, without the texts.
 
-    ``h1`` orders documents. ``h2`` orders rows that share one id, which ``h1`` cannot tell apart.
+    ``h1`` orders ids, ``h2`` rows of one id by their texts, and ``h3`` rows that repeat both. Rows that repeat
+    both have one size, so which of them ``h3`` puts first changes nothing in a mix but the order of its rows.
     """
-    h2 = row_hash() if h2 is None else h2
-    return docs.select("doc_id", "source", words("text").alias("size"), id_hash("doc_id", seed).alias("h1"), h2.alias("h2"), _key().alias("key"))
+    h3 = row_hash() if h3 is None else h3
+    return docs.select("doc_id", "source", words("text").alias("size"), id_hash("doc_id", seed).alias("h1"), text_hash("text", seed).alias("h2"), h3.alias("h3"), _key().alias("key"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Where each source's budget ends: (key, level, edge, take).
+    """Where each source's budget ends: (key, e1, e2, e3).
 
-    ``rows``: key, size, h1, h2. ``budgets``: key, budget (words, below the key's sum). A row lies inside
-    the budget if its prefix at ``level`` is below ``edge``, or equals it and ``take`` holds (the last row
-    is taken if at least half of it fits). Each round reads only the rows of the boundary buckets, found by
-    an equi-join on (key, prefix), so a source with a third of all rows is spread over its prefixes.
+    ``rows``: key, size, h1, h2, h3. ``budgets``: key, budget (words, below the key's sum). A row lies inside the
+    budget if its hash words come before the edge; the last row that meets the budget's end is inside if at least
+    half of it fits. Each round reads only the rows of the boundary buckets, found by an equi-join on (key,
+    prefix), so a source with a third of all rows is spread over its prefixes.
     """
-    state, done = budgets.select("key", F.col("budget").alias("left")), None
-    for level in range(2 * BITS // STEP):
+    state, done, rounds = budgets.select("key", F.col("budget").alias("left")), None, len(WORDS) * BITS // STEP
+    for level in range(rounds):
         inside = rows if level == 0 else rows.withColumn("prefix", _prefix(level - 1)).join(state.select("key", "prefix"), ["key", "prefix"], "left_semi")
-        counts = inside.groupBy("key", _bucket(level).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min(_prefix(level)).alias("prefix"))
+        fixed = [F.min(h).alias(h) for h in WORDS[: level * STEP // BITS]]  # the words before this one, the same in all of a bucket
+        counts = inside.groupBy("key", _bucket(level).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min(_prefix(level)).alias("prefix"), *fixed)
         running = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         ends = counts.withColumn("upto", F.sum("words").over(running)).join(state.select("key", "left"), "key").where(F.col("upto") > F.col("left"))
-        edge = ends.groupBy("key").agg(F.min(F.struct("bucket", "prefix", "words", "n", "upto", "left")).alias("e"))
-        state = written(edge.select("key", "e.bucket", "e.prefix", "e.words", "e.n", (F.col("e.left") - F.col("e.upto") + F.col("e.words")).alias("left")), f"mix-{level}")
-        settled = state.where("n = 1 or words = 0").select("key", F.lit(level).alias("level"), F.col("bucket").alias("edge"), F.col("prefix"), (2 * F.col("left") >= F.col("words")).alias("take"))
+        names = ["bucket", "prefix", "words", "n", *WORDS[: len(fixed)]]
+        edge = ends.groupBy("key").agg(F.min(F.struct(*names, "upto", "left")).alias("e"))
+        state = written(edge.select("key", *(f"e.{n}" for n in names), (F.col("e.left") - F.col("e.upto") + F.col("e.words")).alias("left")), f"mix-{level}")
+        over = F.col("bucket") + (2 * F.col("left") >= F.col("words")).cast("long")
+        here = F.shiftleft(over, BITS - STEP * (level % (BITS // STEP) + 1))
+        words_ = [*map(F.col, WORDS[: len(fixed)]), here, *[F.lit(0).cast("long")] * (len(WORDS) - len(fixed) - 1)]
+        single = F.lit(True) if level == rounds - 1 else F.expr("n = 1 OR words = 0")  # equal in all words: taken or left together
+        settled = state.where(single).select("key", *(w.alias(e) for w, e in zip(words_, EDGES)))
         done = settled if done is None else done.unionByName(settled)
-        state = state.where("n > 1 and words > 0")
+        state = state.where(~single)
         if state.isEmpty():
             break
-    else:  # equal in all 120 bits: taken or left together
-        done = done.unionByName(state.select("key", F.lit(level).alias("level"), F.col("bucket").alias("edge"), F.col("prefix"), (2 * F.col("left") >= F.col("words")).alias("take")))
     return done
 
 
 def _inside() -> Column:
-    per = BITS // STEP
-    cut = F.lit(None).cast("boolean")
-    for level in range(2 * per - 1, -1, -1):
-        if level < per:
-            test = (_bucket(level) < F.col("edge")) | ((_bucket(level) == F.col("edge")) & F.col("take"))
-        else:
-            own = F.substring_index("prefix", "/", 1).cast("long")
-            test = (F.col("h1") < own) | ((F.col("h1") == own) & ((_bucket(level) < F.col("edge")) | ((_bucket(level) == F.col("edge")) & F.col("take"))))
-        cut = F.when(F.col("level") == level, test).otherwise(cut)
-    return F.coalesce(cut, F.lit(False))
+    """Whether a row's hash words come before the edge, word by word."""
+    before = F.lit(False)
+    for h, e in reversed(list(zip(WORDS, EDGES))):
+        before = (F.col(h) < F.col(e)) | ((F.col(h) == F.col(e)) & before)
+    return F.coalesce(before, F.lit(False))
 
 
 def planned(rows: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -147,7 +149,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     ``copies`` is how often the mix holds the document: every document floor(target / source_size) times,
     and those inside the source's threshold once more. Null texts have size 0 and are kept in the rows;
     null sources are a source of their own, last in order; repeated rows are each their own row; an empty
-    table gives an empty result.
+    table gives an empty result. A rerun gives the same rows, however the table's files are cut.
     """
     rows = written(sized(docs, seed), "mix-sized")
     return rows.join(planned(rows, share, cap, weights), "key").select("doc_id", "source", "size", "source_size", "target", "h1", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
@@ -157,12 +159,13 @@ def apply_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tu
     """The mix itself: each row as often as ``mix`` takes it, with the columns of ``docs``.
 
     Rows are written once with the hash that tells them apart, so sizes and copies are of the same rows,
-    also where ids are null or repeat. The threshold is then a filter on each row; no text is shuffled
-    as long as the plan of sources is broadcast.
+    also where ids are null or repeat, and packed as one struct, so no column of ``docs`` clashes. Null texts
+    have no words and come as often as their source's others; an empty table stays empty. The threshold is a
+    filter on each row; no text is shuffled as long as the plan of sources is broadcast.
     """
-    own = written(docs.select(F.struct(*docs.columns).alias("doc"), row_hash().alias("h2")), "mix-docs")
-    rows = written(sized(own.select("doc.doc_id", "doc.source", "doc.text", "h2"), seed, F.col("h2")), "mix-sized")
-    keyed = own.select("doc", id_hash("doc.doc_id", seed).alias("h1"), "h2", _key("doc.source").alias("key"))
+    own = written(docs.select(F.struct("*").alias("doc"), row_hash().alias("h3")), "mix-docs")
+    rows = written(sized(own.select("doc.doc_id", "doc.source", "doc.text", "h3"), seed, F.col("h3")), "mix-sized")
+    keyed = own.select("doc", id_hash("doc.doc_id", seed).alias("h1"), text_hash("doc.text", seed).alias("h2"), "h3", _key("doc.source").alias("key"))
     out = keyed.join(planned(rows, share, cap, weights), "key").select("doc", _copies().cast("int").alias("copies")).where("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 

@@ -1,6 +1,7 @@
 """Two-pass external shuffle into shards of equal row counts.
 
-Pass one scatters rows by a seeded hash into buckets that fit a task's memory. Pass two puts a bucket into a
+Pass one scatters rows by a seeded hash into buckets that fit a task's memory, a task's buckets one after the
+other. Pass two puts a bucket into a
 fixed order, shuffles it by Fisher-Yates with a generator seeded by the bucket's number, and writes it.
 Buckets end to end are the shuffled order; eight equal stretches of it are the shards.
 """
@@ -11,15 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, shared_dir
+from .common import documents, free_name, shared_dir, written
 
 #: Text bytes that a bucket holds on average; a task needs about four times as much memory.
 BUCKET_BYTES = 24 << 20
+#: Tasks of the scatter at most; each has as many buckets as it takes. Buckets that are summed up as one.
+TASKS, BUCKETS_A_LOT = 20_000, 4_096
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -32,57 +34,76 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def write_shuffled(docs: DataFrame, path: str, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id") -> DataFrame:
-    """Write all rows and columns of ``docs``, shuffled, below ``path``; return them with bucket and place.
+def write_shuffled(docs: DataFrame, path: str, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", tasks: int = TASKS) -> DataFrame:
+    """Write all rows of ``docs``, shuffled, below ``path``; return (doc, bucket, place), ``doc`` the whole row.
 
-    Row ids go into the hash with the key, so rows that repeat one key are spread as well. Inside a bucket
-    rows are put in the order of the key and the text's crc before the shuffle: equal rows are alike, and
-    so a task that runs again writes the same. An empty table gives an empty one.
+    Rows are scattered in two levels: to at most ``tasks`` tasks, and in a task, by a sort that may spill, to its
+    buckets, of which one at a time is in memory. A row's hash is of its key, its text and its number, so rows
+    that repeat key and text are spread as well. Inside a bucket rows are put in the order of the key and the
+    text's crc before the shuffle: equal rows are alike, and so a task that runs again writes the same. Rows
+    are packed as one struct, so no column of theirs clashes; null texts count as empty in the sizes; an empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     n = max(-(-int(total) // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    scattered = docs.withColumn("_bucket", bucket).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    per = -(-n // tasks)
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(f"doc.{key}"), "doc.text", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    packed = docs.select(F.struct("*").alias("doc")).select("doc", bucket.alias("bucket"), F.crc32(F.coalesce("doc.text", F.lit("")).cast("binary")).alias("crc"))
+
+    def shuffled(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).drop_columns(["crc"])
+        order = fisher_yates(len(table), seed, table["bucket"][0].as_py())
+        for at in range(0, len(order), 2_000):
+            part = table.take(pa.array(order[at : at + 2_000]))
+            yield from part.append_column("place", pa.array(np.arange(at, at + len(part)))).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            numbers = batch["bucket"].to_numpy()
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:]):
+                if held and held[-1]["bucket"][0] != batch["bucket"][a]:
+                    yield from shuffled(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
         if held:
-            table = pa.Table.from_batches(held)
-            number = table["_bucket"][0].as_py()
-            assert number == TaskContext.get().partitionId()
-            order = pc.sort_indices(table, sort_keys=[(key, "ascending"), ("_crc", "ascending")]).to_numpy()
-            order = order[fisher_yates(len(order), seed, number)]
-            table = table.append_column("_place", pa.array(np.arange(len(order))))
-            for at in range(0, len(order), 2_000):
-                part = table.select(table.column_names[:-1]).take(pa.array(order[at : at + 2_000]))
-                yield from part.append_column("_place", table["_place"].slice(at, 2_000)).combine_chunks().to_batches()
+            yield from shuffled(held)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema.fields)
-    scattered.repartitionById(n, F.col("_bucket")).mapInArrow(run, kinds + ", _place long").write.parquet(path)
-    return spark.read.parquet(path)
+    kind = T.StructType([*packed.schema.fields[:2], T.StructField("place", T.LongType())])
+    dealt = packed.repartitionById(-(-n // per), F.expr(f"bucket div {per}").cast("int")).sortWithinPartitions("bucket", f"doc.{key}", "crc")
+    dealt.mapInArrow(run, kind).write.parquet(path)
+    return spark.read.schema(kind).parquet(path)
 
 
-def shard_rows(shuffled: DataFrame, shards: int = 8) -> DataFrame:
-    """Adds shard and slot: counts of the shards are at most one apart, slots run from 0 without gaps.
+def placed(shuffled: DataFrame, shards: int = 8) -> DataFrame:
+    """(doc, shard, slot) of what ``write_shuffled`` returns: counts of the shards are at most one apart, slots run from 0 without gaps.
 
-    The only table of counts has one row a bucket; it goes to the tasks as a broadcast of that size.
+    Counts are one row a bucket; they are summed up by groups of buckets, so no window holds them all.
     """
-    counts = shuffled.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_all"))
-    at = F.col("_before") + F.col("_place")
-    shard = F.expr(f"(_before + _place) * {shards} div _all")
-    first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    placed = shuffled.join(F.broadcast(offsets), "_bucket").withColumn("shard", shard).withColumn("slot", at - first)
-    return placed.withColumn("shard", F.col("shard").cast("int")).drop("_bucket", "_before", "_all", "_place", "_crc")
+    counts = written(shuffled.groupBy("bucket").agg(F.count("*").alias("n")), "bucket-counts").withColumn("lot", F.expr(f"bucket div {BUCKETS_A_LOT}"))
+    lots = counts.groupBy("lot").agg(F.sum("n").alias("lot_n"))
+    upto = F.coalesce(F.sum("lot_n").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("lot_n").over(Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lots = lots.select("lot", upto.alias("ahead"), every.alias("every"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("lot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(counts.join(lots, "lot").select("bucket", (F.col("ahead") + own).alias("ahead"), "every"), "bucket-offsets")
+    at = shuffled.join(offsets, "bucket").select("doc", (F.col("ahead") + F.col("place")).alias("at"), "every").withColumn("shard", F.expr(f"at * {shards} div every"))
+    return at.select("doc", F.col("shard").cast("int").alias("shard"), F.expr(f"at - (shard * every + {shards - 1}) div {shards}").alias("slot"))
+
+
+def shard_rows(shuffled: DataFrame, shards: int = 8) -> DataFrame:
+    """The user's columns with shard and slot; these get an underscore behind them where the user has such columns."""
+    columns = shuffled.schema["doc"].dataType.names
+    return placed(shuffled, shards).select("doc.*", F.col("shard").alias(free_name("shard", columns)), F.col("slot").alias(free_name("slot", columns)))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_rows(write_shuffled(documents(spark, sf_dir), shared_dir(spark, "shards")))
+    out = placed(write_shuffled(documents(spark, sf_dir), shared_dir(spark, "shards")))
     return out.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "doc.doc_id", (F.coalesce(F.octet_length("doc.text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("doc.text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
         "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

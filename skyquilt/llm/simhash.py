@@ -4,7 +4,9 @@ Equal fingerprints are one node. Nodes within the radius agree on at least ``kee
 blocks, so each choice of ``keep`` blocks is a key, and rows of one key lie side by side after a shuffle by
 key. There bit planes stand vertically: one word holds one bit of 64 rows. Planes shifted by a lag, XORed
 with themselves, give the differing bits of 64 pairs at once; carry-save counters add them up, and words in
-which all pairs have passed the radius are dropped. A task returns spanning links only, at most one a row.
+which all pairs have passed the radius are dropped. A task returns spanning links only, at most one a row, and
+compares no pair that is linked already. A key that very many fingerprints share is cut into lots, and each two
+of its lots are compared by a task of their own.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_chunks, written
+from ..operators.joins import connected_components
+from .common import documents, numbered, text_chunks, without, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: Fingerprints of a lot: a key with more of them is cut into lots of about this many.
+LOT = 1 << 14
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -53,15 +58,16 @@ def fingerprint(text: str | bytes | None, size: int = SHINGLE, seed: int = SEED)
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (signed 64-bit) of every row; null counts as empty, whose fingerprint is zero."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """doc_id, row (its number), fp (signed 64-bit) of every row; null counts as empty, whose fingerprint is zero."""
+    row = F.monotonically_increasing_id() if row is None else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             fps = [fingerprint(t, size, seed) for t in chunk["text"].cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"], pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk["row"], pa.array(fps, pa.int64())], names=["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", row.alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -126,24 +132,36 @@ def near_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> list[
             x = root[x]
         return x
 
-    links, lag, planes = [], 1, None
+    links, lag, planes, label = [], 1, None, np.arange(n)
     while len(rows):
         if planes is None:
             planes, behind, packed = planes_of(fps[rows]), after[rows], len(rows)
             width = planes.shape[1]
-        alive = np.packbits(np.pad(behind >= lag, (0, width * 64 - packed)), bitorder="little").view(np.uint64)
-        if not alive.any():
+        open_ = behind >= lag
+        if not open_.any():
             break
-        near = within(planes, lag, alive, radius)
-        if near.any():
+        own = label[rows]
+        open_[:-lag] &= own[:-lag] != own[lag:]  # pairs that are linked already need no comparison
+        found = False
+        if open_.any():
+            alive = np.packbits(np.pad(open_, (0, width * 64 - packed)), bitorder="little").view(np.uint64)
+            near = within(planes, lag, alive, radius)
             for i in np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")).tolist():
                 a, b = int(rows[i]), int(rows[i + lag])
                 x, y = find(a), find(b)
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     links.append((a, b))
+                    found = True
+        if found:
+            label = np.array(root)
+            while not np.array_equal(label, label[label]):
+                label = label[label]
         lag += 1
         keep = behind + place[rows] >= lag  # rows of keys that still have pairs at this lag
+        if lag & (lag - 1) == 0:  # now and then: rows of keys that are one component already can go
+            apart = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
+            keep &= np.repeat(apart, length)[rows]
         if keep.sum() < 0.5 * packed:
             rows, planes = rows[keep], None
     return links
@@ -192,51 +210,51 @@ def links_of(nodes: DataFrame, radius: int = RADIUS, keep: int | None = None) ->
             yield flush(len(keys))
 
     keyed = nodes.select(F.explode(F.array(*block_keys("fp", radius, keep))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return in_lots(keyed).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for nodes of ``links``; root is the smallest node that links reach.
+def in_lots(keyed: DataFrame, lot: int = LOT) -> DataFrame:
+    """(key, fp) in which no key has more than about two lots of rows, and rows of one key still meet in some key.
 
-    Large-star and small-star steps in turn, until the links are stars. Every step is written, so a lost
-    executor costs one step; the minimum of a node is pre-aggregated, written and joined back, so that a node
-    with very many links is split over tasks, never gathered.
+    Keys over ``lot`` rows get a number of lots; their rows fall into lots by hash, and each two lots, and each
+    lot alone if it is the only one, get a key of their own, made by hash. Rows of keys that clash by chance are
+    compared for nothing, no more.
     """
-    links = written(links.where("a <> b"), "links")
-    before = None
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large-least")
-        large = written(both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "large-star")
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "small-least")
-        small = down.join(least, "u").select("m", F.explode(F.array("u", "v")).alias("b"))
-        links = written(small.where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "small-star")
-        state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
-        if state == before:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = state
-
-
-def near_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, component_id of every row.
+    large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > lot), "large-keys")
+    if large.isEmpty():
+        return keyed
+    cut = large.select("key", F.ceil(F.col("n") / lot).cast("int").alias("lots"))
+    own = keyed.join(cut, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), "lots").cast("int"))
+    tiles = F.transform(F.filter(F.sequence(F.lit(0), F.col("lots") - 1), lambda j: j != F.col("own")), lambda j: F.xxhash64("key", F.least(j, "own"), F.greatest(j, "own")))
+    return own.select(F.explode(F.when(F.col("lots").isNull(), F.array("key")).otherwise(tiles)).alias("key"), "fp")
+
+
+def near_groups(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """doc_id, row, fp, component_id, kept of every row.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows share
-    fingerprint and component; an empty table gives no row. Component ids are the smallest doc_id reached.
+    fingerprint and component; an empty table gives no row. Component ids are the smallest doc_id reached,
+    null if all are; one row of each component is ``kept``: of that id, the first read.
     """
-    rows = written(fingerprints(docs, size, seed), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = components(links_of(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rows = written(fingerprints(docs, size, seed, row), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    nodes = written(rows.groupBy("fp").agg(F.min(first).alias("first")), "fingerprint-nodes")
+    roots = connected_components(links_of(nodes.select("fp"), radius))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = written(rooted.groupBy("root").agg(F.min("first").alias("first")), "component-names")
+    classes = written(rooted.select("fp", "root").join(named, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.row").alias("own")), "classes")
+    return rows.join(classes, "fp").select("doc_id", "row", "fp", "component_id", (F.col("row") == F.col("own")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id, with the columns of ``docs``."""
-    kept = near_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each component: that with the smallest id, of repeated ones the first read, with the columns of ``docs``.
+
+    Rows are matched by their numbers, so null and repeated ids are told apart, whatever else the columns are
+    called; an empty table stays empty.
+    """
+    own = numbered(docs, "near-docs")
+    groups = near_groups(own.select("doc.doc_id", "doc.text", "row"), row=F.col("row"))
+    return without(own, groups.where("NOT kept"), "near-dropped")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

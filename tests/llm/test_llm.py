@@ -31,13 +31,17 @@ ROWS = [
     (8, "... !!! 123", None, "s2", 1),
     (9, "\x00\x01 　 control", "es", "s2", 1),
 ]
+CLASHING = """key row size fp h1 h2 h3 e1 e2 e3 doc copies copy _copies _copy whole level edge prefix take target taken bucket crc place at every ahead lot shard slot
+_place _all _before _bucket _crc _id _sum _own _clash best list group_size kept keep_id own first root component_id node m n own lots recipe id end_s media tensor block spans score""".split()
+CLASHING = list(dict.fromkeys(CLASHING))
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns whose names operators use inside."""
-    return written(spark.createDataFrame(ROWS, KIND).selectExpr("*", "'x' AS key", "1 AS row", "2 AS size", "3 AS fp", "'y' AS h1"), "odd").select("*")
+    names = [f"'{n}!' AS `{n}`" for n in CLASHING]
+    return written(spark.createDataFrame(ROWS, KIND).selectExpr("*", *names), "odd").select("*")
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +134,13 @@ def test_mix_applied_row_by_row(spark, odd):
     assert got == want and any(d is None for d, _ in got)
 
 
+def test_reruns_agree_whatever_the_files(spark):
+    own = [(i % 7, f"some {'words ' * (i % 5)}", "en", "s1" if i % 3 else "s2", 0) for i in range(300)]
+    df = spark.createDataFrame(own, KIND)
+    out = [Counter(tuple(r.values()) for r in rows(mixing.mix(written(d, "layout")))) for d in (df.repartition(1), df.repartition(5), df.orderBy("text").coalesce(2))]
+    assert out[0] == out[1] == out[2]
+
+
 # 2: media
 
 
@@ -342,6 +353,31 @@ def test_simhash(spark, docs, odd, empty):
     assert rows(simhash.near_groups(empty)) == []
 
 
+def test_near_keeps_one_row_of_each_component(spark, odd, docs):
+    a, b, c = "one text of some words here", "quite another row of words there", "and a third which is like none"
+    own = spark.createDataFrame([(5, a), (5, b), (3, b), (7, c), (7, c), (None, c), (None, "a null id alone in its own group")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(own).collect())
+    assert got == Counter([(5, a), (3, b), (7, c), (None, "a null id alone in its own group")])
+    for df in (odd, docs):
+        stay = simhash.keep_one(df)
+        groups = rows(simhash.near_groups(df))
+        assert stay.columns == df.columns and stay.count() == sum(r["kept"] for r in groups)
+        assert not Counter(map(tuple, stay.collect())) - Counter(map(tuple, df.collect()))
+
+
+def test_lots_of_a_hot_key_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    fps = sorted({int(x) for x in rng.integers(0, 1 << 40, 900)})
+    keyed = spark.createDataFrame([(1, f) for f in fps] + [(2, f) for f in fps[:30]], "key long, fp long").repartition(3)
+    lots = defaultdict(set)
+    for r in simhash.in_lots(keyed, 100).collect():
+        lots[r["key"]].add(r["fp"])
+    assert lots.pop(2) == set(fps[:30])
+    assert max(map(len, lots.values())) < 300 and len(lots) == 36
+    met = {(f, g) for own in lots.values() for f in own for g in own}
+    assert len(met) == len(fps) ** 2
+
+
 def test_bit_sliced_links_lose_nothing():
     rng = np.random.default_rng(3)
     base = rng.integers(-(1 << 62), 1 << 62, 30)
@@ -382,7 +418,7 @@ def test_pairs_within_the_radius_share_a_key(spark):
 
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 120), (110, 120), (110, 130)]
-    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in simhash.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {n: 100 for n in (110, 120, 130)}
 
 
@@ -468,9 +504,10 @@ def test_presence_is_of_whole_texts():
 def test_sharding(spark, docs, odd, empty, tmp_path):
     for k, df in enumerate((docs, odd)):
         out = sharding.shard_rows(sharding.write_shuffled(df, f"{tmp_path}/{k}"))
-        assert set(df.columns) <= set(out.columns)
-        got = rows(out)
-        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in df.collect())
+        assert out.columns[:-2] == df.columns and out.columns[-2:] == (["shard", "slot"] if k == 0 else ["shard_", "slot_"])
+        got = [tuple(r) for r in out.collect()]
+        assert Counter(r[:-2] for r in got) == Counter(map(tuple, df.collect()))
+        got = [{"shard": r[-2], "slot": r[-1]} for r in got]
         slots = defaultdict(list)
         for r in got:
             slots[r["shard"]].append(r["slot"])
@@ -479,6 +516,17 @@ def test_sharding(spark, docs, odd, empty, tmp_path):
     assert rows(sharding.shard_rows(sharding.write_shuffled(empty, f"{tmp_path}/e"))) == []
 
 
+def test_buckets_share_tasks(spark, docs, tmp_path):
+    shuffled = sharding.write_shuffled(docs, f"{tmp_path}/few", bucket_bytes=20_000, tasks=3)
+    got = rows(shuffled.selectExpr("doc.doc_id", "bucket", "place", "spark_partition_id() AS part"))
+    assert shuffled.rdd.getNumPartitions() <= 4 and len({r["bucket"] for r in got}) > 10
+    for b in {r["bucket"] for r in got}:
+        assert sorted(r["place"] for r in got if r["bucket"] == b) == list(range(sum(r["bucket"] == b for r in got)))
+    out = rows(sharding.placed(shuffled))
+    assert sorted(r["slot"] for r in out if r["shard"] == 3) == list(range(len([r for r in out if r["shard"] == 3])))
+    assert Counter(r["doc"]["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
 def test_fisher_yates():
     assert sorted(sharding.fisher_yates(500, 1, 2).tolist()) == list(range(500))
     assert sharding.fisher_yates(500, 1, 2).tolist() != sharding.fisher_yates(500, 1, 3).tolist()
@@ -501,6 +549,7 @@ def test_exact_dedup(docs, odd, empty):
         assert len(kept) == len(group) and all(r["doc_id"] == r["keep_id"] for r in kept)
         stay = exact_dedup.keep_one(df)
         assert stay.columns == df.columns and Counter(r["text"] or "" for r in stay.collect()) == Counter(list(group))
+        assert not Counter(map(tuple, stay.collect())) - Counter(map(tuple, df.collect()))
     assert rows(exact_dedup.exact_groups(empty)) == []
 
 
