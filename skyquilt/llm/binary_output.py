@@ -89,6 +89,34 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     return written(ordered.mapInArrow(run, "part long, file string, n_docs long, n_ids long"), "ids-manifest")
 
 
+class Sequences:
+    """Any sequence of one file, as a view of the mapped file: nothing is read before it is asked for, or copied.
+
+    All batches but the last hold as many sequences, so a batch's place in the file follows from its number.
+    """
+
+    def __init__(self, path: str):
+        self.file = pa.memory_map(path)
+        self.schema = pa.ipc.read_schema(self.file)
+        self.length = self.schema.field("ids").type.list_size
+        self.head = self.file.tell()
+        pa.ipc.read_message(self.file)
+        self.step = self.file.tell() - self.head
+
+    def batch(self, number: int) -> pa.RecordBatch:
+        self.file.seek(self.head + number * self.step)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        """The ids of sequence i, padding included."""
+        at = i % ROWS * self.length
+        return self.batch(i // ROWS)["ids"].values.to_numpy()[at : at + self.length]
+
+    def mask(self, i: int) -> pa.BooleanArray:
+        """Which ids of sequence i are no padding, as bits of the file."""
+        return self.batch(i // ROWS)["mask"].values.slice(i % ROWS * self.length, self.length)
+
+
 def read_ids(manifest: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
 

@@ -106,7 +106,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text, lang of about ``sample`` labelled rows outside the held-out part, alike by language.
 
     Rows are counted by language without their texts; a language's share of the sample is then a threshold
-    on a hash of the id.
+    on a hash of the id. Of rows that repeat an id and a language one is taken, so the bound holds for them too.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
@@ -115,7 +115,8 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return known.select("doc_id", "text", "lang").limit(0)
     rates = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    return known.where(draw < F.coalesce(F.element_at(rates, F.col("lang")), F.lit(0.0))).select("doc_id", "text", "lang")
+    drawn = known.where(draw < F.coalesce(F.element_at(rates, F.col("lang")), F.lit(0.0)))
+    return drawn.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> KernelRidge:

@@ -1,9 +1,9 @@
 """Audio columns: lossless 8-bit media, and features read back from it.
 
-The media column is made by expressions alone: a WAV header and the payload as unsigned 8-bit samples. The
-feature step reads the stored bytes: polyphase resampling with whole-number taps (exact in floats), log-mel
-filterbanks over overlapped frames, and segments by energy with hysteresis. Features are fixed-shape tensors
-of frames by bands, each with its time span.
+The media column is made by expressions alone: a WAV header and the payload as unsigned 8-bit samples; it is
+written. The feature step reads the stored bytes: polyphase resampling with whole-number taps (exact in floats),
+log-mel filterbanks over overlapped frames, and segments by energy with hysteresis. Features are stored as
+fixed-shape Arrow tensors of frames by bands, each with its time span, and read back for what is said of them.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, text_chunks
+from .common import documents, text_chunks, written
 
 #: Payload unit in bytes; sample rate of the media and of the features; up and down factors between them.
 UNIT, RATE, UP, DOWN = 576, 16_000, 1, 2
@@ -26,8 +27,8 @@ UNIT, RATE, UP, DOWN = 576, 16_000, 1, 2
 FRAME, HOP, BANDS, FRAMES = 256, 128, 24, 32
 #: Segments open over one energy and close under the other (log10 of mean square), and last this many frames.
 OPEN, CLOSE, SHORTEST = 2.6, 2.2, 3
-#: Frames that are transformed at once.
-BLOCK = 1 << 14
+#: Frames that are transformed at once, whole tensors of them; the level of an empty frame.
+BLOCK, FLOOR = 1 << 12, -3.0
 
 
 def little_endian(n: Column) -> Column:
@@ -100,18 +101,37 @@ def mel_bank(rate: float, size: int = FRAME, bands: int = BANDS) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
-def log_mel(x: np.ndarray, bank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, bands) log10 mel energies and (frames,) log10 mean squares; the last frame is filled with zeros."""
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - len(x))]) if (n - 1) * HOP + FRAME > len(x) else x
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
-    window, mel, energy = np.hanning(FRAME), np.empty((n, bank.shape[1])), np.empty(n)
-    for at in range(0, n, BLOCK):
-        part = frames[at : at + BLOCK]
-        power = np.abs(np.fft.rfft(part * window)) ** 2
-        mel[at : at + BLOCK] = np.log10(power @ bank + 1e-3)
-        energy[at : at + BLOCK] = np.log10((part * part).mean(axis=1) + 1e-3)
-    return mel, energy
+def resampled(samples: np.ndarray, start: int, stop: int, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Outputs ``start`` (a multiple of ``up``) to ``stop`` of the resampled signal, from the samples round them alone."""
+    h = taps(up, down)
+    margin = down * (len(h) // (up * down) + 2)
+    a = start // up * down - margin
+    b = start // up * down + -(-(stop - start) * down // up) + margin
+    x = np.zeros(b - a)
+    own = samples[max(a, 0) : min(b, len(samples))]
+    x[max(a, 0) - a :][: len(own)] = own.astype(np.float64) - 128
+    return resample(x, up, down, h)[margin * up // down :][: stop - start]
+
+
+def n_frames(n: int) -> int:
+    return max(1, -(-(n - FRAME) // HOP) + 1)
+
+
+def log_mel(samples: np.ndarray, rate: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (frames, bands) log10 mel energies and (frames,) log10 mean squares of 8-bit samples.
+
+    Frames overlap by half; the last is filled with zeros. A block needs the samples under it and a margin, so a
+    long text is never held as floats.
+    """
+    n, window, bank = -(-len(samples) * UP // DOWN), np.hanning(FRAME), mel_bank(rate)
+    for at in range(0, n_frames(n), BLOCK):
+        k = min(BLOCK, n_frames(n) - at)
+        x = np.zeros((k - 1) * HOP + FRAME)
+        part = resampled(samples, at * HOP, min(n, at * HOP + len(x)))
+        x[: len(part)] = part
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        power = np.abs(np.fft.rfft(frames * window)) ** 2
+        yield np.log10(power @ bank + 1e-3), np.log10((frames * frames).mean(axis=1) + 1e-3)
 
 
 def segments(energy: np.ndarray, opens: float = OPEN, closes: float = CLOSE, shortest: int = SHORTEST) -> list[tuple[int, int]]:
@@ -123,74 +143,91 @@ def segments(energy: np.ndarray, opens: float = OPEN, closes: float = CLOSE, sho
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2]) if b - a >= shortest]
 
 
-def tensors(mel: np.ndarray) -> np.ndarray:
-    """(tensors, FRAMES, BANDS): frames in blocks, the last filled with the floor."""
-    n = -(-len(mel) // FRAMES)
-    out = np.full((n * FRAMES, mel.shape[1]), -3.0, np.float32)
-    out[: len(mel)] = mel
-    return out.reshape(n, FRAMES, mel.shape[1])
+KIND = pa.fixed_shape_tensor(pa.float16(), [FRAMES, BANDS])
+STORED = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", KIND)])
 
 
-def tensor_column(blocks: np.ndarray) -> pa.FixedShapeTensorArray:
-    """The blocks as an Arrow column of fixed-shape tensors."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(blocks))
+def tensor_batch(mel: np.ndarray, first: int, rate: float) -> pa.RecordBatch:
+    """Frames from number ``first`` on as fixed-shape tensors with their time spans; the last is filled with the floor."""
+    n = -(-len(mel) // FRAMES)
+    blocks = np.full((n * FRAMES, mel.shape[1]), FLOOR, np.float16)
+    blocks[: len(mel)] = mel
+    starts = first + np.arange(n) * FRAMES
+    held = np.minimum(FRAMES, first + len(mel) - starts)
+    column = pa.FixedShapeTensorArray.from_numpy_ndarray(blocks.reshape(n, FRAMES, mel.shape[1]))
+    return pa.RecordBatch.from_arrays([pa.array(starts * HOP / rate), pa.array(((starts + held - 1) * HOP + FRAME) / rate), column], schema=STORED)
 
 
-def features_of(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], float]:
+def features_of(media: bytes) -> tuple[np.ndarray, bytes, list[tuple[float, float]]]:
+    """Samples, the tensors with their spans as an Arrow stream, and segments in seconds."""
     rate, samples = read_wav(media)
-    x = resample(samples.astype(np.float64) - 128)
-    own = rate * UP / DOWN
-    mel, energy = log_mel(x, mel_bank(own))
-    return samples, mel, segments(energy), own
-
-
-def audio_tensors(media: DataFrame) -> DataFrame:
-    """doc_id, block, start_s, end_s, tensor: the tensors with their time spans.
-
-    ``tensor`` is an Arrow stream of one fixed-shape tensor, which keeps its shape in any store.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, "media"):
-            for doc, data in zip(chunk["doc_id"].to_pylist(), chunk["media"].to_pylist()):
-                _, mel, _, rate = features_of(data)
-                blocks = tensors(mel)
-                starts = np.arange(len(blocks)) * FRAMES * HOP / rate
-                stored = []
-                for i in range(len(blocks)):
-                    batch = pa.RecordBatch.from_arrays([tensor_column(blocks[i : i + 1])], names=["tensor"])
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, batch.schema) as out:
-                        out.write_batch(batch)
-                    stored.append(sink.getvalue().to_pybytes())
-                spans = starts + ((np.minimum(FRAMES, len(mel) - FRAMES * np.arange(len(blocks))) - 1) * HOP + FRAME) / rate
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(blocks), pa.int64()), pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(starts), pa.array(spans), pa.array(stored, pa.binary())], names=["doc_id", "block", "start_s", "end_s", "tensor"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, start_s double, end_s double, tensor binary")
-
-
-def audio_digests(media: DataFrame) -> DataFrame:
-    """Digests of what is read back from the media, and a line of features, for every row.
-
-    The line has frames, tensors, segments with their seconds, mean band levels, and a crc of the tensors
-    rounded to hundredths.
+    own, first, energies, sink = rate * UP / DOWN, 0, [], pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as out:
+        for mel, energy in log_mel(samples, own):
+            out.write_batch(tensor_batch(mel, first, own))
+            energies.append(energy)
+            first += len(mel)
+    spans = [(a * HOP / own, ((b - 1) * HOP + FRAME) / own) for a, b in segments(np.concatenate(energies))]
+    return samples, sink.getvalue().to_pybytes(), spans
+
+
+def read_tensors(stored: bytes, rate: float = RATE * UP / DOWN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tensors, FRAMES, BANDS), frames held by each, and spans (tensors, 2), from the stored stream, without copying it."""
+    table = pa.ipc.open_stream(pa.py_buffer(stored)).read_all()
+    blocks = [c.to_numpy_ndarray() for c in table["tensor"].chunks]
+    spans = np.stack([table["start_s"].to_numpy(), table["end_s"].to_numpy()], axis=1)
+    held = np.rint(((spans[:, 1] - spans[:, 0]) * rate - FRAME) / HOP).astype(np.int64) + 1
+    return blocks[0] if len(blocks) == 1 else np.concatenate(blocks), held, spans
+
+
+def audio_features(media: DataFrame) -> DataFrame:
+    """Every row of ``media`` with digests of its payload and bytes, its segments, and its tensors.
+
+    ``tensors`` is an Arrow stream of fixed-shape tensors with start_s and end_s, which keeps their shape in any
+    store; ``segments`` are the time spans in which the energy is on. Repeated rows are computed each; a null
+    ``media`` is an error, as ``encode_media`` makes none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "media"):
             rows = []
             for data in chunk["media"].to_pylist():
-                samples, mel, spans, rate = features_of(data)
-                payload = samples.tobytes()
-                rounded = np.rint(tensors(mel) * 100).astype("<i2")
-                seconds = sum(b - a for a, b in spans) * HOP / rate
-                line = f"frames={len(mel)};tensors={rounded.shape[0]}x{FRAMES}x{BANDS};segments={len(spans)};voiced_s={seconds:.3f};mel={','.join(f'{v:.2f}' for v in mel.mean(axis=0)[::6])};crc={zlib.crc32(rounded.tobytes()):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), line))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk["n_bytes"], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                samples, stored, spans = features_of(data)
+                payload = memoryview(samples)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), [{"start_s": a, "end_s": b} for a, b in spans], stored))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.binary())
+            yield pa.RecordBatch.from_arrays([chunk["doc_id"], chunk["n_bytes"], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=NAMES)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_s:double,end_s:double>>, tensors binary")
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors"]
+
+
+def feature_lines(audio: DataFrame) -> DataFrame:
+    """``audio`` with ``feature``, a line from the stored tensors and segments: frames, tensors, segments and their
+    seconds, mean band levels, and a crc of the tensors rounded to hundredths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, "tensors"):
+            lines = []
+            for stored, spans in zip(chunk["tensors"].to_pylist(), chunk["segments"].to_pylist()):
+                blocks, held, _ = read_tensors(stored)
+                frames, total, crc = int(held.sum()), np.zeros(BANDS), 0
+                for at in range(0, len(blocks), 512):
+                    part = blocks[at : at + 512].astype(np.float32)
+                    crc = zlib.crc32(np.rint(part * 100).astype("<i2").tobytes(), crc)
+                    inside = np.arange(FRAMES)[None, :] < held[at : at + 512, None]
+                    total += np.where(inside[:, :, None], part, 0).sum(axis=(0, 1), dtype=np.float64)
+                seconds = sum(s["end_s"] - s["start_s"] for s in spans)
+                levels = ",".join(f"{v:.2f}" for v in (total / frames)[::6])
+                lines.append(f"frames={frames};tensors={len(blocks)}x{FRAMES}x{BANDS};segments={len(spans)};voiced_s={seconds:.3f};mel={levels};crc={crc:08x}")
+            yield chunk.append_column("feature", pa.array(lines, pa.string()))
+
+    return audio.mapInArrow(run, T.StructType([*audio.schema.fields, T.StructField("feature", T.StringType())]))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_digests(encode_media(documents(spark, sf_dir)))
+    stored = written(encode_media(documents(spark, sf_dir)), "media")
+    out = feature_lines(written(audio_features(stored), "audio-features"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments", "tensors")

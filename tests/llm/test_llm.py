@@ -152,9 +152,13 @@ def test_resample_is_the_plain_sum(up, down):
     assert np.array_equal(media.resample(x, up, down), np.array(want))
 
 
+def audio_of(df):
+    return media.feature_lines(written(media.audio_features(written(media.encode_media(df), "test-media")), "test-audio"))
+
+
 def test_media(docs, odd, empty):
     for df in (docs.limit(50), odd):
-        out = {(r["doc_id"], r["n_bytes"], r["payload_sha256"]): r for r in rows(media.audio_digests(media.encode_media(df)))}
+        out = {(r["doc_id"], r["n_bytes"], r["payload_sha256"]): r for r in rows(audio_of(df))}
         by_text = {}
         for doc, text in texts(df):
             data = text.encode()
@@ -162,17 +166,49 @@ def test_media(docs, odd, empty):
             r = out[doc, len(data), hashlib.sha256(payload).hexdigest()]
             assert r["payload_bytes"] == len(payload) and r["tail_crc32"] == zlib.crc32(payload[-32:])
             assert r["media_bytes"] == len(payload) + 44
-            assert by_text.setdefault(text, r["feature"]) == r["feature"]
-    assert rows(media.audio_digests(media.encode_media(empty))) == []
-
-
-def test_media_tensors(docs):
-    made = media.encode_media(docs.limit(5))
-    out = rows(media.audio_tensors(made))
-    for r in out:
-        t = pa.ipc.open_stream(r["tensor"]).read_all()["tensor"]
-        assert t.type.shape == [media.FRAMES, media.BANDS] and r["end_s"] > r["start_s"]
-    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in rows(made)}
+            assert by_text.setdefault(text, (r["feature"], r["tensors"])) == (r["feature"], r["tensors"])
+    assert rows(audio_of(empty)) == []
+
+
+def plain_log_mel(samples, rate):
+    """Frame by frame, with the Fourier sum and the mel triangles written out."""
+    x = media.resample(samples.astype(float) - 128)
+    n = max(1, -(-(len(x) - media.FRAME) // media.HOP) + 1)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (media.BANDS + 1) / 2595) - 1) for i in range(media.BANDS + 2)]
+    k = np.arange(media.FRAME // 2 + 1)
+    turn = np.exp(-2j * np.pi * np.outer(k, np.arange(media.FRAME)) / media.FRAME)
+    out, energy = [], []
+    for i in range(n):
+        frame = np.zeros(media.FRAME)
+        own = x[i * media.HOP : i * media.HOP + media.FRAME]
+        frame[: len(own)] = own
+        power = np.abs(turn @ (frame * np.hanning(media.FRAME))) ** 2
+        line = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            f = k * rate / media.FRAME
+            weight = np.where(f <= mid, (f - lo) / (mid - lo), (hi - f) / (hi - mid)).clip(0)
+            line.append(np.log10((power * weight).sum() + 1e-3))
+        out.append(line)
+        energy.append(np.log10((frame**2).mean() + 1e-3))
+    return np.array(out), np.array(energy)
+
+
+def test_tensors_and_spans_by_the_plain_sum(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n, block in ((576, 32), (5760, 32), (40_000, 64), (40_000, 4096)):
+        monkeypatch.setattr(media, "BLOCK", block)
+        data = rng.integers(32, 123, n, np.uint8)
+        data[n // 3 : n // 2] = 128  # a silence
+        header = b"RIFF" + (n + 36).to_bytes(4, "little") + b"WAVEfmt " + np.array([16], "<u4").tobytes() + np.array([1, 1], "<u2").tobytes() + np.array([16_000, 16_000], "<u4").tobytes() + np.array([1, 8], "<u2").tobytes()
+        samples, stored, spans = media.features_of(header + b"data" + n.to_bytes(4, "little") + data.tobytes())
+        assert np.array_equal(samples, data)
+        want, energy = plain_log_mel(data, 8_000)
+        blocks, held, times = media.read_tensors(stored)
+        assert blocks.shape[1:] == (media.FRAMES, media.BANDS) and held.sum() == len(want)
+        assert np.allclose(blocks.reshape(-1, media.BANDS)[: len(want)].astype(float), want, atol=5e-3)
+        assert np.allclose(times[:, 0], np.arange(len(blocks)) * media.FRAMES * media.HOP / 8_000) and (times[:, 1] > times[:, 0]).all()
+        assert [round(a * 8_000 / media.HOP) for a, _ in spans] == [a for a, _ in media.segments(energy)]
 
 
 def test_segments_by_hand():
@@ -271,6 +307,14 @@ def test_binary_output(spark, docs, odd, empty, tmp_path):
         with pa.memory_map(f"{tmp_path}/{k}/{name}.arrows") as f:
             batches = list(pa.ipc.open_stream(f))
         assert all(b.num_rows == binary_output.ROWS for b in batches[:-1]) and batches[0]["ids"].type.list_size == binary_output.LENGTH
+        own, flat = binary_output.Sequences(f"{tmp_path}/{k}/{name}.arrows"), [i for ids in want for i in ids]
+        own.file.seek(0)
+        low = own.file.read_buffer(1).address
+        some = range(sum(b.num_rows for b in batches)) if manifest.count() == 1 else range(0, sum(b.num_rows for b in batches), 7)
+        for i in some:
+            ids, mask = own[i], own.mask(i)
+            assert low < ids.__array_interface__["data"][0] < low + own.file.size() and low < mask.buffers()[1].address < low + own.file.size()
+            assert [x for x, m in zip(ids.tolist(), mask.to_pylist()) if m] == flat[i * binary_output.LENGTH : (i + 1) * binary_output.LENGTH][: sum(mask.to_pylist())]
     path = f"file://{tmp_path}/e"
     assert rows(binary_output.read_ids(binary_output.write_ids(empty, path), path)) == []
 
@@ -315,6 +359,31 @@ def test_packing_covers_all(lengths):
         assert at == n
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3000), min_size=1, max_size=60))
+def test_packing_takes_the_cheapest_with_room(lengths):
+    pieces = packing.pack_lengths(np.array(lengths))
+    whole = [p for p in pieces if p[2] == 1024 and p[1] % 1024 == 0 and p[1] + 1024 <= lengths[p[0]]]
+    rests = pieces[len(whole) :]
+    total = sum(n % 1024 for n in lengths)
+    room = {len(whole) + k: n for k, n in enumerate(packing.layout(total, 1024))}
+    cost, left, longest = dict.fromkeys(room, 0.0), {d: n % 1024 for d, n in enumerate(lengths)}, 1024
+    for d, start, n, s, _ in rests:
+        assert start == lengths[d] - left[d]
+        fits = [k for k in room if room[k] >= left[d]]
+        if fits:
+            assert n == left[d] and cost[s] == min(cost[k] for k in fits)
+        else:
+            assert n == room[s] == max(room.values())
+        if start == lengths[d] // 1024 * 1024:
+            assert lengths[d] % 1024 <= longest
+            longest = lengths[d] % 1024
+        room[s] -= n
+        left[d] -= n
+        cost[s] += packing.LINEAR * n + packing.QUADRATIC * n * n
+    assert not any(left.values())
+
+
 # 5: simhash
 
 
@@ -442,6 +511,32 @@ def test_marginals_by_enumeration():
     assert np.allclose(pair.sum(axis=0), 1)
 
 
+def test_a_scan_is_step_by_step():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30, 1_000, 5_000):
+        steps = rng.normal(0, 2, (4, n))
+        for at in {0, *rng.integers(0, n, n // 400).tolist()}:
+            steps[2:, at] = -np.inf
+        want, r = [], 0.0
+        for a, b, c, d in steps.T:
+            r = np.logaddexp(b, d + r) - np.logaddexp(a, c + r)
+            want.append(r)
+        for block in (1, 7, 64, 512):
+            assert np.allclose(toxicity.scan(steps, block), want, atol=1e-9)
+
+
+def test_spans_are_characters_of_the_text(spark):
+    chain = toxicity.Chain({"vile": 30.0, "<rotten": 30.0}, bias=-12.0)
+    text = "a  vile\n\nthing é vile, rotten egg\tand VILE!"
+    out = rows(toxicity.score(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), chain))
+    found = {r["doc_id"]: [text[s["start"] : s["end"]] for s in r["spans"]] for r in out}
+    assert found == {1: ["vile", "vile,", "egg", "VILE!"], 2: [], 3: []}
+    offsets, names, index = toxicity.words_of(pa.array([text, None, "\n", "x\ny z"]))
+    start, end = toxicity.characters(offsets, names, index)
+    for t, a, b in zip([text, "", "\n", "x\ny z"], offsets, offsets[1:]):
+        assert [t.replace("\t", " ")[i:j] for i, j in zip(start[a:b].tolist(), end[a:b].tolist())] == [names[int(k)].as_py() for k in index[a:b]]
+
+
 def test_contexts_by_brute_force():
     texts = ["one two one", "One two, one!", "", "...", "two two two two", "x **Rotten** y", "rotten y\nx"]
     seen = set()
@@ -492,6 +587,48 @@ def test_no_labels_keep_texts_with_letters(odd):
     assert Counter(r["doc_id"] for r in rows(language_id.keep_identified(bare))) == Counter(r[0] for r in ROWS) - Counter([2, 3, 8])
 
 
+def plain_kernel(a, b):
+    """Hashed n-grams that occur in both, over the root of the numbers in each; a gram's bucket is asked of it alone."""
+    from itertools import pairwise
+
+    def grams(text):
+        text = "".join(c if not c.isascii() or c.isalpha() else " " for c in text.lower())
+        return {*text, *map("".join, pairwise(text)), *map("".join, zip(text, text[1:], text[2:]))}
+
+    def bucket(g):
+        with_rest = language_id.presence(pa.array([g]))[0]
+        for shorter in (g[:-1], g[1:]):
+            with_rest = with_rest & ~language_id.presence(pa.array([shorter]))[0] if shorter else with_rest
+        return with_rest
+
+    x, y = (np.bitwise_or.reduce([bucket(g) for g in grams(t)]).sum() for t in (a, b))
+    both = (np.bitwise_or.reduce([bucket(g) for g in grams(a)]) & np.bitwise_or.reduce([bucket(g) for g in grams(b)])).sum()
+    return both / np.sqrt(x * y)
+
+
+def test_kernel_and_ridge_by_brute_force():
+    own = ["the cat sat on a mat", "der Hund schläft nie", "un chat dort là-bas", "the dog ran", "die Katze ist da", "le chien court vite"]
+    y = ["en", "de", "fr", "en", "de", "fr"]
+    x = language_id.presence(pa.array(own))
+    model = language_id.KernelRidge.fit(x, y, landmarks=6, ridge=1e-2)
+    order = [next(i for i in range(6) if np.array_equal(np.unpackbits(row), x[i])) for row in model.landmarks]
+    k = np.array([[plain_kernel(a, own[j]) for j in order] for a in own])
+    assert np.allclose(model.kernel(x), k, atol=1e-5)
+    # with every text a landmark, ridge on Nyström features is ridge in the kernel's own space
+    full = k[:, np.argsort(order)]
+    target = np.array([[1.0 if n == lang else -1.0 for n in model.names] for lang in y])
+    want = full @ np.linalg.solve(full + 6 * 1e-2 * np.eye(6), target)
+    names, scores = model.predict(x)
+    assert names == y and np.allclose(scores, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-3)
+
+
+def test_repeated_ids_keep_the_samples_bounded(spark):
+    one = spark.createDataFrame([(i, f"text {j} of one id", "en") for i in (3, None) for j in range(60)], "doc_id long, text string, lang string")
+    assert language_id.labelled_sample(one, 10).count() <= 2
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.training_rows(one, labels, 10).count() <= 1
+
+
 def test_presence_is_of_whole_texts():
     x = language_id.presence(pa.array(["abcd", None, "", "zz" + "q" * 9_000 + "abcd"]))
     assert x[1].sum() == x[2].sum() == 0
