@@ -15,11 +15,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "zones": (
-        "nation",
+        "supplier",
         [
-            "n_nationkey AS priority", "CAST(n_nationkey*13-150 AS DOUBLE) AS west", "CAST((n_nationkey*7)%100-50 AS DOUBLE) AS south",
-            "CAST(n_nationkey*13-150 AS DOUBLE)+1.5+(n_nationkey%4)*0.75 AS east", "CAST((n_nationkey*7)%100-50 AS DOUBLE)+1.25+(n_nationkey%3)*0.5 AS north",
-            "12+n_nationkey%5 AS zl",
+            "s_suppkey AS priority", "CAST((s_suppkey*13)%325-150 AS DOUBLE) AS west", "CAST((s_suppkey*7)%100-50 AS DOUBLE) AS south",
+            "CAST((s_suppkey*13)%325-150 AS DOUBLE)+1.5+(s_suppkey%4)*0.75 AS east", "CAST((s_suppkey*7)%100-50 AS DOUBLE)+1.25+(s_suppkey%3)*0.5 AS north",
+            "12+s_suppkey%5 AS zl",
         ],
     ),
     "fixes": (

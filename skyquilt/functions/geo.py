@@ -85,17 +85,22 @@ def texture_name(x, y, provider, zl) -> Column:
 
 
 def parse_texture_name(name) -> Column:
-    """struct(y, x, provider, zl). The last two digits are the level from 10 to 22, else the last digit alone."""
+    """struct(y, x, provider, zl), null for what is no texture's name.
+
+    The last two digits are the level from 10 to 22, else the last digit alone; y and x are multiples of 16.
+    """
     stem = F.regexp_replace(F.regexp_replace(c(name), r"^.*/", ""), r"\..*$", "")
     two = F.regexp_extract(stem, r"(\d{2})$", 1)
     is_two = (two != "") & F.coalesce(F.when(two != "", two).cast("int").between(10, 22), F.lit(False))
     cut = F.when(is_two, 2).otherwise(1)
     rest = F.regexp_extract(stem, r"^\d+_\d+_(.*)$", 1)
     whole = lambda i: F.regexp_extract(stem, r"^(\d+)_(\d+)_", i).cast("long")
-    return F.struct(
+    good = stem.rlike(r"^\d+_\d+_.*\D\d{1,2}$|^\d+_\d+_.+\d$") & (whole(1) % 16 == 0) & (whole(2) % 16 == 0) & (F.length(rest) > cut)
+    own = F.struct(
         whole(1).alias("y"), whole(2).alias("x"),
         rest.substr(F.lit(1), F.length(rest) - cut).alias("provider"), F.right(stem, cut.cast("int")).cast("int").alias("zl"),
     )
+    return F.when(good, own)
 
 
 def pixel_size_m(lat, zl) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,46 @@ def as_of(left: DataFrame, right: DataFrame, by: str, on: str, values: Iterable[
     return marked.withColumn("_hit", packed).where("_side = 1").drop("_side", *values).select("*", *(F.col(f"_hit.{v}").alias(v) for v in values), F.col(f"_hit.{on}").alias(f"matched_{on}")).drop("_hit")
 
 
+def first_in_budget(rows: DataFrame, by: str, order: list[str], size: str, budgets: DataFrame) -> DataFrame:
+    """Rows of each key, in the order of the columns, as long as the sizes before a row sum up to less than the budget.
+
+    ``budgets``: key, budget. Sizes are summed by the first column alone; a running sum over its values finds the
+    one in which the budget ends, and only rows of that value are summed by the next column, and so on. So no
+    task orders a key's rows, however few the keys are; put a coarse column (a day, a block of numbers) first. The
+    columns together tell rows apart. What comes out is a filter on the rows: at or before the last row inside.
+    """
+    state, at = written(budgets.toDF(by, "left"), "budgets"), []
+    for i, column in enumerate(order):
+        inside = rows.join(state.select(by, *(F.col(f"e{k}").alias(order[k]) for k in range(i))), [by, *order[:i]], "left_semi") if i else rows
+        sums = inside.groupBy(by, column).agg(F.sum(size).alias("s"))
+        before = F.coalesce(F.sum("s").over(Window.partitionBy(by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ends = sums.withColumn("before", before).join(state, by).where("before < left")
+        last = ends.groupBy(by, *at).agg(F.max(F.struct(column, "before", "left")).alias("m"))
+        state = written(last.select(by, *at, F.col(f"m.{column}").alias(f"e{i}"), (F.col("m.left") - F.col("m.before")).alias("left")), "budget-ends")
+        at.append(f"e{i}")
+    inside = F.lit(True)
+    for column, edge in reversed(list(zip(order, at))):
+        inside = (F.col(column) < F.col(edge)) | ((F.col(column) == F.col(edge)) & inside)
+    return rows.join(state.drop("left"), by).where(inside).drop(*at)
+
+
+def rows_at(rows: DataFrame, by: str, on: str, block: int, places: Callable[[Column], Column]) -> DataFrame:
+    """Rows of each key that stand at certain places of its order by ``on`` (whole numbers, unique in a key).
+
+    ``places``: from a key's number of rows to an array of places from 0. Rows are counted by blocks of ``block``
+    numbers; only those of blocks that hold a place are put in order.
+    """
+    counts = written(rows.groupBy(by, F.expr(f"{on} div {block}").alias("_block")).agg(F.count("*").alias("n")), "block-counts")
+    upto = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    total = counts.groupBy(by).agg(places(F.sum("n")).alias("_places"))
+    held = counts.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(total, by)
+    inside = F.filter("_places", lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("n")))
+    held = written(held.select(by, "_block", "_before", inside.alias("_places")).where(F.size("_places") > 0), "block-places")
+    own = rows.withColumn("_block", F.expr(f"{on} div {block}")).join(held, [by, "_block"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_block").orderBy(on)) - 1
+    return own.withColumn("_at", place).where(F.array_contains("_places", F.col("_at"))).drop("_block", "_before", "_places", "_at")
+
+
 def shared_dir(df: DataFrame, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one in local runs that have none."""
     spark = df.sparkSession

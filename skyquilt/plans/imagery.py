@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
+from ..operators.joins import first_in_budget, written
 from ..registry import query
 
 VIEWS["built"] = ("lineitem", ["l_partkey*16 AS til_x", "l_suppkey*16 AS til_y", "10+l_linenumber AS zl", "CASE l_returnflag WHEN 'A' THEN 'BI' ELSE 'EOX' END AS provider", "l_linestatus AS kind", "l_orderkey AS o", "l_linenumber%5 AS level", "l_shipdate AS seen", "l_quantity AS dist"])
@@ -146,8 +147,9 @@ def st4_missing_pieces(spark, sf_dir):
 @query(P + ", r AS (SELECT *, sum(bytes) OVER (PARTITION BY provider ORDER BY fetched_at, x, y ROWS UNBOUNDED PRECEDING) AS freed FROM piece WHERE status = 0) SELECT provider, x, y, bytes FROM r WHERE freed - bytes < 20000000")
 def tk2_evict_pieces(spark, sf_dir):
     """The oldest of a store until enough is freed."""
-    w = Window.partitionBy("provider").orderBy("fetched_at", "x", "y").rowsBetween(Window.unboundedPreceding, 0)
-    return pieces(spark, sf_dir).where("status = 0").withColumn("freed", F.sum("bytes").over(w)).where("freed - bytes < 20000000").select("provider", "x", "y", "bytes")
+    p = written(pieces(spark, sf_dir).where("status = 0"), "pieces")
+    budgets = p.select("provider").distinct().withColumn("budget", F.lit(20_000_000).cast("long"))
+    return first_in_budget(p, "provider", ["fetched_at", "x", "y"], "bytes", budgets).select("provider", "x", "y", "bytes")
 
 
 @query(cte("built") + ", r AS (SELECT *, row_number() OVER (PARTITION BY sx ORDER BY zl DESC, til_x, til_y) AS rn FROM (SELECT DISTINCT til_x//2048 AS sx, til_x, til_y, zl FROM built)) SELECT sx, til_x, til_y, zl, CAST(1 AS BIGINT) AS n FROM r WHERE rn <= 20 UNION ALL SELECT sx, NULL, NULL, max(zl), count(*) FROM r WHERE rn > 20 GROUP BY sx")
@@ -163,9 +165,9 @@ def tk5_sharpest_first(spark, sf_dir):
 def tk1_evict(spark, sf_dir):
     """The least needed (farthest, then longest unseen) until a tenth of the space is free."""
     r = view(spark, sf_dir, "built").select(F.expr("til_x div 4096").alias("lot"), "til_x", "til_y", "zl", "level", "seen", "dist", (F.lit(4194304) / F.pow(F.lit(4.0), "level")).cast("long").alias("freed")).distinct()
-    lot = Window.partitionBy("lot")
-    gone = F.sum("freed").over(lot.orderBy(F.desc("dist"), "seen", "til_x", "til_y", "zl", "level").rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("used", F.sum("freed").over(lot)).withColumn("gone", gone).where("gone - freed < used * 0.1e0").select("lot", "til_x", "til_y", "zl", "level", "freed")
+    r = written(r.withColumn("near", -F.col("dist")), "built")
+    budgets = r.groupBy("lot").agg((F.sum("freed") * 0.1).alias("budget"))
+    return first_in_budget(r, "lot", ["near", "seen", "til_x", "til_y", "zl", "level"], "freed", budgets).select("lot", "til_x", "til_y", "zl", "level", "freed")
 
 
 @query("WITH r AS (SELECT event_id AS report, user_id, ts, value AS rate, CAST(date_diff('second', ts, max(ts) OVER (PARTITION BY user_id)) AS DOUBLE)/43200 AS age FROM events), w AS (SELECT *, 0.5e0^age AS w FROM r), c AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY rate, report ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY user_id) AS total FROM w) SELECT user_id, round(min(rate), 4) AS factor FROM c WHERE upto >= total/2 GROUP BY user_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, table, view
-from ..operators.joins import written
+from ..operators.joins import first_in_budget, written
 from ..registry import query
 
 A = cte("artifacts")
@@ -60,8 +60,9 @@ def tk3_gc_lru(spark, sf_dir):
     """What no root needs, least recently used first, until a rule's quota is freed."""
     a = view(spark, sf_dir, "artifacts")
     kept = reachable(edges(spark, sf_dir), a.where("key%101 = 0"))
-    w = Window.partitionBy("rule").orderBy("created_at", "key").rowsBetween(Window.unboundedPreceding, 0)
-    return a.join(kept, "key", "left_anti").withColumn("freed", F.sum("size").over(w)).where("freed - size < 5000000").select("rule", "key", "size")
+    free = written(a.join(kept, "key", "left_anti").select("rule", "key", "size", "created_at", F.expr("key div 4096").alias("block")), "free")
+    budgets = free.select("rule").distinct().withColumn("budget", F.lit(5_000_000).cast("long"))
+    return first_in_budget(free, "rule", ["created_at", "block", "key"], "size", budgets).select("rule", "key", "size")
 
 
 @query(A + "SELECT rule, params, key, version FROM (SELECT *, row_number() OVER (PARTITION BY rule, params ORDER BY created_at DESC, key DESC) AS rn FROM artifacts WHERE version <= 2) WHERE rn = 1")

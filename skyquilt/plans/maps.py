@@ -17,8 +17,8 @@ VIEWS["members"] = (
     "orders",
     [
         "CAST(floor(o_orderkey/6) AS BIGINT) AS rel", "o_orderkey AS way", "CASE WHEN o_orderkey%12 < 6 THEN 'outer' ELSE 'inner' END AS role",
-        "CAST(floor(o_orderkey/6) AS BIGINT)*10 + CASE WHEN o_orderkey%2=0 THEN o_orderkey%6 ELSE (o_orderkey%6+1)%6 END AS e1",
-        "CAST(floor(o_orderkey/6) AS BIGINT)*10 + CASE WHEN o_orderkey%2=0 THEN (o_orderkey%6+1)%6 ELSE o_orderkey%6 END AS e2", "o_orderkey%50 <> 0 AS there",
+        "CAST(floor(o_orderkey/6) AS BIGINT)*10 + (CASE WHEN o_orderkey%2=0 THEN o_orderkey%6 ELSE (o_orderkey%6+1)%6 END*5+CAST(floor(o_orderkey/6) AS BIGINT)%7*3)%7 AS e1",
+        "CAST(floor(o_orderkey/6) AS BIGINT)*10 + (CASE WHEN o_orderkey%2=0 THEN (o_orderkey%6+1)%6 ELSE o_orderkey%6 END*5+CAST(floor(o_orderkey/6) AS BIGINT)%7*3)%7 AS e2", "o_orderkey%50 <> 0 AS there",
     ],
 )
 VIEWS["waters"] = ("lineitem", ["l_orderkey AS element", "l_linenumber AS part", "CASE WHEN l_orderkey%2=0 THEN 'way' ELSE 'relation' END AS kind", "CAST(floor(l_extendedprice) AS BIGINT) AS area", "l_returnflag AS water"])
@@ -51,9 +51,9 @@ def fl3_narrow(spark, sf_dir):
     return n.join(w.where("way%5=0").select("node"), "node", "left_semi").unionByName(n.join(w.select("node"), "node", "left_anti"))
 
 
-@query("SELECT n_nationkey AS layer, n_name AS name FROM nation WHERE n_regionkey <= 2")
+@query("SELECT s_suppkey AS layer, s_name AS name FROM supplier WHERE s_nationkey <= 14")
 def fl4_layers_for(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where("n_regionkey <= 2").selectExpr("n_nationkey AS layer", "n_name AS name")
+    return table(spark, sf_dir, "supplier").where("s_nationkey <= 14").selectExpr("s_suppkey AS layer", "s_name AS name")
 
 
 @query(cte("waters") + "SELECT element, part, area FROM waters WHERE element NOT IN (SELECT element FROM waters WHERE water = 'A' AND area < 20000)")
@@ -111,7 +111,10 @@ def ring_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rel": [pdf["rel"].iloc[0]], "ring": [",".join(map(str, path))], "whole": [len(path) == len(near)]})
 
 
-@query(cte("members") + "SELECT rel, string_agg(n, ',' ORDER BY n) AS ring, true AS whole FROM (SELECT rel, e1 AS n FROM members WHERE there UNION SELECT rel, e2 FROM members WHERE there) WHERE rel IN (SELECT rel FROM members WHERE there GROUP BY rel HAVING count(*) = 6) GROUP BY rel")
+# A ring's nodes follow its ways in turn, so node i of six is what the two ways share; SQL walks from the smallest to its smaller neighbour.
+@query(cte("members") + """, n AS (SELECT rel, i, rel*10 + (i*5+rel%7*3)%7 AS node FROM (SELECT rel FROM members WHERE there GROUP BY rel HAVING count(*) = 6), range(0, 6) t(i)),
+m AS (SELECT rel, arg_min(i, node) AS first FROM n GROUP BY rel), d AS (SELECT m.rel, m.first, CASE WHEN a.node < b.node THEN 1 ELSE 5 END AS step FROM m JOIN n a ON a.rel = m.rel AND a.i = (m.first+1)%6 JOIN n b ON b.rel = m.rel AND b.i = (m.first+5)%6)
+SELECT d.rel, string_agg(node, ',' ORDER BY k) AS ring, true AS whole FROM d CROSS JOIN range(0, 6) t(k) JOIN n ON n.rel = d.rel AND n.i = (d.first+k*d.step)%6 GROUP BY d.rel""")
 def it2_stitch_rings(spark, sf_dir):
     """Open ways end to end; a relation with an open end that does not have exactly two ways is dropped.
 
@@ -233,18 +236,20 @@ def fl10_drop_small_airports(spark, sf_dir):
 HAV = "2*6371.0088*asin(least(1, sqrt(sin(radians(s.lat-p.lat)/2)^2 + cos(radians(p.lat))*cos(radians(s.lat))*sin(radians(s.lon-p.lon)/2)^2)))"
 
 
-@query(cte("points", "sites") + f""", met AS (SELECT p.id, min(s.id) AS site FROM points p JOIN sites s ON abs(p.lat-s.lat) <= 1 AND abs(p.lon-s.lon) <= 1 GROUP BY p.id),
-far AS (SELECT p.id, s.id AS site, {HAV} AS km FROM points p JOIN sites s ON p.id NOT IN (SELECT id FROM met) AND {HAV} <= 350 AND abs(p.lon-s.lon) < 20)
+@query(cte("points", "sites") + f""", met AS (SELECT p.id, min(s.id) AS site FROM points p JOIN sites s ON abs(p.lat-s.lat) <= 1 AND least(abs(p.lon-s.lon), 360-abs(p.lon-s.lon)) <= 1 GROUP BY p.id),
+far AS (SELECT p.id, s.id AS site, {HAV} AS km FROM points p JOIN sites s ON p.id NOT IN (SELECT id FROM met) AND {HAV} <= 350)
 SELECT id, site, 'boundary' AS how FROM met UNION ALL SELECT id, arg_min(site, km) AS site, 'nearest' FROM far GROUP BY id UNION ALL SELECT id, NULL, 'orphan' FROM points WHERE id NOT IN (SELECT id FROM met) AND id NOT IN (SELECT id FROM far)""")
 def jn11_attach_surfaces(spark, sf_dir):
-    """The first boundary met, else the nearest site within reach, else an orphan."""
+    """The first boundary met, else the nearest site within reach, else an orphan. Sites stand on both sides of the date line."""
     p, s = view(spark, sf_dir, "points").select("id", "lat", "lon"), view(spark, sf_dir, "sites").select(F.col("id").alias("site"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    boxes = s.selectExpr("*", "slon-1 AS w", "slat-1 AS s", "slon+1 AS e", "slat+1 AS n")
+    s = s.withColumn("slon", F.explode(F.array(F.col("slon") - 360, F.col("slon"), F.col("slon") + 360)))
+    boxes = s.where("abs(slon) <= 181").selectExpr("*", "slon-1 AS w", "slat-1 AS s", "slon+1 AS e", "slat+1 AS n")
     met = box_join(p.selectExpr("id", "lat", "lon", "lon AS lon2", "lat AS lat2"), boxes, 2.0, ("lon", "lat", "lon2", "lat2"), ("w", "s", "e", "n")).groupBy("id").agg(F.min("site").alias("site"))
     rest = p.join(met, "id", "left_anti")
-    reach = 350 / geo.KM_PER_DEGREE
-    wide = F.least(F.lit(19.99), F.lit(reach * 1.05) / F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(85.0)))))
-    grown = rest.select("id", "lat", "lon", (F.col("lon") - wide).alias("w"), (F.col("lat") - reach * 1.01).alias("s"), (F.col("lon") + wide).alias("e"), (F.col("lat") + reach * 1.01).alias("n"))
+    reach = 350 / geo.KM_PER_DEGREE * 1.01
+    polar = F.abs("lat") + reach >= 85
+    wide = F.when(polar, 180.0).otherwise(F.lit(reach * 1.05) / F.cos(F.radians(F.abs("lat") + reach)))
+    grown = rest.select("id", "lat", "lon", (F.col("lon") - wide).alias("w"), (F.col("lat") - reach).alias("s"), (F.col("lon") + wide).alias("e"), (F.col("lat") + reach).alias("n"))
     pairs = box_join(grown, s.selectExpr("*", "slon AS slon2", "slat AS slat2"), 10.0, ("w", "s", "e", "n"), ("slon", "slat", "slon2", "slat2")).withColumn("km", geo.haversine_km("lat", "lon", "slat", "slon"))
     near = pairs.where("km <= 350").groupBy("id").agg(F.min_by("site", "km").alias("site"))
     orphan = rest.select("id").join(near, "id", "left_anti").withColumn("site", F.lit(None).cast("long"))
@@ -302,16 +307,25 @@ def _along() -> Window:
     return Window.partitionBy("way").orderBy("pos", "node")
 
 
-STEP = "coalesce(sqrt((x-lag(x) OVER w)^2+(y-lag(y) OVER w)^2), 0)"
-
-
-@query(cte("ways", "nodes") + TRACK + f", d AS (SELECT *, {STEP} AS step FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node)), c AS (SELECT *, CAST(sum(CAST(round(1000*step) AS BIGINT)) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS BIGINT) AS metre FROM d) SELECT way, pos, node, metre, round(avg(z) OVER (PARTITION BY way ORDER BY metre RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING)/0.3048e0, 4) AS feet FROM c")
+@query(cte("ways", "nodes") + """, t AS (SELECT w.way, w.pos, w.node, n.x, n.y, CAST(round(n.z*100000) AS BIGINT) AS zc, count(*) AS k FROM ways w JOIN nodes n ON n.id = w.node GROUP BY ALL),
+d AS (SELECT *, x-lag(x) OVER w AS dx, y-lag(y) OVER w AS dy FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+c AS (SELECT *, CAST(sum(CAST(round(1000*coalesce(sqrt(dx*dx+dy*dy), 0)) AS BIGINT)) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS BIGINT) AS metre FROM d),
+f AS (SELECT *, CAST(sum(k*zc) OVER r AS BIGINT) AS zs, CAST(sum(k) OVER r AS BIGINT) AS n FROM c WINDOW r AS (PARTITION BY way ORDER BY metre RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING)),
+e AS (SELECT *, unnest(range(0, k)) AS twin FROM f) SELECT way, pos, node, metre, ((20000*zs + 30480*n) // (60960*n))/10000e0 AS feet FROM e""")
 def wn14_smooth_along(spark, sf_dir):
-    """Mean height within a window of arc length."""
+    """Mean height within a window of arc length.
+
+    Twins (one node twice at one place of a way) are one row with a count, so the order is total and both windows
+    see the same one; heights are whole hundredths and divided once, so sums are the same in any order.
+    """
     w = _along()
-    step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
-    c = track(spark, sf_dir).withColumn("step", step).withColumn("metre", F.sum(F.round(1000 * F.col("step")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return c.select("way", "pos", "node", "metre", F.round(F.avg("z").over(Window.partitionBy("way").orderBy("metre").rangeBetween(-400, 400)) / 0.3048, 4).alias("feet"))
+    t = track(spark, sf_dir).groupBy("way", "pos", "node", "x", "y", F.round(F.col("z") * 100000).cast("long").alias("zc")).agg(F.count("*").alias("k"))
+    d = t.withColumn("dx", F.col("x") - F.lag("x").over(w)).withColumn("dy", F.col("y") - F.lag("y").over(w))
+    step = F.round(1000 * F.coalesce(F.sqrt(F.expr("dx*dx+dy*dy")), F.lit(0.0))).cast("long")
+    c = d.withColumn("metre", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy("way").orderBy("metre").rangeBetween(-400, 400)
+    f = c.withColumn("zs", F.sum(F.expr("k*zc")).over(near)).withColumn("n", F.sum("k").over(near)).withColumn("twin", F.explode(F.sequence(F.lit(1).cast("long"), "k")))
+    return f.select("way", "pos", "node", "metre", F.expr("((20000*zs + 30480*n) div (60960*n))/10000D").alias("feet"))
 
 
 @query(cte("ways", "nodes") + TRACK + """, a AS (SELECT way, pos, node, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node))

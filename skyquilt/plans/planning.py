@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import cte, view
 from ..functions import geo
-from ..operators.joins import box_join
+from ..operators.joins import box_join, rows_at
 from ..registry import query
 
 STEP_KM, RADIUS_KM, ZL = 50.0, 60.0, 11
@@ -211,10 +211,9 @@ def st3_ends_and_along(spark, sf_dir):
 @query(cte("points") + ", n AS (SELECT *, row_number() OVER (PARTITION BY id%8 ORDER BY id)-1 AS i, count(*) OVER (PARTITION BY id%8) AS m FROM points) SELECT id, id%8 AS lot FROM n WHERE i IN (SELECT CAST(floor(k*m/20.0) AS BIGINT) FROM range(0, 20) t(k))")
 def tk7_evenly_spaced(spark, sf_dir):
     """Twenty items of each lot, at even distances in its order."""
-    lot = Window.partitionBy("lot")
-    n = view(spark, sf_dir, "points").withColumn("lot", F.expr("id%8")).withColumn("i", F.row_number().over(lot.orderBy("id")) - 1).withColumn("m", F.count("*").over(lot))
-    first = F.ceil(F.col("i") * 20 / F.col("m"))  # the only multiple of m / 20 that may floor to i
-    return n.where((first < 20) & (F.floor(first * F.col("m") / 20) == F.col("i"))).select("id", "lot")
+    n = view(spark, sf_dir, "points").select("id", F.expr("id%8").alias("lot"))
+    places = lambda m: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor(k * m / 20))
+    return rows_at(n, "lot", "id", 4096, places).select("id", "lot")
 
 
 @query(cte("sites") + LEGS + CORRIDOR + "SELECT leg, tlat, tlon, row_number() OVER (PARTITION BY leg ORDER BY first_step, tlat, tlon) AS pos FROM corridor")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
@@ -86,7 +86,17 @@ def jn37_clamp_bathymetry(spark, sf_dir):
 @query(R + "SELECT v.r, v.c, coalesce(max(n.alt), 0)::DOUBLE AS alt FROM raster v LEFT JOIN raster n ON n.alt > -32768 AND abs(n.r-v.r)+abs(n.c-v.c) = 1 WHERE v.alt = -32768 GROUP BY v.r, v.c")
 def it6_fill_voids(spark, sf_dir):
     """Voids take the most of their four neighbours, again and again; what twenty rounds leave becomes 0."""
-    own = raster(spark, sf_dir)
+    return fill_voids(raster(spark, sf_dir), F.expr("r div 1200"))
+
+
+#: A tile with more voids than this is refused.
+MOST_VOIDS = 10_000
+
+
+def fill_voids(own: DataFrame, tile: Column) -> DataFrame:
+    """(r, c, alt) of the voids of a raster; a tile with MOST_VOIDS of them or more is refused as a whole."""
+    void = own.where(f"alt = {VOID}").groupBy(tile.alias("tile")).agg(F.count("*").alias("n"))
+    own = own.join(void.where(F.col("n") >= MOST_VOIDS).select("tile"), tile == F.col("tile"), "left_anti")
     known, voids = written(own.where(f"alt > {VOID}")), written(own.where(f"alt = {VOID}").select("r", "c"))
     side = F.expr("explode(array(named_struct('dr', 0, 'dc', 1), named_struct('dr', 0, 'dc', -1), named_struct('dr', 1, 'dc', 0), named_struct('dr', -1, 'dc', 0)))")
     filled = []

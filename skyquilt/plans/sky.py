@@ -48,7 +48,7 @@ def tk10_largest_clouds(spark, sf_dir):
 
 def cell_components(cells: DataFrame) -> DataFrame:
     """Cells (x, y) with the number of their blob, joined over edges and corners."""
-    own = cells.withColumn("id", F.expr("y*1000 + x"))
+    own = cells.withColumn("id", F.expr("y*4294967296 + x + 2147483648"))  # both in one number, also below 0
     sides = F.expr("explode(array(named_struct('dx', 1, 'dy', 0), named_struct('dx', 0, 'dy', 1), named_struct('dx', 1, 'dy', 1), named_struct('dx', -1, 'dy', 1)))")
     ahead = own.select("id", "x", "y", sides.alias("d")).selectExpr("id AS a", "x+d.dx AS x", "y+d.dy AS y")
     links = ahead.join(own.select(F.col("id").alias("b"), "x", "y"), ["x", "y"]).select("a", "b")
@@ -58,7 +58,7 @@ def cell_components(cells: DataFrame) -> DataFrame:
 
 
 
-@query("WITH RECURSIVE cell AS (SELECT DISTINCT CAST(floor(p_retailprice) AS BIGINT)%60 AS x, (p_partkey*31+p_size*7)%60 AS y FROM part WHERE p_size > 10), r(x, y, root) AS (SELECT x, y, y*1000+x FROM cell UNION SELECT c.x, c.y, r.root FROM r JOIN cell c ON abs(c.x-r.x) <= 1 AND abs(c.y-r.y) <= 1), b AS (SELECT x, y, min(root) AS blob FROM r GROUP BY ALL) SELECT blob, count(*) AS cells, min(x) AS west, max(x) AS east FROM b GROUP BY blob HAVING count(*) >= 2")
+@query("WITH RECURSIVE cell AS (SELECT DISTINCT CAST(floor(p_retailprice) AS BIGINT)%60 AS x, (p_partkey*31+p_size*7)%60 AS y FROM part WHERE p_size > 10), r(x, y, root) AS (SELECT x, y, y*4294967296 + x + 2147483648 FROM cell UNION SELECT c.x, c.y, r.root FROM r JOIN cell c ON abs(c.x-r.x) <= 1 AND abs(c.y-r.y) <= 1), b AS (SELECT x, y, min(root) AS blob FROM r GROUP BY ALL) SELECT blob, count(*) AS cells, min(x) AS west, max(x) AS east FROM b GROUP BY blob HAVING count(*) >= 2")
 def it7_label_blobs(spark, sf_dir):
     """Cells that touch make a blob; small ones go."""
     from ..fixtures import table

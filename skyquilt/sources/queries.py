@@ -113,14 +113,15 @@ def src7_read_chunks(spark, sf_dir):
     return spark.read.parquet(path).where("provider = 'BI' AND zl = 12 AND x < 500").groupBy("provider").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query(cte("chunks") + "SELECT DISTINCT x//256*256 AS x, y//256*256 AS y, provider, CAST(14 AS INT) AS zl FROM chunks WHERE x < 1024")
+@query(cte("chunks") + "SELECT DISTINCT x//256*256 AS x, y//256*256 AS y, provider, CAST(14 AS INT) AS zl FROM chunks")
 def src8_read_texture_names(spark, sf_dir):
-    """Names alone: files of no content, by folder and name. All are written and listed; the answer is those of x < 1024."""
+    """Names alone, as a store lists them: lines of many names a file. What is no name is left out."""
     t = view(spark, sf_dir, "chunks").selectExpr("x div 256 * 256 AS x", "y div 256 * 256 AS y", "provider").distinct()
     path = shared_dir(t, "names")
-    t.select(F.lit("").alias("value"), geo.texture_name("x", "y", "provider", F.lit(14)).alias("name")).write.partitionBy("name").text(path)
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("n"))
-    return f.withColumn("t", geo.parse_texture_name("n")).select("t.x", "t.y", "t.provider", "t.zl").distinct().where("x < 1024")
+    name = F.concat(geo.texture_name("x", "y", "provider", F.lit(14)), F.lit(".dds"))
+    t.select(F.explode(F.array(name, F.concat(F.lit("preview_"), name))).alias("value")).write.text(path)
+    f = spark.read.text(path).withColumn("t", geo.parse_texture_name("value")).where("t IS NOT NULL")
+    return f.select("t.x", "t.y", "t.provider", "t.zl").distinct()
 
 
 @query(cte("chunks") + "SELECT DISTINCT o%50 AS lot, 'LOAD_CENTER' AS key, CAST(o%50 AS VARCHAR)||' 7 8' AS value FROM chunks UNION ALL SELECT DISTINCT o%50, 'BASE_TEX_NOWRAP', '../textures/'||(o%50)||'.dds' FROM chunks")
@@ -248,15 +249,15 @@ def snk2_write_texture_manifest(spark, sf_dir):
     return m.groupBy("tile").agg(F.sum(F.size("textures")).alias("textures"), F.min(F.get("textures", 0)["o"]).alias("first"))
 
 
-@query(cte("built") + "SELECT til_x, til_y, count(*) AS lines FROM (SELECT DISTINCT til_x, til_y, kind FROM built WHERE til_x < 320) GROUP BY ALL")
+@query(cte("built") + "SELECT til_x, til_y, count(*) AS lines FROM (SELECT DISTINCT til_x, til_y, kind FROM built) GROUP BY ALL")
 def snk4_write_terrain_text(spark, sf_dir):
-    """A text for each texture and kind, in folders of many columns. All are written; the answer reads the columns below 320."""
+    """A text for each texture and kind, in folders of many columns."""
     t = view(spark, sf_dir, "built").select("til_x", "til_y", "kind").distinct()
     path = shared_dir(t, "terrain")
     text = F.concat_ws(" ", F.lit("TEX"), F.col("til_x").cast("string"), F.col("til_y").cast("string"), "kind")
     t.select(F.expr("til_x div 65536").alias("columns"), text.alias("value")).repartition("columns").write.partitionBy("columns").text(path)
     own = lambda i: F.get(F.split("value", " "), i).cast("long")
-    r = spark.read.text(path).where("columns <= 0").select(own(1).alias("til_x"), own(2).alias("til_y")).where("til_x < 320")
+    r = spark.read.text(path).select(own(1).alias("til_x"), own(2).alias("til_y"))
     return r.groupBy("til_x", "til_y").agg(F.count("*").alias("lines"))
 
 

@@ -142,8 +142,8 @@ def it9_airport_block(spark, sf_dir):
     """Cells that touch the seeds' cells, and so on: whole components that hold a seed."""
     from ..operators.joins import connected_components
 
-    t = view(spark, sf_dir, "points").select(F.floor(F.col("lat") / 2).alias("y"), F.floor(F.col("lon") / 2).alias("x")).distinct().withColumn("id", F.expr("(y+100)*1000 + x + 200"))
-    ahead = t.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 1, F.col("id") + 1000)).alias("id"))
+    t = view(spark, sf_dir, "points").select(F.floor(F.col("lat") / 2).alias("y"), F.floor(F.col("lon") / 2).alias("x")).distinct().withColumn("id", F.expr("y*4294967296 + x + 2147483648"))
+    ahead = t.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 1, F.col("id") + 4294967296)).alias("id"))
     links = ahead.join(t.select("id"), "id").select("a", F.col("id").alias("b"))
     roots = connected_components(links)
     named = t.join(roots, t["id"] == roots["node"], "left").select("y", "x", F.coalesce("root", "id").alias("root"))
