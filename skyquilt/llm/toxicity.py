@@ -335,8 +335,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
-    picked = known.where(draw < rate)  # about 2 * sample ids
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS).join(picked, "doc_id")
+    picked = known.where(draw < rate)  # about 2 * sample ids, each once
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
     return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
