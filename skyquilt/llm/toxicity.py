@@ -12,6 +12,7 @@ and of their density, fit on the sampled documents, is the document's score.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -183,18 +184,18 @@ class Chain:
         """Gradient ascent (Adam) on the likelihood of tagged sequences of words' signs."""
         names = sorted(self.emit)
         number = {s: i for i, s in enumerate(names)}
-        rows, cols, tags, first = [], [], [], []
+        rows, cols, tags, first = array("q"), array("q"), array("d"), []
         for words, own in sequences:
             first.append(len(tags))
             for i, tag in enumerate(own):
                 beside = (words[i], words[i - 1] if i else (), words[i + 1] if i + 1 < len(words) else ())
                 held = [number[role + x] for role, signs_ in zip(ROLES, beside) for x in signs_ if role + x in number]
-                cols += held
-                rows += [len(tags)] * len(held)
+                cols.extend(held)
+                rows.extend([len(tags)] * len(held))
                 tags.append(tag)
         if not tags:
             return
-        rows, cols, y, first = np.array(rows, np.int64), np.array(cols, np.int64), np.array(tags, float), np.array(first, np.int64)
+        rows, cols, y, first = np.array(rows, np.int64), np.array(cols, np.int64), np.array(tags), np.array(first, np.int64)
         inner = np.ones(len(y), bool)
         inner[np.concatenate([first[1:], [len(y)]]) - 1] = False
         at = np.flatnonzero(inner)
@@ -282,10 +283,12 @@ def toxic_signs(texts: list[str], labels: list[int]) -> set[str]:
     }
 
 
-def sequences_of(text: str, marked: set[str], toxic: bool) -> Iterator[tuple[list[list[str]], list[int]]]:
+def sequences_of(text: str, marked: set[str], toxic: bool, held: dict[str, list[str]]) -> Iterator[tuple[list[list[str]], list[int]]]:
     words, tags = [], []
     for w in text.replace("\n", " \n ").split(" "):
-        own = signs(w)
+        own = held.get(w)
+        if own is None:
+            own = held[w] = signs(w)
         words.append(own)
         tags.append(int(toxic and any(s in marked for s in own)))
         if w.endswith(STOPS):
@@ -301,9 +304,9 @@ def train(texts: list[str], labels: list[int]) -> Chain:
         share = (sum(labels) + 0.5) / (len(labels) + 1)
         return Chain({}, doc=(0.0, 0.0, 0.0, math.log(share / (1 - share))))
     marked = toxic_signs(texts, labels)
-    picked, plain = [], 0
+    picked, plain, held = [], 0, {}
     for text, label in zip(texts, labels):
-        for words, tags in sequences_of(text, marked, label == 1):
+        for words, tags in sequences_of(text, marked, label == 1, held):
             known = any(s in marked for w in words for s in w)
             plain += not known
             if known or plain % 20 == 0:
@@ -315,8 +318,10 @@ def train(texts: list[str], labels: list[int]) -> Chain:
             beside.update(">" + s for s in words[i + 1])
     chain = Chain({s: 0.0 for s in marked} | {s: 0.0 for s, k in beside.items() if k >= LEAST_BESIDE})
     chain.fit(picked)
-    one, offsets, _, _ = chain.tag(pa.array(texts, pa.large_string()))
-    x = np.concatenate([chain.evidence(one, offsets), np.ones((len(texts), 1))], axis=1)
+    del picked, beside, held
+    parts = (chain.tag(pa.array(texts[at : at + 200], pa.large_string())) for at in range(0, len(texts), 200))
+    x = np.concatenate([chain.evidence(one, offsets) for one, offsets, _, _ in parts])
+    x = np.concatenate([x, np.ones((len(texts), 1))], axis=1)
     y, w = np.array(labels, float), np.zeros(4)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
