@@ -27,6 +27,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         [
             "user_id AS aircraft", "ts", "event_id", "CAST((user_id*37)%100 AS DOUBLE)-50.0+CAST((event_id*31)%2000 AS DOUBLE)/1000.0 AS lat",
             "CAST((user_id*71)%340 AS DOUBLE)-170.0+CAST((event_id*17)%3000 AS DOUBLE)/1000.0 AS lon", "value AS gs_ms", "CAST((event_id*13)%9000 AS DOUBLE) AS agl_m",
+            "CAST((event_id*29)%60 AS DOUBLE)-40.0 AS vs_ms",
         ],
     ),
     "frames": ("events", ["user_id AS run", "event_id AS seq", "CAST((event_id*7)%36000 AS DOUBLE)/10.0 AS path_s", "value AS frame_ms", "CASE WHEN event_type='error' THEN 1 ELSE 2 END AS state"]),

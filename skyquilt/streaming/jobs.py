@@ -47,10 +47,12 @@ def shared_dir_of(spark: SparkSession, name: str) -> str:
     return shared_dir(spark.range(0), name)
 
 
-def by_aircraft(step: Callable[[dict, dict], dict | None], schema: str, columns: list[str]) -> Callable:
+def by_aircraft(step: Callable[[dict, dict], dict | None], schema: str, columns: list[str], silent: Callable[[dict], dict | None] | None = None) -> Callable:
     """A state machine as a grouped map: ``step(state, row)`` changes the state and may return a row to emit.
 
-    State is a dict in one text column; rows of a key are taken in event order within a batch.
+    State is a dict in one text column; rows of a key are taken in event order within a batch. A step that waits
+    for something sets ``state["due"]``, an event time in milliseconds; if the watermark passes it first,
+    ``silent(state)`` says what to emit, also for a key of which nothing comes any more.
     """
     import json
 
@@ -58,16 +60,31 @@ def by_aircraft(step: Callable[[dict, dict], dict | None], schema: str, columns:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = [r for row in rows[columns].to_dict("records") if (r := step(own, row)) is not None]
+        if state.hasTimedOut:
+            out = []
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            out = [r for row in rows[columns].to_dict("records") if (r := step(own, row)) is not None]
+        due = own.get("due") if silent else None
+        if due is not None and (state.hasTimedOut or due <= state.getCurrentWatermarkMs()):
+            own["due"] = due = None
+            out += [r] if (r := silent(own)) is not None else []
         state.update((json.dumps(own),))
+        if due is not None:
+            state.setTimeoutTimestamp(due)
         yield pd.DataFrame([{"aircraft": key[0], **r} for r in out], columns=names)
 
     return run
 
 
-def stateful(stream: DataFrame, step: Callable, schema: str, columns: list[str]) -> DataFrame:
-    return stream.groupBy("aircraft").applyInPandasWithState(by_aircraft(step, schema, columns), schema, "state string", "append", GroupStateTimeout.NoTimeout)
+def stateful(stream: DataFrame, step: Callable, schema: str, columns: list[str], silent: Callable | None = None) -> DataFrame:
+    timeout = GroupStateTimeout.EventTimeTimeout if silent else GroupStateTimeout.NoTimeout
+    timed = stream.withWatermark("ts", WATERMARK) if silent else stream
+    return timed.groupBy("aircraft").applyInPandasWithState(by_aircraft(step, schema, columns, silent), schema, "state string", "append", timeout)
+
+
+def millis(row: dict) -> int:
+    return row["ts"].value // 1_000_000
 
 
 def km(a: dict, b: dict) -> float:
@@ -111,25 +128,51 @@ def motion(state: dict, row: dict) -> dict | None:
 
 
 def cruise(state: dict, row: dict) -> dict | None:
-    """On above 18,500 ft, off below 17,500; emits the changes."""
+    """On above 18,500 ft, off below 17,500 or, descending, three minutes before 13,000; emits the changes."""
     feet, on = row["agl_m"] / 0.3048, state.get("on", False)
-    state["on"] = feet > 18_500 or on and feet >= 17_500
-    return {"event_id": row["event_id"], "cruising": state["on"]} if state["on"] != on else None
+    ahead = (row["agl_m"] - 3962.4) / -row["vs_ms"] if row["vs_ms"] < -1 else float("inf")
+    if not on and feet > 18_500 and ahead > 270:
+        state["on"] = True
+    elif on and (feet < 17_500 or ahead < 180):
+        state["on"] = False
+    return {"event_id": row["event_id"], "cruising": state["on"]} if state.get("on", False) != on else None
+
+
+#: Milliseconds of silence that are a stall, and of standing elsewhere that end the wait for an arrival.
+STALL_MS, ELSEWHERE_MS = 3_600_000, 10_000
 
 
 def stalled(state: dict, row: dict) -> dict | None:
-    """A silence of over an hour before a fix."""
+    """A silence of over an hour before a fix; ``still_silent`` reports one that no fix has ended."""
     last, state["t"] = state.get("t"), row["ts"].timestamp()
+    state["event_id"], state["due"] = row["event_id"], millis(row) + STALL_MS
     return {"event_id": row["event_id"], "silent_s": round(state["t"] - last, 3)} if last is not None and state["t"] - last > 3600 else None
 
 
+def still_silent(state: dict) -> dict | None:
+    """The last fix before the silence; how long it lasts is not known yet."""
+    return {"event_id": state["event_id"], "silent_s": None}
+
+
 def arrived(state: dict, row: dict) -> dict | None:
-    """The first fix at the expected place, the south-west quarter of the aircraft's square, and how many came before."""
-    state["n"] = state.get("n", 0) + 1
-    if state.get("done") or row["lat"] % 1 >= 0.5 or row["lon"] % 1 >= 0.5:
+    """The first fix at the expected place, the south-west quarter of the aircraft's square, or the first after ten
+    seconds elsewhere, and how many fixes came before."""
+    state["n"], state["last"] = state.get("n", 0) + 1, row["event_id"]
+    if state.get("done"):
+        return None
+    here = row["lat"] % 1 < 0.5 and row["lon"] % 1 < 0.5
+    due = state.setdefault("since", millis(row)) + ELSEWHERE_MS
+    if not here and millis(row) < due:
+        state["due"] = due
         return None
+    state["done"], state["due"] = True, None
+    return {"event_id": row["event_id"], "before": state["n"] - 1, "how": "here" if here else "elsewhere"}
+
+
+def nothing_came(state: dict) -> dict | None:
+    """Ten seconds have passed elsewhere without a further fix."""
     state["done"] = True
-    return {"event_id": row["event_id"], "before": state["n"] - 1}
+    return {"event_id": state["last"], "before": state["n"], "how": "elsewhere"}
 
 
 def level_work(fixes: DataFrame, index: DataFrame, reach_deg: int = 1) -> DataFrame:

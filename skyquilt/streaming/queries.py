@@ -11,7 +11,7 @@ from ..registry import query
 from . import jobs
 
 F_ = cte("fixes")
-COLUMNS = ["ts", "event_id", "lat", "lon", "gs_ms", "agl_m"]
+COLUMNS = ["ts", "event_id", "lat", "lon", "gs_ms", "agl_m", "vs_ms"]
 W = "PARTITION BY aircraft ORDER BY ts, event_id"
 HAV = "2*6371.0088*asin(least(1, sqrt(sin(radians(lat-la)/2)^2 + cos(radians(la))*cos(radians(lat))*sin(radians(lon-lo)/2)^2)))"
 LAG = f", p AS (SELECT *, lag(lat) OVER ({W}) AS la, lag(lon) OVER ({W}) AS lo, epoch(ts) - epoch(lag(ts) OVER ({W})) AS dt FROM fixes) "
@@ -25,8 +25,8 @@ def fix_stream(spark, sf_dir):
     return jobs.stream_of(fixes(spark, sf_dir), "fixes")
 
 
-def machine(spark, sf_dir, step, schema):
-    return jobs.drained(jobs.stateful(fix_stream(spark, sf_dir), step, "aircraft long, event_id long, " + schema, COLUMNS), step.__name__)
+def machine(spark, sf_dir, step, schema, silent=None):
+    return jobs.drained(jobs.stateful(fix_stream(spark, sf_dir), step, "aircraft long, event_id long, " + schema, COLUMNS, silent), step.__name__)
 
 
 INDEX = ", idx AS (SELECT CAST(floor(lat) AS BIGINT) AS tlat, CAST(floor(lon) AS BIGINT) AS tlon, 't'||min(id) AS name, CAST(min(id)%5 AS INT) AS level FROM points GROUP BY 1, 2) "
@@ -55,7 +55,7 @@ def sm4_motion(spark, sf_dir):
     return machine(spark, sf_dir, jobs.motion, "speed double")
 
 
-@query(F_ + f""", e AS (SELECT *, CASE WHEN agl_m/0.3048e0 > 18500 THEN true WHEN agl_m/0.3048e0 < 17500 THEN false END AS s FROM fixes), c AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), false) AS onn FROM e)
+@query(F_ + f""", e AS (SELECT *, CASE WHEN agl_m/0.3048e0 > 18500 AND ahead > 270 THEN true WHEN agl_m/0.3048e0 < 17500 OR ahead < 180 THEN false END AS s FROM (SELECT *, CASE WHEN vs_ms < -1 THEN (agl_m-3962.4e0)/-vs_ms ELSE 1e308 END AS ahead FROM fixes)), c AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), false) AS onn FROM e)
 SELECT aircraft, event_id, onn AS cruising FROM (SELECT *, coalesce(lag(onn) OVER ({W}), false) AS was FROM c) WHERE onn <> was""")
 def sm5_cruise_state(spark, sf_dir):
     return machine(spark, sf_dir, jobs.cruise, "cruising boolean")
@@ -73,9 +73,12 @@ def sm6_rate(spark, sf_dir):
     return jobs.drained(w.select(F.col("window.start").alias("start"), "bytes", "n"), "rate", "complete")
 
 
-@query(F_ + LAG + "SELECT aircraft, event_id, round(dt, 3) AS silent_s FROM p WHERE dt > 3600")
+PAST = "(SELECT epoch_ms(max(ts)) - 10000 FROM fixes)"
+
+
+@query(F_ + LAG + f"SELECT aircraft, event_id, round(dt, 3) AS silent_s FROM p WHERE dt > 3600 UNION ALL SELECT aircraft, event_id, NULL::DOUBLE FROM (SELECT *, lead(ts) OVER ({W}) AS nxt FROM fixes) WHERE nxt IS NULL AND epoch_ms(ts) + 3600000 < {PAST}")
 def sm7_stall(spark, sf_dir):
-    return machine(spark, sf_dir, jobs.stalled, "silent_s double")
+    return machine(spark, sf_dir, jobs.stalled, "silent_s double", jobs.still_silent)
 
 
 @query(F_ + "SELECT CAST(floor(lat) AS BIGINT) AS tlat, CAST(floor(lon) AS BIGINT) AS tlon, max(ts) AS seen, count(*) AS n FROM fixes GROUP BY 1, 2")
@@ -111,9 +114,11 @@ def sm15_camera_stream(spark, sf_dir):
     return jobs.drained(s, "camera", "complete")
 
 
-@query(F_ + f", n AS (SELECT *, row_number() OVER ({W}) - 1 AS before FROM fixes) SELECT aircraft, arg_min(event_id, before) AS event_id, min(before) AS before FROM n WHERE lat-floor(lat) < 0.5e0 AND lon-floor(lon) < 0.5e0 GROUP BY aircraft")
+@query(F_ + f""", n AS (SELECT *, row_number() OVER ({W}) - 1 AS before, lead(ts) OVER ({W}) AS nxt, epoch_ms(first_value(ts) OVER ({W})) AS since, lat-floor(lat) < 0.5e0 AND lon-floor(lon) < 0.5e0 AS here FROM fixes),
+d AS (SELECT aircraft, arg_min(event_id, before) AS event_id, min(before) AS before, CASE WHEN arg_min(here, before) THEN 'here' ELSE 'elsewhere' END AS how FROM n WHERE here OR epoch_ms(ts) >= since + 10000 GROUP BY aircraft)
+SELECT * FROM d UNION ALL SELECT aircraft, event_id, before + 1, 'elsewhere' FROM n WHERE nxt IS NULL AND aircraft NOT IN (SELECT aircraft FROM d) AND since + 10000 < {PAST}""")
 def sm16_arrivals(spark, sf_dir):
-    return machine(spark, sf_dir, jobs.arrived, "before long")
+    return machine(spark, sf_dir, jobs.arrived, "before long, how string", jobs.nothing_came)
 
 
 @query(cte("chunks") + "SELECT count(*) AS pieces FROM (SELECT DISTINCT provider, x, y FROM chunks)")
