@@ -134,25 +134,55 @@ def src9_read_terrain_files(spark, sf_dir):
     return t.select("lot", F.get("p", 0).alias("key"), F.get("p", 1).alias("value"))
 
 
-@query(cte("sites") + "SELECT ident, round(lat, 4) AS lat, round(lon, 4) AS lon FROM sites")
-def src10_read_flight_plan(spark, sf_dir):
-    """Plans of at most LOT sites, each point named twice in a row; the second goes."""
-    s = view(spark, sf_dir, "sites")
-    line = F.format_string("1 %s 0 %.6f %.6f", "ident", "lat", "lon")
-    plans = s.groupBy(lot().alias("plan")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.concat(line, F.lit("\n"), line).alias("l")))), lambda x: x["l"]), "\n").alias("value"))
-    path = shared_dir(plans, "fms")
-    plans.write.partitionBy("plan").text(path)
-    return readers.read_flight_plan(spark, path).select("ident", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+#: Sites of a plan in the formats that hold many plans a file.
+SHORT = 4
 
 
-@query(cte("frames") + "SELECT run, count(*) AS n, round(sum(frame_ms), 3) AS total FROM frames WHERE seq%50 <> 7 GROUP BY run")
+@query(cte("sites") + f""", k AS (SELECT *, unnest(['fms', 'json', 'xml']) AS form FROM sites), p AS (SELECT *, id//(CASE form WHEN 'fms' THEN {LOT} ELSE {SHORT} END) AS plan FROM k)
+SELECT form, CAST(row_number() OVER w - 1 AS INT) AS pos, ident, round(lat, 4) AS lat, round(lon, 4) AS lon, first_value(ident) OVER w AS first, last_value(ident) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM p WINDOW w AS (PARTITION BY form, plan ORDER BY id)""")
+def src10_read_flight_plan(spark, sf_dir):
+    """Every site in plans of three formats, each point named twice in a row; the second goes."""
+    s = view(spark, sf_dir, "sites")
+    points = F.transform(F.sort_array(F.collect_list(F.struct("id", "ident", "name", "lat", "lon"))), lambda x: x)
+    twice = lambda row: F.flatten(F.transform("p", lambda x: F.array(row(x), row(x))))
+    end = lambda i: F.element_at("p", i)
+
+    fms = s.groupBy(lot().alias("plan")).agg(points.alias("p"))
+    head = F.concat(F.lit("I\n1100 Version\nADEP "), end(1)["ident"], F.lit("\nADES "), end(-1)["ident"])
+    rows = twice(lambda x: F.format_string("1 %s ADEP 0.000000 %.6f %.6f", x["ident"], x["lat"], x["lon"]))
+    texts = fms.select(F.concat(head, F.lit("\n"), F.array_join(rows, "\n")).alias("value"))
+    path = shared_dir(s, "plans")
+    texts.write.option("maxRecordsPerFile", 1).text(f"{path}/fms")  # a plan a file
+
+    short = s.groupBy(F.floor(F.col("id") / SHORT).alias("plan")).agg(points.alias("p"))
+    place = lambda x, code: F.struct(x["ident"].alias(code), x["name"].alias("name"), x["lat"].cast("string").alias("pos_lat"), x["lon"].cast("string").alias("pos_long"))
+    short.select(place(end(1), "icao_code").alias("origin"), place(end(-1), "icao_code").alias("destination"), F.struct(twice(lambda x: place(x, "ident")).alias("fix")).alias("navlog")).write.json(f"{path}/json")
+    spot = twice(lambda x: F.format_string('<Waypoint><Ident>%s</Ident><Name>%s</Name><Pos Lon="%.6f" Lat="%.6f" Alt="0"/></Waypoint>', x["ident"], x["name"], x["lon"], x["lat"]))
+    plans = short.select(F.floor(F.col("plan") * SHORT / LOT).alias("lot"), F.concat(F.lit("<Flightplan><Waypoints>"), F.array_join(spot, ""), F.lit("</Waypoints></Flightplan>")).alias("value"))
+    whole = plans.groupBy("lot").agg(F.concat(F.lit("<plans>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</plans>")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/xml")  # a document a file
+
+    read = lambda kind: readers.read_flight_plan(spark, f"{path}/{kind}", kind, lines=True).select(F.lit(kind).alias("form"), "pos", "ident", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "first", "last")
+    return read("fms").union(read("json")).union(read("xml"))
+
+
+@query(cte("frames") + """SELECT 'frames' AS part, run, count(*) AS n, round(sum(frame_ms), 3) AS total FROM frames WHERE seq%50 <> 7 GROUP BY run
+UNION ALL SELECT 'system', run, count(*), round(sum(seq*3.0e0), 3) FROM frames WHERE seq%50 <> 7 GROUP BY run
+UNION ALL SELECT 'threads', run, count(*), round(sum(frame_ms), 3) FROM frames WHERE seq%50 <> 7 GROUP BY run""")
 def src11_read_telemetry(spark, sf_dir):
-    """CSV with a broken row in fifty; the reader drops it."""
+    """Frames, system and thread tables as CSV with a broken row in fifty, which the readers drop."""
     f = view(spark, sf_dir, "frames")
     path = shared_dir(f, "csv")
-    f.select("run", "seq", F.when(F.expr("seq%50 = 7"), "broken").otherwise(F.col("frame_ms").cast("string")).alias("frame_ms")).write.csv(path, header=True)
-    t = readers.read_telemetry(spark, path, "run bigint, seq bigint, frame_ms double")
-    return t.select("run", "frame_ms", "seq").groupBy("run").agg(F.count("frame_ms").alias("n"), F.round(F.sum("frame_ms"), 3).alias("total"))
+    ms = F.when(F.expr("seq%50 = 7"), "broken").otherwise(F.col("frame_ms").cast("string"))
+    f.select("run", "seq", ms.alias("frame_ms")).write.csv(f"{path}/frames", header=True)
+    disks = F.when(F.expr("seq%50 = 7"), "a=").otherwise(F.format_string("a=%d;b=%d", F.col("seq"), F.col("seq") * 2))
+    f.select("run", *(F.lit("1.5").alias(c) for c in readers.SYSTEM[1:5]), F.lit("7").alias("net_in"), disks.alias("disks")).write.csv(f"{path}/system", header=True)
+    f.select("path_s", F.col("run").alias("thread"), F.lit("main").alias("name"), ms.alias("cpu_s"), F.lit("R").alias("state")).write.csv(f"{path}/threads", header=True)
+    frames = readers.read_telemetry(spark, f"{path}/frames", "run bigint, seq bigint, frame_ms double").select("run", "frame_ms")
+    system = readers.read_system(spark, f"{path}/system").select(F.col("wall").cast("bigint"), (F.col("disks")["a"] + F.col("disks")["b"]).cast("double"))
+    threads = readers.read_threads(spark, f"{path}/threads").select(F.col("thread").cast("bigint"), "cpu_s")
+    part = lambda name, t: t.toDF("run", "v").groupBy(F.lit(name).alias("part"), "run").agg(F.count("v").alias("n"), F.round(F.sum("v"), 3).alias("total"))
+    return part("frames", frames).union(part("system", system)).union(part("threads", threads))
 
 
 @query(cte("loads") + "SELECT CASE event_type WHEN 'signup' THEN 'mark' WHEN 'error' THEN 'end' ELSE 'tile' END AS kind, count(*) AS n, CAST(sum(CASE WHEN event_type NOT IN ('signup', 'error') THEN tlat END) AS BIGINT) AS lats FROM loads GROUP BY 1")
@@ -191,13 +221,20 @@ def src15_read_mesh(spark, sf_dir):
     return spark.read.parquet(path).where("tile IN (2, 5)").groupBy(F.col("tile").cast("long").alias("tile")).agg(F.count("*").alias("n"), F.sum("attr").alias("attrs"))
 
 
-@query(cte("artifacts") + "SELECT rule, count(*) AS n, sum(params) AS params FROM artifacts GROUP BY rule")
+@query(cte("artifacts", "edges") + "SELECT rule, count(*) AS n, sum(params) AS params, count(parent) AS made_of, sum(parent) AS parents, count(*) FILTER (key%101 = 0) AS pinned FROM artifacts LEFT JOIN edges ON child = key GROUP BY rule")
 def src16_read_artifact_index(spark, sf_dir):
-    a = view(spark, sf_dir, "artifacts").select("key", F.to_json(F.struct("rule", "version", "params")).alias("recipe"))
+    """Artifacts, what each was made of, and pins, written as an index and read back; the three are joined by key."""
+    a = view(spark, sf_dir, "artifacts")
     path = shared_dir(a, "index")
-    a.write.json(path)
-    r = spark.read.schema("key bigint, recipe string").json(path).select(F.from_json("recipe", "rule string, version bigint, params bigint").alias("r"))
-    return r.groupBy("r.rule").agg(F.count("*").alias("n"), F.sum("r.params").alias("params"))
+    recipe = F.to_json(F.struct(F.struct("params", "version").alias("params")))
+    a.select("key", "rule", "version", "size", F.col("created_at").cast("string").alias("created_at"), recipe.alias("recipe")).write.json(f"{path}/artifacts")
+    view(spark, sf_dir, "edges").select("child", F.lit("base").alias("name"), F.col("parent").alias("parent_key")).write.json(f"{path}/edges")
+    a.where("key%101 = 0").select(F.concat(F.lit("tile-"), F.col("key").cast("string")).alias("name"), "key", F.col("created_at").cast("string").alias("pinned_at")).write.json(f"{path}/pins")
+    t = readers.read_artifact_index(spark, path)
+    made = t["edges"].groupBy(F.col("child").alias("key")).agg(F.count("parent_key").alias("k"), F.sum("parent_key").alias("p"))
+    kept = t["pins"].select("key", F.lit(1).alias("pin")).distinct()
+    j = t["artifacts"].join(made, "key", "left").join(kept, "key", "left")
+    return j.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("params")["params"].cast("bigint")).alias("params"), F.sum("k").alias("made_of"), F.sum("p").alias("parents"), F.count("pin").alias("pinned"))
 
 
 @query(cte("chunks") + "SELECT DISTINCT x//512 AS tile, provider AS layer FROM chunks")

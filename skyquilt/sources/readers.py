@@ -97,22 +97,105 @@ def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     return t.where(F.size("p") == 2).select("file", F.get("p", 0).alias("key"), F.get("p", 1).alias("value"))
 
 
-def read_flight_plan(spark: SparkSession, path: str) -> DataFrame:
-    """Points of FMS text plans (``code ident ... lat lon``), no point twice in a row."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    p = lines.withColumn("f", F.split(F.trim("line"), r"\s+")).where(F.size("f") == 5)
-    p = p.select("file", "n", F.get("f", 1).alias("ident"), F.get("f", 3).cast("double").alias("lat"), F.get("f", 4).cast("double").alias("lon"))
-    w = Window.partitionBy("file").orderBy("n")
-    same = F.lag("lat").over(w).eqNullSafe(F.col("lat")) & F.lag("lon").over(w).eqNullSafe(F.col("lon"))
-    return p.withColumn("same", same).where("NOT same").drop("same")
+# What marks a point in a text plan.
+POINT_TYPES = ["1", "2", "3", "11", "13", "28"]
+POINT = "struct<ident:string,name:string,lat:double,lon:double>"
+
+
+def _point(ident, name, lat, lon):
+    """A point of a plan, null if its place is none on earth."""
+    lat, lon = (v.try_cast("double") for v in (lat, lon))
+    code = F.coalesce(F.nullif(F.left(F.upper(F.trim(ident)), F.lit(8)), F.lit("")), F.lit("?"))
+    made = F.struct(code.alias("ident"), F.left(F.trim(F.coalesce(name, F.lit(""))), F.lit(60)).alias("name"), lat.alias("lat"), lon.alias("lon"))
+    return F.when(lat.between(-90, 90) & lon.between(-180, 180), made)
+
+
+def _route(plans: DataFrame) -> DataFrame:
+    """plan, points, first, last to a row a point: no point twice in a row, the ends named by the plan or by its points."""
+    at = lambda p: F.struct(p["lat"], p["lon"])
+    plans = plans.withColumn("points", F.filter("points", lambda p: p.isNotNull()))
+    kept = F.filter("points", lambda p, i: (i == 0) | (at(p) != at(F.get("points", i - 1))))
+    plans = plans.withColumn("points", kept)
+    end = lambda given, i: F.coalesce(F.nullif(F.left(F.upper(F.trim(given)), F.lit(8)), F.lit("")), F.get("points", i)["ident"])
+    named = plans.select("plan", end("first", F.lit(0)).alias("first"), end("last", F.size("points") - 1).alias("last"), F.posexplode("points").alias("pos", "p"))
+    return named.select("plan", "pos", "p.*", "first", "last")
+
+
+def read_flight_plan(spark: SparkSession, path: str, kind: str = "fms", lines: bool = False) -> DataFrame:
+    """Points of route plans: plan, pos, ident, name, lat, lon, first, last; no point twice in a row.
+
+    ``kind``: ``fms`` text (two head lines, ends by name, points ``type ident ... lat lon``; one plan a file),
+    ``xml`` waypoints (any number of plans a file), or ``json`` with a navigation log between an origin and a
+    destination (one plan a file, or with ``lines`` a line). A point without a place on earth is left out.
+    """
+    if kind == "xml":
+        place = "Waypoint array<struct<Ident:string,Name:string,Pos:struct<_Lat:string,_Lon:string>>>"
+        raw = spark.read.format("xml").option("rowTag", "Flightplan").schema(f"Waypoints struct<{place.replace(' ', ':', 1)}>").load(path)
+        made = F.transform("Waypoints.Waypoint", lambda w: _point(w["Ident"], w["Name"], w["Pos"]["_Lat"], w["Pos"]["_Lon"]))
+        return _route(raw.select(F.monotonically_increasing_id().alias("plan"), made.alias("points"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last")))
+    if kind == "json":
+        end = "struct<icao_code:string,iata_code:string,name:string,pos_lat:string,pos_long:string>"
+        raw = spark.read.schema(f"origin {end}, destination {end}, navlog struct<fix:string>").json(path, multiLine=not lines)
+        log = F.when(F.col("navlog.fix").startswith("{"), F.concat(F.lit("["), F.col("navlog.fix"), F.lit("]"))).otherwise(F.col("navlog.fix"))
+        fixes = F.coalesce(F.from_json(log, "array<struct<ident:string,name:string,pos_lat:string,pos_long:string>>"), F.array().cast("array<struct<ident:string,name:string,pos_lat:string,pos_long:string>>"))
+        code = lambda e: F.coalesce(F.col(f"{e}.icao_code"), F.col(f"{e}.iata_code"))
+        ends = [_point(code(e), F.col(f"{e}.name"), F.col(f"{e}.pos_lat"), F.col(f"{e}.pos_long")) for e in ("origin", "destination")]
+        made = F.concat(F.array(ends[0]), F.transform(fixes, lambda f: _point(f["ident"], f["name"], f["pos_lat"], f["pos_long"])), F.array(ends[1]))
+        return _route(raw.select(F.monotonically_increasing_id().alias("plan"), made.alias("points"), code("origin").alias("first"), code("destination").alias("last")))
+    raw = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("line"))
+    words = F.filter(F.transform("line", lambda v: F.split(F.trim(v), r"\s+")), lambda w: F.get(w, F.lit(0)) != "")
+    raw = raw.select(F.monotonically_increasing_id().alias("plan"), words.alias("w")).where(F.left(F.get(F.get("w", 0), 0), F.lit(1)).isin("I", "A") & F.get(F.get("w", 1), 0).rlike(r"^\d"))
+    body = F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0)))
+    end = lambda k: F.get(F.get(F.filter(body, lambda w: (F.get(w, F.lit(0)) == k) & (F.size(w) >= 2)), F.lit(0)), F.lit(1))
+    spots = F.filter(body, lambda w: F.get(w, F.lit(0)).isin(POINT_TYPES) & (F.size(w) >= 5))
+    made = F.transform(spots, lambda w: _point(F.get(w, F.lit(1)), F.lit(""), F.element_at(w, -2), F.element_at(w, -1)))
+    return _route(raw.select("plan", made.alias("points"), end("ADEP").alias("first"), end("ADES").alias("last")))
 
 
 FRAMES = "run_s double, path_s double, frame_ms double, lat double, lon double, ele_m double, state int"
+# Columns of the system table, those that each row must have and those that came later.
+SYSTEM = ["wall", "xplane_rss_mb", "xplane_cpu_s", "streamer_rss_mb", "streamer_cpu_s", "net_in", "disks"]
+SYSTEM_LATER = ["xplane_footprint_mb", "xplane_read_mb", "xplane_pageins", "mem_free_pct", "pressure", "compressed_mb", "swapped_mb", "heat"]
 
 
 def read_telemetry(spark: SparkSession, path: str, schema: str = FRAMES) -> DataFrame:
-    """CSV by an explicit schema; malformed rows go, late columns are null."""
-    return spark.read.schema(schema).csv(path, header=True, mode="DROPMALFORMED")
+    """CSV by an explicit schema; malformed rows go, whichever columns are asked for."""
+    return spark.read.schema(schema).option("columnPruning", False).csv(path, header=True, mode="DROPMALFORMED")
+
+
+def _texts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    return spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path, header=True)
+
+
+def read_system(spark: SparkSession, path: str) -> DataFrame:
+    """System samples: ``disks`` (``name=bytes;...``) as a map; a row without its first columns goes, later ones may be null."""
+    t = _texts(spark, path, SYSTEM + SYSTEM_LATER)
+    numbers = [F.col(c).try_cast("bigint" if c == "net_in" else "double").alias(c) for c in SYSTEM if c != "disks"]
+    parts = F.filter(F.split("disks", ";"), lambda d: d != "")
+    halves = lambda d, i: F.get(F.split(d, "="), F.lit(i))
+    whole = F.forall(parts, lambda d: (F.size(F.split(d, "=")) == 2) & halves(d, 1).try_cast("bigint").isNotNull())
+    disks = F.when(whole, F.map_from_entries(F.transform(parts, lambda d: F.struct(halves(d, 0), halves(d, 1).try_cast("bigint")))))
+    out = t.select(*numbers, disks.alias("disks"), *(F.col(c).try_cast("double").alias(c) for c in SYSTEM_LATER))
+    return out.dropna(subset=SYSTEM)
+
+
+def read_threads(spark: SparkSession, path: str) -> DataFrame:
+    """Thread samples: wall, thread, name, cpu_s, state; rows without a time or a count of seconds go."""
+    t = _texts(spark, path, ["wall", "thread", "name", "cpu_s", "state"])
+    text = lambda c, other: F.coalesce(c, F.lit(other)).alias(c)
+    out = t.select(F.col("wall").try_cast("double").alias("wall"), text("thread", "?"), "name", F.col("cpu_s").try_cast("double").alias("cpu_s"), text("state", ""))
+    return out.dropna(subset=["wall", "cpu_s"])
+
+
+def read_artifact_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Artifacts with what their recipe says, edges to what each was made of, and pins; folders of JSON lines."""
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    a = read("artifacts", "key bigint, rule string, version bigint, size bigint, created_at string, recipe string")
+    return {
+        "artifacts": a.withColumn("params", F.coalesce(F.from_json("recipe", "params map<string,string>")["params"], F.create_map().cast("map<string,string>"))),
+        "edges": read("edges", "child bigint, name string, parent_key bigint"),
+        "pins": read("pins", "name string, key bigint, pinned_at string"),
+    }
 
 
 def read_sim_log(spark: SparkSession, path: str) -> DataFrame:
