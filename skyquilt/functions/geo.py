@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 EARTH_KM, MERCATOR_M, TEXTURE_TILES = 6371.0088, 6378137.0, 16
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
 RINGS_ZL16_KM = {3: 81.4, 2: 42.9, 1: 23.7, 0: 13.6}
-MARGIN, LOAD_LEVEL, MIN_LEVEL, MAX_SCALE, WIDTH_PX, FOV_DEG = 1.11, 4, -1, 4.0, 2704.0, 65.0
+MARGIN, LOAD_LEVEL, LOAD_KM, MIN_LEVEL, MAX_SCALE, WIDTH_PX, FOV_DEG = 1.11, 4, 230.0, -1, 4.0, 2704.0, 65.0
 TROPICS = 23.44
 
 

@@ -11,7 +11,7 @@ from ..operators.joins import as_of
 from ..registry import query
 
 # Counters sampled by run, phases between marks, and processes.
-VIEWS["samples"] = ("events", ["user_id AS run", "ts", "event_id", "CAST(floor(value*10) AS BIGINT) AS cpu", "CAST(event_id%5000 AS BIGINT) AS mem", "concat('t', CAST(event_id%4 AS VARCHAR(4))) AS thread"])
+VIEWS["samples"] = ("events", ["user_id AS run", "ts", "event_id", "CAST(floor(value*10) AS BIGINT) AS cpu", "CAST(event_id%5000 AS BIGINT) AS mem", "concat('t', CAST(event_id%4 AS VARCHAR(4))) AS thread", "concat('a=', CAST(CAST(floor(value*3000) AS BIGINT) AS VARCHAR(20)), ';b=', CAST(event_id*1000000 AS VARCHAR(20))) AS disks"])
 ORDERED = "PARTITION BY run ORDER BY ts, event_id"
 
 
@@ -19,17 +19,26 @@ def _w(*by: str):
     return Window.partitionBy(*by).orderBy("ts", "event_id")
 
 
-@query(cte("frames") + ", r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY frame_ms, seq)-1 AS i, count(*) OVER (PARTITION BY run) AS n FROM frames WHERE state = 2) SELECT run, count(*) AS frames, round(sum(frame_ms)/1000, 5) AS seconds, round(avg(frame_ms), 4) AS mean, max(frame_ms) FILTER (i = n//2) AS p50, max(frame_ms) FILTER (i = CAST(floor(n*0.99e0) AS BIGINT)) AS p99, max(frame_ms) AS most, count(*) FILTER (frame_ms > 50) AS over_50, count(*) FILTER (frame_ms > 100) AS over_100 FROM r GROUP BY run")
+@query(cte("frames") + ", r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY frame_ms, seq)-1 AS i, count(*) OVER (PARTITION BY run) AS n FROM frames WHERE state = 2) SELECT run, count(*) AS frames, round(sum(frame_ms)/1000, 5) AS seconds, round(avg(frame_ms), 4) AS mean, max(frame_ms) FILTER (i = n//2) AS p50, max(frame_ms) FILTER (i = CAST(floor(n*0.99e0) AS BIGINT)) AS p99, max(frame_ms) AS most, count(*) FILTER (frame_ms > 50) AS over_50, count(*) FILTER (frame_ms > 100) AS over_100, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY i DESC) FILTER (i >= n-5) AS worst FROM r GROUP BY run")
 def ag15_frame_stats(spark, sf_dir):
-    """Percentiles are rows at an index of the sorted frames, not interpolated."""
+    """Percentiles are values at an index of the sorted frames, not interpolated, from counts of equal values; the worst
+    five are taken by part of a run, then of the parts' worst."""
     f = view(spark, sf_dir, "frames").where("state = 2")
     run = Window.partitionBy("run")
-    r = f.withColumn("i", F.row_number().over(run.orderBy("frame_ms", "seq")) - 1).withColumn("n", F.count("*").over(run))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("frame_ms")))
-    return r.groupBy("run").agg(
-        F.count("*").alias("frames"), F.round(F.sum("frame_ms") / 1000, 5).alias("seconds"), F.round(F.avg("frame_ms"), 4).alias("mean"), at(F.expr("n div 2")).alias("p50"), at(F.floor(F.col("n") * 0.99)).alias("p99"),
-        F.max("frame_ms").alias("most"), F.count_if(F.col("frame_ms") > 50).alias("over_50"), F.count_if(F.col("frame_ms") > 100).alias("over_100"),
+    r = f.groupBy("run", "frame_ms").agg(F.count("*").alias("k"))
+    r = r.withColumn("n", F.sum("k").over(run)).withColumn("upto", F.sum("k").over(run.orderBy("frame_ms").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("frame_ms")))
+    total = F.sum(F.col("frame_ms") * F.col("k"))
+    over = lambda ms: F.coalesce(F.sum(F.when(F.col("frame_ms") > ms, F.col("k"))), F.lit(0))
+    stats = r.groupBy("run").agg(
+        F.max("n").alias("frames"), F.round(total / 1000, 5).alias("seconds"), F.round(total / F.max("n"), 4).alias("mean"), at(F.expr("n div 2")).alias("p50"), at(F.floor(F.col("n") * 0.99)).alias("p99"),
+        F.max("frame_ms").alias("most"), over(50).alias("over_50"), over(100).alias("over_100"),
     )
+    part = f.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(16)))
+    top = part.withColumn("i", F.row_number().over(Window.partitionBy("run", "part").orderBy(F.desc("frame_ms"), F.desc("seq")))).where("i <= 5")
+    five = F.slice(F.sort_array(F.collect_list(F.struct("frame_ms", "seq")), asc=False), 1, 5)
+    worst = top.groupBy("run").agg(F.array_join(F.transform(five, lambda w: w["seq"].cast("string")), ",").alias("worst"))
+    return stats.join(worst, "run")
 
 
 @query(cte("frames") + "SELECT run, seq FROM frames f WHERE NOT EXISTS (SELECT 1 FROM frames s WHERE s.state = 1 AND s.seq%20 = 0 AND s.run = f.run AND f.path_s BETWEEN s.path_s AND s.path_s+1)")
@@ -93,11 +102,24 @@ def jn12_nearest_sample(spark, sf_dir):
     return as_of(marks, own, "run", "ts", ["sample", "cpu"]).where("sample IS NOT NULL").select("run", "mark", "sample", "cpu")
 
 
-@query(cte("samples") + ", p AS (SELECT run, CAST(event_id//1000 AS BIGINT) AS phase, ts, event_id, cpu, mem FROM samples), e AS (SELECT run, phase, arg_min(cpu, struct_pack(a := ts, b := event_id)) AS a, arg_max(cpu, struct_pack(a := ts, b := event_id)) AS b, max(mem) AS most, count(*) AS n FROM p GROUP BY ALL) SELECT run, phase, b - a AS cpu, most, n FROM e")
+@query(cte("samples") + """, p AS (SELECT run, CAST(event_id//1000 AS BIGINT) AS phase, ts, event_id, cpu, mem, disks FROM samples),
+e AS (SELECT run, phase, arg_min(cpu, struct_pack(a := ts, b := event_id)) AS a, arg_max(cpu, struct_pack(a := ts, b := event_id)) AS b, arg_min(disks, struct_pack(a := ts, b := event_id)) AS da, arg_max(disks, struct_pack(a := ts, b := event_id)) AS db, epoch(max(ts)) - epoch(min(ts)) AS span, list_sort(list(mem))[count(*)//2 + 1] AS median, max(mem) AS most, count(*) AS n FROM p GROUP BY ALL),
+x AS (SELECT *, unnest(['a', 'b']) AS disk FROM e)
+SELECT run, phase, disk, b - a AS cpu, round((b - a)/greatest(span, 1e-9), 6) + 0e0 AS cores, median, most, n, (CAST(regexp_extract(db, disk || '=(-?[0-9]+)', 1) AS BIGINT) - CAST(regexp_extract(da, disk || '=(-?[0-9]+)', 1) AS BIGINT))/1e9 + 0e0 AS gb FROM x""")
 def ag16_phase_costs(spark, sf_dir):
-    """By phase: the counter's change from its first sample to its last, and the most memory."""
-    p = view(spark, sf_dir, "samples").withColumn("phase", F.expr("event_id div 1000")).withColumn("k", F.struct("ts", "event_id"))
-    return p.groupBy("run", "phase").agg((F.max_by("cpu", "k") - F.min_by("cpu", "k")).alias("cpu"), F.max("mem").alias("most"), F.count("*").alias("n"))
+    """By phase and disk: the counters' change from the first sample to the last, cores, median and most memory.
+    Samples of equal memory are summed up before the window that finds the median."""
+    p = view(spark, sf_dir, "samples").withColumn("phase", F.expr("event_id div 1000"))
+    sample = F.struct("ts", "event_id", "cpu", "disks")
+    m = p.groupBy("run", "phase", "mem").agg(F.count("*").alias("k"), F.min(sample).alias("a"), F.max(sample).alias("b"))
+    own = Window.partitionBy("run", "phase")
+    m = m.withColumn("n", F.sum("k").over(own)).withColumn("upto", F.sum("k").over(own.orderBy("mem").rowsBetween(Window.unboundedPreceding, 0)))
+    g = m.groupBy("run", "phase").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min(F.when(F.expr("upto > n div 2"), F.col("mem"))).alias("median"), F.max("mem").alias("most"), F.max("n").alias("n"))
+    micros = lambda side: F.unix_micros(F.col(f"{side}.ts").cast("timestamp"))
+    cpu, span = F.col("b.cpu") - F.col("a.cpu"), F.greatest((micros("b") - micros("a")) / 1e6, F.lit(1e-9))
+    disks = lambda side: F.str_to_map(f"{side}.disks", F.lit(";"), F.lit("="))
+    g = g.select("run", "phase", cpu.alias("cpu"), F.round(cpu / span, 6).alias("cores"), "median", "most", "n", disks("a").alias("before"), F.explode(disks("b")).alias("disk", "after"))
+    return g.select("run", "phase", "disk", "cpu", "cores", "median", "most", "n", ((F.col("after").cast("long") - F.col("before")[F.col("disk")].cast("long")) / 1e9).alias("gb")).where("gb IS NOT NULL")
 
 
 @query(cte("samples") + ", d AS (SELECT run, thread, event_id%7 < 2 AS loading, cpu - lag(cpu) OVER (PARTITION BY run, thread ORDER BY ts, event_id) AS dc FROM samples), g AS (SELECT run, thread, sum(dc) FILTER (loading) AS inside, sum(dc) FILTER (NOT loading) AS outside FROM d GROUP BY ALL) SELECT run, thread, inside, outside, rn FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY inside DESC NULLS LAST, thread) AS rn FROM g) WHERE rn <= 2")

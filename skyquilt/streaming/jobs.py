@@ -175,13 +175,48 @@ def nothing_came(state: dict) -> dict | None:
     return {"event_id": state["last"], "before": state["n"], "how": "elsewhere"}
 
 
-def level_work(fixes: DataFrame, index: DataFrame, reach_deg: int = 1) -> DataFrame:
-    """Stream-static join: each fix with the textures of the squares round it that need a sharper level.
+#: Microseconds of silence that end a session of loads.
+SESSION_US = 3_600_000_000
 
-    ``index``: tlat, tlon, name, level. A fix names the nine squares in reach, so the join is on equal keys.
+
+def _closed(state: dict, how: str) -> dict:
+    return {"start": pd.Timestamp(state.pop("start") * 1000), "n": state.pop("n"), "how": how}
+
+
+def load_session(state: dict, row: dict) -> dict | None:
+    """Loads as sessions, which an end mark or an hour's silence closes; a mark with nothing open says nothing."""
+    now, out = row["ts"].value // 1000, None
+    if "start" in state and now - state["last"] >= SESSION_US:
+        out = _closed(state, "silence")
+    if row["event_type"] == "error":
+        state["due"] = None
+        return _closed(state, "mark") if "start" in state else out
+    state.setdefault("start", now)
+    state["n"], state["last"], state["due"] = state.get("n", 0) + 1, now, (now + SESSION_US) // 1000
+    return out
+
+
+def no_more_loads(state: dict) -> dict | None:
+    return _closed(state, "silence") if "start" in state else None
+
+
+#: Within this distance every texture has a level, the coarsest at least.
+REACH_KM = 300.0
+
+
+def level_work(fixes: DataFrame, index: DataFrame, reach_km: float = REACH_KM) -> DataFrame:
+    """Stream-static join: each fix with the textures in reach that need a sharper level, and how urgent each is.
+
+    ``index``: tlat, tlon, name, level, and the texture's own ty, tx. A fix names the squares in reach, by its
+    latitude, so the join is on equal keys. Urgency is the distance to the ring in which the level is read:
+    below zero inside it.
     """
-    near = F.sequence(F.lit(-reach_deg), F.lit(reach_deg))
-    f = fixes.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).select("*", (F.floor("lat") + F.col("dy")).alias("tlat"), (F.floor("lon") + F.col("dx")).alias("tlon"))
-    d = geo.haversine_km("lat", "lon", F.col("tlat") + 0.5, F.col("tlon") + 0.5)
-    j = f.join(index, ["tlat", "tlon"]).withColumn("want", geo.top_level_for(d, F.lit(16), F.lit(0))).where("want < level")
-    return j.select("aircraft", "event_id", "name", "want", F.round(d, 3).alias("km"))
+    from ..plans.planning import tiles_near
+
+    d = geo.haversine_km("lat", "lon", "ty", "tx")
+    want = geo.top_level_for(F.col("km"), F.lit(16), F.lit(0))
+    j = tiles_near(fixes, reach_km).join(index, ["tlat", "tlon"]).withColumn("km", d).where(F.col("km") <= reach_km)
+    j = j.withColumn("want", want).where("want < level")
+    rings = (F.when(F.col("want") == n, geo.ring_km(n, F.lit(16)) * geo.MARGIN) for n in range(geo.LOAD_LEVEL))
+    ring = F.coalesce(*rings, F.lit(geo.LOAD_KM))
+    return j.select("aircraft", "event_id", "name", "want", F.round("km", 3).alias("km"), F.round(F.col("km") - ring, 3).alias("urgency"))

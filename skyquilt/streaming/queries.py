@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, view
-from ..functions import geo
-from ..plans.planning import ROUTE, _leg_sql, leg_km
-from ..registry import query
+from ..functions import geo, tables
+from ..plans.planning import ROUTE, STEP_KM, _leg_sql, leg_km, legs
+from ..registry import ORACLES, query
 from . import jobs
 
 F_ = cte("fixes")
@@ -29,14 +29,16 @@ def machine(spark, sf_dir, step, schema, silent=None):
     return jobs.drained(jobs.stateful(fix_stream(spark, sf_dir), step, "aircraft long, event_id long, " + schema, COLUMNS, silent), step.__name__)
 
 
-INDEX = ", idx AS (SELECT CAST(floor(lat) AS BIGINT) AS tlat, CAST(floor(lon) AS BIGINT) AS tlon, 't'||min(id) AS name, CAST(min(id)%5 AS INT) AS level FROM points GROUP BY 1, 2) "
+INDEX = ", idx AS (SELECT CAST(floor(lat) AS BIGINT) AS tlat, CAST(floor(lon) AS BIGINT) AS tlon, 't'||min(id) AS name, CAST(min(id)%7 AS INT) AS level FROM points GROUP BY 1, 2) "
 
 
-@query(cte("fixes", "points") + INDEX + """, j AS (SELECT aircraft, event_id, name, level, 2*6371.0088*asin(least(1, sqrt(sin(radians(tlat+0.5e0-lat)/2)^2 + cos(radians(lat))*cos(radians(tlat+0.5e0))*sin(radians(tlon+0.5e0-lon)/2)^2))) AS km FROM fixes JOIN idx ON abs(tlat-floor(lat)) <= 1 AND abs(tlon-floor(lon)) <= 1)
-SELECT aircraft, event_id, name, want, round(km, 3) AS km FROM (SELECT *, CAST(CASE WHEN km <= 13.6*1.11 THEN 0 WHEN km <= 23.7*1.11 THEN 1 WHEN km <= 42.9*1.11 THEN 2 WHEN km <= 81.4*1.11 THEN 3 ELSE 4 END AS INT) AS want FROM j) WHERE want < level""")
+@query(cte("fixes", "points") + INDEX + f""", j AS (SELECT aircraft, event_id, name, level, 2*6371.0088*asin(least(1, sqrt(sin(radians(tlat+0.5e0-lat)/2)^2 + cos(radians(lat))*cos(radians(tlat+0.5e0))*sin(radians(tlon+0.5e0-lon)/2)^2))) AS km FROM fixes JOIN idx ON abs(tlat+0.5e0-lat) <= 3 AND (abs(tlon+0.5e0-lon) <= 6 OR abs(tlon+0.5e0-lon) >= 354)),
+w AS (SELECT *, CAST(CASE WHEN km <= 13.6*1.11 THEN 0 WHEN km <= 23.7*1.11 THEN 1 WHEN km <= 42.9*1.11 THEN 2 WHEN km <= 81.4*1.11 THEN 3 ELSE 4 END AS INT) AS want FROM j WHERE km <= 300)
+SELECT aircraft, event_id, name, want, round(km, 3) AS km, round(km - CASE want WHEN 0 THEN 13.6e0*1.11e0 WHEN 1 THEN 23.7e0*1.11e0 WHEN 2 THEN 42.9e0*1.11e0 WHEN 3 THEN 81.4e0*1.11e0 ELSE {geo.LOAD_KM}e0 END, 3) AS urgency FROM w WHERE want < level""")
 def sm1_plan_stream(spark, sf_dir):
+    """Fixes against an index of one texture a square, as its middle."""
     p = view(spark, sf_dir, "points").groupBy(F.floor("lat").alias("tlat"), F.floor("lon").alias("tlon")).agg(F.min("id").alias("id"))
-    index = p.select("tlat", "tlon", F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.expr("int(id%5)").alias("level"))
+    index = p.select("tlat", "tlon", F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.expr("int(id%7)").alias("level"), (F.col("tlat") + 0.5).alias("ty"), (F.col("tlon") + 0.5).alias("tx"))
     return jobs.drained(jobs.level_work(fix_stream(spark, sf_dir), index), "plan")
 
 
@@ -87,12 +89,15 @@ def sm9_seen_state(spark, sf_dir):
     return jobs.drained(s, "seen", "complete")
 
 
-@query(cte("loads") + ", g AS (SELECT run, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY run ORDER BY ts), ts) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM loads), s AS (SELECT run, ts, sum(fresh) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT run, min(ts) AS start, count(*) AS n FROM s GROUP BY run, k")
+@query(cte("loads") + """, g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 3600000000 AND lag(event_type) OVER w <> 'error' THEN 0 ELSE 1 END AS fresh FROM loads WINDOW w AS (PARTITION BY run ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+c AS (SELECT run, k, min(ts) FILTER (event_type <> 'error') AS start, max(ts) AS till, count(*) FILTER (event_type <> 'error') AS n, bool_or(event_type = 'error') AS mark, k = max(k) OVER (PARTITION BY run) AS final FROM s GROUP BY run, k)
+SELECT run, start, n, CASE WHEN mark THEN 'mark' ELSE 'silence' END AS how FROM c WHERE n > 0 AND (mark OR NOT final OR epoch_ms(till) + 3600000 <= (SELECT epoch_ms(max(ts)) - 10000 FROM loads))""")
 def sm10_load_sessions(spark, sf_dir):
-    """Loads as sessions that an hour's silence closes."""
-    l = view(spark, sf_dir, "loads").withColumn("ts", F.col("ts").cast("timestamp"))
-    s = jobs.stream_of(l, "loads").withWatermark("ts", jobs.WATERMARK).groupBy("run", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
-    return jobs.drained(s.select("run", F.col("session_window.start").alias("start"), "n"), "sessions", "complete")
+    """Loads as sessions that an end mark or an hour's silence closes; what is still open is not told yet."""
+    l = view(spark, sf_dir, "loads").select(F.col("run").alias("aircraft"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    s = jobs.stateful(jobs.stream_of(l, "loads"), jobs.load_session, "aircraft long, start timestamp, n long, how string", ["ts", "event_type"], jobs.no_more_loads)
+    return jobs.drained(s, "sessions").withColumnRenamed("aircraft", "run")
 
 
 @query(F_ + f"SELECT aircraft, event_id, CASE WHEN d <= 800 THEN round(d, 3) END AS off_km FROM (SELECT aircraft, event_id, least({', '.join(_leg_sql(a, b) for a, b in zip(ROUTE, ROUTE[1:]))}) AS d FROM fixes)")
@@ -164,4 +169,26 @@ def ud4_texture_table_function(spark, sf_dir):
     return t.select(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "id", "t.x", "t.y")
 
 
+def rows_of(spark, table, sql, **functions):
+    """SQL over a table as ``t``, with these table functions registered."""
+    for name, f in functions.items():
+        spark.udtf.register(name, f)
+    return spark.sql(sql, t=table)
+
+
+@query(ORACLES["st2_tiles_touched"])
+def ud4b_tiles_of_box(spark, sf_dir):
+    return rows_of(spark, view(spark, sf_dir, "zones"), "SELECT DISTINCT b.tlat, b.tlon FROM {t} AS z, LATERAL tiles_of_box(z.west, z.south, z.east, z.north) AS b", tiles_of_box=tables.TilesOfBox)
+
+
+@query(ORACLES["ar3_grid_walk"])
+def ud4c_grid_walk(spark, sf_dir):
+    return rows_of(spark, legs(spark, sf_dir), "SELECT l.leg, g.tlat, g.tlon FROM {t} AS l, LATERAL grid_walk(l.lat1, l.lon1, l.lat2, l.lon2) AS g", grid_walk=tables.GridWalk)
+
+
+@query(ORACLES["ar1_great_circle"])
+def ud4d_great_circle(spark, sf_dir):
+    return rows_of(spark, legs(spark, sf_dir), f"SELECT l.leg, g.step, round(g.lat, 4) AS lat, round(g.lon, 4) AS lon FROM {{t}} AS l, LATERAL great_circle(l.lat1, l.lon1, l.lat2, l.lon2, {STEP_KM}D) AS g", great_circle=tables.GreatCircle)
+
+
 assert geo.LOAD_LEVEL == 4

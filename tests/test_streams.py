@@ -47,3 +47,13 @@ def test_cruise_ends_before_the_descent_is_seen():
     assert step(5_600.0, 0.0) is None and step(6_000.0, -10.0) is None  # 204 s before 13,000 ft: too late to begin
     assert step(6_000.0, 0.0)["cruising"] is True
     assert step(6_000.0, -10.0) is None and step(6_000.0, -12.0)["cruising"] is False
+
+
+def test_loads_as_sessions(spark):
+    kind = "aircraft long, ts timestamp, event_id long, event_type string"
+    own = [(1, 0, "view"), (1, 60, "view"), (1, 90, "error"), (1, 95, "error"), (1, 100, "view"), (1, 3700, "view"), (2, 0, "error"), (2, 5, "view"), (3, 20_000, "view")]
+    rows = [(a, T0 + datetime.timedelta(seconds=s), i, e) for i, (a, s, e) in enumerate(own)]
+    stream = jobs.stream_of(spark.createDataFrame(rows, kind), "test-loads")
+    out = jobs.stateful(stream, jobs.load_session, "aircraft long, start timestamp, n long, how string", ["ts", "event_type"], jobs.no_more_loads)
+    got = sorted((r.aircraft, int((r.start - T0).total_seconds()), r.n, r.how) for r in jobs.drained(out, "test-loads").collect())
+    assert got == [(1, 0, 2, "mark"), (1, 100, 1, "silence"), (1, 3700, 1, "silence"), (2, 5, 1, "silence")]
