@@ -138,7 +138,7 @@ def snk3_write_library(spark, sf_dir):
 
 @query(A + "SELECT params%180-90 AS tlat, params%90 AS tlon, string_agg(key, ',' ORDER BY key) AS patches FROM artifacts WHERE key%9 = 0 GROUP BY ALL")
 def ag49_patched_tiles(spark, sf_dir):
-    """Patch files by the tile that their path names."""
+    """Patch files by the tile that their path names; one artefact in nine is a patch in the test view (``key%9 = 0``)."""
     path = F.format_string("Patches/%+03d%+04d/%d.obj", F.expr("int(params%180-90)"), F.expr("int(params%90)"), F.col("key"))
     p = view(spark, sf_dir, "artifacts").where("key%9 = 0").select(path.alias("path"))
     part = lambda i: F.regexp_extract("path", r"^Patches/([+-]\d+)([+-]\d+)/(\d+)", i).cast("long")

@@ -162,7 +162,7 @@ def src10_read_flight_plan(spark, sf_dir):
     whole = plans.groupBy("lot").agg(F.concat(F.lit("<plans>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</plans>")).alias("value"))
     whole.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/xml")  # a document a file
 
-    read = lambda kind: readers.read_flight_plan(spark, f"{path}/{kind}", kind, lines=True).select(F.lit(kind).alias("form"), "pos", "ident", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "first", "last")
+    read = lambda kind: readers.read_flight_plan(spark, f"{path}/{kind}", kind, lines=True).select(F.lit(kind).alias("form"), F.col("n").alias("pos"), "ident", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "first", "last")
     return read("fms").union(read("json")).union(read("xml"))
 
 

@@ -111,18 +111,18 @@ def _point(ident, name, lat, lon):
 
 
 def _route(plans: DataFrame) -> DataFrame:
-    """plan, points, first, last to a row a point: no point twice in a row, the ends named by the plan or by its points."""
+    """file, plan, points, first, last to a row a point: no point twice in a row, the ends named by the plan or by its points."""
     at = lambda p: F.struct(p["lat"], p["lon"])
     plans = plans.withColumn("points", F.filter("points", lambda p: p.isNotNull()))
     kept = F.filter("points", lambda p, i: (i == 0) | (at(p) != at(F.get("points", i - 1))))
     plans = plans.withColumn("points", kept)
     end = lambda given, i: F.coalesce(F.nullif(F.left(F.upper(F.trim(given)), F.lit(8)), F.lit("")), F.get("points", i)["ident"])
-    named = plans.select("plan", end("first", F.lit(0)).alias("first"), end("last", F.size("points") - 1).alias("last"), F.posexplode("points").alias("pos", "p"))
-    return named.select("plan", "pos", "p.*", "first", "last")
+    named = plans.select("plan", end("first", F.lit(0)).alias("first"), end("last", F.size("points") - 1).alias("last"), F.posexplode("points").alias("n", "p"), "file")
+    return named.select("file", "plan", "n", "p.*", "first", "last")
 
 
 def read_flight_plan(spark: SparkSession, path: str, kind: str = "fms", lines: bool = False) -> DataFrame:
-    """Points of route plans: plan, pos, ident, name, lat, lon, first, last; no point twice in a row.
+    """Points of route plans: file, plan, n, ident, name, lat, lon, first, last; no point twice in a row.
 
     ``kind``: ``fms`` text (two head lines, ends by name, points ``type ident ... lat lon``; one plan a file),
     ``xml`` waypoints (any number of plans a file), or ``json`` with a navigation log between an origin and a
@@ -132,7 +132,7 @@ def read_flight_plan(spark: SparkSession, path: str, kind: str = "fms", lines: b
         place = "Waypoint array<struct<Ident:string,Name:string,Pos:struct<_Lat:string,_Lon:string>>>"
         raw = spark.read.format("xml").option("rowTag", "Flightplan").schema(f"Waypoints struct<{place.replace(' ', ':', 1)}>").load(path)
         made = F.transform("Waypoints.Waypoint", lambda w: _point(w["Ident"], w["Name"], w["Pos"]["_Lat"], w["Pos"]["_Lon"]))
-        return _route(raw.select(F.monotonically_increasing_id().alias("plan"), made.alias("points"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last")))
+        return _route(raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("plan"), made.alias("points"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last")))
     if kind == "json":
         end = "struct<icao_code:string,iata_code:string,name:string,pos_lat:string,pos_long:string>"
         raw = spark.read.schema(f"origin {end}, destination {end}, navlog struct<fix:string>").json(path, multiLine=not lines)
@@ -141,15 +141,15 @@ def read_flight_plan(spark: SparkSession, path: str, kind: str = "fms", lines: b
         code = lambda e: F.coalesce(F.col(f"{e}.icao_code"), F.col(f"{e}.iata_code"))
         ends = [_point(code(e), F.col(f"{e}.name"), F.col(f"{e}.pos_lat"), F.col(f"{e}.pos_long")) for e in ("origin", "destination")]
         made = F.concat(F.array(ends[0]), F.transform(fixes, lambda f: _point(f["ident"], f["name"], f["pos_lat"], f["pos_long"])), F.array(ends[1]))
-        return _route(raw.select(F.monotonically_increasing_id().alias("plan"), made.alias("points"), code("origin").alias("first"), code("destination").alias("last")))
-    raw = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("line"))
+        return _route(raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("plan"), made.alias("points"), code("origin").alias("first"), code("destination").alias("last")))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("line"))
     words = F.filter(F.transform("line", lambda v: F.split(F.trim(v), r"\s+")), lambda w: F.get(w, F.lit(0)) != "")
-    raw = raw.select(F.monotonically_increasing_id().alias("plan"), words.alias("w")).where(F.left(F.get(F.get("w", 0), 0), F.lit(1)).isin("I", "A") & F.get(F.get("w", 1), 0).rlike(r"^\d"))
+    raw = raw.select("file", F.monotonically_increasing_id().alias("plan"), words.alias("w")).where(F.left(F.get(F.get("w", 0), 0), F.lit(1)).isin("I", "A") & F.get(F.get("w", 1), 0).rlike(r"^\d"))
     body = F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0)))
     end = lambda k: F.get(F.get(F.filter(body, lambda w: (F.get(w, F.lit(0)) == k) & (F.size(w) >= 2)), F.lit(0)), F.lit(1))
     spots = F.filter(body, lambda w: F.get(w, F.lit(0)).isin(POINT_TYPES) & (F.size(w) >= 5))
     made = F.transform(spots, lambda w: _point(F.get(w, F.lit(1)), F.lit(""), F.element_at(w, -2), F.element_at(w, -1)))
-    return _route(raw.select("plan", made.alias("points"), end("ADEP").alias("first"), end("ADES").alias("last")))
+    return _route(raw.select("file", "plan", made.alias("points"), end("ADEP").alias("first"), end("ADES").alias("last")))
 
 
 FRAMES = "run_s double, path_s double, frame_ms double, lat double, lon double, ele_m double, state int"

@@ -63,8 +63,9 @@ def by_aircraft(step: Callable[[dict, dict], dict | None], schema: str, columns:
         if state.hasTimedOut:
             out = []
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            out = [r for row in rows[columns].to_dict("records") if (r := step(own, row)) is not None]
+            rows = pd.concat([f[list(dict.fromkeys(["ts", "event_id", *columns]))] for f in frames]).sort_values(["ts", "event_id"])
+            each = (dict(zip(columns, values)) for values in zip(*(rows[c] for c in columns)))
+            out = [r for row in each if (r := step(own, row)) is not None]
         due = own.get("due") if silent else None
         if due is not None and (state.hasTimedOut or due <= state.getCurrentWatermarkMs()):
             own["due"] = due = None

@@ -6,7 +6,7 @@ from skyquilt.sources import readers
 
 
 def points(df):
-    return [tuple(r) for r in df.orderBy("plan", "pos").select("pos", "ident", "lat", "lon", "first", "last").collect()]
+    return [tuple(r) for r in df.orderBy("plan", "n").select("n", "ident", "lat", "lon", "first", "last").collect()]
 
 
 def test_text_plan(spark, tmp_path):
