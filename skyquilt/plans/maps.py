@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
 from ..functions import geo
-from ..operators.joins import box_join, connected_components
+from ..operators.joins import box_join, connected_components, in_groups
 from ..registry import query
 
 # Relations of six ways that close a ring; every fiftieth way is missing, every second runs backwards.
@@ -95,10 +94,10 @@ def jn2_relation_members(spark, sf_dir):
     return own.groupBy("rel", "role").agg(F.count("*").alias("members"), F.count("has").alias("present"))
 
 
-def ring_of(pdf: pd.DataFrame) -> pd.DataFrame:
+def ring_of(ways: dict) -> dict:
     """The ring of one relation's open ways: from its smallest node towards the smaller neighbour."""
     near: dict[int, list[int]] = {}
-    for a, b in zip(pdf["e1"].tolist(), pdf["e2"].tolist()):
+    for a, b in zip(ways["e1"].tolist(), ways["e2"].tolist()):
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
     start = min(near)
@@ -108,7 +107,7 @@ def ring_of(pdf: pd.DataFrame) -> pd.DataFrame:
         ahead = list(near[here])
         ahead.remove(last)
         last, here = here, ahead[0]
-    return pd.DataFrame({"rel": [pdf["rel"].iloc[0]], "ring": [",".join(map(str, path))], "whole": [len(path) == len(near)]})
+    return {"rel": ways["rel"][:1], "ring": [",".join(map(str, path))], "whole": [len(path) == len(near)]}
 
 
 # A ring's nodes follow its ways in turn, so node i of six is what the two ways share; SQL walks from the smallest to its smaller neighbour.
@@ -123,7 +122,7 @@ def it2_stitch_rings(spark, sf_dir):
     m = view(spark, sf_dir, "members").where("there")
     ends = m.select("rel", F.explode(F.array("e1", "e2")).alias("n")).groupBy("rel", "n").count()
     bad = ends.where("count <> 2").select("rel")
-    return m.join(bad, "rel", "left_anti").select("rel", "e1", "e2").groupBy("rel").applyInPandas(ring_of, "rel long, ring string, whole boolean")
+    return in_groups(m.join(bad, "rel", "left_anti").select("rel", "way", "e1", "e2"), ["rel"], ["way"], ring_of, "rel long, ring string, whole boolean")
 
 
 @query(cte("members") + "SELECT min(way) AS chain, count(*) AS ways, count(*) = 6 AS closed FROM members WHERE there GROUP BY rel HAVING count(*) > 1")
@@ -359,9 +358,9 @@ def wn20_bank_test(spark, sf_dir):
     return r.select("way", "store", "n", (upto <= 200).alias("in_budget"))
 
 
-def simplified(pdf: pd.DataFrame, tol: float) -> pd.DataFrame:
-    """Douglas-Peucker on one chain, without recursion."""
-    p = pdf.sort_values("event_id")[["lat", "lon"]].to_numpy()
+def simplified(chain: dict, tol: float) -> dict:
+    """Douglas-Peucker on one chain in its order, without recursion; of points as far to nine digits the first is kept."""
+    p = np.column_stack([chain["lat"], chain["lon"]])
     keep, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
     keep[[0, -1]] = True
     while todo:
@@ -371,16 +370,24 @@ def simplified(pdf: pd.DataFrame, tol: float) -> pd.DataFrame:
         d = p[b] - p[a]
         off = p[a + 1 : b] - p[a]
         length = np.hypot(*d)
-        far = np.abs(off[:, 0] * d[1] - off[:, 1] * d[0]) / length if length else np.hypot(off[:, 0], off[:, 1])
+        far = np.round(np.abs(off[:, 0] * d[1] - off[:, 1] * d[0]) / length if length else np.hypot(off[:, 0], off[:, 1]), 9)
         k = int(far.argmax())
         if far[k] > tol:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return pdf.sort_values("event_id")[keep][["aircraft", "event_id"]]
+    return {c: chain[c][keep] for c in ("aircraft", "event_id")}
 
 
-@query()
+# A round cuts every piece at its farthest point, if that is far enough; ends of pieces are what is kept.
+KEPT = ("WITH RECURSIVE " + cte("fixes").removeprefix("WITH ") + """, o AS (SELECT aircraft, CAST(ts AS DATE) AS day, event_id, lat, lon, row_number() OVER (PARTITION BY aircraft, CAST(ts AS DATE) ORDER BY event_id) AS i FROM fixes),
+r(aircraft, day, a, b) AS (SELECT aircraft, day, min(i), max(i) FROM o GROUP BY aircraft, day UNION ALL
+ SELECT aircraft, day, unnest([a, -m.i]), unnest([-m.i, b]) FROM (SELECT r.aircraft, r.day, r.a, r.b, max({d: round(CASE WHEN q.lat = p.lat AND q.lon = p.lon THEN sqrt((o.lat-p.lat)^2+(o.lon-p.lon)^2) ELSE abs((o.lat-p.lat)*(q.lon-p.lon)-(o.lon-p.lon)*(q.lat-p.lat))/sqrt((q.lat-p.lat)^2+(q.lon-p.lon)^2) END, 9), i: -o.i}) AS m
+  FROM r JOIN o p ON p.aircraft = r.aircraft AND p.day = r.day AND p.i = r.a JOIN o q ON q.aircraft = r.aircraft AND q.day = r.day AND q.i = r.b JOIN o ON o.aircraft = r.aircraft AND o.day = r.day AND o.i > r.a AND o.i < r.b GROUP BY r.aircraft, r.day, r.a, r.b) WHERE m.d > 0.3e0),
+kept AS (SELECT aircraft, event_id FROM o SEMI JOIN (SELECT aircraft, day, unnest([a, b]) AS i FROM r) USING (aircraft, day, i)) """)
+
+
+@query(KEPT + "SELECT aircraft, event_id FROM kept")
 def ar6_simplify(spark, sf_dir):
     """Points that a chain keeps; a chain is one aircraft's day, which bounds the group."""
-    f = view(spark, sf_dir, "fixes").withColumn("day", F.to_date("ts"))
-    return f.groupBy("aircraft", "day").applyInPandas(lambda pdf: simplified(pdf, 0.3), "aircraft long, event_id long")
+    f = view(spark, sf_dir, "fixes").select("aircraft", F.to_date("ts").alias("day"), "event_id", "lat", "lon")
+    return in_groups(f, ["aircraft", "day"], ["event_id"], lambda chain: simplified(chain, 0.3), "aircraft long, event_id long")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import cte, view
 from ..operators.joins import shared_dir
 from ..registry import query
+from .maps import KEPT, ar6_simplify, it2_stitch_rings
 
 STAGES: dict[str, Callable] = {}
 
@@ -60,11 +61,9 @@ def ud1_stage(spark, sf_dir):
     return table.select("a", "b", "n", F.lit(first).alias("first"), F.lit(second).alias("second"))
 
 
-@query()
+@query(KEPT + ", " + cte("members").removeprefix("WITH ") + "SELECT 'rings' AS kind, count(*) AS n FROM (SELECT rel FROM members WHERE there GROUP BY rel HAVING count(*) = 6) UNION ALL SELECT 'points', count(*) FROM kept")
 def ud5_grouped_map(spark, sf_dir):
     """Grouped maps for SQL-less work: ring order by relation, kept points by chain, counted side by side."""
-    from .maps import ar6_simplify, it2_stitch_rings
-
     rings = it2_stitch_rings(spark, sf_dir).agg(F.lit("rings").alias("kind"), F.count("*").alias("n"))
     return rings.unionByName(ar6_simplify(spark, sf_dir).agg(F.lit("points").alias("kind"), F.count("*").alias("n")))
 

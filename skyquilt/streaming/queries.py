@@ -42,7 +42,13 @@ def sm1_plan_stream(spark, sf_dir):
     return jobs.drained(jobs.level_work(fix_stream(spark, sf_dir), index), "plan")
 
 
-@query()
+# One row a step: the window of an aircraft's next fix follows from its last.
+@query("WITH RECURSIVE " + F_.removeprefix("WITH ") + f""", o AS (SELECT aircraft, event_id, lat, lon, row_number() OVER ({W}) AS n FROM fixes),
+r(aircraft, n, event_id, col, tilerow, moved) AS (SELECT aircraft, n, event_id, CAST(floor(lon+0.5e0) AS BIGINT), CAST(floor(lat) AS BIGINT), true FROM o WHERE n = 1 UNION ALL
+ SELECT aircraft, n, event_id, c, t, c <> col OR t <> tilerow FROM (SELECT o.aircraft, o.n, o.event_id, r.col, r.tilerow, abs(lon-col) > 2 OR abs(lat-tilerow-0.5e0) > 2 AS far,
+  CAST(CASE WHEN far THEN floor(lon+0.5e0) ELSE col + greatest(0, ceil(lon-col-0.65e0)) - greatest(0, ceil(col-0.65e0-lon)) END AS BIGINT) AS c,
+  CAST(CASE WHEN far THEN floor(lat) ELSE tilerow + greatest(0, ceil(lat-tilerow-1.1e0)) - greatest(0, ceil(tilerow-0.1e0-lat)) END AS BIGINT) AS t FROM r JOIN o ON o.aircraft = r.aircraft AND o.n = r.n + 1))
+SELECT aircraft, event_id, col, tilerow AS row FROM r WHERE moved""")
 def sm2_track_window(spark, sf_dir):
     return machine(spark, sf_dir, jobs.track_window, "col long, row long")
 

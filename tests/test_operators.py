@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyquilt.functions import geo
-from skyquilt.operators.joins import connected_components, first_in_budget, rows_at
+from skyquilt.operators.joins import connected_components, first_in_budget, in_groups, rows_at
 from skyquilt.plans import raster
 
 
@@ -91,3 +91,18 @@ def test_names_that_are_none(spark):
     names = ["16_32_BI14", "a/16_32_EOX9.dds", "17_32_BI14", "16_33_BI14", "16_32_14", "16_BI14", "x16_32_BI14", "16_32_BI", "", None]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(geo.parse_texture_name("n").alias("t")).collect()
     assert [r["t"] and tuple(r["t"]) for r in got] == [(16, 32, "BI", 14), (16, 32, "EOX", 9)] + [None] * 8
+
+
+def test_groups_cut_from_batches(spark):
+    """Groups of one row to many batches, null keys among them, come whole and in order."""
+    sizes = {1: 1, 2: 40, 3: 2, None: 9, 5: 7, 6: 1}
+    rows = [(k, i, float(i * i % 13)) for k, n in sizes.items() for i in reversed(range(n))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        step = lambda g: {"k": g["k"][:1], "n": [len(g["i"])], "path": [",".join(map(str, g["i"]))]}
+        df = spark.createDataFrame(rows, "k long, i long, v double")
+        got = {(r.k, r.n, r.path) for r in in_groups(df, ["k"], ["i"], step, "k long, n long, path string").collect()}
+        assert got == {(k, n, ",".join(map(str, range(n)))) for k, n in sizes.items()}
+        assert in_groups(df.limit(0), ["k"], ["i"], step, "k long, n long, path string").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
