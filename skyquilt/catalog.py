@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import diff, imagery, lineage, maps, mesh, planning, raster, scalar, sky, stages, telemetry, zones  # noqa: F401
+from .plans import coast, diff, imagery, lineage, maps, mesh, planning, raster, scalar, sky, stages, telemetry, zones  # noqa: F401
 from .sources import queries as _sources  # noqa: F401
 from .streaming import queries as _streaming  # noqa: F401
 

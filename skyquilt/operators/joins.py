@@ -170,3 +170,41 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             named = written(named, "named")
     roots = named.groupBy("m").agg(F.min("a").alias("root"))
     return named.join(roots, "m").where("a <> root").select(F.col("a").alias("node"), "root")
+
+
+def ranked(links: DataFrame) -> DataFrame:
+    """(node, first, place, closed): where every node stands in its chain or loop, counted from 0.
+
+    ``links``: node, next (null where a chain ends); each node follows one other at most. A chain begins at the node
+    that follows none, a loop at its smallest. By pointer doubling: in every round a node looks twice as far, so
+    rounds grow with the logarithm of the longest, and no task ever holds a chain. First nodes look ahead: those whose
+    sight ends stand on chains and leave; when the smallest node in sight changes for none of the rest, it is that of
+    the loop. Loops are cut there, and nodes look back, adding up places, until they see a first one.
+    """
+    at = written(links.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.col("node").alias("low")), "ahead")
+    rows = at.count()
+    while rows:
+        seen = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        new = written(at.join(seen, "to").select("node", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), "ahead")
+        before, (rows, moved) = rows, new.agg(F.count("*"), F.coalesce(F.count_if("moved"), F.lit(0))).first()
+        at = new
+        if rows == before and not moved:
+            break
+    loops = at.select("node", F.col("low").alias("cut"))
+    back = links.where("next IS NOT NULL").select(F.col("next").alias("node"), F.col("node").alias("back"))
+    own = links.select("node").join(back, "node", "left").join(loops, "node", "left")
+    head = F.col("back").isNull() | F.coalesce(F.col("node") == F.col("cut"), F.lit(False))
+    state = written(own.select("node", F.when(head, F.col("node")).otherwise(F.col("back")).alias("first"), F.when(head, 0).otherwise(1).cast("long").alias("place"), head.alias("done"), F.col("cut").isNotNull().alias("closed")), "back")
+    ended, live = [state.where("done")], state.where("NOT done")
+    while not live.isEmpty():
+        every = live.select("node", "first", "place", "done")
+        for part in ended:
+            every = every.unionByName(part.select("node", "first", "place", "done"))
+        seen = every.toDF("first", "first2", "place2", "done2")
+        state = written(live.join(seen, "first").select("node", F.col("first2").alias("first"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"), "closed"), "back")
+        ended.append(state.where("done"))
+        live = state.where("NOT done")
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return out.select("node", "first", "place", "closed")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, view
-from ..operators.joins import box_join
+from ..operators.joins import written
 from ..registry import query
+from .mesh import FACE_CELL, HEIGHT, HELD, located, with_corners
 
 # Each 20,000 keys have a unit square of their own, so density stays as the table grows.
 VIEWS["moved"] = ("orders", ["o_orderkey AS id", "((o_orderkey*613)%10007)/10007e0 + floor(o_orderkey/20000) AS x", "((o_orderkey*389)%9973)/9973e0 + CASE WHEN o_orderkey%23=0 THEN 0.001e0 ELSE 0 END AS y", "o_totalprice/1000e0 + CASE WHEN o_orderkey%10=0 THEN (o_orderkey%700)/100e0 ELSE 0 END AS z"])
@@ -81,33 +82,51 @@ def tk8_random_tiles(spark, sf_dir):
     return t.orderBy(F.md5(F.concat_ws("/", F.lit("7"), F.col("tlat").cast("string"), F.col("tlon").cast("string")).cast("binary"))).limit(72)
 
 
-# Corners, edge middles and centre, along the two legs of a triangle.
-SPOTS = [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5), (0.333333, 0.333333)]
-
-
-@query(cte("stood", "moved") + f""", b AS (SELECT 'new' AS side, 'ref' AS other, id, x, y, z, round(x, 9) AS kx, round(y, 9) AS ky, round(z, 9) AS kz FROM moved UNION ALL SELECT 'ref', 'new', id, x, y, z, round(x, 9), round(y, 9), round(z, 9) FROM stood),
-gone AS (SELECT a.*, EXISTS (SELECT 1 FROM b WHERE b.side = a.other AND b.kx = a.kx AND b.ky = a.ky) AS recut FROM b a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.side = a.other AND b.kx = a.kx AND b.ky = a.ky AND b.kz = a.kz)),
-s AS (SELECT other, id, recut, z, k, x+0.01e0*u AS px, y+0.01e0*v AS py FROM gone, (VALUES {', '.join(f'({k}, {u}::DOUBLE, {v}::DOUBLE)' for k, (u, v) in enumerate(SPOTS))}) t(k, u, v)),
-h AS (SELECT s.other, s.id, s.k, s.recut, s.z, arg_min(t.z, t.id) AS tz FROM s JOIN b t ON t.side = s.other AND px BETWEEN t.x AND t.x+0.02e0 AND py >= t.y AND (px-t.x)/0.01e0+(py-t.y)/0.01e0 <= 1 GROUP BY ALL),
-d AS (SELECT recut, CAST(round(abs(tz-z)*1000) AS BIGINT) AS mm FROM h)
+#: Weights of the corners: the corners, the middles of the edges, the centre.
+SPOTS = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.5, 0.5, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (1 / 3, 1 / 3, 1 / 3)]
+# The new mesh: posts of one in 23 moved aside, of one in 31 raised; of one cell in 19 without either the diagonal turned.
+NEW_POST = ["id", "CASE WHEN id%23=0 THEN x+0.0011e0 ELSE x END AS x", "y", "CASE WHEN id%31=0 THEN z+id%7 ELSE z END AS z"]
+NEW_FACE = ["cell", "whole", "a1", "a2", "CASE WHEN cell%97=0 THEN a3 WHEN (turned) <> (cell%19=0) THEN cell+101 ELSE cell+100 END AS a3", "CASE WHEN cell%97=0 THEN b1 WHEN (turned) <> (cell%19=0) THEN cell ELSE cell+1 END AS b1", "b2", "b3", "wet"]
+_TRI = "SELECT cell*2 AS tri, a1 AS v1, a2 AS v2, a3 AS v3, wet FROM {f} WHERE whole UNION ALL SELECT cell*2+1, b1, b2, b3, wet FROM {f} WHERE whole"
+_SIDE = "SELECT '{side}' AS side, '{other}' AS other, tri, wet, " + ", ".join(f"{c}.{k} AS {k}{i}" for i, c in ((1, "a"), (2, "b"), (3, "c")) for k in "xyz") + " FROM ({t}) JOIN {p} a ON a.id=v1 JOIN {p} b ON b.id=v2 JOIN {p} c ON c.id=v3"
+_PLACE = "CAST(round({x}*1e8) AS BIGINT)||'/'||CAST(round({y}*1e8) AS BIGINT)"
+_KEYS = [_PLACE.format(x=f"x{i}", y=f"y{i}") for i in (1, 2, 3)]
+_FULL = [k + f"||'/'||CAST(round(z{i}*1e4) AS BIGINT)" for i, k in enumerate(_KEYS, 1)]
+
+
+@query(cte("posts", "faces") + f""", newpost AS (SELECT {', '.join(NEW_POST)} FROM posts), newface AS (SELECT {', '.join(NEW_FACE)} FROM faces),
+m AS ({_SIDE.format(side='ref', other='new', t=_TRI.format(f='faces'), p='posts')} UNION ALL {_SIDE.format(side='new', other='ref', t=_TRI.format(f='newface'), p='newpost')}),
+k AS (SELECT *, array_to_string(list_sort([{', '.join(_FULL)}]), '-') AS full_key, [{', '.join(_KEYS)}] AS keys, CAST(floor(x1/2) AS BIGINT) AS sq, CAST(floor(y1*20) AS BIGINT) AS band FROM m), spot AS (SELECT DISTINCT side, unnest(keys) AS place FROM k),
+gone AS (SELECT * FROM k WHERE NOT wet AND NOT EXISTS (SELECT 1 FROM k o WHERE o.side = k.other AND o.full_key = k.full_key)),
+known AS (SELECT side, tri, bool_and(place IN (SELECT side||place FROM spot)) AS recut FROM (SELECT side, tri, other||unnest(keys) AS place FROM gone) GROUP BY ALL),
+s AS (SELECT g.side, g.other, g.tri AS own, recut, sq, i, u*x1+v*x2+w*x3 AS px, u*y1+v*y2+w*y3 AS py, u*z1+v*z2+w*z3 AS pz FROM gone g JOIN known USING (side, tri), (VALUES {', '.join(f'({i}, {u!r}::DOUBLE, {v!r}::DOUBLE, {w!r}::DOUBLE)' for i, (u, v, w) in enumerate(SPOTS))}) t(i, u, v, w)),
+b AS (SELECT *, CAST(floor(py*20) AS BIGINT) + unnest([-1, 0, 1]) AS band FROM s),
+h AS (SELECT b.side, own, i, recut, pz, arg_min(ROW({HEIGHT}, t.wet), t.tri) AS r FROM b JOIN k t ON t.side = b.other AND t.sq = b.sq AND t.band = b.band WHERE {HELD} GROUP BY ALL),
+d AS (SELECT recut, CAST(round(abs(r[1]-pz)*1000) AS BIGINT) AS mm FROM h WHERE NOT r[2])
 SELECT recut, count(*) AS samples, round(quantile_cont(mm, 0.5)/1000e0, 4) AS median, round(quantile_cont(mm, 0.99)/1000e0, 4) AS p99, max(mm)/1000e0 AS most, count(*) FILTER (mm > 1000) AS over FROM d GROUP BY recut""")
 def jn42_surface_moves(spark, sf_dir):
-    """Seven points of every triangle that one mesh alone has, set on the other mesh: the first triangle there that
-    holds each. Triangles whose corners the other mesh knows (all have one shape, so the first corner tells) are
-    counted apart. Moves are whole millimetres, summed up by value before they meet in one window."""
-    at = lambda v: view(spark, sf_dir, v).select("id", "x", "y", "z", *(F.round(c, 9).alias(f"k{c}") for c in "xyz"))
-    spots = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for k, (u, v) in enumerate(SPOTS))))
+    """Seven points of every land triangle that one mesh alone has, set on the other mesh's land: how far they are apart.
+
+    Triangles are the same if corners and heights are; those of which the other mesh knows all corners' places are
+    only cut again, and counted apart. Moves are whole millimetres, summed up by value before they meet in one window.
+    """
+    posts = view(spark, sf_dir, "posts")
+    old = view(spark, sf_dir, "faces")
+    stack = "stack(2, cell*2, a1, a2, a3, wet, cell*2+1, b1, b2, b3, wet) AS (tri, v1, v2, v3, wet)"
+    keyed = lambda t: t.selectExpr("*", f"array_join(array_sort(array({', '.join(_FULL)})), '-') AS full_key", f"array({', '.join(_KEYS)}) AS keys")
+    ref = written(keyed(with_corners(old.where("whole").selectExpr(stack), posts)), "ref-mesh")
+    new = written(keyed(with_corners(old.selectExpr(*NEW_FACE).where("whole").selectExpr(stack), posts.selectExpr(*NEW_POST))), "new-mesh")
+    spots = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(w).alias(n) for n, w in zip("uvw", s))) for i, s in enumerate(SPOTS))))
 
     def moves_of(a, b):
-        known = b.select("kx", "ky", F.lit(True).alias("known")).distinct()
-        gone = a.join(b.select("kx", "ky", "kz"), ["kx", "ky", "kz"], "left_anti").join(known, ["kx", "ky"], "left")
-        p = gone.select("id", "x", "y", "z", F.coalesce("known", F.lit(False)).alias("recut"), spots.alias("s")).selectExpr("id", "z", "recut", "s.k", "x+0.01e0*s.u AS px", "y+0.01e0*s.v AS py")
-        t = b.selectExpr("id AS tri", "z AS tz", "x AS tx", "y AS ty", "x+0.02e0 AS tx2", "y+0.02e0 AS ty2")
-        hit = box_join(p, t, 0.02, ("px", "py", "px", "py"), ("tx", "ty", "tx2", "ty2")).where("px >= tx AND py >= ty AND (px-tx)/0.01e0+(py-ty)/0.01e0 <= 1")
-        return hit.groupBy("id", "k", "recut").agg(F.min(F.struct("tri", F.abs(F.col("tz") - F.col("z")).alias("d"))).alias("m"))
-
-    new, ref = at("moved"), at("stood")
-    mm = moves_of(new, ref).union(moves_of(ref, new)).select("recut", F.round(F.col("m.d") * 1000).cast("long").alias("mm")).groupBy("recut", "mm").agg(F.count("*").alias("k"))
+        gone = a.where("NOT wet").join(b.select("full_key"), "full_key", "left_anti")
+        places = b.select(F.explode("keys").alias("place")).distinct().withColumn("there", F.lit(1))
+        known = gone.select("tri", F.explode("keys").alias("place")).join(places, "place", "left").groupBy("tri").agg((F.count("there") == 3).alias("recut"))
+        s = gone.join(known, "tri").select("*", spots.alias("s")).selectExpr("tri AS own", "s.i", "recut", *(f"s.u*{c}1+s.v*{c}2+s.w*{c}3 AS p{c}" for c in "xyz"))
+        on = located(s, b, ["own", "i", "recut", "pz"], FACE_CELL, ["wet"])
+        return on.where("NOT wet").select("recut", F.round(F.abs(F.col("height") - F.col("pz")) * 1000).cast("long").alias("mm"))
+
+    mm = moves_of(new, ref).union(moves_of(ref, new)).groupBy("recut", "mm").agg(F.count("*").alias("k"))
     kind = Window.partitionBy("recut")
     r = mm.withColumn("n", F.sum("k").over(kind)).withColumn("upto", F.sum("k").over(kind.orderBy("mm").rowsBetween(Window.unboundedPreceding, 0)))
     at_rank = lambda i: F.min(F.when(F.col("upto") > i, F.col("mm")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
@@ -161,13 +161,47 @@ def tk5_sharpest_first(spark, sf_dir):
     return r.where("rn <= 20").select("sx", "til_x", "til_y", "zl", F.lit(1).cast("long").alias("n")).unionByName(rest, allowMissingColumns=True)
 
 
-@query(cte("built") + ", r AS (SELECT DISTINCT til_x//4096 AS lot, til_x, til_y, zl, level, seen, dist, CAST(4194304/4^level AS BIGINT) AS freed FROM built), b AS (SELECT *, sum(freed) OVER (PARTITION BY lot) AS used, sum(freed) OVER (PARTITION BY lot ORDER BY dist DESC, seen, til_x, til_y, zl, level ROWS UNBOUNDED PRECEDING) AS gone FROM r) SELECT lot, til_x, til_y, zl, level, freed FROM b WHERE gone - freed < used*0.1e0")
+#: Bytes of a texture by level; one coarser than the last is the neutral clone, which holds none of its own.
+LEVEL_BYTES, SMALL, NEUTRAL = 4_194_304, 4, 5
+
+
+def texture_bytes(level: Column) -> Column:
+    return (F.lit(float(LEVEL_BYTES)) / F.pow(F.lit(4.0), level)).cast("long")
+
+
+def evictions(built: DataFrame, budgets: DataFrame, by: str, key: list[str]) -> DataFrame:
+    """(by, key, level, new_level, freed): the textures to coarsen so that each store holds 90 % of its budget, if it holds more than all of it.
+
+    ``built``: by, key, level, behind (of the aircraft), seen, coarsen and neutral (whether it may become that coarse);
+    ``budgets``: by, budget. First sharp textures go back to the level of 256 pixels, then those that stood there
+    to the neutral clone; in each step those behind the aircraft first, then the longest unseen. Both steps are rows
+    of one order, and the budget's end is found by sums of coarse values, so no task puts a store's rows in order.
+    """
+    held = written(built.withColumn("bytes", texture_bytes(F.col("level"))), "built")
+    used = held.groupBy(by).agg(F.sum("bytes").alias("used")).join(budgets, by).where("used > budget")
+    sharp, small = (F.col("level") < SMALL) & F.col("coarsen"), (F.col("level") == SMALL) & F.col("neutral")
+    items = held.where(sharp | small).select(
+        by, *key, "level", F.when(sharp, SMALL).otherwise(NEUTRAL).alias("new_level"), F.when(sharp, F.col("bytes") - texture_bytes(F.lit(SMALL))).otherwise(F.col("bytes")).alias("freed"),
+        (F.when(sharp, 0).otherwise(2) + F.when(F.col("behind"), 0).otherwise(1)).alias("turn"), "seen",
+    )
+    need = used.select(by, F.expr("used - budget * 9 div 10").alias("need"))
+    return first_in_budget(items, by, ["turn", "seen", *key], "freed", need).select(by, *key, "level", "new_level", "freed")
+
+
+# A store is a band of columns; the aircraft stands in its middle, heads east, and keeps what is near it sharp.
+@query(cte("built") + f""", t AS (SELECT til_x//4096 AS lot, til_x, til_y, zl, min(level) AS level, max(seen) AS seen, min(dist) AS dist FROM built GROUP BY ALL),
+h AS (SELECT *, til_x < lot*4096+2048 AS behind, CAST({LEVEL_BYTES} / 4**level AS BIGINT) AS bytes FROM t),
+u AS (SELECT lot, CAST(sum(bytes) AS BIGINT) AS used, CAST(sum(bytes) AS BIGINT)*CASE lot%3 WHEN 0 THEN 15 WHEN 1 THEN 500 ELSE 1200 END//1000 AS budget FROM h GROUP BY lot),
+i AS (SELECT lot, til_x, til_y, zl, level, 4 AS new_level, bytes - {LEVEL_BYTES >> 8} AS freed, CASE WHEN behind THEN 0 ELSE 1 END AS turn, seen FROM h WHERE level < 4 AND (dist > 5 OR lot%3=0)
+ UNION ALL SELECT lot, til_x, til_y, zl, level, 5, bytes, CASE WHEN behind THEN 2 ELSE 3 END, seen FROM h WHERE level = 4 AND dist > 20),
+o AS (SELECT *, sum(freed) OVER (PARTITION BY lot ORDER BY turn, seen, til_x, til_y, zl ROWS UNBOUNDED PRECEDING) AS gone FROM i)
+SELECT lot, til_x, til_y, zl, level, CAST(new_level AS INT) AS new_level, CAST(freed AS BIGINT) AS freed FROM o JOIN u USING (lot) WHERE used > budget AND gone - freed < used - budget*9//10""")
 def tk1_evict(spark, sf_dir):
-    """The least needed (farthest, then longest unseen) until a tenth of the space is free."""
-    r = view(spark, sf_dir, "built").select(F.expr("til_x div 4096").alias("lot"), "til_x", "til_y", "zl", "level", "seen", "dist", (F.lit(4194304) / F.pow(F.lit(4.0), "level")).cast("long").alias("freed")).distinct()
-    r = written(r.withColumn("near", -F.col("dist")), "built")
-    budgets = r.groupBy("lot").agg((F.sum("freed") * 0.1).alias("budget"))
-    return first_in_budget(r, "lot", ["near", "seen", "til_x", "til_y", "zl", "level"], "freed", budgets).select("lot", "til_x", "til_y", "zl", "level", "freed")
+    """What is coarsened, in two steps, by the order of need."""
+    t = view(spark, sf_dir, "built").groupBy(F.expr("til_x div 4096").alias("lot"), "til_x", "til_y", "zl").agg(F.min("level").alias("level"), F.max("seen").alias("seen"), F.min("dist").alias("dist"))
+    t = written(t.selectExpr("*", "til_x < lot*4096+2048 AS behind", "dist > 5 OR lot%3=0 AS coarsen", "dist > 20 AS neutral"), "textures")
+    used = t.groupBy("lot").agg(F.sum(texture_bytes(F.col("level"))).alias("used"))
+    return evictions(t, used.selectExpr("lot", "used*CASE lot%3 WHEN 0 THEN 15 WHEN 1 THEN 500 ELSE 1200 END div 1000 AS budget"), "lot", ["til_x", "til_y", "zl"])
 
 
 @query("WITH r AS (SELECT event_id AS report, user_id, ts, value AS rate, CAST(date_diff('second', ts, max(ts) OVER (PARTITION BY user_id)) AS DOUBLE)/43200 AS age FROM events), w AS (SELECT *, 0.5e0^age AS w FROM r), c AS (SELECT *, sum(w) OVER (PARTITION BY user_id ORDER BY rate, report ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY user_id) AS total FROM w) SELECT user_id, round(min(rate), 4) AS factor FROM c WHERE upto >= total/2 GROUP BY user_id")

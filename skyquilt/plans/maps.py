@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
 from ..functions import geo
-from ..operators.joins import box_join, connected_components, in_groups
+from ..operators.joins import box_join, connected_components, in_groups, ranked, written
 from ..registry import query
 
 # Relations of six ways that close a ring; every fiftieth way is missing, every second runs backwards.
@@ -94,35 +94,34 @@ def jn2_relation_members(spark, sf_dir):
     return own.groupBy("rel", "role").agg(F.count("*").alias("members"), F.count("has").alias("present"))
 
 
-def ring_of(ways: dict) -> dict:
-    """The ring of one relation's open ways: from its smallest node towards the smaller neighbour."""
-    near: dict[int, list[int]] = {}
-    for a, b in zip(ways["e1"].tolist(), ways["e2"].tolist()):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    start = min(near)
-    path, last, here = [start], start, min(near[start])
-    while here != start:
-        path.append(here)
-        ahead = list(near[here])
-        ahead.remove(last)
-        last, here = here, ahead[0]
-    return {"rel": ways["rel"][:1], "ring": [",".join(map(str, path))], "whole": [len(path) == len(near)]}
+def rings(ways: DataFrame, by: str) -> DataFrame:
+    """(by, ring, place, node): rings of open ways joined end to end, where each end has two; ``ways``: by, way, e1, e2.
+
+    A ring is named by its smallest way and begins at its smallest node, towards the smaller neighbour. Every way is
+    two arcs, one a direction; an arc is followed by the other way's arc from its end, so a ring is two loops, of
+    which one is taken. Loops are ranked by pointer doubling, so a ring may be as long as it likes.
+    """
+    arcs = ways.select(by, "way", "e1", "e2", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    first, last = (F.when(F.col("turn") == k, F.col("e1")).otherwise(F.col("e2")) for k in (0, 1))
+    arcs = written(arcs.select(by, "way", (F.col("way") * 2 + F.col("turn")).alias("arc"), first.alias("start"), last.alias("end")), "arcs")
+    ahead = arcs.select(by, F.col("way").alias("way2"), F.col("arc").alias("next"), F.col("start").alias("end"))
+    links = arcs.join(ahead, [by, "end"]).where("way <> way2 OR start = end AND arc = next").select(F.col("arc").alias("node"), "next")
+    own = written(arcs.join(ranked(links).withColumnRenamed("node", "arc"), "arc").where("closed").withColumn("ring", F.expr("first div 2")), "ranked")
+    sizes = own.groupBy(by, "ring", "first").agg(F.count("*").alias("n"), F.min(F.struct("start", "end", "place")).alias("b"))
+    chosen = sizes.groupBy(by, "ring").agg(F.min(F.struct("b", "first", "n")).alias("c")).select(by, "ring", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.col("c.b.place").alias("b"))
+    return own.join(chosen, [by, "ring", "first"]).select(by, "ring", F.expr("(place - b + n) % n").alias("place"), F.col("start").alias("node"))
 
 
 # A ring's nodes follow its ways in turn, so node i of six is what the two ways share; SQL walks from the smallest to its smaller neighbour.
 @query(cte("members") + """, n AS (SELECT rel, i, rel*10 + (i*5+rel%7*3)%7 AS node FROM (SELECT rel FROM members WHERE there GROUP BY rel HAVING count(*) = 6), range(0, 6) t(i)),
 m AS (SELECT rel, arg_min(i, node) AS first FROM n GROUP BY rel), d AS (SELECT m.rel, m.first, CASE WHEN a.node < b.node THEN 1 ELSE 5 END AS step FROM m JOIN n a ON a.rel = m.rel AND a.i = (m.first+1)%6 JOIN n b ON b.rel = m.rel AND b.i = (m.first+5)%6)
-SELECT d.rel, string_agg(node, ',' ORDER BY k) AS ring, true AS whole FROM d CROSS JOIN range(0, 6) t(k) JOIN n ON n.rel = d.rel AND n.i = (d.first+k*d.step)%6 GROUP BY d.rel""")
+SELECT d.rel, (SELECT min(way) FROM members w WHERE w.rel = d.rel) AS ring, k AS place, node FROM d CROSS JOIN range(0, 6) t(k) JOIN n ON n.rel = d.rel AND n.i = (d.first+k*d.step)%6""")
 def it2_stitch_rings(spark, sf_dir):
-    """Open ways end to end; a relation with an open end that does not have exactly two ways is dropped.
-
-    Validity is a distributed count of ends; only the order along a ring, a few ways a relation, is Python.
-    """
+    """Open ways end to end; a relation with an open end that does not have exactly two ways is dropped."""
     m = view(spark, sf_dir, "members").where("there")
     ends = m.select("rel", F.explode(F.array("e1", "e2")).alias("n")).groupBy("rel", "n").count()
     bad = ends.where("count <> 2").select("rel")
-    return in_groups(m.join(bad, "rel", "left_anti").select("rel", "way", "e1", "e2"), ["rel"], ["way"], ring_of, "rel long, ring string, whole boolean")
+    return rings(m.join(bad, "rel", "left_anti").select("rel", "way", "e1", "e2"), "rel")
 
 
 @query(cte("members") + "SELECT min(way) AS chain, count(*) AS ways, count(*) = 6 AS closed FROM members WHERE there GROUP BY rel HAVING count(*) > 1")
@@ -139,7 +138,7 @@ def it3_join_chains(spark, sf_dir):
 
 @query(cte("nodes") + """, e AS (SELECT id, id%200 AS tile, CASE id//200%4 WHEN 0 THEN x WHEN 1 THEN 1+y WHEN 2 THEN 2+(1-x) ELSE 3+(1-y) END AS p, id%2=0 AS opens FROM nodes)
 SELECT tile, id, round(p, 5) AS place, coalesce(lead(id) OVER (PARTITION BY tile ORDER BY p, id), first_value(id) OVER (PARTITION BY tile ORDER BY p, id)) AS next_end, opens = coalesce(lead(opens) OVER (PARTITION BY tile ORDER BY p, id), first_value(opens) OVER (PARTITION BY tile ORDER BY p, id)) AS fault FROM e""")
-def it11_coast_topology(spark, sf_dir):
+def it11c_border_ends(spark, sf_dir):
     """Ends of open coasts on a tile's border, by arc length in [0, 4): each is joined to the next one along it.
 
     Two neighbours that both leave or both enter the tile are a fault.

@@ -195,14 +195,75 @@ def it1_connected_components(spark, sf_dir):
     return connected_components(overlaps(spark, sf_dir))
 
 
-@query(cte("segments") + """SELECT p.id AS point, min(t.id) AS tri FROM (SELECT id, ((id*7919)%10007)/10007e0 + floor(id/20000) AS x, ((id*4099)%9973)/9973e0 AS y FROM segments) p JOIN segments t
- ON p.x >= t.x1 AND p.y >= t.y1 AND (p.x-t.x1)/0.01+(p.y-t.y1)/0.01 <= 1 GROUP BY p.id""")
+# A mesh over unit squares of a hundred by a hundred posts, none quite in its place: two triangles a cell, cut along
+# either diagonal; one cell in 97 has a triangle with two corners in one place. Ten thousand keys make a square.
+_COL, _ROW = "o_orderkey%100", "CAST(floor(o_orderkey%10000/100) AS BIGINT)"
+VIEWS["posts"] = (
+    "orders",
+    ["o_orderkey AS id", f"floor(o_orderkey/10000)*2 + ({_COL} + (o_orderkey*613%1009)*0.0003e0)/100e0 AS x", f"({_ROW} + (o_orderkey*389%997)*0.0003e0)/100e0 AS y", "o_totalprice/1000e0 AS z"],
+)
+_K = "o_orderkey"
+VIEWS["faces"] = (
+    "orders",
+    [
+        "o_orderkey AS cell", f"{_COL} < 99 AND {_ROW} < 99 AS whole", f"{_K}%3=0 AS turned",
+        f"{_K} AS a1", f"CASE WHEN {_K}%97=0 THEN {_K} ELSE {_K}+1 END AS a2", f"CASE WHEN {_K}%3=0 THEN {_K}+101 ELSE {_K}+100 END AS a3",
+        f"CASE WHEN {_K}%3=0 THEN {_K} ELSE {_K}+1 END AS b1", f"{_K}+101 AS b2", f"{_K}+100 AS b3", f"{_K}%5=0 AS wet",
+    ],
+)
+FACES = "tri AS (SELECT cell*2 AS tri, a1 AS v1, a2 AS v2, a3 AS v3, wet FROM faces WHERE whole UNION ALL SELECT cell*2+1, b1, b2, b3, wet FROM faces WHERE whole)"
+#: Side of the grid cells on which points meet triangles: about a triangle's box.
+FACE_CELL = 0.0125
+
+
+def faces(spark, sf_dir) -> DataFrame:
+    """(tri, v1, v2, v3, wet)."""
+    f = view(spark, sf_dir, "faces").where("whole")
+    return f.selectExpr("stack(2, cell*2, a1, a2, a3, wet, cell*2+1, b1, b2, b3, wet) AS (tri, v1, v2, v3, wet)")
+
+
+def with_corners(triangles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Triangles with x1 ... z3, joined by id; a triangle without all its nodes goes."""
+    for i in (1, 2, 3):
+        triangles = triangles.join(nodes.select(F.col("id").alias(f"v{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), f"v{i}")
+    return triangles
+
+
+#: Twice the area, and the weights of the first two corners at a point (px, py); a point on an edge counts in, to a billionth.
+DET = "((y2-y3)*(x1-x3)+(x3-x2)*(y1-y3))"
+W1, W2 = f"((y2-y3)*(px-x3)+(x3-x2)*(py-y3))/{DET}", f"((y3-y1)*(px-x3)+(x1-x3)*(py-y3))/{DET}"
+HELD = f"{DET} <> 0 AND {W1} >= -1e-9 AND {W2} >= -1e-9 AND 1-{W1}-{W2} >= -1e-9"
+HEIGHT = f"{W1}*z1+{W2}*z2+(1-{W1}-{W2})*z3"
+XS, YS = "x1, x2, x3", "y1, y2, y3"
+
+
+def located(points: DataFrame, triangles: DataFrame, key: list[str], cell: float, also: list[str] | None = None) -> DataFrame:
+    """Of each point (key, px, py) that lies on a triangle the lowest such, its height there, and ``also`` of the triangle: key, tri, height.
+
+    ``triangles``: tri and their corners x1 ... z3. Both are laid on a grid, triangles by their box; triangles without
+    an area hold nothing. A point on a shared edge goes to the lower triangle.
+    """
+    box = {"w": f"least({XS})", "s": f"least({YS})", "e": f"greatest({XS})", "n": f"greatest({YS})"}
+    slack = {"w": "- 1e-9", "s": "- 1e-9", "e": "+ 1e-9", "n": "+ 1e-9"}
+    t = triangles.selectExpr("tri", *(f"{c}{i}" for i in (1, 2, 3) for c in "xyz"), *(also or []), *(f"{e} {slack[k]} AS _{k}" for k, e in box.items()))
+    hit = box_join(points.selectExpr(*key, "px", "py", "px AS px2", "py AS py2"), t, cell, ("px", "py", "px2", "py2"), ("_w", "_s", "_e", "_n")).where(F.expr(HELD))
+    first = hit.withColumn("height", F.expr(HEIGHT)).groupBy(*key).agg(F.min(F.struct("tri", "height", *(also or []))).alias("m"))
+    return first.select(*key, "m.tri", "m.height", *(F.col(f"m.{a}").alias(a) for a in also or []))
+
+
+# One point in ten is a post, so it lies on several triangles; the others are spread over the square and a little beyond it.
+SPOT = "SELECT id AS point, CASE WHEN id%10=0 THEN x ELSE floor(id/10000)*2 + (id*7919%10007)/9900e0 END AS px, CASE WHEN id%10=0 THEN y ELSE (id*4099%9973)/9900e0 END AS py FROM posts"
+
+
+@query(cte("posts", "faces") + f""", {FACES}, c AS (SELECT tri, wet, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2, c.x AS x3, c.y AS y3, c.z AS z3, CAST(floor(a.x/2) AS BIGINT) AS sq, CAST(floor(a.y*20) AS BIGINT) AS band FROM tri JOIN posts a ON a.id=v1 JOIN posts b ON b.id=v2 JOIN posts c ON c.id=v3),
+p AS ({SPOT}), b AS (SELECT *, CAST(floor(px/2) AS BIGINT) AS sq, CAST(floor(py*20) AS BIGINT) + unnest([-1, 0, 1]) AS band FROM p), h AS (SELECT point, tri, {HEIGHT} AS z FROM b JOIN c USING (sq, band) WHERE {HELD})
+SELECT point, min(tri) AS tri, round(arg_min(z, tri), 6) AS height FROM p LEFT JOIN h USING (point) GROUP BY point""")
 def jn27_locate(spark, sf_dir):
-    """The first triangle that holds a point."""
-    s = view(spark, sf_dir, "segments")
-    p = s.selectExpr("id AS point", "((id*7919)%10007)/10007e0 + floor(id/20000) AS px", "((id*4099)%9973)/9973e0 AS py")
-    t = s.selectExpr("id AS tri", "x1", "y1", "x1+0.01 AS x2", "y1+0.01 AS y2")
-    return box_join(p, t, CELL, ("px", "py", "px", "py"), ("x1", "y1", "x2", "y2")).where("px >= x1 AND py >= y1 AND (px-x1)/0.01+(py-y1)/0.01 <= 1").groupBy("point").agg(F.min("tri").alias("tri"))
+    """The triangle that holds each point, the lowest on shared edges, and the height on it; null where none does."""
+    nodes = view(spark, sf_dir, "posts")
+    p = nodes.selectExpr(*(x.strip() for x in SPOT.removeprefix("SELECT ").removesuffix(" FROM posts").split(", ")))
+    hit = located(p, with_corners(faces(spark, sf_dir), nodes), ["point"], FACE_CELL)
+    return p.select("point").join(hit, "point", "left").select("point", "tri", F.round("height", 6).alias("height"))
 
 
 LEVELS = 8

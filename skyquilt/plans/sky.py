@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, view
-from ..operators.joins import box_join, connected_components
+from ..operators.joins import box_join, connected_components, written
 from ..registry import query
 
 VIEWS["clouds"] = ("supplier", ["s_suppkey AS cloud", "CAST((s_suppkey*37)%97 AS DOUBLE) AS w", "CAST((s_suppkey*53)%89 AS DOUBLE) AS s", "CAST((s_suppkey*37)%97 AS DOUBLE)+1.5e0+s_suppkey%4 AS e", "CAST((s_suppkey*53)%89 AS DOUBLE)+1.25e0+s_suppkey%3 AS n"])
@@ -57,14 +57,80 @@ def cell_components(cells: DataFrame) -> DataFrame:
 
 
 
-
-@query("WITH RECURSIVE cell AS (SELECT DISTINCT CAST(floor(p_retailprice) AS BIGINT)%60 AS x, (p_partkey*31+p_size*7)%60 AS y FROM part WHERE p_size > 10), r(x, y, root) AS (SELECT x, y, y*4294967296 + x + 2147483648 FROM cell UNION SELECT c.x, c.y, r.root FROM r JOIN cell c ON abs(c.x-r.x) <= 1 AND abs(c.y-r.y) <= 1), b AS (SELECT x, y, min(root) AS blob FROM r GROUP BY ALL) SELECT blob, count(*) AS cells, min(x) AS west, max(x) AS east FROM b GROUP BY blob HAVING count(*) >= 2")
+def disc(radius: int) -> list[tuple[int, int]]:
+    """Offsets of the cells within a radius."""
+    span = range(-radius, radius + 1)
+    return [(dx, dy) for dx in span for dy in span if dx * dx + dy * dy <= radius * radius]
+
+
+def spread(cells: DataFrame, radius: int) -> DataFrame:
+    """Every cell (x, y) dealt out to all cells within the radius; other columns go with it."""
+    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc(radius)))
+    own = [c for c in cells.columns if c not in ("x", "y")]
+    return cells.withColumn("d", F.explode(offsets)).select(*own, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
+
+
+def grown(cells: DataFrame, radius: int) -> DataFrame:
+    return spread(cells.select("x", "y"), radius).distinct()
+
+
+def shrunk(cells: DataFrame, radius: int) -> DataFrame:
+    """Cells all of whose neighbours within the radius are there: each cell votes for those around it."""
+    return spread(cells.select("x", "y"), radius).groupBy("x", "y").count().where(F.col("count") == len(disc(radius))).select("x", "y")
+
+
+def cloud_areas(cells: DataFrame, least: int, grow: int = 2, close: int = 3, reach: int = 4, whole: float = 2.0) -> DataFrame:
+    """(area, clouds, shadows, west, east, south, north): clouds with the shadows beside them.
+
+    ``cells``: x, y, kind ('cloud' or 'shadow'). Cloud cells are grown, gaps are closed, and cells that touch over
+    edges or corners make a blob; one of fewer than ``least`` cloud cells goes. Shadow cells within reach of a blob
+    and outside it are its shadow; a whole shade that any of them belongs to is, unless it is over ``whole`` times as
+    large as the cloud. Blobs that share a shadow cell, through any chain, are one area, so a shadow has one owner.
+    An area is named by its smallest blob, a blob by its smallest cell. Cells are joined by place alone: dilation deals
+    a cell out to the disc around it, so work grows with the cells that are there.
+    """
+    cells = written(cells, "sky-cells")
+    cloud, shadow = (cells.where(F.col("kind") == k).select("x", "y") for k in ("cloud", "shadow"))
+    blobs = written(cell_components(written(shrunk(grown(grown(cloud, grow), close), close), "grown")), "blobs")
+    size = blobs.join(cloud, ["x", "y"]).groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    blobs = written(blobs.join(size, "blob"), "large-blobs")
+    shades = written(cell_components(shadow).withColumnRenamed("blob", "shade"), "shades")
+    touched = spread(shades.selectExpr("x", "y", "x AS sx", "y AS sy"), reach).join(blobs.select("x", "y", "blob"), ["x", "y"])
+    outside = shades.join(blobs.select("x", "y", F.col("blob").alias("own")), ["x", "y"], "left")
+    beside = touched.select("blob", F.col("sx").alias("x"), F.col("sy").alias("y")).distinct().join(outside, ["x", "y"]).where("own IS NULL OR own <> blob").select("blob", "x", "y", "shade")
+    beside = written(beside, "beside")
+    sizes = shades.groupBy("shade").agg(F.count("*").alias("m"))
+    taken = beside.select("blob", "shade").distinct().join(sizes, "shade").join(size, "blob").where(F.col("m") <= whole * F.col("n")).select("blob", "shade")
+    owned = written(beside.select("blob", "x", "y").unionByName(taken.join(shades, "shade").select("blob", "x", "y")).distinct(), "owned")
+    first = owned.groupBy("x", "y").agg(F.min("blob").alias("b"))
+    roots = connected_components(owned.join(first, ["x", "y"]).select(F.col("blob").alias("a"), "b"))
+    area = size.join(roots, size["blob"] == roots["node"], "left").select("blob", "n", F.coalesce("root", "blob").alias("area"))
+    area = written(area, "areas")
+    cores = blobs.join(cloud, ["x", "y"]).join(area.select("blob", "area"), "blob").select("area", "x", "y", F.lit(1).alias("cloud"))
+    dark = owned.join(area.select("blob", "area"), "blob").select("area", "x", "y").distinct().withColumn("cloud", F.lit(0))
+    box = (f(c).alias(n) for f, c, n in ((F.min, "x", "west"), (F.max, "x", "east"), (F.min, "y", "south"), (F.max, "y", "north")))
+    return cores.unionByName(dark).groupBy("area").agg(F.sum("cloud").alias("clouds"), F.sum(1 - F.col("cloud")).alias("shadows"), *box)
+
+
+# Fifteen hundred keys share a picture of 80 by 80 cells; pictures stand apart from each other.
+VIEWS["sky"] = ("part", ["CAST(floor(p_retailprice) AS BIGINT)*7%80 + CAST(floor(p_partkey/1500) AS BIGINT)*1000 AS x", "(p_partkey*31+p_size*7)%80 AS y", "CASE WHEN p_size >= 47 THEN 'cloud' ELSE 'shadow' END AS kind", "p_size"])
+DISC = {k: "(VALUES " + ", ".join(map(str, disc(k))) + f") d{k}(dx, dy)" for k in (2, 3, 4)}
+BLOBS = "{r}(x, y, root) AS (SELECT x, y, y*4294967296 + x + 2147483648 FROM {c} UNION SELECT c.x, c.y, r.root FROM {r} r JOIN {c} c ON abs(c.x-r.x) <= 1 AND abs(c.y-r.y) <= 1)"
+
+
+@query("WITH RECURSIVE " + cte("sky").removeprefix("WITH ") + f""", cell AS (SELECT DISTINCT x, y, kind FROM sky WHERE p_size >= 47 OR p_size <= 4), cl AS (SELECT x, y FROM cell WHERE kind = 'cloud'), sh AS (SELECT x, y FROM cell WHERE kind = 'shadow'),
+g2 AS (SELECT DISTINCT x+dx AS x, y+dy AS y FROM cl, {DISC[2]}), g3 AS (SELECT DISTINCT x+dx AS x, y+dy AS y FROM g2, {DISC[3]}), g AS (SELECT x+dx AS x, y+dy AS y FROM g3, {DISC[3]} GROUP BY 1, 2 HAVING count(*) = {len(disc(3))}),
+{BLOBS.format(r='r', c='g')}, {BLOBS.format(r='q', c='sh')},
+b0 AS (SELECT x, y, min(root) AS blob FROM r GROUP BY ALL), size AS (SELECT blob, count(*) AS n FROM b0 JOIN cl USING (x, y) GROUP BY blob HAVING count(*) >= 3), b AS (SELECT b0.* FROM b0 JOIN size USING (blob)),
+s AS (SELECT x, y, min(root) AS shade FROM q GROUP BY ALL), m AS (SELECT shade, count(*) AS m FROM s GROUP BY ALL),
+t AS (SELECT DISTINCT b.blob, s.x, s.y, s.shade FROM s, {DISC[4]} JOIN b ON b.x = s.x+dx AND b.y = s.y+dy), beside AS (SELECT t.* FROM t LEFT JOIN b o ON o.x = t.x AND o.y = t.y WHERE o.blob IS NULL OR o.blob <> t.blob),
+own AS (SELECT blob, x, y FROM beside UNION SELECT k.blob, s.x, s.y FROM (SELECT DISTINCT blob, shade FROM beside) k JOIN m USING (shade) JOIN size USING (blob) JOIN s USING (shade) WHERE m <= 2*n),
+lk AS (SELECT DISTINCT a.blob AS a, b.blob AS b FROM own a JOIN own b USING (x, y)), w(blob, area) AS (SELECT blob, blob FROM size UNION SELECT lk.b, w.area FROM w JOIN lk ON lk.a = w.blob), ar AS (SELECT blob, min(area) AS area FROM w GROUP BY blob),
+e AS (SELECT area, x, y, 1 AS cloud FROM b JOIN cl USING (x, y) JOIN ar USING (blob) UNION ALL SELECT DISTINCT area, x, y, 0 FROM own JOIN ar USING (blob))
+SELECT area, CAST(sum(cloud) AS BIGINT) AS clouds, CAST(sum(1-cloud) AS BIGINT) AS shadows, min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north FROM e GROUP BY area""")
 def it7_label_blobs(spark, sf_dir):
-    """Cells that touch make a blob; small ones go."""
-    from ..fixtures import table
-
-    cells = table(spark, sf_dir, "part").where("p_size > 10").selectExpr("CAST(floor(p_retailprice) AS BIGINT)%60 AS x", "(p_partkey*31+p_size*7)%60 AS y").distinct()
-    return cell_components(cells).groupBy("blob").agg(F.count("*").alias("cells"), F.min("x").alias("west"), F.max("x").alias("east")).where("cells >= 2")
+    """Clouds of three cells at least, grown, grouped and with their shadows."""
+    return cloud_areas(view(spark, sf_dir, "sky").where("p_size >= 47 OR p_size <= 4").select("x", "y", "kind").distinct(), 3)
 
 
 @query(cte("clouds") + ", tex AS (SELECT DISTINCT CAST(floor(w/4) AS BIGINT) AS tx, CAST(floor(s/4) AS BIGINT) AS ty FROM clouds) SELECT cloud, tx, ty, round(greatest(w, tx*4)-tx*4, 4) AS left_px, round(greatest(s, ty*4)-ty*4, 4) AS low_px FROM clouds JOIN tex ON w <= tx*4+4 AND e >= tx*4 AND s <= ty*4+4 AND n >= ty*4")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions import geo
 from skyquilt.operators import joins
-from skyquilt.plans.maps import ring_of, simplified
+from skyquilt.plans.maps import simplified
 from skyquilt.plans.stages import recipe_key
 from skyquilt.plans.zones import clip_ring
 from skyquilt.sources import readers
@@ -114,17 +114,12 @@ def test_flight_plan_drops_repeats(spark, tmp_path):
 
 def test_simplify_keeps_within_tolerance():
     t = np.linspace(0, 6, 200)
-    pdf = pd.DataFrame({"aircraft": 1, "event_id": range(200), "lat": np.sin(t), "lon": t})
-    kept = simplified(pdf, 0.05)["event_id"].tolist()
+    chain = {"aircraft": np.ones(200), "event_id": np.arange(200), "lat": np.sin(t), "lon": t}
+    kept = simplified(chain, 0.05)["event_id"].tolist()
     assert kept[0] == 0 and kept[-1] == 199 and len(kept) < 40
     assert np.abs(np.interp(t, t[kept], np.sin(t)[kept]) - np.sin(t)).max() < 0.08
 
 
-def test_ring_order():
-    out = ring_of(pd.DataFrame({"rel": [1] * 4, "e1": [3, 1, 2, 4], "e2": [2, 4, 1, 3]}))
-    assert out["ring"].iloc[0] == "1,2,3,4" and out["whole"].iloc[0]
-
-
 def test_track_window_has_hysteresis():
     state = {}
     step = lambda lat, lon: jobs.track_window(state, {"lat": lat, "lon": lon, "event_id": 0})
