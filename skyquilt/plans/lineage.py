@@ -83,14 +83,45 @@ def ag24_disk_bytes_once(spark, sf_dir):
     return once.groupBy("dev").agg(F.sum("s").alias("bytes"))
 
 
-@query(TREE.replace("RECURSIVE edges", "RECURSIVE e0") + "runs AS (SELECT o_orderpriority AS rule, o_custkey%50 AS lot, o_totalprice/1000 AS s, row_number() OVER (PARTITION BY o_orderpriority, o_custkey%50 ORDER BY o_orderdate, o_orderkey) AS i FROM orders), e(rule, lot, i, v) AS (SELECT rule, lot, i, s FROM runs WHERE i = 1 UNION ALL SELECT r.rule, r.lot, r.i, 0.7e0*e.v + 0.3e0*r.s FROM e JOIN runs r ON r.rule = e.rule AND r.lot = e.lot AND r.i = e.i+1) SELECT rule, lot, round(arg_max(v, i), 4) AS cost, max(i) AS n FROM e GROUP BY ALL")
+#: Weight of a new run, and seconds of a rule that nothing is known of.
+ALPHA, UNKNOWN_S = 0.3, 1.0
+
+
+def ewma_costs(runs: DataFrame) -> DataFrame:
+    """(rule, version, cost, n): the exponential mean of a rule's seconds by version, as a weighted sum: the k-th run from the end weighs 0.3 * 0.7^k.
+
+    ``runs``: rule, version, seconds, day, run (which tells runs of a day apart).
+    """
+    own = Window.partitionBy("rule", "version")
+    r = runs.withColumn("n", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("day", "run")))
+    weight = F.when(F.col("i") == 1, F.pow(F.lit(1 - ALPHA), F.col("n") - 1)).otherwise(ALPHA * F.pow(F.lit(1 - ALPHA), F.col("n") - F.col("i")))
+    return r.groupBy("rule", "version").agg(F.sum(weight * F.greatest(F.col("seconds"), F.lit(0.0))).alias("cost"), F.max("n").cast("long").alias("n"))
+
+
+def estimates(asked: DataFrame, costs: DataFrame) -> DataFrame:
+    """(rule, version, cost, from_version): what a rule of a version will cost: its own mean, else that of the latest version with runs, else the default."""
+    latest = costs.groupBy("rule").agg(F.max(F.struct("version", "cost")).alias("l"))
+    own = costs.select("rule", "version", "cost", F.col("version").alias("from_version"))
+    j = asked.join(own, ["rule", "version"], "left").join(latest, "rule", "left")
+    return j.select("rule", "version", F.coalesce("cost", "l.cost", F.lit(UNKNOWN_S)).alias("cost"), F.coalesce("from_version", "l.version").alias("from_version"))
+
+
+# Rules run at odd versions, and one in ten never; asked for are versions 1 to 6.
+RUNS = "SELECT o_orderpriority||'/'||(o_custkey%50) AS rule, 1+CAST(floor(o_custkey/50) AS BIGINT)%2*2+(o_custkey%50)%2*2 AS version, o_totalprice/1000 AS seconds, o_orderdate AS day, o_orderkey AS run FROM orders WHERE o_custkey%10 <> 3"
+ASKED = "SELECT DISTINCT o_orderpriority||'/'||(o_custkey%50) AS rule FROM orders"
+
+
+@query(TREE.replace("RECURSIVE edges", "RECURSIVE e0") + f"""runs AS (SELECT *, row_number() OVER (PARTITION BY rule, version ORDER BY day, run) AS i FROM ({RUNS})),
+e(rule, version, i, v) AS (SELECT rule, version, i, seconds FROM runs WHERE i = 1 UNION ALL SELECT r.rule, r.version, r.i, 0.7e0*e.v + 0.3e0*r.seconds FROM e JOIN runs r ON r.rule = e.rule AND r.version = e.version AND r.i = e.i+1),
+c AS (SELECT rule, version, arg_max(v, i) AS cost FROM e GROUP BY ALL), q AS (SELECT rule, unnest(range(1, 7)) AS version FROM ({ASKED}))
+SELECT q.rule, q.version, round(coalesce(c.cost, (SELECT arg_max(cost, version) FROM c l WHERE l.rule = q.rule), 1e0), 4) AS cost, coalesce(c.version, (SELECT max(version) FROM c l WHERE l.rule = q.rule)) AS from_version FROM q LEFT JOIN c USING (rule, version)""")
 def ag29_ewma_costs(spark, sf_dir):
-    """Exponential mean of a rule's seconds, as a weighted sum: the k-th run from the end weighs 0.3 * 0.7^k."""
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderpriority AS rule", "o_custkey%50 AS lot", "o_totalprice/1000 AS s", "o_orderdate", "o_orderkey")
-    lot = Window.partitionBy("rule", "lot")
-    r = o.withColumn("n", F.count("*").over(lot)).withColumn("i", F.row_number().over(lot.orderBy("o_orderdate", "o_orderkey")))
-    weight = F.when(F.col("i") == 1, F.pow(F.lit(0.7), F.col("n") - 1)).otherwise(0.3 * F.pow(F.lit(0.7), F.col("n") - F.col("i")))
-    return r.groupBy("rule", "lot").agg(F.round(F.sum(weight * F.col("s")), 4).alias("cost"), F.max("n").cast("long").alias("n"))
+    """Estimates of every rule at versions 1 to 6."""
+    o = table(spark, sf_dir, "orders").withColumn("rule", F.expr("concat(o_orderpriority, '/', o_custkey%50)"))
+    runs = o.where("o_custkey%10 <> 3").selectExpr("rule", "1 + o_custkey div 50 % 2 * 2 + o_custkey%50%2*2 AS version", "o_totalprice/1000 AS seconds", "o_orderdate AS day", "o_orderkey AS run")
+    asked = o.select("rule").distinct().withColumn("version", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))))
+    e = estimates(asked, ewma_costs(runs))
+    return e.select("rule", "version", F.round("cost", 4).alias("cost"), "from_version")
 
 
 @query(A + "SELECT a.key, b.key AS twin FROM artifacts a JOIN artifacts b ON a.rule = b.rule AND a.size//1000 = b.size//1000 AND a.params = b.params AND a.key <> b.key")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
 from ..functions import geo
-from ..operators.joins import box_join, connected_components, in_groups, ranked, written
+from ..operators.joins import box_join, connected_components, first_in_budget, in_groups, ranked, written
 from ..registry import query
 
 # Relations of six ways that close a ring; every fiftieth way is missing, every second runs backwards.
@@ -305,25 +305,72 @@ def _along() -> Window:
     return Window.partitionBy("way").orderBy("pos", "node")
 
 
-@query(cte("ways", "nodes") + """, t AS (SELECT w.way, w.pos, w.node, n.x, n.y, CAST(round(n.z*100000) AS BIGINT) AS zc, count(*) AS k FROM ways w JOIN nodes n ON n.id = w.node GROUP BY ALL),
-d AS (SELECT *, x-lag(x) OVER w AS dx, y-lag(y) OVER w AS dy FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
-c AS (SELECT *, CAST(sum(CAST(round(1000*coalesce(sqrt(dx*dx+dy*dy), 0)) AS BIGINT)) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS BIGINT) AS metre FROM d),
-f AS (SELECT *, CAST(sum(k*zc) OVER r AS BIGINT) AS zs, CAST(sum(k) OVER r AS BIGINT) AS n FROM c WINDOW r AS (PARTITION BY way ORDER BY metre RANGE BETWEEN 400 PRECEDING AND 400 FOLLOWING)),
-e AS (SELECT *, unnest(range(0, k)) AS twin FROM f) SELECT way, pos, node, metre, ((20000*zs + 30480*n) // (60960*n))/10000e0 AS feet FROM e""")
-def wn14_smooth_along(spark, sf_dir):
-    """Mean height within a window of arc length.
+def smooth_along(points: DataFrame, by: str, order: list[str], step: float, window: float) -> DataFrame:
+    """(by, order, place, smooth): each point's altitude averaged over ``window`` along its way.
 
-    Twins (one node twice at one place of a way) are one row with a count, so the order is total and both windows
-    see the same one; heights are whole hundredths and divided once, so sums are the same in any order.
+    ``points``: by, order, x, y, alt; the order tells a way's points apart. A way whose last point stands where its
+    first does is a ring. The way is sampled about every ``step`` of its length, by straight lines between points; a
+    sample takes the mean of those within half the window either way, on round a ring's start, up to an open way's
+    ends; a ring that the window goes round takes its mean. A point takes what lies at its place. Ways of one point or
+    without a length stay as they are. A point looks up four running sums of samples by an equal key, so no
+    window is as wide as the one asked for, and a ring's samples are counted on past its end by its total.
     """
-    w = _along()
-    t = track(spark, sf_dir).groupBy("way", "pos", "node", "x", "y", F.round(F.col("z") * 100000).cast("long").alias("zc")).agg(F.count("*").alias("k"))
-    d = t.withColumn("dx", F.col("x") - F.lag("x").over(w)).withColumn("dy", F.col("y") - F.lag("y").over(w))
-    step = F.round(1000 * F.coalesce(F.sqrt(F.expr("dx*dx+dy*dy")), F.lit(0.0))).cast("long")
-    c = d.withColumn("metre", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    near = Window.partitionBy("way").orderBy("metre").rangeBetween(-400, 400)
-    f = c.withColumn("zs", F.sum(F.expr("k*zc")).over(near)).withColumn("n", F.sum("k").over(near)).withColumn("twin", F.explode(F.sequence(F.lit(1).cast("long"), "k")))
-    return f.select("way", "pos", "node", "metre", F.expr("((20000*zs + 30480*n) div (60960*n))/10000D").alias("feet"))
+    w = Window.partitionBy(by).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    far = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
+    p = points.withColumn("_far", F.coalesce(far, F.lit(0.0))).withColumn("place", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("_length", F.last("place").over(whole)).withColumn("_ring", (F.first("x").over(whole) == F.last("x").over(whole)) & (F.first("y").over(whole) == F.last("y").over(whole)) & (F.count("*").over(whole) > 1))
+    p = p.withColumn("_count", F.greatest(F.ceil(F.col("_length") / step), F.lit(1))).withColumn("_step", F.col("_length") / F.col("_count"))
+    p = written(p, "along")
+    moving = p.where("_length > 0 AND (place = 0 OR _far > 0)")
+    nxt = moving.select(by, "place", "alt", "_length", "_ring", "_count", "_step", F.lead("place").over(w).alias("to"), F.lead("alt").over(w).alias("alt2"), *[c for c in order if c not in (by, "place")]).where("to IS NOT NULL")
+    k = F.explode(F.filter(F.sequence(F.ceil(F.expr("place/_step - 1e-9")), F.ceil(F.expr("to/_step - 1e-9"))), lambda i: (i < F.ceil(F.expr("to/_step - 1e-9"))) | ((F.col("to") == F.col("_length")) & ~F.col("_ring") & (i == F.col("_count")))))
+    samples = nxt.withColumn("k", k).selectExpr(by, "k", "alt + (alt2-alt)*greatest(0D, least(1D, (k*_step-place)/(to-place))) AS z")
+    sums = written(samples.select(by, "k", F.sum("z").over(Window.partitionBy(by).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).alias("s")), "samples")
+    n = "CASE WHEN _ring THEN _count ELSE _count + 1 END"
+    own = p.where("_length > 0").selectExpr("*", f"{n} AS _n", f"CAST(rint({window}D/2/_step) AS BIGINT) AS _half", "least(CAST(floor(place/_step + 1e-9) AS BIGINT), _count) AS _low")
+    own = own.withColumn("_round", F.expr("_ring AND 2*_half+1 >= _n"))
+    total = "named_struct('j', _n - 1, 'm', 0L, 'i', 4)"
+    edges = []
+    for i, at in enumerate(("_low", "_low + 1")):
+        at = f"(CASE WHEN _ring THEN {at} ELSE least({at}, _count) END)"
+        high, low = (f"{at} + _half", f"{at} - _half - 1")
+        edges += [f"CASE WHEN _ring THEN {high} ELSE least({high}, _n - 1) END", f"CASE WHEN _ring THEN {low} ELSE greatest({low}, -1) END"]
+    looks = [f"named_struct('j', CASE WHEN _ring THEN pmod({e}, _n) ELSE {e} END, 'm', CASE WHEN _ring THEN CAST(floor(({e}) / _n) AS BIGINT) ELSE 0L END, 'i', {i})" for i, e in enumerate(edges)]
+    look = own.select(by, *order, F.explode(F.expr(f"array({', '.join([*looks, total])})")).alias("q")).select(by, *order, F.col("q.j").alias("k"), "q.m", "q.i")
+    found = look.join(sums, [by, "k"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    part = lambda i: F.max(F.when(F.col("i") == i, F.struct("s", "k", "m"))).alias(f"p{i}")
+    j = own.join(found.groupBy(by, *order).agg(*map(part, range(5))), [by, *order])
+    upto = lambda i: f"(p{i}.s + p{i}.m * p4.s)"
+    size = lambda i: f"(p{i}.k + p{i}.m * _n)"
+    mean = lambda a, b: f"(({upto(a)} - {upto(b)}) / ({size(a)} - {size(b)}))"
+    value = F.expr(f"CASE WHEN _round THEN p4.s / _n ELSE {mean(0, 1)} + ({mean(2, 3)} - {mean(0, 1)}) * greatest(0D, place/_step - _low) END")
+    still = p.where("_length <= 0").select(by, *order, "place", F.col("alt").alias("smooth"))
+    return j.select(by, *order, "place", value.alias("smooth")).unionByName(still)
+
+
+# Roads of one in three are rings: their first point comes again at the end. A length of 1 is 1,000 m. SQL takes each sample's mean by itself.
+ROAD_STEP, ROAD_WINDOW = 0.05, 0.4
+ROADS = """, d AS (SELECT DISTINCT w.way, w.pos, w.node, n.x, n.y, n.z FROM ways w JOIN nodes n ON n.id = w.node), p AS (FROM d UNION ALL SELECT way, 1000, node, x, y, z FROM d WHERE way%3=0 QUALIFY row_number() OVER (PARTITION BY way ORDER BY pos, node) = 1) """
+
+
+@query(cte("ways", "nodes") + ROADS + f""", a AS (SELECT *, coalesce(sqrt((x-lag(x) OVER w)^2+(y-lag(y) OVER w)^2), 0) AS far FROM p WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+b AS (SELECT *, sum(far) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS place FROM a), l AS (SELECT way, max(place) AS length, bool_or(pos = 1000) AND count(*) > 1 AS ring FROM b GROUP BY way),
+c AS (SELECT *, CAST(greatest(ceil(length/{ROAD_STEP}e0), 1) AS BIGINT) AS cnt, length/greatest(ceil(length/{ROAD_STEP}e0), 1) AS step FROM l WHERE length > 0),
+g AS (SELECT c.*, unnest(range(0, CASE WHEN ring THEN cnt ELSE cnt+1 END)) AS k FROM c), m AS (SELECT b.* FROM b JOIN c USING (way) WHERE place = 0 OR far > 0),
+seg AS (SELECT way, place, z, lead(place) OVER w AS nxt, lead(z) OVER w AS z2 FROM m WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+s AS (SELECT g.way, g.k, arg_min(seg.z + (z2-seg.z)*greatest(0, least(1, (k*step-place)/(nxt-place))), place) AS z FROM g JOIN seg ON seg.way = g.way AND nxt IS NOT NULL AND k*step >= place-1e-9*step AND k*step <= nxt+1e-9*step GROUP BY ALL),
+h AS (SELECT *, CAST(round_even({ROAD_WINDOW}e0/2/step, 0) AS BIGINT) AS half, CASE WHEN ring THEN cnt ELSE cnt+1 END AS n FROM c),
+f AS (SELECT h.way, q.k, CASE WHEN ring AND 2*half+1 >= n THEN avg(s.z) ELSE avg(s.z) FILTER (abs(s.k-q.k) <= half OR (ring AND n-abs(s.k-q.k) <= half)) END AS z FROM h JOIN s q ON q.way = h.way JOIN s ON s.way = h.way GROUP BY h.way, q.k, ring, half, n),
+o AS (SELECT b.way, pos, node, place, b.z, step, cnt, ring, least(CAST(floor(place/step + 1e-9) AS BIGINT), cnt) AS low FROM b LEFT JOIN c USING (way))
+SELECT o.way, o.pos, o.node, round(place, 5) AS place, round(CASE WHEN step IS NULL THEN o.z ELSE u.z + (v.z-u.z)*greatest(0, place/step-low) END/0.3048e0, 5) AS feet
+FROM o LEFT JOIN f u ON u.way = o.way AND u.k = CASE WHEN ring THEN low%cnt ELSE low END LEFT JOIN f v ON v.way = o.way AND v.k = CASE WHEN ring THEN (low+1)%cnt ELSE least(low+1, cnt) END""")
+def wn14_smooth_along(spark, sf_dir):
+    """Heights along roads in feet, averaged over 400 m; rings wrap."""
+    d = track(spark, sf_dir).select("way", "pos", "node", "x", "y", F.col("z").alias("alt")).distinct()
+    first = d.where("way%3=0").groupBy("way").agg(F.min(F.struct("pos", "node", "x", "y", "alt")).alias("f")).select("way", F.lit(1000).alias("pos"), "f.node", "f.x", "f.y", "f.alt")
+    out = smooth_along(d.unionByName(first), "way", ["pos", "node"], ROAD_STEP, ROAD_WINDOW)
+    return out.select("way", F.col("pos").cast("long").alias("pos"), "node", F.round("place", 5).alias("place"), F.round(F.col("smooth") / 0.3048, 5).alias("feet"))
 
 
 @query(cte("ways", "nodes") + TRACK + """, a AS (SELECT way, pos, node, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node))
@@ -347,14 +394,27 @@ def wn16_refine(spark, sf_dir):
     return n.select("way", "pos", "node", "i", F.round(F.expr("x+(x2-x)*i/k"), 6).alias("x"), F.round(F.expr("y+(y2-y)*i/k"), 6).alias("y"))
 
 
-@query(cte("ways", "nodes") + TRACK + """, d AS (SELECT way, abs(z - lag(z) OVER (PARTITION BY way ORDER BY pos, node)) AS drop FROM t), r AS (SELECT way, way%50 AS store, count(*) AS n, coalesce(bool_or(drop >= 150), false) AS steep FROM d GROUP BY way)
-SELECT way, store, n, CAST(sum(n) OVER (PARTITION BY store ORDER BY way) AS BIGINT) <= 200 AS in_budget FROM r WHERE steep""")
+#: Points that may be levelled in a store.
+LEVELLED = 300
+
+
+# Stores are ranges of ways in their order; a way that begins or ends at a node of one in forty is in an airport.
+@query(cte("ways", "nodes") + TRACK + f""", d AS (SELECT way, node, abs(z - lag(z) OVER w) AS drop, row_number() OVER w AS i, count(*) OVER (PARTITION BY way) AS k FROM t WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+r AS (SELECT way, way//500 AS store, count(*) AS n, coalesce(bool_or(drop >= 150), false) AS steep, bool_or((i = 1 OR i = k) AND node%40 = 0) AS airport FROM d GROUP BY way),
+b AS (SELECT *, sum(n) OVER (PARTITION BY store ORDER BY way ROWS UNBOUNDED PRECEDING) - n AS before FROM r WHERE steep OR airport)
+SELECT way, store, n, airport FROM b WHERE airport OR before < {LEVELLED}""")
 def wn20_bank_test(spark, sf_dir):
-    """A road is levelled if it drops sharply anywhere, as far as its store's budget of segments goes."""
+    """Roads to level: those that end in an airport, and those that drop sharply anywhere as long as the store's budget of points lasts.
+
+    The budget goes to both kinds in the order of the input; its end is found by sums of blocks of ways.
+    """
     d = track(spark, sf_dir).withColumn("drop", F.abs(F.col("z") - F.lag("z").over(_along())))
-    r = d.groupBy("way").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("drop") >= 150), F.lit(False)).alias("steep")).where("steep").withColumn("store", F.expr("way%50"))
-    upto = F.sum("n").over(Window.partitionBy("store").orderBy("way"))
-    return r.select("way", "store", "n", (upto <= 200).alias("in_budget"))
+    ends = F.array(F.min(F.struct("pos", "node")), F.max(F.struct("pos", "node")))
+    r = d.groupBy("way").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("drop") >= 150), F.lit(False)).alias("steep"), F.exists(ends, lambda e: e["node"] % 40 == 0).alias("airport"))
+    r = written(r.where("steep OR airport").selectExpr("*", "way div 500 AS store", "way div 25 AS block"), "banked")
+    budgets = r.select("store").distinct().withColumn("budget", F.lit(LEVELLED))
+    inside = first_in_budget(r, "store", ["block", "way"], "n", budgets)
+    return inside.where("NOT airport").unionByName(r.where("airport")).select("way", "store", "n", "airport")
 
 
 def simplified(chain: dict, tol: float) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, table, view
-from ..operators.joins import written
+from ..operators.joins import box_join, written
 from ..registry import query
 
 VOID = -32768.0
@@ -112,22 +112,58 @@ def fill_voids(own: DataFrame, tile: Column) -> DataFrame:
     return reduce(DataFrame.unionByName, filled, voids.withColumn("alt", F.lit(0.0)))
 
 
-def weighted(df: DataFrame, value: str, mask: str, by: str, along: str, p: int) -> DataFrame:
-    """Triangle-weighted sums of value and mask along one axis."""
-    w = Window.partitionBy(by).orderBy(along)
-    total = lambda n: sum((p + 1 - abs(k)) * F.coalesce(F.lag(n, k).over(w) if k >= 0 else F.lead(n, -k).over(w), F.lit(0.0)) for k in range(-p, p + 1))
-    return df.select("r", "c", "alt", total(value).alias(value), total(mask).alias(mask))
-
-
-TRI = "+".join(f"{3 - abs(k)}*coalesce({'lag' if k >= 0 else 'lead'}({{v}}, {abs(k)}) OVER w, 0)" for k in range(-2, 3))
-
+def triangle_sums(df: DataFrame, columns: list[str], by: str, along: str, p: int) -> DataFrame:
+    """Each column's sum with the weights 1 ... p+1 ... 1 along one axis, whose rows have no gaps; beyond the ends there is nothing.
 
-@query(R + f", m AS (SELECT r, c, alt::DOUBLE AS alt, CASE WHEN alt > -32768 THEN alt::DOUBLE ELSE 0 END AS v, CASE WHEN alt > -32768 THEN 1.0e0 ELSE 0 END AS m FROM raster), a AS (SELECT r, c, alt, {TRI.format(v='v')} AS v, {TRI.format(v='m')} AS m FROM m WINDOW w AS (PARTITION BY r ORDER BY c)), b AS (SELECT r, c, {TRI.format(v='v')} AS v, {TRI.format(v='m')} AS m FROM a WINDOW w AS (PARTITION BY c ORDER BY r)) SELECT r, c, round(v/nullif(m, 0)/0.3048e0, 3) AS feet FROM b")
+    A triangle is a box summed twice, and so three places of a running sum of running sums: two windows and three
+    looks aside, however wide p is. Beyond the end the running sums go on as a straight line.
+    """
+    w = Window.partitionBy(by).orderBy(along)
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = [c for c in df.columns if c not in columns]
+    once = df.select(*own, *(F.sum(c).over(upto).alias(c) for c in columns), F.row_number().over(w).alias("_n"), F.count("*").over(Window.partitionBy(by)).alias("_all"))
+    twice = once.select(*own, "_n", "_all", *(F.sum(c).over(upto).alias(c) for c in columns), *(F.last(c).over(whole).alias(f"_{c}") for c in columns))
+    beyond = F.greatest(F.col("_n") + p - F.col("_all"), F.lit(0))
+
+    def total(c):
+        back = lambda k: F.coalesce(F.lag(c, k).over(w), F.lit(0.0))
+        ahead = F.coalesce(F.lead(c, p).over(w), F.last(c).over(whole) + beyond * F.col(f"_{c}"))
+        return (ahead - 2 * back(1) + back(p + 2)).alias(c)
+
+    return twice.select(*own, *map(total, columns))
+
+
+def smoothed(raster: DataFrame, p: int) -> DataFrame:
+    """(r, c, alt, smooth): a raster smoothed by a triangle of p posts either way, along rows, then along columns.
+
+    ``raster``: r, c, alt, weight (0 to 1). A post counts by its weight; the result is blended with the post's own
+    height by its weight, and again over the p rows and columns next to the border, where the outermost stay as
+    they are. A post of weight 0 stays as it is.
+    """
+    m = raster.select("r", "c", "alt", "weight", (F.col("alt") * F.col("weight")).alias("v"), F.col("weight").alias("w"))
+    out = triangle_sums(triangle_sums(m, ["v", "w"], "r", "c", p), ["v", "w"], "c", "r", p)
+    inside = F.col("weight") * F.col("v") / F.col("w") + (1 - F.col("weight")) * F.col("alt")
+    edge = lambda by, n: F.least(F.row_number().over(Window.partitionBy(by).orderBy(n)) - 1, F.count("*").over(Window.partitionBy(by)) - F.row_number().over(Window.partitionBy(by).orderBy(n)), F.lit(p)) / float(p)
+    at = out.select("r", "c", "alt", "weight", F.when(F.col("weight") > 0, inside).otherwise(F.col("alt")).alias("s"), edge("c", "r").alias("down"), edge("r", "c").alias("side"))
+    blend = lambda k, s: F.col(k) * s + (1 - F.col(k)) * F.col("alt")
+    return at.select("r", "c", "alt", F.when(F.col("weight") > 0, blend("side", blend("down", F.col("s")))).otherwise(F.col("alt")).alias("smooth"))
+
+
+#: Posts either way.
+SMOOTH_P = 3
+TRI = "+".join(f"{SMOOTH_P + 1 - abs(k)}*coalesce({'lag' if k >= 0 else 'lead'}({{v}}, {abs(k)}) OVER w, 0)" for k in range(-SMOOTH_P, SMOOTH_P + 1))
+EDGE = f"least(row_number() OVER {{w}} - 1, count(*) OVER {{a}} - row_number() OVER {{w}}, {SMOOTH_P})/{SMOOTH_P}e0"
+
+
+# Voids weigh nothing, every third row half; SQL adds up the weights term by term.
+@query(R + f""", m AS (SELECT r, c, alt::DOUBLE AS alt, w AS m, alt::DOUBLE*w AS v, w FROM (SELECT *, CASE WHEN alt <= -32768 THEN 0e0 WHEN r%3=0 THEN 0.5e0 ELSE 1e0 END AS w FROM raster)), a AS (SELECT r, c, alt, w AS k, {TRI.format(v='v')} AS v, {TRI.format(v='m')} AS m FROM m WINDOW w AS (PARTITION BY r ORDER BY c)),
+b AS (SELECT r, c, alt, k, {TRI.format(v='v')} AS v, {TRI.format(v='m')} AS m FROM a WINDOW w AS (PARTITION BY c ORDER BY r)),
+e AS (SELECT *, k*v/m + (1-k)*alt AS s, {EDGE.format(w='(PARTITION BY c ORDER BY r)', a='(PARTITION BY c)')} AS down, {EDGE.format(w='(PARTITION BY r ORDER BY c)', a='(PARTITION BY r)')} AS side FROM b)
+SELECT r, c, round(CASE WHEN k > 0 THEN side*(down*s+(1-down)*alt)+(1-side)*alt ELSE alt END/0.3048e0, 3) AS feet FROM e""")
 def wn9_triangular_smooth(spark, sf_dir):
-    """Smoothed along rows, then along columns; voids weigh nothing."""
-    m = raster(spark, sf_dir).select("r", "c", "alt", F.when(F.col("alt") > VOID, F.col("alt")).otherwise(0.0).alias("v"), (F.col("alt") > VOID).cast("double").alias("m"))
-    out = weighted(weighted(m, "v", "m", "r", "c", 2), "v", "m", "c", "r", 2)
-    return out.select("r", "c", F.round(F.col("v") / F.nullif(F.col("m"), F.lit(0.0)) / 0.3048, 3).alias("feet"))
+    """Smoothed along rows, then along columns, in feet."""
+    weight = F.when(F.col("alt") <= VOID, 0.0).when(F.col("r") % 3 == 0, 0.5).otherwise(1.0)
+    return smoothed(raster(spark, sf_dir).withColumn("weight", weight), SMOOTH_P).select("r", "c", F.round(F.col("smooth") / 0.3048, 3).alias("feet"))
 
 
 @query(R + ", b AS (SELECT r, c, CAST(alt AS INT) % 256 AS v FROM raster WHERE alt > -32768), s AS (SELECT r, c, sum(v) OVER w AS s, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) SELECT r, c, CAST(2*least(CAST(floor(s/n) AS INT), 127) AS INT) AS v FROM s")
@@ -175,17 +211,52 @@ def wn13_step_mask(spark, sf_dir):
     return d.groupBy("r", "c").agg(F.coalesce(F.min_by("v", "most"), F.lit(0)).alias("value"))
 
 
-VIEWS["rects"] = ("supplier", ["s_suppkey AS id", "(s_suppkey*37)%300 AS x0", "(s_suppkey*37)%300+5+s_suppkey%20 AS x1", "(s_suppkey*53)%200 AS y0", "(s_suppkey*53)%200+3+s_suppkey%9 AS y1"])
-
-
-@query(cte("rects") + "SELECT y, count(DISTINCT x) AS covered FROM (SELECT *, unnest(range(x0, x1+1)) AS x FROM (SELECT *, unnest(range(y0, y1+1)) AS y FROM rects)) GROUP BY y")
+# Rectangles of cells, bounds counted in, on maps of 300 by 240; one in 50 is out of the map, so its bounds cross.
+VIEWS["rects"] = (
+    "customer",
+    [
+        "c_custkey AS id", "CAST(floor(c_custkey/200) AS BIGINT) AS map", "CASE WHEN c_custkey%3=0 THEN 'airport' ELSE 'coast' END AS kind", "(c_custkey*37)%280 AS x0",
+        "CASE WHEN c_custkey%50=7 THEN (c_custkey*37)%280-3 ELSE (c_custkey*37)%280+5+c_custkey%20 END AS x1", "(c_custkey*53)%230 AS y0", "(c_custkey*53)%230+3+c_custkey%7 AS y1",
+    ],
+)
+
+
+def painted(rects: DataFrame, by: str, kinds: list[str]) -> DataFrame:
+    """(by, x0, x1, y0, y1, and each kind's count): the cells that rectangles cover, as rectangles of equal counts, open at their far ends.
+
+    ``rects``: by, kind, x0, x1, y0, y1, whole numbers, bounds counted in; those whose bounds cross are dropped. A
+    two-dimensional difference array as rows: four corners a rectangle, equal corners summed up; running sums along
+    each row give steps; steps are cut at the columns where any step of their map begins or ends, and running sums
+    down each such column give the counts. Work follows the rectangles' upper and lower edges, not their areas.
+    """
+    corner = F.expr("explode(array(struct(x0 AS x, y0 AS y, 1L AS d), struct(x1+1 AS x, y0 AS y, -1L AS d), struct(x0 AS x, y1+1 AS y, -1L AS d), struct(x1+1 AS x, y1+1 AS y, 1L AS d)))")
+    marks = rects.where("x0 <= x1 AND y0 <= y1").select(by, "kind", corner.alias("c")).groupBy(by, "c.x", "c.y").agg(*(F.sum(F.when(F.col("kind") == k, F.col("c.d")).otherwise(0)).alias(k) for k in kinds))
+    marks = written(marks, "corners")
+    row = Window.partitionBy(by, "y").orderBy("x")
+    upto = lambda w, k: F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(k)
+    steps = marks.select(by, "y", F.col("x").alias("x0"), F.lead("x").over(row).alias("x1"), *(upto(row, k) for k in kinds)).where(" OR ".join(f"{k} <> 0" for k in kinds))
+    edges = marks.select(by, "x").distinct().groupBy(by).agg(F.sort_array(F.collect_list("x")).alias("edges"))  # as many as a map has columns
+    cut = steps.join(edges, by).withColumn("x", F.explode(F.filter("edges", lambda e: (e >= F.col("x0")) & (e < F.col("x1")))))
+    cut = cut.withColumn("to", F.element_at(F.filter("edges", lambda e: e > F.col("x")), 1))
+    column = Window.partitionBy(by, "x").orderBy("y")
+    sums = cut.groupBy(by, "x", "to", "y").agg(*(F.sum(k).alias(k) for k in kinds))
+    out = sums.select(by, F.col("x").alias("x0"), F.col("to").alias("x1"), F.col("y").alias("y0"), F.lead("y").over(column).alias("y1"), *(upto(column, k) for k in kinds))
+    return out.where(" OR ".join(f"{k} > 0" for k in kinds))
+
+
+#: Weights of cells that airports or coasts cover; a coast's counts where it is the greater.
+AIRPORT_WEIGHT, COAST_WEIGHT = 15.0, 5.0
+
+
+# The sum over a weight's cells of 31 x + 17 y tells where they are.
+@query(cte("rects") + f""", c AS (SELECT map, kind, unnest(range(x0, x1+1)) AS x, y FROM (SELECT *, unnest(range(y0, y1+1)) AS y FROM rects)), w AS (SELECT map, x, y, greatest(CASE WHEN bool_or(kind = 'airport') THEN {AIRPORT_WEIGHT} ELSE 1 END, CASE WHEN bool_or(kind = 'coast') THEN {COAST_WEIGHT} ELSE 0 END)::DOUBLE AS weight FROM c GROUP BY ALL)
+SELECT map, weight, count(*) AS cells, CAST(sum(31*x+17*y) AS BIGINT) AS places FROM w GROUP BY ALL""")
 def wn17_rect_union(spark, sf_dir):
-    """Cells that rectangles cover, by row: +1 where one begins, -1 behind its end, a running sum between."""
-    r = view(spark, sf_dir, "rects").withColumn("y", F.explode(F.sequence("y0", "y1")))
-    marks = r.select("y", F.expr("stack(2, x0, 1, x1+1, -1) AS (x, d)")).groupBy("y", "x").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("y").orderBy("x")
-    open_ = marks.withColumn("open", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("x").over(w))
-    return open_.where("open > 0").groupBy("y").agg(F.sum(F.expr("to - x")).alias("covered"))
+    """Cells by weight: airports' rectangles set theirs, coasts' count where they are greater."""
+    p = painted(view(spark, sf_dir, "rects"), "map", ["airport", "coast"])
+    weight = F.greatest(F.when(F.col("airport") > 0, AIRPORT_WEIGHT).otherwise(1.0), F.when(F.col("coast") > 0, COAST_WEIGHT).otherwise(0.0))
+    places = F.expr("(x1-x0) * (y1-y0) * (31*(x0+x1-1) + 17*(y0+y1-1)) div 2")
+    return p.withColumn("weight", weight).groupBy("map", "weight").agg(F.sum(F.expr("(x1-x0) * (y1-y0)")).alias("cells"), F.sum(places).alias("places"))
 
 
 @query(R + "SELECT a.r*3+i AS r, a.c*3+j AS c, round((a.alt*(1-j/3e0)+b.alt*j/3e0)*(1-i/3e0)+(d.alt*(1-j/3e0)+e.alt*j/3e0)*i/3e0, 4) AS alt FROM raster a JOIN raster b ON b.r=a.r AND b.c=a.c+1 JOIN raster d ON d.r=a.r+1 AND d.c=a.c JOIN raster e ON e.r=a.r+1 AND e.c=a.c+1, range(0, 3) p(i), range(0, 3) q(j) WHERE least(a.alt, b.alt, d.alt, e.alt) > -32768")
@@ -238,10 +309,55 @@ def ag45_finest_file(spark, sf_dir):
     return p.groupBy("cell").agg(F.min(F.struct(-F.col("points"), "kind", "path", "points")).alias("b")).select("cell", "b.path", "b.points")
 
 
-@query(R + "SELECT r//10 AS ar, c//10 AS ac, count(*) AS posts, round(avg(CASE WHEN alt > 250 THEN 1.0e0 ELSE 0 END), 5) AS share FROM raster WHERE r%2=0 AND c%2=0 AND alt > -32768 GROUP BY ALL")
+# Areas with seven corners, not all of them convex, on the raster; posts stand on whole numbers, corners never do.
+_RADIUS = "(3+c_custkey%4)*CASE WHEN {k}%3=1 THEN 0.55e0 ELSE 1e0 END"
+VIEWS["areas"] = (
+    "customer",
+    ["c_custkey AS area", "(c_custkey*29)%430/10e0+0.0317e0 AS cy", "(c_custkey*71)%520/10e0+0.0171e0 AS cx", *(f"{_RADIUS.format(k=k)}*{f}({k}*2*pi()/7) AS {n}{k}" for k in range(7) for n, f in (("u", "cos"), ("v", "sin")))],
+)
+AREA_EDGES = [(k, (k + 1) % 7) for k in range(7)]
+#: Of posts one in so many each way is a sample; samples of a block each way; metres above which a post is land.
+STRIDE, BLOCK, LAND_M = 4, 4, 250.0
+
+
+def ring_of_area() -> tuple[str, str]:
+    return (f"array({', '.join(f'{c}+{n}{k}' for k in range(7))})" for c, n in (("cx", "u"), ("cy", "v")))
+
+
+#: Whether a point (px, py) lies in a ring of corners xs, ys: it does if an odd number of edges pass on its east.
+IN_RING = "aggregate(sequence(0, size(xs)-1), 0, (n, i) -> n + CASE WHEN (ys[i] > {py}) <> (ys[(i+1)%size(xs)] > {py}) AND {px} < (xs[(i+1)%size(xs)]-xs[i])*({py}-ys[i])/(ys[(i+1)%size(xs)]-ys[i])+xs[i] THEN 1 ELSE 0 END) % 2 = 1"
+
+
+def land_shares(areas: DataFrame, posts: DataFrame, land_m: float, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
+    """(area, posts, land): of the sampled posts inside each area how many there are, and how many are land.
+
+    ``areas``: area, xs, ys (corners of a ring, in raster units); ``posts``: r, c, alt without voids. One post in
+    ``stride`` each way is sampled. Samples are summed up by blocks first; a block that no edge's box touches lies
+    wholly inside or outside and counts as one row; only samples of the other blocks are tested. An area without
+    samples gives no row.
+    """
+    side = stride * block
+    s = posts.where(f"r % {stride} = 0 AND c % {stride} = 0").withColumn("br", F.floor(F.col("r") / side)).withColumn("bc", F.floor(F.col("c") / side))
+    sums = s.groupBy("br", "bc").agg(F.count("*").alias("n"), F.count_if(F.col("alt") > land_m).alias("land"), F.collect_list(F.struct("r", "c", (F.col("alt") > land_m).alias("land"))).alias("own"))
+    sums = sums.selectExpr("*", f"double(bc*{side}) AS w", f"double(br*{side}) AS s", f"double(bc*{side}+{side - stride}) AS e", f"double(br*{side}+{side - stride}) AS n2")
+    a = areas.selectExpr("*", "array_min(xs) AS aw", "array_min(ys) AS as_", "array_max(xs) AS ae", "array_max(ys) AS an")
+    j = box_join(a, sums, float(side), ("aw", "as_", "ae", "an"), ("w", "s", "e", "n2"))
+    near = "exists(sequence(0, size(xs)-1), i -> least(xs[i], xs[(i+1)%size(xs)]) <= e AND greatest(xs[i], xs[(i+1)%size(xs)]) >= w AND least(ys[i], ys[(i+1)%size(xs)]) <= n2 AND greatest(ys[i], ys[(i+1)%size(xs)]) >= s)"
+    j = j.withColumn("near", F.expr(near))
+    whole = j.where("NOT near").where(F.expr(IN_RING.format(px="w", py="s"))).select("area", "n", "land")
+    tested = j.where("near").select("area", "xs", "ys", F.explode("own").alias("p")).where(F.expr(IN_RING.format(px="p.c", py="p.r"))).selectExpr("area", "1L AS n", "CASE WHEN p.land THEN 1L ELSE 0L END AS land")
+    return whole.unionByName(tested).groupBy("area").agg(F.sum("n").alias("posts"), F.sum("land").alias("land"))
+
+
+@query(cte("areas", "raster") + f""", g AS (SELECT area, unnest([{', '.join(f'cx+u{i}' for i, _ in AREA_EDGES)}]) AS x1, unnest([{', '.join(f'cy+v{i}' for i, _ in AREA_EDGES)}]) AS y1, unnest([{', '.join(f'cx+u{k}' for _, k in AREA_EDGES)}]) AS x2, unnest([{', '.join(f'cy+v{k}' for _, k in AREA_EDGES)}]) AS y2 FROM areas),
+h AS (SELECT area, r, c, any_value(alt) AS alt FROM g JOIN raster ON (y1 > r) <> (y2 > r) AND c < (x2-x1)*(r-y1)/(y2-y1)+x1 WHERE r%{STRIDE}=0 AND c%{STRIDE}=0 AND alt > -32768 GROUP BY area, r, c HAVING count(*)%2 = 1)
+SELECT area, count(*) AS posts, round(avg(CASE WHEN alt > {LAND_M} THEN 1e0 ELSE 0 END), 5) AS share FROM h GROUP BY area""")
 def ag46_land_share(spark, sf_dir):
-    p = raster(spark, sf_dir).where(f"r%2=0 AND c%2=0 AND alt > {VOID}")
-    return p.groupBy(F.expr("r div 10").alias("ar"), F.expr("c div 10").alias("ac")).agg(F.count("*").alias("posts"), F.round(F.avg((F.col("alt") > 250).cast("double")), 5).alias("share"))
+    """The share of land among the sampled posts inside each area, voids left out."""
+    xs, ys = ring_of_area()
+    areas = view(spark, sf_dir, "areas").selectExpr("area", f"{xs} AS xs", f"{ys} AS ys")
+    s = land_shares(areas, raster(spark, sf_dir).where(f"alt > {VOID}"), LAND_M)
+    return s.select("area", "posts", F.round(F.col("land") / F.col("posts"), 5).alias("share"))
 
 
 @query(R + "SELECT r//13 AS br, c//13 AS bc, count(*) AS posts, min(alt)::DOUBLE AS low, max(alt)::DOUBLE AS high FROM raster WHERE r BETWEEN 5 AND 30 AND c BETWEEN 8 AND 40 GROUP BY ALL")

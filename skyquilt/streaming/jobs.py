@@ -119,13 +119,27 @@ def jump(state: dict, row: dict) -> dict | None:
     return {"event_id": row["event_id"], "km": round(far, 3)} if far > 20 else None
 
 
+def bearing(a: dict, b: dict) -> float:
+    import math
+
+    p, q, turn = math.radians(a["lat"]), math.radians(b["lat"]), math.radians(b["lon"] - a["lon"])
+    return math.degrees(math.atan2(math.sin(turn) * math.cos(q), math.cos(p) * math.sin(q) - math.sin(p) * math.cos(q) * math.cos(turn))) % 360
+
+
+#: Metres a second: slower is taxiing, faster is no aircraft but a jump.
+MOVING_MS, MAX_MOVING_MS = 25.0, 1_000.0
+
+
 def motion(state: dict, row: dict) -> dict | None:
-    """Speed from two positions, where the aircraft says none."""
+    """Speed and track from two positions, where the aircraft says that it stands and its places say that it moves."""
     last = state.get("at")
     state["at"] = {"lat": row["lat"], "lon": row["lon"], "t": row["ts"].timestamp()}
-    if not last or row["gs_ms"] > 50 or state["at"]["t"] - last["t"] < 0.5:
+    if not last or row["gs_ms"] > MOVING_MS or state["at"]["t"] - last["t"] < 0.5:
+        return None
+    speed = km(last, row) * 1000 / (state["at"]["t"] - last["t"])
+    if not MOVING_MS < speed < MAX_MOVING_MS:
         return None
-    return {"event_id": row["event_id"], "speed": round(km(last, row) * 1000 / (state["at"]["t"] - last["t"]), 4)}
+    return {"event_id": row["event_id"], "speed": round(speed, 4), "track": round(bearing(last, row), 3)}
 
 
 def cruise(state: dict, row: dict) -> dict | None:
@@ -221,3 +235,35 @@ def level_work(fixes: DataFrame, index: DataFrame, reach_km: float = REACH_KM) -
     rings = (F.when(F.col("want") == n, geo.ring_km(n, F.lit(16)) * geo.MARGIN) for n in range(geo.LOAD_LEVEL))
     ring = F.coalesce(*rings, F.lit(geo.LOAD_KM))
     return j.select("aircraft", "event_id", "name", "want", F.round("km", 3).alias("km"), F.round(F.col("km") - ring, 3).alias("urgency"))
+
+
+#: An aircraft this near its route follows it; one that flies this far from the route's way does not.
+ROUTE_KM, WRONG_WAY_DEG = 15.0, 100.0
+
+
+def follow_route(fixes: DataFrame, routes: DataFrame, ahead_km: float, within_km: float = ROUTE_KM) -> DataFrame:
+    """Stream-static join: each fix with the leg of its aircraft's route that is nearest, and the route's next kilometres.
+
+    ``fixes``: aircraft, event_id, lat, lon, track (degrees, null where it says nothing of the route); ``routes``:
+    aircraft, points (an array of lat, lon). Adds leg (from 0), off_km and ahead, the points from the place on the
+    route nearest to the fix until ``ahead_km`` further on; all three are null without a route of two points, farther
+    than ``within_km`` from it, and where the track goes against it. Nearest is by a plane laid at the fix; of legs as
+    near, to a millimetre, the first. The route ahead is a fold over its points, so a fix stays one row.
+    """
+    at = f"named_struct('x', (p.lon - lon) * cos(radians(lat)) * {geo.KM_PER_DEGREE}D, 'y', (p.lat - lat) * {geo.KM_PER_DEGREE}D, 'lat', p.lat, 'lon', p.lon)"
+    j = fixes.join(routes, "aircraft", "left").withColumn("pts", F.expr(f"CASE WHEN size(points) >= 2 THEN transform(points, p -> {at}) END"))
+    legs = "transform(sequence(0, size(pts) - 2), i -> named_struct('a', pts[i], 'dx', pts[i+1].x - pts[i].x, 'dy', pts[i+1].y - pts[i].y))"
+    foot = "named_struct('leg', l, 't', CASE WHEN l.dx = 0 AND l.dy = 0 THEN 0D ELSE greatest(0D, least(1D, -(l.a.x*l.dx + l.a.y*l.dy) / (l.dx*l.dx + l.dy*l.dy))) END)"
+    off = "named_struct('d', round(sqrt(power(f.leg.a.x + f.t*f.leg.dx, 2) + power(f.leg.a.y + f.t*f.leg.dy, 2)), 6), 'i', i, 't', f.t, 'dx', f.leg.dx, 'dy', f.leg.dy)"
+    j = j.withColumn("near", F.expr(f"array_min(transform(transform({legs}, l -> {foot}), (f, i) -> {off}))"))
+    turn = "abs(pmod(track - degrees(atan2(near.dx, near.dy)) + 180, 360D) - 180)"
+    on = f"near.d <= {within_km}D AND NOT coalesce((near.dx <> 0 OR near.dy <> 0) AND {turn} > {WRONG_WAY_DEG}D, false)"
+    j = j.withColumn("near", F.expr(f"CASE WHEN {on} THEN near END"))
+    here = "named_struct('x', pts[near.i].x + near.t*near.dx, 'y', pts[near.i].y + near.t*near.dy, 'lat', pts[near.i].lat + near.t*(pts[near.i+1].lat - pts[near.i].lat), 'lon', pts[near.i].lon + near.t*(pts[near.i+1].lon - pts[near.i].lon))"
+    step = "sqrt(power(p.x - acc.at.x, 2) + power(p.y - acc.at.y, 2))"
+    part = "acc.left / {s}".format(s=step)
+    last = f"named_struct('x', p.x, 'y', p.y, 'lat', acc.at.lat + {part} * (p.lat - acc.at.lat), 'lon', acc.at.lon + {part} * (p.lon - acc.at.lon))"
+    fold = f"""CASE WHEN acc.left <= 0 THEN acc WHEN {step} >= acc.left THEN named_struct('left', 0D, 'at', p, 'out', concat(acc.out, array({last})))
+        ELSE named_struct('left', acc.left - {step}, 'at', p, 'out', concat(acc.out, array(p))) END"""
+    ahead = f"aggregate(slice(pts, near.i + 2, size(pts)), named_struct('left', {float(ahead_km)}D, 'at', {here}, 'out', array({here})), (acc, p) -> {fold}, acc -> transform(acc.out, p -> named_struct('lat', p.lat, 'lon', p.lon)))"
+    return j.withColumn("ahead", F.expr(f"CASE WHEN near IS NOT NULL THEN {ahead} END")).select(*fixes.columns, F.col("near.i").alias("leg"), F.col("near.d").alias("off_km"), "ahead")

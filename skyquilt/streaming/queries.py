@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import cte, view
+from ..fixtures import VIEWS, cte, table, view
 from ..functions import geo, tables
-from ..plans.planning import ROUTE, STEP_KM, _leg_sql, leg_km, legs
+from ..plans.planning import STEP_KM, legs
 from ..registry import ORACLES, query
 from . import jobs
 
@@ -58,9 +58,12 @@ def sm3_jumps(spark, sf_dir):
     return machine(spark, sf_dir, jobs.jump, "km double")
 
 
-@query(F_ + LAG + f"SELECT aircraft, event_id, round({HAV}*1000/dt, 4) AS speed FROM p WHERE gs_ms <= 50 AND dt >= 0.5e0")
+BEARING = "(degrees(atan2(sin(radians(lon-lo))*cos(radians(lat)), cos(radians(la))*sin(radians(lat))-sin(radians(la))*cos(radians(lat))*cos(radians(lon-lo))))+360) % 360"
+
+
+@query(F_ + LAG + f"SELECT aircraft, event_id, round({HAV}*1000/dt, 4) AS speed, round({BEARING}, 3) AS track FROM p WHERE gs_ms <= 25 AND dt >= 0.5e0 AND {HAV}*1000/dt > 25 AND {HAV}*1000/dt < 1000")
 def sm4_motion(spark, sf_dir):
-    return machine(spark, sf_dir, jobs.motion, "speed double")
+    return machine(spark, sf_dir, jobs.motion, "speed double, track double")
 
 
 @query(F_ + f""", e AS (SELECT *, CASE WHEN agl_m/0.3048e0 > 18500 AND ahead > 270 THEN true WHEN agl_m/0.3048e0 < 17500 OR ahead < 180 THEN false END AS s FROM (SELECT *, CASE WHEN vs_ms < -1 THEN (agl_m-3962.4e0)/-vs_ms ELSE 1e308 END AS ahead FROM fixes)), c AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), false) AS onn FROM e)
@@ -106,11 +109,36 @@ def sm10_load_sessions(spark, sf_dir):
     return jobs.drained(s, "sessions").withColumnRenamed("aircraft", "run")
 
 
-@query(F_ + f"SELECT aircraft, event_id, CASE WHEN d <= 800 THEN round(d, 3) END AS off_km FROM (SELECT aircraft, event_id, least({', '.join(_leg_sql(a, b) for a, b in zip(ROUTE, ROUTE[1:]))}) AS d FROM fixes)")
+# Ten points a route, along the band in which its aircraft's fixes lie; one aircraft in ten has none.
+VIEWS["routes"] = (
+    "customer",
+    [
+        "CAST(floor(c_custkey/10) AS BIGINT) AS aircraft", "c_custkey%10 AS seq", "CAST((floor(c_custkey/10)*37)%100 AS DOUBLE)-50e0 + (c_custkey%10)*0.2e0 + ((c_custkey*7)%3)*0.1e0 AS lat",
+        "CAST((floor(c_custkey/10)*71)%340 AS DOUBLE)-170e0 + (c_custkey%10)*0.3e0 AS lon",
+    ],
+)
+AHEAD_KM = 90.0
+
+
+@query(cte("fixes", "routes") + f""", leg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM routes WHERE aircraft%10 <> 7 WINDOW w AS (PARTITION BY aircraft ORDER BY seq)),
+f AS (SELECT aircraft, event_id, lat, lon, (event_id*47)%360 AS track, gs_ms, cos(radians(lat))*{geo.KM_PER_DEGREE!r} AS kx, {geo.KM_PER_DEGREE!r} AS ky FROM fixes),
+v AS (SELECT f.*, seq, (l.lon-f.lon)*kx AS ax, (l.lat-f.lat)*ky AS ay, (lon2-l.lon)*kx AS dx, (lat2-l.lat)*ky AS dy, l.lat AS alat, l.lon AS alon, lat2-l.lat AS dlat, lon2-l.lon AS dlon FROM f JOIN leg l ON l.aircraft = f.aircraft AND lat2 IS NOT NULL),
+t AS (SELECT *, greatest(0, least(1, -(ax*dx+ay*dy)/(dx*dx+dy*dy))) AS t FROM v), n AS (SELECT *, round(sqrt((ax+t*dx)^2+(ay+t*dy)^2), 6) AS d FROM t QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(sqrt((ax+t*dx)^2+(ay+t*dy)^2), 6), seq) = 1),
+ok AS (SELECT *, (alon+t*dlon-lon)*kx AS hx, (alat+t*dlat-lat)*ky AS hy FROM n WHERE d <= {jobs.ROUTE_KM} AND NOT coalesce(gs_ms >= 25 AND abs((track-degrees(atan2(dx, dy))+180+360)%360-180) > {jobs.WRONG_WAY_DEG}, false)),
+a AS (SELECT o.event_id, o.seq AS leg, o.d, r.seq AS k, r.lat, r.lon, coalesce(lag(r.lat) OVER w, alat+t*dlat) AS plat, coalesce(lag(r.lon) OVER w, alon+t*dlon) AS plon, kx, ky FROM ok o JOIN routes r ON r.aircraft = o.aircraft AND r.seq > o.seq WINDOW w AS (PARTITION BY event_id ORDER BY r.seq)),
+s AS (SELECT *, sqrt(((lon-plon)*kx)^2+((lat-plat)*ky)^2) AS step FROM a), c AS (SELECT *, sum(step) OVER (PARTITION BY event_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM s),
+e AS (SELECT *, CASE WHEN upto >= {AHEAD_KM} THEN ({AHEAD_KM}-upto+step)/step ELSE 1 END AS part FROM c WHERE upto - step < {AHEAD_KM}),
+z AS (SELECT event_id, min(leg) AS leg, min(d) AS d, count(*)+1 AS points, arg_max(plat+part*(lat-plat), k) AS elat, arg_max(plon+part*(lon-plon), k) AS elon FROM e GROUP BY event_id)
+SELECT aircraft, event_id, CAST(leg AS INT) AS leg, round(d, 3) AS off_km, CAST(points AS INT) AS points, round(elat, 5) AS end_lat, round(elon, 5) AS end_lon FROM fixes LEFT JOIN z USING (event_id)""")
 def sm12_follow_route(spark, sf_dir):
-    """Distance to the nearest leg of the route; null off the route."""
-    d = F.least(*(leg_km("lat", "lon", a, b) for a, b in zip(ROUTE, ROUTE[1:])))
-    return jobs.drained(fix_stream(spark, sf_dir).select("aircraft", "event_id", F.when(d <= 800, F.round(d, 3)).alias("off_km")), "route")
+    """Each fix on its aircraft's route and where the next 90 km of it end; null off the route or against it. A slow aircraft's track says nothing."""
+    r = view(spark, sf_dir, "routes").where("aircraft%10 <> 7")
+    routes = r.groupBy("aircraft").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p")).selectExpr("aircraft", "transform(p, q -> named_struct('lat', q.lat, 'lon', q.lon)) AS points")
+    f = fix_stream(spark, sf_dir).selectExpr("aircraft", "event_id", "lat", "lon", f"CASE WHEN gs_ms >= {jobs.MOVING_MS} THEN double((event_id*47)%360) END AS track")
+    out = jobs.follow_route(f, routes, AHEAD_KM)
+    end = F.element_at("ahead", -1)
+    out = out.select("aircraft", "event_id", "leg", F.round("off_km", 3).alias("off_km"), F.when(F.col("ahead").isNotNull(), F.size("ahead")).alias("points"), F.round(end["lat"], 5).alias("end_lat"), F.round(end["lon"], 5).alias("end_lon"))
+    return jobs.drained(out, "route")
 
 
 @query(cte("transfers") + "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, code, sum(bytes) AS bytes FROM transfers GROUP BY ALL")
@@ -119,10 +147,15 @@ def sm14_written_by_kind(spark, sf_dir):
     return jobs.drained(w.select(F.col("window.start").alias("start"), "code", "bytes"), "kinds", "complete")
 
 
-@query(F_ + "SELECT aircraft, CASE WHEN agl_m >= 3048 THEN 'high' ELSE 'low' END AS phase, max(gs_ms) AS farthest, min(agl_m) AS lowest FROM fixes GROUP BY ALL")
+ENDED = "epoch_ms(start) + {ms} <= (SELECT epoch_ms(max(ts)) - 10000 FROM {t})"
+
+
+@query(F_ + f", g AS (SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, aircraft, CASE WHEN agl_m >= 3048 THEN 'high' ELSE 'low' END AS phase, max(gs_ms) AS farthest, min(agl_m) AS lowest, count(*) AS fixes FROM fixes GROUP BY ALL) SELECT * FROM g WHERE {ENDED.format(ms=86_400_000, t='fixes')}")
 def sm15_camera_stream(spark, sf_dir):
-    s = fix_stream(spark, sf_dir).groupBy("aircraft", F.when(F.col("agl_m") >= 3048, "high").otherwise("low").alias("phase")).agg(F.max("gs_ms").alias("farthest"), F.min("agl_m").alias("lowest"))
-    return jobs.drained(s, "camera", "complete")
+    """Camera reach by phase and day; a day comes out once, when the watermark has passed its end."""
+    w = fix_stream(spark, sf_dir).withWatermark("ts", jobs.WATERMARK).groupBy(F.window("ts", "1 day"), "aircraft", F.when(F.col("agl_m") >= 3048, "high").otherwise("low").alias("phase"))
+    out = w.agg(F.max("gs_ms").alias("farthest"), F.min("agl_m").alias("lowest"), F.count("*").alias("fixes"))
+    return jobs.drained(out.select(F.col("window.start").alias("start"), "aircraft", "phase", "farthest", "lowest", "fixes"), "camera")
 
 
 @query(F_ + f""", n AS (SELECT *, row_number() OVER ({W}) - 1 AS before, lead(ts) OVER ({W}) AS nxt, epoch_ms(first_value(ts) OVER ({W})) AS since, lat-floor(lat) < 0.5e0 AND lon-floor(lon) < 0.5e0 AS here FROM fixes),
@@ -140,9 +173,13 @@ def sm17_dedup_pieces(spark, sf_dir):
     return jobs.drained(s, "pieces").agg(F.count("*").alias("pieces"))
 
 
-@query(cte("frames") + "SELECT run, seq, frame_ms FROM frames WHERE frame_ms > 100")
+@query("WITH f AS (SELECT user_id AS run, ts, value AS frame_ms FROM events), g AS (SELECT run, time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS stutters, max(frame_ms) AS worst FROM f WHERE frame_ms > 100 GROUP BY ALL) SELECT * FROM g WHERE " + ENDED.format(ms=21_600_000, t="(SELECT ts FROM f WHERE frame_ms > 100)"))
 def sm18_frame_stutters(spark, sf_dir):
-    return jobs.drained(jobs.stream_of(view(spark, sf_dir, "frames"), "frames").where("frame_ms > 100").select("run", "seq", "frame_ms"), "stutters")
+    """Frames over 100 ms, counted with the worst by six hours; a window comes out once, when the watermark has passed it."""
+    f = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("frame_ms"))
+    slow = jobs.stream_of(f, "frames").where("frame_ms > 100").withWatermark("ts", jobs.WATERMARK)
+    w = slow.groupBy(F.window("ts", "6 hours"), "run").agg(F.count("*").alias("stutters"), F.max("frame_ms").alias("worst"))
+    return jobs.drained(w.select("run", F.col("window.start").alias("start"), "stutters", "worst"), "stutters")
 
 
 @query(F_ + "SELECT aircraft, count(*) AS fixes, min(event_id) AS first FROM fixes GROUP BY aircraft")
