@@ -140,7 +140,9 @@ def planned(rows: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tupl
 
 
 def _copies() -> Column:
-    return F.col("whole") + _inside().cast("long")
+    """Never more than target / source_size, rounded up: documents without words stand before any edge, also one at the budget's start."""
+    most = F.when(F.col("source_size") > 0, F.ceil(F.col("target") / F.col("source_size"))).otherwise(0)
+    return F.least(F.col("whole") + _inside().cast("long"), most)
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, seed: str = "mix") -> DataFrame:
@@ -193,6 +195,7 @@ b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size)
 c AS (SELECT d.doc_id, d.source, d.size, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget,
         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS BIGINT) AS upto
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-e AS (SELECT *, whole + CASE WHEN upto <= budget OR (upto - size <= budget AND size > 0 AND 2 * (budget - upto + size) >= size) THEN 1 ELSE 0 END AS copies FROM c)
+e AS (SELECT *, least(whole + CASE WHEN upto <= budget OR (upto - size <= budget AND size > 0 AND 2 * (budget - upto + size) >= size) THEN 1 ELSE 0 END,
+        CASE WHEN source_size > 0 THEN CAST(ceil(target / source_size) AS BIGINT) ELSE 0 END) AS copies FROM c)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM e
 """

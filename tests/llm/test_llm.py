@@ -115,6 +115,14 @@ def test_mix_repeated_ids(spark):
     check_mix(many, out)
 
 
+def test_mix_takes_empty_texts_no_oftener(spark):
+    own = [(i, "" if i % 2 else "a b c", "en", s, 0) for i, s in enumerate(["s1"] * 300 + ["s2"] * 60 + ["s3"] * 60)]
+    many = written(spark.createDataFrame(own, KIND), "half-empty")
+    out = rows(mixing.mix(many))
+    check_mix(many, out)
+    assert all(r["copies"] <= 2 for r in out) and mixing.apply_mix(many).count() == sum(r["copies"] for r in out)
+
+
 def test_mix_applied(docs, odd):
     want = sum(r["copies"] for r in rows(mixing.mix(docs)))
     got = mixing.apply_mix(docs)
