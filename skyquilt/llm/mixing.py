@@ -48,9 +48,9 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     here = ranked.select(
         "*",
         (F.lit(share) * F.sum("source_size").over(every) - F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_cap")).alias("_left"),
-        F.sum("_w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)).alias("_weights"),
+        F.sum("_w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)).alias("_weights"), F.row_number().over(by_ratio).alias("_place"),
     ).withColumn("_level", F.col("_left") / F.col("_weights"))
-    level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level")))).over(every)["_level"]
+    level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct("_place", "_level"))).over(every)["_level"]
     return here.withColumn("_level", level).select(
         "source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("_cap"), F.coalesce("_level", F.lit(float("inf"))) * F.col("_w"))).alias("target")
     )
