@@ -21,25 +21,45 @@ from .common import crc_of_id, documents, text_chunks
 #: Hashed n-grams, longest n-gram, landmarks, ridge; at most about SAMPLE labelled rows fit the classifier.
 BUCKETS, SPECTRUM, LANDMARKS, RIDGE, SAMPLE = 1 << 15, 3, 128, 1e-2, 2_000
 UNKNOWN = "und"
-#: Rows that are made to a presence matrix at once.
-ROWS = 256
+#: Rows that are made to a presence matrix at once, and characters whose n-grams are hashed at once.
+ROWS, BLOCK = 256, 1 << 20
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.pmod(crc_of_id(doc_id), F.lit(4)) == 2
 
 
-def presence(texts: pa.Array, buckets: int = BUCKETS, spectrum: int = SPECTRUM) -> np.ndarray:
-    """(rows, buckets) of 0 and 1: which hashed n-grams occur anywhere in the text. Null counts as empty."""
-    own = [(t or "").lower().encode("utf-32-le") for t in texts.to_pylist()]
-    sizes = np.array([len(b) // 4 for b in own], np.int64)
-    points = np.frombuffer(b"".join(own), np.uint32).copy()
+def presence(texts: pa.Array, buckets: int = BUCKETS, spectrum: int = SPECTRUM, block: int = BLOCK) -> np.ndarray:
+    """(rows, buckets) of 0 and 1: which hashed n-grams occur anywhere in the text. Null counts as empty.
+
+    A text is taken in pieces that share ``spectrum`` - 1 characters, so that every n-gram is whole in one of them.
+    """
+    out = np.zeros((len(texts), buckets), np.uint8)
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        text = (text.as_py() or "").lower()
+        for at in range(0, max(len(text), 1), block):
+            piece = text[at : at + block + spectrum - 1]
+            held.append((row, piece.encode("utf-32-le")))
+            size += len(piece)
+            if size >= block:
+                _mark(held, out, spectrum)
+                held, size = [], 0
+    _mark(held, out, spectrum)
+    return out
+
+
+def _mark(pieces: list[tuple[int, bytes]], out: np.ndarray, spectrum: int) -> None:
+    """Set what occurs in the pieces (row, code points) of texts."""
+    buckets = out.shape[1]
+    sizes = np.array([len(b) // 4 for _, b in pieces], np.int64)
+    points = np.frombuffer(b"".join(b for _, b in pieces), np.uint32).copy()
     plain = np.arange(128)
     letter = (plain >= 97) & (plain <= 122)
     low = points < 128
     points[low] = np.where(letter, plain, 32).astype(np.uint32)[points[low]]
-    row = np.repeat(np.arange(len(own), dtype=np.int64), sizes)
-    out = np.zeros((len(own), buckets), np.uint8)
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    row = np.repeat(np.array([r for r, _ in pieces], np.int64), sizes)
     flat, shift = out.reshape(-1), np.uint32(32 - (buckets.bit_length() - 1))
     code = np.zeros(len(points), np.uint32)
     for n in range(1, spectrum + 1):
@@ -49,9 +69,8 @@ def presence(texts: pa.Array, buckets: int = BUCKETS, spectrum: int = SPECTRUM)
         code = code[:m] * np.uint32(0x01000193) ^ points[n - 1 :]
         mixed = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
-        same = row[:m] == row[n - 1 :]
+        same = piece[:m] == piece[n - 1 :]
         flat[(row[:m] * buckets + ((mixed * np.uint32(0x85EBCA6B)) >> shift))[same]] = 1
-    return out
 
 
 class KernelRidge:

@@ -11,6 +11,7 @@ of its lots are compared by a task of their own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -24,22 +25,37 @@ from ..operators.joins import connected_components
 from .common import documents, numbered, text_chunks, without, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: Bytes of text that are shingled at a time; they end at white space.
+BLOCK, SPACE = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: Fingerprints of a lot: a key with more of them is cut into lots of about this many.
 LOT = 1 << 14
 
 
+def shingle_blocks(text: bytes, size: int = SHINGLE, seed: int = SEED, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles, repeats included, by blocks of text; a shorter text is one shingle, an empty one none.
+
+    A block ends at white space and hands its last words on to the next, so memory does not grow with the text.
+    """
+    at, held, any_ = 0, [], False
+    while at < len(text):
+        gap = SPACE.search(text, at + block) if len(text) - at > block else None
+        end = gap.end() if gap else len(text)
+        words = held + text[at:end].lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
+        at = end
+        if len(words) >= size:
+            data = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            shingles = map(data.__getitem__, map(slice, starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()))
+            yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - size + 1)
+            any_ = True
+        held = words[len(words) - min(size - 1, len(words)) :]
+    if held and not any_:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), seed)], np.uint64)
+
+
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of the word shingles, repeats included; a shorter text is one shingle, an empty one none."""
-    words = text.lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(data, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    shingles = map(data.__getitem__, map(slice, starts[: 1 - size].tolist(), ends[size - 1 :].tolist()))
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - size + 1)
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_blocks(text, size, seed)])
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -53,8 +69,10 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
     """Bit i is set if more than half of the hashes have it; as a signed 64-bit number."""
-    hashes = shingle_hashes(text.encode() if isinstance(text, str) else text or b"", size, seed)
-    bits = 2 * bit_counts(hashes) > len(hashes)
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_blocks(text.encode() if isinstance(text, str) else text or b"", size, seed):
+        counts, n = counts + bit_counts(hashes), n + len(hashes)
+    bits = 2 * counts > n
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 

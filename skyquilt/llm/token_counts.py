@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import documents, text_chunks
-from .tokens import LONG, gather
+from .tokens import gather
 
 #: Runs of blanks, which stand before a word as one unit, and the byte that separates units.
 ODD = r"  |\x00"
@@ -31,8 +31,8 @@ MEMO_BYTES, MEMO_PAIRS = 192 << 20, 1_000_000
 NEVER = float("-inf")
 #: The entry of a row of pairs that names its last token; a row without it stands for the start of a unit.
 LAST = -1
-#: Longer units are not remembered.
-REMEMBERED = 1_000
+#: Longer units are not remembered; bytes of a text that is counted by itself.
+REMEMBERED, LONG = 1_000, 4 << 20
 
 
 class PrefixCounter:

@@ -23,8 +23,8 @@ PLAIN = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
 MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
 #: A memo is emptied when it holds this many units, which bounds a worker's memory.
 MEMO = 1_000_000
-#: A text over this many characters is encoded in pieces cut at blanks.
-LONG = 4 << 20
+#: Characters of a slice of a long text, and where a slice may end: both tokenizers cut before such a blank.
+SLICE, BLANK = 1 << 19, re.compile(r"(?<=[A-Za-z.,]) (?=[A-Za-z])")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -92,14 +92,21 @@ class UnitEncoder:
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the number of ids of each text; null counts as empty."""
+        """All ids end to end, and the number of ids of each text; null counts as empty.
+
+        Very long texts are taken by slices, each as if it were a text, so they cost what short ones do.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if len(texts) and pc.max(pc.binary_length(texts)).as_py() > SLICE:
+            cut = [slices(t.as_py()) for t in texts]
+            ids, counts = self.short(pa.array([s for own in cut for s in own], pa.large_string()))
+            return ids, np.add.reduceat(counts, np.cumsum([0, *map(len, cut)])[:-1])
+        return self.short(texts)
+
+    def short(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, ODD)
-        long = pc.greater(pc.binary_length(texts), LONG)
-        odd_at = np.flatnonzero(pc.and_not(odd, long).to_numpy(zero_copy_only=False))
-        long_at = np.flatnonzero(long.to_numpy(zero_copy_only=False))
-        plain = pc.if_else(pc.or_(odd, long), "", texts)
-        cut = cut_units(plain, self.keep_space)
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = cut_units(pc.if_else(odd, "", texts), self.keep_space)
         units = pc.dictionary_encode(cut.flatten())
         ids = self.units(units.dictionary)
         counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -109,9 +116,8 @@ class UnitEncoder:
         out = gather(values, starts, counts, index)
         upto = np.concatenate([[0], np.cumsum(counts[index])])
         lengths = np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
-        if len(odd_at) or len(long_at):
+        if len(odd_at):
             own = {int(i): np.array(self.whole(texts[int(i)].as_py()), np.uint32) for i in odd_at}
-            own |= {int(i): self.long(texts[int(i)].as_py()) for i in long_at}
             pieces, at = [], 0
             for i, n in enumerate(lengths):
                 pieces.append(own[i] if i in own else out[at : at + n])
@@ -119,18 +125,19 @@ class UnitEncoder:
             out, lengths = np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64)
         return out, lengths
 
-    def long(self, text: str) -> np.ndarray:
-        """A very long text, cut before single blanks between letters so that memory stays bounded."""
-        if "<|" in text:
-            return np.array(self.whole(text), np.uint32)
-        out, at = [], 0
-        while at < len(text):
-            end = at + LONG // 8
-            m = re.compile(r"(?<=[A-Za-z.,]) (?=[A-Za-z])").search(text, end) if end < len(text) else None
-            end = m.start() if m else len(text)
-            out.append(np.array(self.whole(text[at:end]), np.uint32))
-            at = end
-        return np.concatenate(out)
+
+def slices(text: str) -> list[str]:
+    """A text cut before single blanks between letters, about SLICE characters each; one with a special string stays whole."""
+    if len(text) <= SLICE or "<|" in text:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        end = at + SLICE
+        m = BLANK.search(text, end) if end < len(text) else None
+        end = m.start() if m else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 _encoders: dict[tuple, UnitEncoder] = {}

@@ -15,6 +15,7 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ STOPS = (".", "!", "?", "\n")
 MEMO = 500_000
 #: Steps of a block in a scan. Whose signs a feature is: the word's own, of the word before it, of the word behind it.
 BLOCK, ROLES = 512, ("", "<", ">")
+#: Words that are tagged at a time, to the end of a sequence.
+WORDS = 1 << 17
 #: A neighbour's sign is a feature if this many of the fitted words stand beside it.
 LEAST_BESIDE = 8
 
@@ -225,11 +228,16 @@ class Chain:
         starts = np.zeros(n, bool)
         starts[1:] = stop[:-1]
         starts[offsets[:-1][offsets[:-1] < n]] = True
-        own, behind, before = self.word_scores(words)[:, index]
-        scores = self.bias + own
-        scores[1:] += np.where(starts[1:], 0.0, behind[:-1])
-        scores[:-1] += np.where(starts[1:], 0.0, before[1:])
-        one, _, _ = self.marginals(scores, np.flatnonzero(starts))
+        table = self.word_scores(words)
+        one = np.empty(n)
+        first = np.flatnonzero(starts)
+        edges = np.append(first, n)[np.searchsorted(first, np.arange(WORDS, n, WORDS))]
+        for a, b in pairwise(np.unique([0, *edges, n]).tolist()):  # sequences are free of each other, so memory follows the longest
+            own, behind, before = table[:, index[a:b]]
+            scores = self.bias + own
+            scores[1:] += np.where(starts[a + 1 : b], 0.0, behind[:-1])
+            scores[:-1] += np.where(starts[a + 1 : b], 0.0, before[1:])
+            one[a:b] = self.marginals(scores, first[np.searchsorted(first, a) : np.searchsorted(first, b)] - a)[0]
         return one, offsets, names, index
 
     def evidence(self, one: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -288,12 +288,40 @@ def test_encoders_agree_with_the_library(own):
 
 
 def test_long_text_in_pieces(monkeypatch):
-    text = "Some words, and the like. " * 400
-    monkeypatch.setattr(tokens, "LONG", 800)
+    own = ["a b", "Some words, and the like. " * 400, "", "One  odd\ttext,\n\nand so on <x> é 日本 words " * 60, None, "a <|endoftext|> b " * 200, "nocutanywhere" * 300]
+    monkeypatch.setattr(tokens, "SLICE", 300)
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         enc = tokens.encoder(name)
-        ids, counts = enc.encode(pa.array(["a b", text]))
-        assert ids[counts[0] :].tolist() == enc.whole(text)
+        ids, counts = enc.encode(pa.array(own))
+        at = 0
+        for text, n in zip(own, counts):
+            assert ids[at : at + n].tolist() == enc.whole(text or "")
+            at += n
+
+
+def test_blocks_of_long_texts_change_nothing():
+    """Whatever the size of a block, hashes, n-grams and marginals are those of the whole text."""
+    rng = np.random.default_rng(3)
+    words = ["Aus", "der", "Stadt", "kam.", "é", "x" * 90, "\n", "  ", "ΣΑΣ", "one!"]
+    own = [" ".join(rng.choice(words, n)) for n in (0, 1, 3, 4, 5, 60, 700)] + ["y" * 500, "\t\n ", None]
+    for text in own:
+        data = (text or "").encode()
+        whole = np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_blocks(data)])
+        plain = data.lower().split()
+        want = [b" ".join(plain[i : i + 4]) for i in range(len(plain) - 3)] or ([b" ".join(plain)] if plain else [])
+        assert whole.tolist() == [xxhash.xxh64_intdigest(w, 42) for w in want]
+        for block in (1, 7, 64):
+            assert np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_blocks(data, block=block)]).tolist() == whole.tolist()
+    texts = pa.array(own)
+    whole = language_id.presence(texts)
+    assert all((language_id.presence(texts, block=b) == whole).all() for b in (1, 5, 100))
+    chain = toxicity.Chain({"aus": 3.0, "<der": 1.0, ">stadt": 2.0})
+    whole = chain.tag(texts)[0]
+    for size in (1, 10, 200):
+        held, toxicity.WORDS = toxicity.WORDS, size
+        part = chain.tag(texts)[0]
+        toxicity.WORDS = held
+        assert np.allclose(part, whole, rtol=1e-12, atol=0)
 
 
 def u32(ids):
