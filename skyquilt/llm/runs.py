@@ -105,8 +105,8 @@ class Grammar:
             own.append(x)
 
 
-def repair(symbols: np.ndarray) -> tuple[Grammar, np.ndarray]:
-    """Re-Pair in rounds. ``symbols``: word ids, other ones in each text. Returns the rules, and where symbols of the rest start.
+def repair(symbols: np.ndarray) -> tuple[Grammar, np.ndarray, np.ndarray]:
+    """Re-Pair in rounds. ``symbols``: word ids, other ones in each text. Returns the rules, where symbols of the rest start, and the number of each place's pair of words, -1 where it occurs once.
 
     In a round every pair that occurs twice without overlap is ranked by its frequency, to the power of two, and
     then in an order drawn anew; a place takes its pair if both neighbouring pairs, which overlap it, rank lower,
@@ -114,13 +114,13 @@ def repair(symbols: np.ndarray) -> tuple[Grammar, np.ndarray]:
     halve from round to round. A pair that occurs once never occurs again later, so its symbols leave the work.
     """
     n = len(symbols)
-    grammar, starts = Grammar(), np.ones(n, bool)
-    symbol, at, end = symbols.astype(np.int64), np.arange(n), np.arange(1, n + 1)
+    grammar, starts, pairs = Grammar(), np.ones(n, bool), np.full(n, -1, np.int32)
+    symbol, at, end = symbols.astype(np.int32), np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)  # a text has fewer words than 2**31
     top, turn = int(symbol.max(initial=0)) + 1, 0
     while len(symbol) > 1:
         often = np.bincount(symbol, minlength=top) > 1
         left = np.flatnonzero((at[1:] == end[:-1]) & often[symbol[:-1]] & often[symbol[1:]])
-        key = symbol[left] << 32 | symbol[left + 1]
+        key = symbol[left].astype(np.int64) << 32 | symbol[left + 1]
         behind = np.zeros(len(left), bool)
         behind[1:] = (left[1:] == left[:-1] + 1) & (key[1:] == key[:-1])
         where = np.arange(len(left))
@@ -128,13 +128,15 @@ def repair(symbols: np.ndarray) -> tuple[Grammar, np.ndarray]:
         order = np.argsort(key, kind="stable")
         own, edge = key[order], np.ones(len(key), bool)
         edge[1:] = own[1:] != own[:-1]
-        number = np.empty(len(key), np.int64)
+        number = np.empty(len(key), np.int32)
         number[order] = np.cumsum(edge) - 1
         kinds = int(edge.sum())
         count = np.bincount(number[~odd], minlength=kinds)
         hot = count[number] > 1
         if not hot.any():
             break
+        if not turn:
+            pairs[left[hot]] = number[hot]
         rank = np.random.default_rng(turn).permutation(kinds) + kinds * np.frexp(count.astype(float))[1].astype(np.int64)
         weight = np.where(hot, rank[number] * 2 + ~odd, -1)
         beside = left[1:] == left[:-1] + 1
@@ -156,8 +158,8 @@ def repair(symbols: np.ndarray) -> tuple[Grammar, np.ndarray]:
         symbol, at, end = symbol[stays], at[stays], end[stays]
         top, turn = top + len(kind), turn + 1
         kept, symbol = np.unique(symbol, return_inverse=True)
-        top = len(kept)
-    return grammar, np.flatnonzero(starts)
+        top, symbol = len(kept), symbol.astype(np.int32)
+    return grammar, np.flatnonzero(starts), pairs
 
 
 def join_rest(grammar: Grammar, starts: np.ndarray, firsts: np.ndarray, held: np.ndarray) -> None:
@@ -187,7 +189,7 @@ class Same:
             self.powers[done : done + more] = self.powers[:more] * pow(base, done, PRIME) % PRIME
             done += more
         self.sums = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum((ids + 1) * self.powers[:-1] % PRIME, out=self.sums[1:])
+        np.cumsum((ids.astype(np.int64) + 1) * self.powers[:-1] % PRIME, out=self.sums[1:])
         self.sums %= PRIME
 
     def equal(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -219,7 +221,7 @@ class Same:
         return far
 
 
-def crossing(ids: np.ndarray, symbols: np.ndarray, grammar: Grammar, least: int, seed: int) -> tuple[np.ndarray, ...]:
+def crossing(ids: np.ndarray, pairs: np.ndarray, grammar: Grammar, least: int, seed: int) -> tuple[np.ndarray, ...]:
     """(rule, start, end, period) of the stretches that cross each rule's boundary, inside the rule's own stretch.
 
     With period q and length max(least, 2 q) a run has six places in a row at which the word q further on is the same.
@@ -230,10 +232,8 @@ def crossing(ids: np.ndarray, symbols: np.ndarray, grammar: Grammar, least: int,
     n, none = len(ids), (np.zeros(0, np.int64),) * 4
     if n < least or not len(begin):
         return none
-    pair = np.unique(symbols[:-1].astype(np.int64) << 32 | symbols[1:], return_inverse=True)[1]
-    again = np.bincount(pair)[pair] > 1
-    place = np.flatnonzero(again[:-1] & again[1:])
-    gram, count = np.unique(pair[place].astype(np.int64) << 32 | symbols[place + 2], return_inverse=True, return_counts=True)[1:]
+    place = np.flatnonzero((pairs[:-1] >= 0) & (pairs[1:] >= 0))
+    gram, count = np.unique(pairs[place].astype(np.int64) << 32 | pairs[place + 1], return_inverse=True, return_counts=True)[1:]
     place, gram = place[count[gram] > 1], gram[count[gram] > 1]
     if not len(place):
         return none
@@ -280,15 +280,17 @@ def maximal(start: np.ndarray, stop: np.ndarray, period: np.ndarray) -> tuple[np
 
 def periodic_runs(ids: np.ndarray, firsts: np.ndarray, least: int = LEAST, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(start, stop, period) of all runs, by start, then period; ``firsts``: where each text's words begin, and the end."""
-    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    symbols = np.unique(text << 32 | ids.astype(np.int64), return_inverse=True)[1]
-    grammar, starts = repair(symbols)
+    symbols = ids
+    if len(firsts) > 2:
+        text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        symbols = np.unique(text << 32 | ids.astype(np.int64), return_inverse=True)[1].astype(np.int32)
+    grammar, starts, pairs = repair(symbols)
     if not grammar.begin:
         return (np.zeros(0, np.int64),) * 3
     held = np.zeros(len(firsts) - 1, bool)
-    held[text[np.concatenate(grammar.begin)]] = True
+    held[np.searchsorted(firsts, np.concatenate(grammar.begin), "right") - 1] = True
     join_rest(grammar, starts, firsts, held)
-    rule, start, stop, period = crossing(ids.astype(np.int64), symbols, grammar, least, seed)
+    rule, start, stop, period = crossing(ids, pairs, grammar, least, seed)
     places, uses, begin = np.concatenate(grammar.places), np.concatenate(grammar.uses), np.concatenate(grammar.begin)
     kept = [(np.zeros(0, np.int64),) * 3]
     for a, b in blocks(uses[rule], BLOCK):

@@ -107,7 +107,7 @@ def test_every_rule_once_and_places_of_all():
     """A grammar's rules stand for what they say, at all their places, and a passage of copies halves from round to round."""
     rng = random.Random(2)
     symbols = np.array(([rng.randrange(900) for _ in range(2_000)]) * 2, np.int64)
-    grammar, starts = runs.repair(symbols)
+    grammar, starts, _ = runs.repair(symbols)
     assert len(grammar.begin) < 30 and len(starts) < 300
     for begin, middle, end, places, uses in zip(grammar.begin, grammar.middle, grammar.end, grammar.places, grammar.uses):
         assert (begin < middle).all() and (middle < end).all() and (uses >= 2).all()
