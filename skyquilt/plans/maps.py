@@ -318,11 +318,11 @@ def smooth_along(points: DataFrame, by: str, order: list[str], step: float, wind
     w = Window.partitionBy(by).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     far = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    p = points.withColumn("_far", F.coalesce(far, F.lit(0.0))).withColumn("place", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = points.withColumn("_first", F.row_number().over(w) == 1).withColumn("_far", F.coalesce(far, F.lit(0.0))).withColumn("place", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     p = p.withColumn("_length", F.last("place").over(whole)).withColumn("_ring", (F.first("x").over(whole) == F.last("x").over(whole)) & (F.first("y").over(whole) == F.last("y").over(whole)) & (F.count("*").over(whole) > 1))
     p = p.withColumn("_count", F.greatest(F.ceil(F.col("_length") / step), F.lit(1))).withColumn("_step", F.col("_length") / F.col("_count"))
     p = written(p, "along")
-    moving = p.where("_length > 0 AND (place = 0 OR _far > 0)")
+    moving = p.where("_length > 0 AND (_first OR _far > 0)")
     nxt = moving.select(by, "place", "alt", "_length", "_ring", "_count", "_step", F.lead("place").over(w).alias("to"), F.lead("alt").over(w).alias("alt2"), *[c for c in order if c not in (by, "place")]).where("to IS NOT NULL")
     k = F.explode(F.filter(F.sequence(F.ceil(F.expr("place/_step - 1e-9")), F.ceil(F.expr("to/_step - 1e-9"))), lambda i: (i < F.ceil(F.expr("to/_step - 1e-9"))) | ((F.col("to") == F.col("_length")) & ~F.col("_ring") & (i == F.col("_count")))))
     samples = nxt.withColumn("k", k).selectExpr(by, "k", "alt + (alt2-alt)*greatest(0D, least(1D, (k*_step-place)/(to-place))) AS z")
@@ -354,10 +354,10 @@ ROAD_STEP, ROAD_WINDOW = 0.05, 0.4
 ROADS = """, d AS (SELECT DISTINCT w.way, w.pos, w.node, n.x, n.y, n.z FROM ways w JOIN nodes n ON n.id = w.node), p AS (FROM d UNION ALL SELECT way, 1000, node, x, y, z FROM d WHERE way%3=0 QUALIFY row_number() OVER (PARTITION BY way ORDER BY pos, node) = 1) """
 
 
-@query(cte("ways", "nodes") + ROADS + f""", a AS (SELECT *, coalesce(sqrt((x-lag(x) OVER w)^2+(y-lag(y) OVER w)^2), 0) AS far FROM p WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+@query(cte("ways", "nodes") + ROADS + f""", a AS (SELECT *, lag(x) OVER w IS NULL AS head, coalesce(sqrt((x-lag(x) OVER w)^2+(y-lag(y) OVER w)^2), 0) AS far FROM p WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
 b AS (SELECT *, sum(far) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS place FROM a), l AS (SELECT way, max(place) AS length, bool_or(pos = 1000) AND count(*) > 1 AS ring FROM b GROUP BY way),
 c AS (SELECT *, CAST(greatest(ceil(length/{ROAD_STEP}e0), 1) AS BIGINT) AS cnt, length/greatest(ceil(length/{ROAD_STEP}e0), 1) AS step FROM l WHERE length > 0),
-g AS (SELECT c.*, unnest(range(0, CASE WHEN ring THEN cnt ELSE cnt+1 END)) AS k FROM c), m AS (SELECT b.* FROM b JOIN c USING (way) WHERE place = 0 OR far > 0),
+g AS (SELECT c.*, unnest(range(0, CASE WHEN ring THEN cnt ELSE cnt+1 END)) AS k FROM c), m AS (SELECT b.* FROM b JOIN c USING (way) WHERE head OR far > 0),
 seg AS (SELECT way, place, z, lead(place) OVER w AS nxt, lead(z) OVER w AS z2 FROM m WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
 s AS (SELECT g.way, g.k, arg_min(seg.z + (z2-seg.z)*greatest(0, least(1, (k*step-place)/(nxt-place))), place) AS z FROM g JOIN seg ON seg.way = g.way AND nxt IS NOT NULL AND k*step >= place-1e-9*step AND k*step <= nxt+1e-9*step GROUP BY ALL),
 h AS (SELECT *, CAST(round_even({ROAD_WINDOW}e0/2/step, 0) AS BIGINT) AS half, CASE WHEN ring THEN cnt ELSE cnt+1 END AS n FROM c),
