@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, view
 from ..operators.joins import written
 from ..registry import query
 from .mesh import FACE_CELL, HEIGHT, HELD, located, with_corners
+from .sky import spread
 
 # Each 20,000 keys have a unit square of their own, so density stays as the table grows.
-VIEWS["moved"] = ("orders", ["o_orderkey AS id", "((o_orderkey*613)%10007)/10007e0 + floor(o_orderkey/20000) AS x", "((o_orderkey*389)%9973)/9973e0 + CASE WHEN o_orderkey%23=0 THEN 0.001e0 ELSE 0 END AS y", "o_totalprice/1000e0 + CASE WHEN o_orderkey%10=0 THEN (o_orderkey%700)/100e0 ELSE 0 END AS z"])
-VIEWS["stood"] = ("orders", ["o_orderkey AS id", "((o_orderkey*613)%10007)/10007e0 + floor(o_orderkey/20000) AS x", "((o_orderkey*389)%9973)/9973e0 AS y", "o_totalprice/1000e0 AS z"])
+# One post in fifty stands where the one before it does.
+_AT = "(o_orderkey - CASE WHEN o_orderkey%50=49 THEN 1 ELSE 0 END)"
+_X, _Y = f"(({_AT}*613)%10007)/10007e0 + floor({_AT}/20000)", f"(({_AT}*389)%9973)/9973e0"
+VIEWS["moved"] = ("orders", ["o_orderkey AS id", f"{_X} AS x", f"{_Y} + CASE WHEN o_orderkey%23=0 THEN 0.001e0 ELSE 0 END AS y", "o_totalprice/1000e0 + CASE WHEN o_orderkey%10=0 THEN (o_orderkey%700)/100e0 ELSE 0 END AS z"])
+VIEWS["stood"] = ("orders", ["o_orderkey AS id", f"{_X} AS x", f"{_Y} AS y", "o_totalprice/1000e0 AS z"])
 
 
 def snapshots(spark, sf_dir):
@@ -31,19 +35,49 @@ def jn25_compare_snapshots(spark, sf_dir):
     return j.groupBy("attr").agg(F.count_if(F.col("b").isNull()).alias("only_ref"), F.count_if(F.col("a").isNull()).alias("only_new"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
-MOVES = ", m AS (SELECT s.id, s.x, s.y, abs(n.z-s.z) AS dz FROM stood s JOIN moved n ON round(s.x, 9) = round(n.x, 9) AND round(s.y, 9) = round(n.y, 9)) "
+_ALONE = "(SELECT *, round(x, 9) AS kx, round(y, 9) AS ky FROM {} QUALIFY count(*) OVER (PARTITION BY round(x, 9), round(y, 9)) = 1)"
+MOVES = f", m AS (SELECT s.id, s.x, s.y, abs(n.z-s.z) AS dz FROM {_ALONE.format('stood')} s JOIN {_ALONE.format('moved')} n USING (kx, ky)) "
 
 
-def moves(spark, sf_dir):
-    """Positions in both versions, by nine decimals, with the change of height."""
-    at = lambda v: view(spark, sf_dir, v).withColumn("kx", F.round("x", 9)).withColumn("ky", F.round("y", 9))
-    new = at("moved").select("kx", "ky", F.col("z").alias("nz"))
-    return at("stood").join(new, ["kx", "ky"]).select("id", "x", "y", F.abs(F.col("nz") - F.col("z")).alias("dz"))
+def moves(spark, sf_dir) -> DataFrame:
+    """Posts that stand alone at their place, to nine decimals, in both versions, with the change of height."""
 
+    def alone(name, *columns):
+        g = view(spark, sf_dir, name).groupBy(F.round("x", 9).alias("kx"), F.round("y", 9).alias("ky"))
+        return g.agg(F.count("*").alias("n"), F.min(F.struct(*columns)).alias("p")).where("n = 1")
 
-@query(cte("stood", "moved") + MOVES + "SELECT id%2=0 AS water, count(*) AS n, count(*) FILTER (dz > 0.01e0) AS moved, round(max(dz), 4) AS most FROM m GROUP BY 1")
+    new = alone("moved", "z").select("kx", "ky", F.col("p.z").alias("nz"))
+    return alone("stood", "id", "x", "y", "z").join(new, ["kx", "ky"]).select("p.id", "p.x", "p.y", F.abs(F.col("nz") - F.col("p.z")).alias("dz"))
+
+
+def spread_of(mm: DataFrame, by: str) -> DataFrame:
+    """(by, samples, median, p99, most, over): quantiles of whole millimetres, in metres, between neighbours as needed; how many are over a metre.
+
+    Equal values are summed up first, so a window meets as many rows as there are values.
+    """
+    kind = Window.partitionBy(by)
+    r = mm.groupBy(by, "mm").agg(F.count("*").alias("k"))
+    r = r.withColumn("n", F.sum("k").over(kind)).withColumn("upto", F.sum("k").over(kind.orderBy("mm").rowsBetween(Window.unboundedPreceding, 0)))
+    at_rank = lambda i: F.min(F.when(F.col("upto") > i, F.col("mm")))
+
+    def between(q):
+        i = (F.col("n") - 1) * q
+        part = F.max(i - F.floor(i))
+        low, high = at_rank(F.floor(i)), at_rank(F.ceil(i))
+        return F.round((low + (high - low) * part) / 1000, 4)
+
+    return r.groupBy(by).agg(F.max("n").alias("samples"), between(0.5).alias("median"), between(0.99).alias("p99"), (F.max("mm") / 1000).alias("most"), F.coalesce(F.sum(F.when(F.col("mm") > 1000, F.col("k"))), F.lit(0)).alias("over"))
+
+
+SPREAD = "count(*) AS samples, round(quantile_cont(mm, 0.5)/1000e0, 4) AS median, round(quantile_cont(mm, 0.99)/1000e0, 4) AS p99, max(mm)/1000e0 AS most, count(*) FILTER (mm > 1000) AS over"
+
+
+@query(cte("stood", "moved") + MOVES + f"SELECT id%2=0 AS water, {SPREAD}, count(*) FILTER (mm > 10) AS moved FROM (SELECT id, CAST(round(dz*1000) AS BIGINT) AS mm FROM m) GROUP BY 1")
 def jn26_moved_vertices(spark, sf_dir):
-    return moves(spark, sf_dir).groupBy(F.expr("id%2=0").alias("water")).agg(F.count("*").alias("n"), F.count_if(F.col("dz") > 0.01).alias("moved"), F.round(F.max("dz"), 4).alias("most"))
+    """How far posts moved, on land and in water."""
+    mm = moves(spark, sf_dir).select(F.expr("id%2=0").alias("water"), F.round(F.col("dz") * 1000).cast("long").alias("mm"))
+    far = mm.groupBy("water").agg(F.count_if(F.col("mm") > 10).alias("moved"))
+    return spread_of(mm, "water").join(far, "water")
 
 
 @query(cte("stood", "moved") + "SELECT count(*) AS common FROM (SELECT round(x, 9), round(y, 9) FROM stood INTERSECT SELECT round(x, 9), round(y, 9) FROM moved)")
@@ -59,12 +93,45 @@ def ag8_changed_places(spark, sf_dir):
     return m.groupBy(F.floor(F.col("x") * 25).alias("cx"), F.floor(F.col("y") * 25).alias("cy")).agg(F.count("*").alias("n"), F.round(F.sum("dz"), 3).alias("area")).orderBy(F.desc("area"), "cx", "cy").limit(50)
 
 
-@query(cte("pixels") + "SELECT cloud, count(*) FILTER (here <> src) AS changed, max(abs(here-src)) AS most, min(px) FILTER (here <> src) AS first, max(px) FILTER (here <> src) AS last, count(*) FILTER (abs(here-src) > 100) AS far FROM pixels GROUP BY cloud")
+# Masks of 20 by 20 pixels; of every five files one is in the reference alone and one in the new set alone.
+VIEWS["maskpix"] = (
+    "part",
+    ["CAST(floor(p_partkey/400) AS BIGINT) AS file", "p_partkey%20 AS x", "CAST(floor(p_partkey%400/20) AS BIGINT) AS y", "CASE WHEN floor(p_partkey/400)%5=4 THEN NULL WHEN p_size > 25 THEN 255 ELSE p_size*5%256 END AS ref",
+     "CASE WHEN floor(p_partkey/400)%5=3 THEN NULL WHEN p_partkey%6=0 THEN (p_size*11)%256 WHEN p_size > 25 THEN 255 ELSE p_size*5%256 END AS new", "p_partkey%97=0 AS dry"],
+)
+#: Pixels from dry land that count as near it.
+NEAR_DRY = 3
+
+
+def mask_diff(ref: DataFrame, new: DataFrame, dry: DataFrame, near: int = NEAR_DRY) -> DataFrame:
+    """(file, only_in, pixels, most, west, north, east, south, far, far_most): masks that differ, by file.
+
+    ``ref`` and ``new``: file, x, y, v; ``dry``: file, x, y. A file that one side lacks is there all of what the other
+    side's is nearer to, 0 or 255. The box and the counts are of the pixels that differ; far ones have no dry pixel
+    within ``near``: dry pixels are dealt out to the disc around them, so an equal key finds them.
+    """
+    own = lambda df, n: df.select("file", "x", "y", F.col("v").alias(n))
+    sides = ref.select("file").distinct().withColumn("in_ref", F.lit(True)).join(new.select("file").distinct().withColumn("in_new", F.lit(True)), "file", "full")
+    either = ref.unionByName(new).groupBy("file").agg((F.count_if(F.col("v") == 0) > F.count_if(F.col("v") == 255)).alias("low"))
+    fill = F.when(F.col("low"), 0).otherwise(255)
+    j = own(ref, "a").join(own(new, "b"), ["file", "x", "y"], "full").join(sides, "file").join(either, "file")
+    j = j.withColumn("a", F.when(F.col("in_ref"), F.col("a")).otherwise(fill)).withColumn("b", F.when(F.col("in_new"), F.col("b")).otherwise(fill))
+    j = j.withColumn("d", F.abs(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0)))).where("d > 0")
+    reach = spread(dry.select("file", "x", "y"), near).distinct().withColumn("near", F.lit(True))
+    j = j.join(reach, ["file", "x", "y"], "left")
+    only = F.when(F.first("in_ref").isNull(), "new").when(F.first("in_new").isNull(), "reference")
+    away = F.col("near").isNull()
+    return j.groupBy("file").agg(only.alias("only_in"), F.count("*").alias("pixels"), F.max("d").alias("most"), F.min("x").alias("west"), F.min("y").alias("north"), F.max("x").alias("east"), F.max("y").alias("south"), F.count_if(away).alias("far"), F.max(F.when(away, F.col("d"))).alias("far_most"))
+
+
+@query(cte("maskpix") + f""", s AS (SELECT file, count(ref) > 0 AS r, count(new) > 0 AS n, count(*) FILTER (coalesce(ref, new) = 0) + count(*) FILTER (ref IS NOT NULL AND new = 0) > count(*) FILTER (coalesce(ref, new) = 255) + count(*) FILTER (ref IS NOT NULL AND new = 255) AS low FROM maskpix GROUP BY file),
+d AS (SELECT m.*, r, n, abs(CASE WHEN r THEN ref WHEN low THEN 0 ELSE 255 END - CASE WHEN n THEN new WHEN low THEN 0 ELSE 255 END) AS d FROM maskpix m JOIN s USING (file)),
+f AS (SELECT *, NOT EXISTS (SELECT 1 FROM maskpix q WHERE q.dry AND q.file = d.file AND (q.x-d.x)*(q.x-d.x)+(q.y-d.y)*(q.y-d.y) <= {NEAR_DRY**2}) AS away FROM d WHERE d > 0)
+SELECT file, CASE WHEN NOT any_value(r) THEN 'new' WHEN NOT any_value(n) THEN 'reference' END AS only_in, count(*) AS pixels, max(d) AS most, min(x) AS west, min(y) AS north, max(x) AS east, max(y) AS south, count(*) FILTER (away) AS far, max(d) FILTER (away) AS far_most FROM f GROUP BY file""")
 def ag9_mask_diff(spark, sf_dir):
-    p = view(spark, sf_dir, "pixels")
-    j = p.select("cloud", "px", "here").join(p.select("cloud", "px", "src"), ["cloud", "px"], "full").withColumn("d", F.abs(F.col("here") - F.col("src")))
-    at = F.when(F.col("d") > 0, F.col("px"))
-    return j.groupBy("cloud").agg(F.count_if(F.col("d") > 0).alias("changed"), F.max("d").alias("most"), F.min(at).alias("first"), F.max(at).alias("last"), F.count_if(F.col("d") > 100).alias("far"))
+    m = view(spark, sf_dir, "maskpix")
+    ref, new = (m.where(f"{n} IS NOT NULL").select("file", "x", "y", F.col(n).alias("v")) for n in ("ref", "new"))
+    return mask_diff(ref, new, m.where("dry"))
 
 
 @query(cte("stood", "moved") + MOVES + ", g AS (SELECT id%40 AS tile, max(dz) AS most, count(*) FILTER (dz > 1) AS over, count(*) AS n FROM m GROUP BY 1) SELECT tile, unnest(list_filter([CASE WHEN most > 6.5e0 THEN 'surface' END, CASE WHEN over > 0.05e0*n THEN 'share' END, CASE WHEN n < 250 THEN 'few' END], lambda x: x IS NOT NULL)) AS reason FROM g")
@@ -103,7 +170,7 @@ s AS (SELECT g.side, g.other, g.tri AS own, recut, sq, i, u*x1+v*x2+w*x3 AS px,
 b AS (SELECT *, CAST(floor(py*20) AS BIGINT) + unnest([-1, 0, 1]) AS band FROM s),
 h AS (SELECT b.side, own, i, recut, pz, arg_min(ROW({HEIGHT}, t.wet), t.tri) AS r FROM b JOIN k t ON t.side = b.other AND t.sq = b.sq AND t.band = b.band WHERE {HELD} GROUP BY ALL),
 d AS (SELECT recut, CAST(round(abs(r[1]-pz)*1000) AS BIGINT) AS mm FROM h WHERE NOT r[2])
-SELECT recut, count(*) AS samples, round(quantile_cont(mm, 0.5)/1000e0, 4) AS median, round(quantile_cont(mm, 0.99)/1000e0, 4) AS p99, max(mm)/1000e0 AS most, count(*) FILTER (mm > 1000) AS over FROM d GROUP BY recut""")
+SELECT recut, {SPREAD} FROM d GROUP BY recut""")
 def jn42_surface_moves(spark, sf_dir):
     """Seven points of every land triangle that one mesh alone has, set on the other mesh's land: how far they are apart.
 
@@ -126,15 +193,4 @@ def jn42_surface_moves(spark, sf_dir):
         on = located(s, b, ["own", "i", "recut", "pz"], FACE_CELL, ["wet"])
         return on.where("NOT wet").select("recut", F.round(F.abs(F.col("height") - F.col("pz")) * 1000).cast("long").alias("mm"))
 
-    mm = moves_of(new, ref).union(moves_of(ref, new)).groupBy("recut", "mm").agg(F.count("*").alias("k"))
-    kind = Window.partitionBy("recut")
-    r = mm.withColumn("n", F.sum("k").over(kind)).withColumn("upto", F.sum("k").over(kind.orderBy("mm").rowsBetween(Window.unboundedPreceding, 0)))
-    at_rank = lambda i: F.min(F.when(F.col("upto") > i, F.col("mm")))
-
-    def between(q):
-        i = (F.col("n") - 1) * q
-        part = F.max(i - F.floor(i))
-        low, high = at_rank(F.floor(i)), at_rank(F.ceil(i))
-        return F.round((low + (high - low) * part) / 1000, 4)
-
-    return r.groupBy("recut").agg(F.max("n").alias("samples"), between(0.5).alias("median"), between(0.99).alias("p99"), (F.max("mm") / 1000).alias("most"), F.coalesce(F.sum(F.when(F.col("mm") > 1000, F.col("k"))), F.lit(0)).alias("over"))
+    return spread_of(moves_of(new, ref).union(moves_of(ref, new)), "recut")

@@ -19,18 +19,34 @@ def edges(spark, sf_dir) -> DataFrame:
     return e.join(view(spark, sf_dir, "artifacts").select(F.col("key").alias("parent")), "parent", "left_semi").select("child", "parent")
 
 
+#: Levels after which what is reached is written together.
+TOGETHER = 8
+
+
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Keys reached from ``roots`` (key) along child to parent, roots included.
 
-    One join a level; each level is written, so that plans do not grow and lost executors cost one level.
+    One join a level; each level is a written table, so plans do not grow and lost executors cost one level. A key is
+    written once as new, and once more for each ``TOGETHER`` levels, when the small tables are made one.
     """
-    seen = front = written(roots.select("key").distinct(), "roots")
+    front = written(roots.select("key").distinct(), "roots")
+    seen = [front]
     while True:
+        every = _joined(seen)
         found = front.join(links, front["key"] == links["child"]).select(F.col("parent").alias("key")).distinct()
-        front = written(found.join(seen, "key", "left_anti"), "front")
+        front = written(found.join(every, "key", "left_anti"), "front")
         if front.isEmpty():
-            return seen
-        seen = written(seen.unionByName(front), "seen")
+            return every
+        if len(seen) > TOGETHER:
+            seen = [seen[0], written(_joined(seen[1:]), "levels")]
+        seen.append(front)
+
+
+def _joined(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 @query(TREE + "r(key) AS (SELECT o_orderkey FROM orders WHERE o_orderkey%97 = 0 UNION SELECT parent FROM r JOIN edges ON child = key) SELECT key FROM r")

@@ -212,26 +212,25 @@ def ud4_texture_table_function(spark, sf_dir):
     return t.select(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "id", "t.x", "t.y")
 
 
-def rows_of(spark, table, sql, **functions):
-    """SQL over a table as ``t``, with these table functions registered."""
-    for name, f in functions.items():
-        spark.udtf.register(name, f)
+def rows_of(spark, table, sql):
+    """SQL over a table as ``t``, with the library's table functions."""
+    tables.create(spark)
     return spark.sql(sql, t=table)
 
 
 @query(ORACLES["st2_tiles_touched"])
 def ud4b_tiles_of_box(spark, sf_dir):
-    return rows_of(spark, view(spark, sf_dir, "zones"), "SELECT DISTINCT b.tlat, b.tlon FROM {t} AS z, LATERAL tiles_of_box(z.west, z.south, z.east, z.north) AS b", tiles_of_box=tables.TilesOfBox)
+    return rows_of(spark, view(spark, sf_dir, "zones"), "SELECT DISTINCT b.tlat, b.tlon FROM {t} AS z, LATERAL tiles_of_box(z.west, z.south, z.east, z.north) AS b")
 
 
 @query(ORACLES["ar3_grid_walk"])
 def ud4c_grid_walk(spark, sf_dir):
-    return rows_of(spark, legs(spark, sf_dir), "SELECT l.leg, g.tlat, g.tlon FROM {t} AS l, LATERAL grid_walk(l.lat1, l.lon1, l.lat2, l.lon2) AS g", grid_walk=tables.GridWalk)
+    return rows_of(spark, legs(spark, sf_dir), "SELECT l.leg, g.tlat, g.tlon FROM {t} AS l, LATERAL grid_walk(l.lat1, l.lon1, l.lat2, l.lon2) AS g")
 
 
 @query(ORACLES["ar1_great_circle"])
 def ud4d_great_circle(spark, sf_dir):
-    return rows_of(spark, legs(spark, sf_dir), f"SELECT l.leg, g.step, round(g.lat, 4) AS lat, round(g.lon, 4) AS lon FROM {{t}} AS l, LATERAL great_circle(l.lat1, l.lon1, l.lat2, l.lon2, {STEP_KM}D) AS g", great_circle=tables.GreatCircle)
+    return rows_of(spark, legs(spark, sf_dir), f"SELECT l.leg, g.step, round(g.lat, 4) AS lat, round(g.lon, 4) AS lon FROM {{t}} AS l, LATERAL great_circle(l.lat1, l.lon1, l.lat2, l.lon2, {STEP_KM}D) AS g")
 
 
 assert geo.LOAD_LEVEL == 4
