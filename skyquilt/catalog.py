@@ -10,7 +10,7 @@ from .streaming import queries as _streaming  # noqa: F401
 #: Sums of whole numbers, which DuckDB widens past 64 bits.
 LONGS = {
     "ag27_usage_by_level": ["bytes"], "ag36_texture_report": ["bytes"], "ag23_disk_by_rule": ["bytes", "own_bytes"], "ag24_disk_bytes_once": ["bytes"],
-    "ag50_space_report": ["bytes"], "ag4_element_area": ["area"], "ag5_lake_decisions": ["area"], "ag17_thread_rates": ["inside", "outside"],
+    "ag50_space_report": ["bytes"], "ag4_element_area": ["area"], "ag5_lake_decisions": ["area"],
     "src5_read_elevation": ["total"], "src7_read_chunks": ["bytes"], "src13_read_transfers": ["bytes"], "src15_read_mesh": ["attrs"],
     "src16_read_artifact_index": ["params"], "snk1_write_tiled": ["written"], "sm6_rate": ["bytes"], "sm14_written_by_kind": ["bytes"],
 }

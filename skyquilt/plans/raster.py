@@ -57,13 +57,51 @@ def jn18_bathy_at(spark, sf_dir):
     return s.join(raster(spark, sf_dir).where(f"alt > {VOID}"), ["r", "c"], "left").select("id", F.coalesce(F.expr("int(alt) % 256"), F.lit(255)).alias("bathy"))
 
 
-@query(R + "SELECT r, c, CASE WHEN (r*c)%5=0 THEN alt+20 WHEN (r+c)%3=0 THEN alt+10 ELSE alt END::DOUBLE AS alt FROM raster")
+def lay_over(base: DataFrame, step: float, overlays: list[tuple[DataFrame, float, bool]]) -> DataFrame:
+    """(r, c, alt): overlays over a base raster where they have data, the last of the list first.
+
+    ``base``: r, c, alt, posts ``step`` apart; ``overlays``: (posts without voids, their step in the same measure,
+    whether the file is the user's own), both numbered from the same corner. The nearest post counts, to the even
+    one between two. An overlay coarser than the base is left out, unless it is the user's own: that is laid below
+    the finer ones, between its four posts where all are there and by its nearest where only that is.
+    A post names the posts of each overlay that it needs, so each overlay is one equi-join.
+    """
+    out = base.withColumn("_best", F.lit(None).cast("double"))
+    coarse = [(o, s) for o, s, own in overlays if s > step * 1.000001 and own]
+    for over, wide in coarse:
+        k = step / wide
+        near = {n: F.rint(F.col(n) * k).cast("long") for n in ("r", "c")}
+        low = {n: F.floor(F.col(n) * k) for n in ("r", "c")}
+        corner = F.array(*(F.struct((low["r"] + i).alias("_r"), (low["c"] + j).alias("_c"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
+        asked = base.select("r", "c", F.explode(corner).alias("q")).select("r", "c", "q._r", "q._c", "q.i", "q.j")
+        held = asked.join(over.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("alt").alias("_z")), ["_r", "_c"])
+        part = lambda n, side: F.when(side == 1, F.col(n) * k - F.floor(F.col(n) * k)).otherwise(1 - F.col(n) * k + F.floor(F.col(n) * k))  # noqa: B023, E731
+        between = F.sum(F.col("_z") * part("r", F.col("i")) * part("c", F.col("j")))
+        mean = held.groupBy("r", "c").agg(F.count("*").alias("_n"), between.alias("_mean"), F.max(F.when((F.col("_r") == near["r"]) & (F.col("_c") == near["c"]), F.col("_z"))).alias("_near"))
+        laid = mean.select("r", "c", F.when(F.col("_n") == 4, F.col("_mean")).otherwise(F.col("_near")).alias("_new"))
+        out = out.join(laid, ["r", "c"], "left").withColumn("_best", F.coalesce("_new", "_best")).drop("_new")
+    for over, wide, _ in overlays:
+        if wide <= step * 1.000001:
+            k = step / wide
+            near = [F.rint(F.col(n) * k).cast("long").alias(f"_{n}") for n in ("r", "c")]
+            laid = over.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("alt").alias("_new"))
+            out = out.select("*", *near).join(laid, ["_r", "_c"], "left").withColumn("_best", F.coalesce("_new", "_best")).drop("_r", "_c", "_new")
+    return out.select("r", "c", F.coalesce("_best", "alt").alias("alt"))
+
+
+# Over the raster as base, with a step of 2: a source at 3 is left out, the user's own at 3 is laid between its posts, then sources at 2 and at 1.
+_OVERS = ("r < 40 AND (r+c)%7 > 0", "(r*c)%5 > 1", "r%4 = 0 AND c%3 > 0")
+
+
+@query(R + f""", b AS (SELECT r, c, alt::DOUBLE AS alt FROM raster), o AS (SELECT r, c, alt+10 AS z FROM b WHERE alt > -32768 AND {_OVERS[0]}), f AS (SELECT r, c, alt+20 AS z FROM b WHERE alt > -32768 AND {_OVERS[1]} AND (r+c)%3=0), g AS (SELECT r, c, alt+30 AS z FROM b WHERE alt > -32768 AND {_OVERS[2]}),
+q AS (SELECT b.r, b.c, count(*) AS n, sum(z*(1-abs(b.r*2/3e0-o.r))*(1-abs(b.c*2/3e0-o.c))) AS mean, max(z) FILTER (o.r = round_even(b.r*2/3e0, 0) AND o.c = round_even(b.c*2/3e0, 0)) AS near FROM b JOIN o ON o.r BETWEEN floor(b.r*2/3e0) AND floor(b.r*2/3e0)+1 AND o.c BETWEEN floor(b.c*2/3e0) AND floor(b.c*2/3e0)+1 GROUP BY b.r, b.c)
+SELECT b.r, b.c, round(coalesce(g.z, f.z, CASE WHEN q.n = 4 THEN q.mean ELSE q.near END, b.alt), 4) AS alt FROM b LEFT JOIN q ON q.r = b.r AND q.c = b.c LEFT JOIN f ON f.r = b.r AND f.c = b.c LEFT JOIN g ON g.r = b.r*2 AND g.c = b.c*2""")
 def jn22_lay_over(spark, sf_dir):
-    """Overlays win where they have data, the last of the list first."""
+    """Overlays of three steps over a base, one of them coarser and skipped, one coarser and the user's own."""
     base = raster(spark, sf_dir)
-    first = base.where("(r+c)%3=0").selectExpr("r", "c", "alt+10 AS a1")
-    last = base.where("(r*c)%5=0").selectExpr("r", "c", "alt+20 AS a2")
-    return base.join(first, ["r", "c"], "left").join(last, ["r", "c"], "left").select("r", "c", F.coalesce("a2", "a1", "alt").alias("alt"))
+    known = base.where(f"alt > {VOID}")
+    lift = lambda df, m: df.select("r", "c", (F.col("alt") + m).alias("alt"))
+    return lay_over(base, 2.0, [(lift(known, 99), 3.0, False), (lift(known.where(_OVERS[0]), 10), 3.0, True), (lift(known.where(f"{_OVERS[1]} AND (r+c)%3=0"), 20), 2.0, False), (lift(known.where(_OVERS[2]), 30), 1.0, False)]).select("r", "c", F.round("alt", 4).alias("alt"))
 
 
 @query(R + ", d AS (SELECT f.r//10 AS block, abs(f.alt-g.alt)::DOUBLE AS d FROM raster f JOIN raster g ON g.r = f.r-f.r%2 AND g.c = f.c-f.c%2 WHERE f.alt > -32768 AND g.alt > -32768) SELECT block, count(*) AS n, round(avg(d), 5) AS mean, quantile_disc(d, 0.5) AS median, round(avg(CASE WHEN d > 100 THEN 1.0e0 ELSE 0 END), 5) AS share FROM d GROUP BY block")

@@ -122,13 +122,53 @@ def ag16_phase_costs(spark, sf_dir):
     return g.select("run", "phase", "disk", "cpu", "cores", "median", "most", "n", ((F.col("after").cast("long") - F.col("before")[F.col("disk")].cast("long")) / 1e9).alias("gb")).where("gb IS NOT NULL")
 
 
-@query(cte("samples") + ", d AS (SELECT run, thread, event_id%7 < 2 AS loading, cpu - lag(cpu) OVER (PARTITION BY run, thread ORDER BY ts, event_id) AS dc FROM samples), g AS (SELECT run, thread, sum(dc) FILTER (loading) AS inside, sum(dc) FILTER (NOT loading) AS outside FROM d GROUP BY ALL) SELECT run, thread, inside, outside, rn FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY inside DESC NULLS LAST, thread) AS rn FROM g) WHERE rn <= 2")
+#: Threads told of a load, and cores a thread must lose in it to count as slowed.
+TOLD, SLOWED_BY = 2, 0.05
+
+
+def thread_rates(samples: DataFrame, spans: DataFrame) -> DataFrame:
+    """(run, load, thread, inside, outside): cores of every thread during each load, and outside all loads of its run.
+
+    ``samples``: run, thread, ts, event_id, cpu (a counter of core seconds); ``spans``: run, load, t0, t1 (seconds), which
+    do not overlap. What a counter has counted up to a time is that of the last sample at or before it, else of the
+    thread's first; both ends of all loads find theirs in one pass over the sorted samples.
+    """
+    s = samples.select("run", "thread", F.unix_micros("ts").alias("at"), "event_id", "cpu")
+    s = s.groupBy("run", "thread", "at").agg(F.max_by("cpu", "event_id").alias("cpu"))
+    whole = s.groupBy("run", "thread").agg(F.min_by("cpu", "at").alias("first"), F.min("at").alias("from"), F.max("at").alias("till"), F.max_by("cpu", "at").alias("last"))
+    asked = whole.select("run", "thread").join(spans, "run").select("run", "thread", "load", "t0", "t1", F.explode(F.array("t0", "t1")).alias("edge"))
+    asked = asked.withColumn("at", (F.col("edge") * 1_000_000).cast("long")).withColumn("key", F.concat_ws("/", F.col("run").cast("string"), "thread"))
+    found = as_of(asked, s.withColumn("key", F.concat_ws("/", F.col("run").cast("string"), "thread")).drop("run", "thread"), "key", "at", ["cpu"])
+    during = found.join(whole, ["run", "thread"]).withColumn("cpu", F.coalesce("cpu", "first")).groupBy("run", "thread", "load", "t0", "t1").agg((F.max("cpu") - F.min("cpu")).alias("used"))
+    sums = during.groupBy("run", "thread").agg(F.sum("used").alias("used_all"), F.sum(F.col("t1") - F.col("t0")).alias("s_all"))
+    left = (F.col("till") - F.col("from")) / 1e6 - F.col("s_all")
+    rest = sums.join(whole, ["run", "thread"]).select("run", "thread", F.when(left > 0, F.greatest(F.col("last") - F.col("first") - F.col("used_all"), F.lit(0)) / left).otherwise(0.0).alias("outside"))
+    inside = F.when(F.col("t1") > F.col("t0"), F.col("used") / (F.col("t1") - F.col("t0"))).otherwise(0.0)
+    return during.select("run", "load", "thread", inside.alias("inside")).join(rest, ["run", "thread"])
+
+
+# A thread's counter grows with the number of its samples; loads begin at every fortieth sample of a run and last four hours.
+VIEWS["cores"] = ("events", ["user_id AS run", "ts", "event_id", "CAST(event_id AS DOUBLE)*(1+event_id%4*3)*(1+user_id%3) AS cpu", "concat('t', CAST(event_id%4 AS VARCHAR(4))) AS thread"])
+
+
+@query(cte("cores") + f""", p AS (SELECT run, epoch(ts) AS t0, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS i FROM cores), sp AS (SELECT run, i//40 AS load, floor(t0) AS t0, least(floor(t0)+14400, coalesce(lead(floor(t0)) OVER (PARTITION BY run ORDER BY i), 1e18)) AS t1 FROM p WHERE i%40 = 1),
+s AS (SELECT run, thread, epoch(ts) AS tt, arg_max(cpu, event_id) AS cpu FROM cores GROUP BY ALL), w AS (SELECT run, thread, arg_min(cpu, tt) AS first, min(tt) AS a, max(tt) AS b, arg_max(cpu, tt) AS last FROM s GROUP BY ALL),
+u AS (SELECT w.run, w.thread, load, t0, t1, first, abs(coalesce((SELECT arg_max(cpu, tt) FROM s WHERE s.run = w.run AND s.thread = w.thread AND tt <= t1), first) - coalesce((SELECT arg_max(cpu, tt) FROM s WHERE s.run = w.run AND s.thread = w.thread AND tt <= t0), first)) AS used FROM w JOIN sp ON sp.run = w.run),
+o AS (SELECT run, thread, sum(used) AS ua, sum(t1-t0) AS sa FROM u GROUP BY ALL), r AS (SELECT u.run, u.load, u.thread, used/(t1-t0) AS inside, CASE WHEN b-a-sa > 0 THEN greatest(last-w.first-ua, 0)/(b-a-sa) ELSE 0 END AS outside FROM u JOIN o USING (run, thread) JOIN w USING (run, thread)),
+k AS (SELECT 'busiest' AS what, *, row_number() OVER (PARTITION BY run, load ORDER BY round(inside, 9) DESC, thread) AS rank FROM r WHERE inside > 0 UNION ALL SELECT 'slowed', *, row_number() OVER (PARTITION BY run, load ORDER BY round(inside-outside, 9), thread) FROM r WHERE inside < outside - {SLOWED_BY})
+SELECT what, run, load, rank, thread, round(inside, 6) AS inside, round(outside, 6) AS outside FROM k WHERE rank <= {TOLD}""")
 def ag17_thread_rates(spark, sf_dir):
-    """The two busiest threads of a run during loads, with their rates outside."""
-    dc = F.col("cpu") - F.lag("cpu").over(_w("run", "thread"))
-    d = view(spark, sf_dir, "samples").select("run", "thread", F.expr("event_id%7 < 2").alias("loading"), dc.alias("dc"))
-    g = d.groupBy("run", "thread").agg(F.sum(F.when(F.col("loading"), F.col("dc"))).alias("inside"), F.sum(F.when(~F.col("loading"), F.col("dc"))).alias("outside"))
-    return g.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy(F.desc_nulls_last("inside"), "thread"))).where("rn <= 2")
+    """By load the busiest threads, and those that it slows most."""
+    c = view(spark, sf_dir, "cores").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_seconds("ts").cast("double")
+    marks = c.select("run", at.alias("t0"), F.row_number().over(_w("run")).alias("i")).where("i%40 = 1")
+    end = F.least(F.col("t0") + 14400, F.coalesce(F.lead("t0").over(Window.partitionBy("run").orderBy("i")), F.lit(1e18)))
+    spans = marks.select("run", F.expr("bigint(i div 40)").alias("load"), "t0", end.alias("t1"))
+    r = thread_rates(c, spans)
+    place = lambda by: F.row_number().over(Window.partitionBy("run", "load").orderBy(by, "thread")).cast("long").alias("rank")
+    busy = r.where("inside > 0").select(F.lit("busiest").alias("what"), "*", place(F.desc(F.round("inside", 9))))
+    slow = r.where(F.col("inside") < F.col("outside") - SLOWED_BY).select(F.lit("slowed").alias("what"), "*", place(F.round(F.col("inside") - F.col("outside"), 9)))
+    return busy.unionByName(slow).where(F.col("rank") <= TOLD).select("what", "run", "load", "rank", "thread", F.round("inside", 6).alias("inside"), F.round("outside", 6).alias("outside"))
 
 
 @query(cte("samples") + "SELECT run, min(mem) AS least_free, max(cpu) AS worst_pressure, max(mem*2) AS most_swap FROM samples GROUP BY run")

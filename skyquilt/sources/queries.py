@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, table, view
@@ -124,14 +124,58 @@ def src8_read_texture_names(spark, sf_dir):
     return f.select("t.x", "t.y", "t.provider", "t.zl").distinct()
 
 
-@query(cte("chunks") + "SELECT DISTINCT o%50 AS lot, 'LOAD_CENTER' AS key, CAST(o%50 AS VARCHAR)||' 7 8' AS value FROM chunks UNION ALL SELECT DISTINCT o%50, 'BASE_TEX_NOWRAP', '../textures/'||(o%50)||'.dds' FROM chunks")
+#: How far a text's centre may be from its name's, in degrees; fixed first lines of a terrain text.
+CENTRE_TOLERANCE, TER_HEAD = 1e-4, ["A", "800", "TERRAIN"]
+TER_NAME = r"^(\d+)_(\d+)_([A-Za-z]+)(\d{2})\.ter$"
+
+
+def read_terrain_files(files: DataFrame) -> DataFrame:
+    """(name, til_x, til_y, provider, zl, texture, fault): terrain texts, each checked against its name.
+
+    ``files``: name, text. Faults, the first that holds: 'name', 'header', 'missing' (LOAD_CENTER or
+    BASE_TEX_NOWRAP), 'centre' (not four numbers, not the texture's middle, or not 4096), 'texture' (another's). Null if
+    there is none. A line is a key and the rest; of equal keys the first counts.
+    """
+    lines = F.filter(F.split("text", r"\r?\n"), lambda v: F.trim(v) != "")
+    f = files.select("name", lines.alias("lines"), *(F.regexp_extract("name", TER_NAME, i + 1).alias(k) for i, k in enumerate(("y", "x", "provider", "z"))))
+    value = lambda key: F.get(F.transform(F.filter(F.slice("lines", 4, 1_000_000), lambda v: F.split(v, " ", 2)[0] == key), lambda v: F.trim(F.get(F.split(v, " ", 2), 1))), 0)
+    f = f.withColumn("centre", value("LOAD_CENTER")).withColumn("base", value("BASE_TEX_NOWRAP"))
+    f = f.withColumn("n", F.transform(F.split("centre", " +"), lambda v: F.try_to_number(v, F.lit("S9999990.0000000")).cast("double")))
+    whole = lambda k: F.expr(f"try_cast({k} AS BIGINT)")
+    f = f.withColumn("til_x", whole("x")).withColumn("til_y", whole("y")).withColumn("zl", F.expr("try_cast(z AS INT)"))
+    lat, lon = geo.tile_corner(F.col("til_x") + 8, F.col("til_y") + 8, F.col("zl"))
+    off = F.greatest(F.abs(F.get("n", 0) - lat), F.abs(F.get("n", 1) - lon))
+    good = (F.size("n") == 4) & F.coalesce(off <= CENTRE_TOLERANCE, F.lit(False)) & F.coalesce(F.get("n", 3) == 4096, F.lit(False))
+    stem = F.regexp_replace("name", r"\.ter$", "")
+    fault = (
+        F.when(F.col("til_x").isNull(), "name").when(~F.coalesce(F.slice("lines", 1, 3) == F.array(*map(F.lit, TER_HEAD)), F.lit(False)), "header").when(F.col("centre").isNull() | F.col("base").isNull(), "missing")
+        .when(~good, "centre").when(F.regexp_extract("base", r"([^/]+)\.\w+$", 1) != stem, "texture")
+    )
+    return f.select("name", "til_x", "til_y", "provider", "zl", F.col("base").alias("texture"), fault.alias("fault"))
+
+
+# One text a texture, as rows of a table; by the texture's column some are broken in one way each.
+_TEXTURE = "SELECT DISTINCT til_x, til_y, zl, provider FROM built"
+_NAME = "til_y||'_'||til_x||'_'||provider||zl"
+
+
+@query(cte("built") + f"""SELECT CASE WHEN til_x%176=0 THEN 'x' ELSE '' END||{_NAME}||'.ter' AS name, CASE WHEN til_x%176=0 THEN NULL ELSE til_x END AS til_x, CASE WHEN til_x%176=0 THEN NULL ELSE til_y END AS til_y, CASE WHEN til_x%176=0 THEN '' ELSE provider END AS provider, CASE WHEN til_x%176=0 THEN NULL ELSE zl END AS zl,
+CASE WHEN til_x%272=0 THEN NULL WHEN til_x%368=0 THEN '../textures/other.dds' ELSE '../textures/'||{_NAME}||'.dds' END AS texture,
+CASE WHEN til_x%176=0 THEN 'name' WHEN til_x%208=0 THEN 'header' WHEN til_x%272=0 THEN 'missing' WHEN til_x%304=0 THEN 'centre' WHEN til_x%368=0 THEN 'texture' END AS fault FROM ({_TEXTURE})""")
 def src9_read_terrain_files(spark, sf_dir):
-    """Terrain texts written and read back, pivoted to keys: also what the text writer makes."""
-    lot = view(spark, sf_dir, "chunks").select(F.expr("o%50").alias("lot")).distinct()
-    path = shared_dir(lot, "ter")
-    lot.select("lot", F.concat(F.lit("A\nLOAD_CENTER "), F.col("lot").cast("string"), F.lit(" 7 8\nBASE_TEX_NOWRAP ../textures/"), F.col("lot").cast("string"), F.lit(".dds")).alias("value")).write.partitionBy("lot").text(path)
-    t = spark.read.text(path).select(F.col("lot").cast("long").alias("lot"), F.split("value", " ", 2).alias("p")).where(F.size("p") == 2)
-    return t.select("lot", F.get("p", 0).alias("key"), F.get("p", 1).alias("value"))
+    """Terrain texts of all textures, written and read back."""
+    t = view(spark, sf_dir, "built").select("til_x", "til_y", "zl", "provider").distinct()
+    stem = F.concat_ws("_", F.col("til_y").cast("string"), F.col("til_x").cast("string"), F.concat("provider", F.col("zl").cast("string")))
+    lat, lon = geo.tile_corner(F.col("til_x") + 8, F.col("til_y") + 8, F.col("zl"))
+    bad = lambda n: F.col("til_x") % n == 0
+    text = F.concat_ws(
+        "\n", F.when(bad(208), "I").otherwise("A"), F.lit("800"), F.lit("TERRAIN"), F.lit(""),
+        F.concat(F.lit("LOAD_CENTER "), F.format_string("%.5f %.5f", lat + F.when(bad(304), 0.001).otherwise(0.0), lon), F.lit(" 4000 4096")),
+        F.when(~bad(272), F.concat(F.lit("BASE_TEX_NOWRAP ../textures/"), F.when(bad(368), "other").otherwise(stem), F.lit(".dds"))), F.lit("NO_ALPHA"),
+    )
+    path = shared_dir(t, "ter")
+    t.select(F.concat(F.when(bad(176), "x").otherwise(""), stem, F.lit(".ter")).alias("name"), text.alias("text")).write.parquet(path)
+    return read_terrain_files(spark.read.parquet(path))
 
 
 #: Sites of a plan in the formats that hold many plans a file.
