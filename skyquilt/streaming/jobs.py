@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ def shared_dir_of(spark: SparkSession, name: str) -> str:
 def by_aircraft(step: Callable[[dict, dict], dict | None], schema: str, columns: list[str], silent: Callable[[dict], dict | None] | None = None) -> Callable:
     """A state machine as a grouped map: ``step(state, row)`` changes the state and may return a row to emit.
 
-    State is a dict in one text column; rows of a key are taken in event order within a batch. A step that waits
-    for something sets ``state["due"]``, an event time in milliseconds; if the watermark passes it first,
+    State is a dict in one text column; rows of a key are taken in event order within a batch. A step marked
+    ``by_arrays`` takes them all at once, as arrays, and returns arrays of what to emit. A step that waits for something sets ``state["due"]``, an event time in milliseconds; if the watermark passes it first,
     ``silent(state)`` says what to emit, also for a key of which nothing comes any more.
     """
     import json
@@ -64,8 +65,12 @@ def by_aircraft(step: Callable[[dict, dict], dict | None], schema: str, columns:
             out = []
         else:
             rows = pd.concat([f[list(dict.fromkeys(["ts", "event_id", *columns]))] for f in frames]).sort_values(["ts", "event_id"])
-            each = (dict(zip(columns, values)) for values in zip(*(rows[c] for c in columns)))
-            out = [r for row in each if (r := step(own, row)) is not None]
+            if getattr(step, "arrays", False):
+                got = step(own, {c: rows[c].to_numpy() for c in columns})
+                out = [dict(zip(got, values)) for values in zip(*got.values())]
+            else:
+                each = (dict(zip(columns, values)) for values in zip(*(rows[c] for c in columns)))
+                out = [r for row in each if (r := step(own, row)) is not None]
         due = own.get("due") if silent else None
         if due is not None and (state.hasTimedOut or due <= state.getCurrentWatermarkMs()):
             own["due"] = due = None
@@ -84,16 +89,36 @@ def stateful(stream: DataFrame, step: Callable, schema: str, columns: list[str],
     return timed.groupBy("aircraft").applyInPandasWithState(by_aircraft(step, schema, columns, silent), schema, "state string", "append", timeout)
 
 
-def millis(row: dict) -> int:
-    return row["ts"].value // 1_000_000
+def by_arrays(step: Callable) -> Callable:
+    """A step (state, columns as arrays) -> columns of what to emit, for all rows of a key in a batch at once."""
+    step.arrays = True
+    return step
 
 
-def km(a: dict, b: dict) -> float:
-    import math
+def before(state: dict, rows: dict, names: list[str]) -> dict:
+    """Each row's values of the row before it, of another batch too, NaN before the first; the last row's become state."""
+    out = {n: np.concatenate([[state.get(n, np.nan)], rows[n][:-1].astype(float)]) for n in names}
+    state.update({n: float(rows[n][-1]) for n in names})
+    return out
+
+
+def seconds(rows: dict) -> np.ndarray:
+    return rows["ts"].astype("datetime64[us]").astype(np.int64) / 1e6
+
+
+def km(a: dict, b: dict) -> np.ndarray:
+    p, q = np.radians(a["lat"]), np.radians(b["lat"])
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(b["lon"] - a["lon"]) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+def bearing(a: dict, b: dict) -> np.ndarray:
+    p, q, turn = np.radians(a["lat"]), np.radians(b["lat"]), np.radians(b["lon"] - a["lon"])
+    return np.degrees(np.arctan2(np.sin(turn) * np.cos(q), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(turn))) % 360
+
 
-    p, q = math.radians(a["lat"]), math.radians(b["lat"])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
-    return 2 * geo.EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
+def rounded(x: np.ndarray, digits: int) -> list[float]:
+    return [round(v, digits) for v in x.tolist()]
 
 
 def track_window(state: dict, row: dict) -> dict | None:
@@ -112,56 +137,57 @@ def track_window(state: dict, row: dict) -> dict | None:
     return None
 
 
-def jump(state: dict, row: dict) -> dict | None:
-    """A position over 20 km from the last."""
-    last, state["at"] = state.get("at"), {"lat": row["lat"], "lon": row["lon"]}
-    far = km(last, row) if last else 0.0
-    return {"event_id": row["event_id"], "km": round(far, 3)} if far > 20 else None
-
-
-def bearing(a: dict, b: dict) -> float:
-    import math
-
-    p, q, turn = math.radians(a["lat"]), math.radians(b["lat"]), math.radians(b["lon"] - a["lon"])
-    return math.degrees(math.atan2(math.sin(turn) * math.cos(q), math.cos(p) * math.sin(q) - math.sin(p) * math.cos(q) * math.cos(turn))) % 360
+@by_arrays
+def jump(state: dict, rows: dict) -> dict:
+    """Positions over 20 km from the last."""
+    far = km(before(state, rows, ["lat", "lon"]), rows)
+    hit = far > 20
+    return {"event_id": rows["event_id"][hit], "km": rounded(far[hit], 3)}
 
 
 #: Metres a second: slower is taxiing, faster is no aircraft but a jump.
 MOVING_MS, MAX_MOVING_MS = 25.0, 1_000.0
 
 
-def motion(state: dict, row: dict) -> dict | None:
+@by_arrays
+def motion(state: dict, rows: dict) -> dict:
     """Speed and track from two positions, where the aircraft says that it stands and its places say that it moves."""
-    last = state.get("at")
-    state["at"] = {"lat": row["lat"], "lon": row["lon"], "t": row["ts"].timestamp()}
-    if not last or row["gs_ms"] > MOVING_MS or state["at"]["t"] - last["t"] < 0.5:
-        return None
-    speed = km(last, row) * 1000 / (state["at"]["t"] - last["t"])
-    if not MOVING_MS < speed < MAX_MOVING_MS:
-        return None
-    return {"event_id": row["event_id"], "speed": round(speed, 4), "track": round(bearing(last, row), 3)}
-
-
-def cruise(state: dict, row: dict) -> dict | None:
-    """On above 18,500 ft, off below 17,500 or, descending, three minutes before 13,000; emits the changes."""
-    feet, on = row["agl_m"] / 0.3048, state.get("on", False)
-    ahead = (row["agl_m"] - 3962.4) / -row["vs_ms"] if row["vs_ms"] < -1 else float("inf")
-    if not on and feet > 18_500 and ahead > 270:
-        state["on"] = True
-    elif on and (feet < 17_500 or ahead < 180):
-        state["on"] = False
-    return {"event_id": row["event_id"], "cruising": state["on"]} if state.get("on", False) != on else None
+    rows = rows | {"t": seconds(rows)}
+    last = before(state, rows, ["lat", "lon", "t"])
+    passed = rows["t"] - last["t"]
+    speed = km(last, rows) * 1000 / np.where(passed >= 0.5, passed, np.nan)
+    hit = (rows["gs_ms"] <= MOVING_MS) & (speed > MOVING_MS) & (speed < MAX_MOVING_MS)
+    return {"event_id": rows["event_id"][hit], "speed": rounded(speed[hit], 4), "track": rounded(bearing(last, rows)[hit], 3)}
+
+
+@by_arrays
+def cruise(state: dict, rows: dict) -> dict:
+    """On above 18,500 ft, off below 17,500 or, descending, three minutes before 13,000; emits the changes.
+
+    No row is a sign of both, so what holds is the last sign.
+    """
+    feet, falls = rows["agl_m"] / 0.3048, rows["vs_ms"] < -1
+    ahead = np.where(falls, (rows["agl_m"] - 3962.4) / np.where(falls, -rows["vs_ms"], 1), np.inf)
+    sign = np.where((feet > 18_500) & (ahead > 270), 1, np.where((feet < 17_500) | (ahead < 180), 0, -1))
+    at = np.maximum.accumulate(np.where(sign >= 0, np.arange(len(sign)), -1))
+    on = np.where(at >= 0, sign[np.maximum(at, 0)] == 1, state.get("on", False))
+    turn = on != np.concatenate([[state.get("on", False)], on[:-1]])
+    state["on"] = bool(on[-1])
+    return {"event_id": rows["event_id"][turn], "cruising": on[turn].tolist()}
 
 
 #: Milliseconds of silence that are a stall, and of standing elsewhere that end the wait for an arrival.
 STALL_MS, ELSEWHERE_MS = 3_600_000, 10_000
 
 
-def stalled(state: dict, row: dict) -> dict | None:
-    """A silence of over an hour before a fix; ``still_silent`` reports one that no fix has ended."""
-    last, state["t"] = state.get("t"), row["ts"].timestamp()
-    state["event_id"], state["due"] = row["event_id"], millis(row) + STALL_MS
-    return {"event_id": row["event_id"], "silent_s": round(state["t"] - last, 3)} if last is not None and state["t"] - last > 3600 else None
+@by_arrays
+def stalled(state: dict, rows: dict) -> dict:
+    """Silences of over an hour before a fix; ``still_silent`` reports one that no fix has ended."""
+    now = rows | {"t": seconds(rows)}
+    silent = now["t"] - before(state, now, ["t"])["t"]
+    state["event_id"], state["due"] = int(rows["event_id"][-1]), int(now["t"][-1] * 1000) + STALL_MS
+    hit = silent > 3600
+    return {"event_id": rows["event_id"][hit], "silent_s": rounded(silent[hit], 3)}
 
 
 def still_silent(state: dict) -> dict | None:
@@ -169,19 +195,20 @@ def still_silent(state: dict) -> dict | None:
     return {"event_id": state["event_id"], "silent_s": None}
 
 
-def arrived(state: dict, row: dict) -> dict | None:
+@by_arrays
+def arrived(state: dict, rows: dict) -> dict:
     """The first fix at the expected place, the south-west quarter of the aircraft's square, or the first after ten
     seconds elsewhere, and how many fixes came before."""
-    state["n"], state["last"] = state.get("n", 0) + 1, row["event_id"]
+    n, state["last"] = state.get("n", 0), int(rows["event_id"][-1])
+    state["n"] = n + len(rows["event_id"])
     if state.get("done"):
-        return None
-    here = row["lat"] % 1 < 0.5 and row["lon"] % 1 < 0.5
-    due = state.setdefault("since", millis(row)) + ELSEWHERE_MS
-    if not here and millis(row) < due:
-        state["due"] = due
-        return None
-    state["done"], state["due"] = True, None
-    return {"event_id": row["event_id"], "before": state["n"] - 1, "how": "here" if here else "elsewhere"}
+        return {"event_id": [], "before": [], "how": []}
+    at = rows["ts"].astype("datetime64[us]").astype(np.int64) // 1000
+    due = state.setdefault("since", int(at[0])) + ELSEWHERE_MS
+    here = (rows["lat"] % 1 < 0.5) & (rows["lon"] % 1 < 0.5)
+    hit = np.flatnonzero(here | (at >= due))[:1]
+    state["done"], state["due"] = bool(len(hit)), None if len(hit) else due
+    return {"event_id": rows["event_id"][hit], "before": (n + hit).tolist(), "how": ["here" if here[i] else "elsewhere" for i in hit]}
 
 
 def nothing_came(state: dict) -> dict | None:

@@ -1,6 +1,11 @@
 """Streams that fall silent: timers report what no further row would."""
 
 import datetime
+import itertools
+import time
+
+import numpy as np
+import pytest
 
 from skyquilt.streaming import jobs
 
@@ -43,10 +48,40 @@ def test_a_silence_that_a_later_batch_ends(spark, tmp_path):
 
 def test_cruise_ends_before_the_descent_is_seen():
     state: dict = {}
-    step = lambda agl, vs: jobs.cruise(state, {"event_id": 0, "agl_m": agl, "vs_ms": vs})
-    assert step(5_600.0, 0.0) is None and step(6_000.0, -10.0) is None  # 204 s before 13,000 ft: too late to begin
-    assert step(6_000.0, 0.0)["cruising"] is True
-    assert step(6_000.0, -10.0) is None and step(6_000.0, -12.0)["cruising"] is False
+    agl = np.array([5_600.0, 6_000.0, 6_000.0, 6_000.0, 6_000.0])  # the second is 204 s before 13,000 ft: too late to begin
+    rows = {"event_id": np.arange(5), "agl_m": agl, "vs_ms": np.array([0.0, -10.0, 0.0, -10.0, -12.0])}
+    out = jobs.cruise(state, rows)
+    assert (out["event_id"].tolist(), out["cruising"]) == ([2, 4], [True, False]) and state["on"] is False
+
+
+@pytest.mark.parametrize("step", [jobs.jump, jobs.motion, jobs.cruise, jobs.stalled, jobs.arrived])
+def test_batches_of_any_size_say_the_same(step):
+    """A machine that takes its rows at once, one by one, or by uneven pieces, ends in the same state with the same rows out."""
+    rng = np.random.default_rng(5)
+    n = 400
+    ts = np.datetime64("2024-05-01T12:00:00") + np.sort(rng.integers(0, 400_000_000_000, n)).astype("timedelta64[us]") * rng.integers(1, 5)
+    rows = {
+        "ts": ts, "event_id": np.arange(n), "lat": rng.uniform(0, 1, n), "lon": 0.6 + rng.uniform(0, 0.3, n), "gs_ms": rng.choice([0.0, 10.0, 90.0], n),
+        "agl_m": rng.uniform(5_000, 6_000, n), "vs_ms": rng.choice([-20.0, 0.0, 5.0], n),
+    }
+
+    def run(edges):
+        state, out = {}, []
+        for a, b in itertools.pairwise([0, *edges, n]):
+            got = step(state, {k: v[a:b] for k, v in rows.items()})
+            out += list(zip(*(list(map(str, v)) for v in got.values())))
+        return out, state
+
+    whole = run([])
+    assert whole[0] and run(range(1, n)) == whole == run([3, 4, 90, 91, 250])
+
+
+def test_a_hot_key_costs_arrays():
+    n = 1_000_000
+    rows = {"ts": np.datetime64("2024-05-01") + np.arange(n).astype("timedelta64[s]"), "event_id": np.arange(n), "lat": np.zeros(n), "lon": np.arange(n) % 300 / 1_000, "gs_ms": np.zeros(n), "agl_m": np.full(n, 6e3), "vs_ms": np.zeros(n)}
+    began = time.time()
+    assert len(jobs.jump({}, rows)["km"]) == n // 300 and not jobs.motion({}, rows)["speed"] == [] and jobs.cruise({}, rows)["event_id"].tolist() == [0]
+    assert time.time() - began < 20
 
 
 def test_loads_as_sessions(spark):
