@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, view
 from ..functions import geo
-from ..operators.joins import box_join, connected_components, written
+from ..operators.joins import box_join, cells, connected_components, written
 from ..registry import query
 
 def corners(spark, sf_dir) -> DataFrame:
@@ -137,13 +137,21 @@ CROSS = "((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1))"
  FROM segments a JOIN segments b ON a.id < b.id AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2))
 SELECT id, other, round(x1+t*(x2-x1), 6) AS x, round(y1+t*(y2-y1), 6) AS y, round(z1+t*(z2-z1), 4) AS z FROM p WHERE t > 1e-9 AND t < 1-1e-9 AND u > 1e-9 AND u < 1-1e-9""")
 def jn14_crossing_pairs(spark, sf_dir):
-    """Pairs of segments that cross inside both; the height is that of the lower id."""
+    """Pairs of segments that cross inside both; the height is that of the lower id.
+
+    Segments are laid on the grid once, and the cells meet themselves, so one shuffle serves both sides. A pair that
+    shares several cells is kept in the one of its common south-west corner.
+    """
     s = view(spark, sf_dir, "segments")
-    p = box_join(boxed(s), boxed(s, "_b"), CELL, ("w", "s", "e", "n"), ("w_b", "s_b", "e_b", "n_b")).where("id < id_b")
-    cross = "nullif((x2-x1)*(y2_b-y1_b)-(y2-y1)*(x2_b-x1_b), 0)"
-    p = p.withColumn("t", F.expr(f"((x1_b-x1)*(y2_b-y1_b)-(y1_b-y1)*(x2_b-x1_b))/{cross}")).withColumn("u", F.expr(f"((x1_b-x1)*(y2-y1)-(y1_b-y1)*(x2-x1))/{cross}"))
+    low, high = (lambda k: F.least(f"{k}1", f"{k}2")), (lambda k: F.greatest(f"{k}1", f"{k}2"))
+    laid = s.withColumn("cx", F.explode(cells(low("x"), high("x"), CELL))).withColumn("cy", F.explode(cells(low("y"), high("y"), CELL)))
+    west, south = "greatest(least(a.x1, a.x2), least(b.x1, b.x2))", "greatest(least(a.y1, a.y2), least(b.y1, b.y2))"
+    meet = f"a.cx = b.cx AND a.cy = b.cy AND a.id < b.id AND {west} <= least(greatest(a.x1, a.x2), greatest(b.x1, b.x2)) AND {south} <= least(greatest(a.y1, a.y2), greatest(b.y1, b.y2))"
+    p = laid.alias("a").join(laid.alias("b"), F.expr(f"{meet} AND floor({west}/{CELL}) = a.cx AND floor({south}/{CELL}) = a.cy"))
+    cross = "nullif((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1), 0)"
+    p = p.selectExpr("a.*", "b.id AS other", f"((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1))/{cross} AS t", f"((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1))/{cross} AS u")
     p = p.where("t > 1e-9 AND t < 1-1e-9 AND u > 1e-9 AND u < 1-1e-9")
-    return p.select("id", F.col("id_b").alias("other"), F.expr("round(x1+t*(x2-x1), 6)").alias("x"), F.expr("round(y1+t*(y2-y1), 6)").alias("y"), F.expr("round(z1+t*(z2-z1), 4)").alias("z"))
+    return p.select("id", "other", F.expr("round(x1+t*(x2-x1), 6)").alias("x"), F.expr("round(y1+t*(y2-y1), 6)").alias("y"), F.expr("round(z1+t*(z2-z1), 4)").alias("z"))
 
 
 TOL = 0.0008
