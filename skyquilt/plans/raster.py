@@ -326,18 +326,71 @@ def ar15_mosaic(spark, sf_dir):
     return p.groupBy("tr", "tc").agg(F.count("*").alias("posts"), F.sum("alt").alias("total")).join(tiles, ["tr", "tc"], "left_semi")
 
 
-@query(cte("ways", "nodes") + """, s AS (SELECT way, pos, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM (SELECT w.way, w.pos, w.node, n.x, n.y FROM ways w JOIN nodes n ON n.id = w.node) WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
-l AS (SELECT way, pos, x+(x2-x)*i/k AS lx, y+(y2-y)*i/k AS ly, i FROM (SELECT *, unnest(range(0, k)) AS i FROM (SELECT *, CAST(1+floor(sqrt((x2-x)^2+(y2-y)^2)*(10+way%3*5)) AS BIGINT) AS k FROM s WHERE x2 IS NOT NULL)))
-SELECT CAST(floor(lx*40) AS BIGINT) AS tx, CAST(floor(ly*40) AS BIGINT) AS ty, count(*) AS lamps FROM l WHERE (way*7+pos+i)%10 < 8 GROUP BY ALL""")
+#: Share of lamps that are out; share lit where nobody lives, and the density from which all are; light of a lamp in the country; share of white roads.
+LAMPS_OUT, LIT_SHARE_MIN, LIT_FULL, LAMP_COUNTRY, WHITE_SHARE = 0.08, 0.2, 0.12, 0.5, 0.3
+#: Pixels of a texture's side.
+LIT_SIDE = 64
+
+
+def drawn(*parts: Column | str) -> Column:
+    """A number in [0, 1) that a seed and what it is for always give alike."""
+    text = F.concat_ws("/", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _drawn(*parts: str) -> str:
+    return f"(CAST('0x'||substr(md5({'||'.join(parts)}), 1, 8) AS BIGINT)/{1 << 32}e0)"
+
+
+def night_lamps(points: DataFrame, density: DataFrame, textures: float) -> DataFrame:
+    """(way, nth, white, level, tx, ty, px, py) of the lamps that burn: one each spacing along a road from a start drawn for it.
+
+    ``points``: way, pos, node, x, y, spacing, bright, and rows and columns, the posts to a length of 1; ``density``: r, c, d
+    by posts, read between four, 0 where one is missing. A share of lamps is out by
+    the draw, and more the fewer people live there; a lamp's light is drawn and grows with them. ``textures``: how many
+    there are to a length of 1.
+    """
+    w = Window.partitionBy("way").orderBy("pos", "node")
+    far = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
+    p = points.withColumn("far", far).withColumn("along", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("to", F.lead("along").over(w)).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("to > along")
+    p = p.withColumn("offset", drawn("start", F.col("way")) * F.col("spacing"))
+    first = lambda k: F.greatest(F.ceil((F.col(k) - F.col("offset")) / F.col("spacing")), F.lit(0))
+    p = p.where(first("to") > first("along")).withColumn("nth", F.explode(F.sequence(first("along"), first("to") - 1)))
+    g = (F.col("offset") + F.col("nth") * F.col("spacing") - F.col("along")) / (F.col("to") - F.col("along"))
+    lamp = p.where(drawn("out", F.col("way"), F.col("nth")) > LAMPS_OUT).select("way", "nth", "bright", "rows", "columns", (F.col("x") + g * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + g * (F.col("y2") - F.col("y"))).alias("y"))
+    at = lamp.select("way", "nth", (F.col("y") * F.col("rows")).alias("ry"), (F.col("x") * F.col("columns")).alias("rx"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("q"))
+    held = at.select("way", "nth", "ry", "rx", "q.i", "q.j", (F.floor("ry") + F.col("q.i")).alias("r"), (F.floor("rx") + F.col("q.j")).alias("c")).join(density, ["r", "c"])
+    part = lambda n, side: F.when(F.col(side) == 1, F.col(n) - F.floor(n)).otherwise(1 - F.col(n) + F.floor(n))
+    here = held.groupBy("way", "nth").agg(F.count("*").alias("k"), F.sum(F.col("d") * part("ry", "i") * part("rx", "j")).alias("d")).where("k = 4").drop("k")
+    lit = lamp.join(here, ["way", "nth"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    lit = lit.where(drawn("lit", F.col("way"), F.col("nth")) < LIT_SHARE_MIN + (1 - LIT_SHARE_MIN) * F.least(F.col("d") / LIT_FULL, F.lit(1.0)))
+    level = F.col("bright") * (0.35 + 0.45 * drawn("light", F.col("way"), F.col("nth"))) * (LAMP_COUNTRY + 2 * (1 - LAMP_COUNTRY) * F.col("d"))
+    cell = lambda n: F.floor(F.col(n) * textures)
+    pixel = lambda n: F.floor((F.col(n) * textures - cell(n)) * LIT_SIDE)
+    return lit.select("way", "nth", (drawn("white", F.col("way")) < WHITE_SHARE).alias("white"), level.alias("level"), cell("x").alias("tx"), cell("y").alias("ty"), pixel("x").alias("px"), pixel("y").alias("py"))
+
+
+_P = "SELECT DISTINCT w.way, w.pos, w.node, n.x, n.y FROM ways w JOIN nodes n ON n.id = w.node"
+
+
+@query(cte("ways", "nodes", "raster") + f""", p AS ({_P}), a AS (SELECT *, coalesce(sqrt((x-lag(x) OVER w)^2+(y-lag(y) OVER w)^2), 0) AS far FROM p WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+b AS (SELECT *, sum(far) OVER (PARTITION BY way ORDER BY pos, node ROWS UNBOUNDED PRECEDING) AS along FROM a),
+s AS (SELECT *, lead(along) OVER w AS nxt, lead(x) OVER w AS x2, lead(y) OVER w AS y2, 1/(10e0+way%3*5) AS spacing, {_drawn("'start/'", 'way')}/(10e0+way%3*5) AS off FROM b WINDOW w AS (PARTITION BY way ORDER BY pos, node)),
+l AS (SELECT way, nth, x+(off+nth*spacing-along)/(nxt-along)*(x2-x) AS x, y+(off+nth*spacing-along)/(nxt-along)*(y2-y) AS y FROM (SELECT *, unnest(range(CAST(greatest(ceil((along-off)/spacing), 0) AS BIGINT), CAST(greatest(ceil((nxt-off)/spacing), 0) AS BIGINT))) AS nth FROM s WHERE nxt > along) WHERE {_drawn("'out/'", 'way', "'/'", 'nth')} > {LAMPS_OUT}),
+d AS (SELECT way, nth, count(*) AS k, sum(alt/500e0*(1-abs(y*38-r))*(1-abs(x*48-c))) AS d FROM l JOIN raster ON r BETWEEN floor(y*38) AND floor(y*38)+1 AND c BETWEEN floor(x*48) AND floor(x*48)+1 AND alt > -32768 GROUP BY way, nth HAVING count(*) = 4),
+m AS (SELECT l.*, coalesce(d.d, 0) AS d FROM l LEFT JOIN d USING (way, nth)),
+q AS (SELECT *, {_drawn("'white/'", 'way')} < {WHITE_SHARE} AS white, (1+way%2)*(0.35e0+0.45e0*{_drawn("'light/'", 'way', "'/'", 'nth')})*({LAMP_COUNTRY}+{2 * (1 - LAMP_COUNTRY)}*d) AS level FROM m WHERE {_drawn("'lit/'", 'way', "'/'", 'nth')} < {LIT_SHARE_MIN}+{1 - LIT_SHARE_MIN}*least(d/{LIT_FULL}, 1)),
+t AS (SELECT CAST(floor(x*40) AS BIGINT) AS tx, CAST(floor(y*40) AS BIGINT) AS ty, floor((x*40-floor(x*40))*{LIT_SIDE}) AS px, floor((y*40-floor(y*40))*{LIT_SIDE}) AS py, white, max(level) AS level, count(*) AS n FROM q GROUP BY ALL)
+SELECT tx, ty, CAST(sum(n) AS BIGINT) AS lamps, count(*) FILTER (white) AS white_pixels, count(*) FILTER (NOT white) AS sodium_pixels, round(sum(level), 4) AS light FROM t GROUP BY ALL""")
 def ag41_night_lamps(spark, sf_dir):
-    """Lamps along roads at their class's spacing, a seeded share of them out, counted by texture."""
+    """Lamps by texture: how many, on how many pixels of either colour, and their light, the brightest of a pixel."""
     from .maps import track
 
-    w = Window.partitionBy("way").orderBy("pos", "node")
-    s = track(spark, sf_dir).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 IS NOT NULL")
-    s = s.withColumn("k", 1 + F.floor(F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2)) * F.expr("10+way%3*5"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    lamps = s.where("(way*7+pos+i)%10 < 8").selectExpr("x+(x2-x)*i/k AS lx", "y+(y2-y)*i/k AS ly")
-    return lamps.groupBy(F.floor(F.col("lx") * 40).alias("tx"), F.floor(F.col("ly") * 40).alias("ty")).agg(F.count("*").alias("lamps"))
+    roads = track(spark, sf_dir).select("way", "pos", "node", "x", "y").distinct().selectExpr("*", "1/(10D+way%3*5) AS spacing", "1D+way%2 AS bright", "38D AS rows", "48D AS columns")
+    people = raster(spark, sf_dir).where(f"alt > {VOID}").select("r", "c", (F.col("alt") / 500).alias("d"))
+    t = night_lamps(roads, people, 40.0).groupBy("tx", "ty", "px", "py", "white").agg(F.max("level").alias("level"), F.count("*").alias("n"))
+    return t.groupBy("tx", "ty").agg(F.sum("n").alias("lamps"), F.count_if("white").alias("white_pixels"), F.count_if(~F.col("white")).alias("sodium_pixels"), F.round(F.sum("level"), 4).alias("light"))
 
 
 @query("SELECT cell, path, points FROM (SELECT p_partkey%100 AS cell, p_name||'.'||p_partkey AS path, p_size AS points, row_number() OVER (PARTITION BY p_partkey%100 ORDER BY p_size DESC, CASE WHEN p_brand < 'Brand#3' THEN 0 ELSE 1 END, p_name||'.'||p_partkey) AS rn FROM part) WHERE rn = 1")
