@@ -246,18 +246,31 @@ def no_more_loads(state: dict) -> dict | None:
 REACH_KM = 300.0
 
 
+def _km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    half = f"power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"2 * {geo.EARTH_KM}D * asin(least(1D, sqrt({half})))"
+
+
+def squares_near(places: str, reach_km: float) -> str:
+    """The one-degree squares (tlat, tlon) within reach of any of an array of places (lat, lon), each once."""
+    d = min(reach_km / geo.KM_PER_DEGREE, 180.0)
+    wide = f"least({d}D / greatest(cos(radians(p.lat)), 1e-9), 179.4D)"
+    every = f"flatten(transform(sequence(greatest(-90L, floor(p.lat - {d}D)), least(89L, floor(p.lat + {d}D))), t -> transform(sequence(floor(p.lon - {wide}), floor(p.lon + {wide})), u -> named_struct('t', t, 'u', u))))"
+    near = f"filter({every}, q -> {_km('p.lat', 'p.lon', 'least(greatest(p.lat, q.t), q.t + 1)', 'least(greatest(p.lon, q.u), q.u + 1)')} <= {reach_km}D)"
+    return f"array_distinct(flatten(transform({places}, p -> transform({near}, q -> named_struct('tlat', q.t, 'tlon', pmod(q.u + 180, 360) - 180)))))"
+
+
 def level_work(fixes: DataFrame, index: DataFrame, reach_km: float = REACH_KM) -> DataFrame:
     """Stream-static join: each fix with the textures in reach that need a sharper level, and how urgent each is.
 
-    ``index``: tlat, tlon, name, level, and the texture's own ty, tx. A fix names the squares in reach, by its
-    latitude, so the join is on equal keys. Urgency is the distance to the ring in which the level is read:
-    below zero inside it.
+    ``fixes``: aircraft, event_id and places, an array of lat, lon: where the aircraft is, and the path ahead of it;
+    ``index``: tlat, tlon, name, level, and the texture's own ty, tx. A texture's distance is that to the nearest of the
+    places. A fix names the squares in reach of any of them once, by their latitude, so the join is on equal keys
+    and no row comes twice. Urgency is the distance to the ring in which the level is read: below zero inside it.
     """
-    from ..plans.planning import tiles_near
-
-    d = geo.haversine_km("lat", "lon", "ty", "tx")
     want = geo.top_level_for(F.col("km"), F.lit(16), F.lit(0))
-    j = tiles_near(fixes, reach_km).join(index, ["tlat", "tlon"]).withColumn("km", d).where(F.col("km") <= reach_km)
+    j = fixes.withColumn("square", F.explode(F.expr(squares_near("places", reach_km)))).select("aircraft", "event_id", "places", "square.tlat", "square.tlon").join(index, ["tlat", "tlon"])
+    j = j.withColumn("km", F.expr(f"array_min(transform(places, p -> {_km('p.lat', 'p.lon', 'ty', 'tx')}))")).where(F.col("km") <= reach_km)
     j = j.withColumn("want", want).where("want < level")
     rings = (F.when(F.col("want") == n, geo.ring_km(n, F.lit(16)) * geo.MARGIN) for n in range(geo.LOAD_LEVEL))
     ring = F.coalesce(*rings, F.lit(geo.LOAD_KM))

@@ -29,17 +29,54 @@ def machine(spark, sf_dir, step, schema, silent=None):
     return jobs.drained(jobs.stateful(fix_stream(spark, sf_dir), step, "aircraft long, event_id long, " + schema, COLUMNS, silent), step.__name__)
 
 
+# Ten points a route, along the band in which its aircraft's fixes lie; one aircraft in ten has none.
+VIEWS["routes"] = (
+    "customer",
+    [
+        "CAST(floor(c_custkey/10) AS BIGINT) AS aircraft", "c_custkey%10 AS seq", "CAST((floor(c_custkey/10)*37)%100 AS DOUBLE)-50e0 + (c_custkey%10)*0.2e0 + ((c_custkey*7)%3)*0.1e0 AS lat",
+        "CAST((floor(c_custkey/10)*71)%340 AS DOUBLE)-170e0 + (c_custkey%10)*0.3e0 AS lon",
+    ],
+)
+AHEAD_KM = 90.0
+
+
+#: Each fix's nearest leg (ok), and the points ahead of it with the part of the way to each that is taken (e).
+ON_ROUTE = f""", leg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM routes WHERE aircraft%10 <> 7 WINDOW w AS (PARTITION BY aircraft ORDER BY seq)),
+f AS (SELECT aircraft, event_id, lat, lon, (event_id*47)%360 AS track, gs_ms, cos(radians(lat))*{geo.KM_PER_DEGREE!r} AS kx, {geo.KM_PER_DEGREE!r} AS ky FROM fixes),
+v AS (SELECT f.*, seq, (l.lon-f.lon)*kx AS ax, (l.lat-f.lat)*ky AS ay, (lon2-l.lon)*kx AS dx, (lat2-l.lat)*ky AS dy, l.lat AS alat, l.lon AS alon, lat2-l.lat AS dlat, lon2-l.lon AS dlon FROM f JOIN leg l ON l.aircraft = f.aircraft AND lat2 IS NOT NULL),
+t AS (SELECT *, greatest(0, least(1, -(ax*dx+ay*dy)/(dx*dx+dy*dy))) AS t FROM v), n AS (SELECT *, round(sqrt((ax+t*dx)^2+(ay+t*dy)^2), 6) AS d FROM t QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(sqrt((ax+t*dx)^2+(ay+t*dy)^2), 6), seq) = 1),
+ok AS (SELECT *, (alon+t*dlon-lon)*kx AS hx, (alat+t*dlat-lat)*ky AS hy FROM n WHERE d <= {jobs.ROUTE_KM} AND NOT coalesce(gs_ms >= 25 AND abs((track-degrees(atan2(dx, dy))+180+360)%360-180) > {jobs.WRONG_WAY_DEG}, false)),
+a AS (SELECT o.event_id, o.seq AS leg, o.d, r.seq AS k, r.lat, r.lon, coalesce(lag(r.lat) OVER w, alat+t*dlat) AS plat, coalesce(lag(r.lon) OVER w, alon+t*dlon) AS plon, kx, ky FROM ok o JOIN routes r ON r.aircraft = o.aircraft AND r.seq > o.seq WINDOW w AS (PARTITION BY event_id ORDER BY r.seq)),
+s AS (SELECT *, sqrt(((lon-plon)*kx)^2+((lat-plat)*ky)^2) AS step FROM a), c AS (SELECT *, sum(step) OVER (PARTITION BY event_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM s),
+e AS (SELECT *, CASE WHEN upto >= {AHEAD_KM} THEN ({AHEAD_KM}-upto+step)/step ELSE 1 END AS part FROM c WHERE upto - step < {AHEAD_KM})"""
+
+
+def routes(spark, sf_dir):
+    """(aircraft, points): a row a route."""
+    r = view(spark, sf_dir, "routes").where("aircraft%10 <> 7")
+    p = r.groupBy("aircraft").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
+    return p.selectExpr("aircraft", "transform(p, q -> named_struct('lat', q.lat, 'lon', q.lon)) AS points")
+
+
+def tracked(spark, sf_dir):
+    """Fixes as a stream with a track; a slow aircraft's says nothing."""
+    return fix_stream(spark, sf_dir).selectExpr("aircraft", "event_id", "lat", "lon", f"CASE WHEN gs_ms >= {jobs.MOVING_MS} THEN double((event_id*47)%360) END AS track")
+
+
 INDEX = ", idx AS (SELECT CAST(floor(lat) AS BIGINT) AS tlat, CAST(floor(lon) AS BIGINT) AS tlon, 't'||min(id) AS name, CAST(min(id)%7 AS INT) AS level FROM points GROUP BY 1, 2) "
 
 
-@query(cte("fixes", "points") + INDEX + f""", j AS (SELECT aircraft, event_id, name, level, 2*6371.0088*asin(least(1, sqrt(sin(radians(tlat+0.5e0-lat)/2)^2 + cos(radians(lat))*cos(radians(tlat+0.5e0))*sin(radians(tlon+0.5e0-lon)/2)^2))) AS km FROM fixes JOIN idx ON abs(tlat+0.5e0-lat) <= 3 AND (abs(tlon+0.5e0-lon) <= 6 OR abs(tlon+0.5e0-lon) >= 354)),
+@query(cte("fixes", "routes", "points") + ON_ROUTE + INDEX + f""", pl AS (SELECT aircraft, event_id, lat, lon FROM fixes UNION ALL SELECT aircraft, event_id, alat+t*dlat, alon+t*dlon FROM ok UNION ALL SELECT aircraft, event_id, plat+part*(e.lat-plat), plon+part*(e.lon-plon) FROM e JOIN fixes USING (event_id)),
+j AS (SELECT aircraft, event_id, name, level, min(2*6371.0088*asin(least(1, sqrt(sin(radians(tlat+0.5e0-lat)/2)^2 + cos(radians(lat))*cos(radians(tlat+0.5e0))*sin(radians(tlon+0.5e0-lon)/2)^2)))) AS km FROM pl JOIN idx ON abs(tlat+0.5e0-lat) <= 3 AND (abs(tlon+0.5e0-lon) <= 6 OR abs(tlon+0.5e0-lon) >= 354) GROUP BY ALL),
 w AS (SELECT *, CAST(CASE WHEN km <= 13.6*1.11 THEN 0 WHEN km <= 23.7*1.11 THEN 1 WHEN km <= 42.9*1.11 THEN 2 WHEN km <= 81.4*1.11 THEN 3 ELSE 4 END AS INT) AS want FROM j WHERE km <= 300)
 SELECT aircraft, event_id, name, want, round(km, 3) AS km, round(km - CASE want WHEN 0 THEN 13.6e0*1.11e0 WHEN 1 THEN 23.7e0*1.11e0 WHEN 2 THEN 42.9e0*1.11e0 WHEN 3 THEN 81.4e0*1.11e0 ELSE {geo.LOAD_KM}e0 END, 3) AS urgency FROM w WHERE want < level""")
 def sm1_plan_stream(spark, sf_dir):
-    """Fixes against an index of one texture a square, as its middle."""
+    """Fixes and the routes ahead of them against an index of one texture a square, as its middle."""
     p = view(spark, sf_dir, "points").groupBy(F.floor("lat").alias("tlat"), F.floor("lon").alias("tlon")).agg(F.min("id").alias("id"))
     index = p.select("tlat", "tlon", F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.expr("int(id%7)").alias("level"), (F.col("tlat") + 0.5).alias("ty"), (F.col("tlon") + 0.5).alias("tx"))
-    return jobs.drained(jobs.level_work(fix_stream(spark, sf_dir), index), "plan")
+    f = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir), AHEAD_KM)
+    own = F.array(F.struct("lat", "lon"))
+    return jobs.drained(jobs.level_work(f.withColumn("places", F.concat(own, F.coalesce("ahead", F.slice(own, 1, 0)))), index), "plan")
 
 
 # One row a step: the window of an aircraft's next fix follows from its last.
@@ -109,33 +146,11 @@ def sm10_load_sessions(spark, sf_dir):
     return jobs.drained(s, "sessions").withColumnRenamed("aircraft", "run")
 
 
-# Ten points a route, along the band in which its aircraft's fixes lie; one aircraft in ten has none.
-VIEWS["routes"] = (
-    "customer",
-    [
-        "CAST(floor(c_custkey/10) AS BIGINT) AS aircraft", "c_custkey%10 AS seq", "CAST((floor(c_custkey/10)*37)%100 AS DOUBLE)-50e0 + (c_custkey%10)*0.2e0 + ((c_custkey*7)%3)*0.1e0 AS lat",
-        "CAST((floor(c_custkey/10)*71)%340 AS DOUBLE)-170e0 + (c_custkey%10)*0.3e0 AS lon",
-    ],
-)
-AHEAD_KM = 90.0
-
-
-@query(cte("fixes", "routes") + f""", leg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM routes WHERE aircraft%10 <> 7 WINDOW w AS (PARTITION BY aircraft ORDER BY seq)),
-f AS (SELECT aircraft, event_id, lat, lon, (event_id*47)%360 AS track, gs_ms, cos(radians(lat))*{geo.KM_PER_DEGREE!r} AS kx, {geo.KM_PER_DEGREE!r} AS ky FROM fixes),
-v AS (SELECT f.*, seq, (l.lon-f.lon)*kx AS ax, (l.lat-f.lat)*ky AS ay, (lon2-l.lon)*kx AS dx, (lat2-l.lat)*ky AS dy, l.lat AS alat, l.lon AS alon, lat2-l.lat AS dlat, lon2-l.lon AS dlon FROM f JOIN leg l ON l.aircraft = f.aircraft AND lat2 IS NOT NULL),
-t AS (SELECT *, greatest(0, least(1, -(ax*dx+ay*dy)/(dx*dx+dy*dy))) AS t FROM v), n AS (SELECT *, round(sqrt((ax+t*dx)^2+(ay+t*dy)^2), 6) AS d FROM t QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(sqrt((ax+t*dx)^2+(ay+t*dy)^2), 6), seq) = 1),
-ok AS (SELECT *, (alon+t*dlon-lon)*kx AS hx, (alat+t*dlat-lat)*ky AS hy FROM n WHERE d <= {jobs.ROUTE_KM} AND NOT coalesce(gs_ms >= 25 AND abs((track-degrees(atan2(dx, dy))+180+360)%360-180) > {jobs.WRONG_WAY_DEG}, false)),
-a AS (SELECT o.event_id, o.seq AS leg, o.d, r.seq AS k, r.lat, r.lon, coalesce(lag(r.lat) OVER w, alat+t*dlat) AS plat, coalesce(lag(r.lon) OVER w, alon+t*dlon) AS plon, kx, ky FROM ok o JOIN routes r ON r.aircraft = o.aircraft AND r.seq > o.seq WINDOW w AS (PARTITION BY event_id ORDER BY r.seq)),
-s AS (SELECT *, sqrt(((lon-plon)*kx)^2+((lat-plat)*ky)^2) AS step FROM a), c AS (SELECT *, sum(step) OVER (PARTITION BY event_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM s),
-e AS (SELECT *, CASE WHEN upto >= {AHEAD_KM} THEN ({AHEAD_KM}-upto+step)/step ELSE 1 END AS part FROM c WHERE upto - step < {AHEAD_KM}),
-z AS (SELECT event_id, min(leg) AS leg, min(d) AS d, count(*)+1 AS points, arg_max(plat+part*(lat-plat), k) AS elat, arg_max(plon+part*(lon-plon), k) AS elon FROM e GROUP BY event_id)
+@query(cte("fixes", "routes") + ON_ROUTE + """, z AS (SELECT event_id, min(leg) AS leg, min(d) AS d, count(*)+1 AS points, arg_max(plat+part*(lat-plat), k) AS elat, arg_max(plon+part*(lon-plon), k) AS elon FROM e GROUP BY event_id)
 SELECT aircraft, event_id, CAST(leg AS INT) AS leg, round(d, 3) AS off_km, CAST(points AS INT) AS points, round(elat, 5) AS end_lat, round(elon, 5) AS end_lon FROM fixes LEFT JOIN z USING (event_id)""")
 def sm12_follow_route(spark, sf_dir):
-    """Each fix on its aircraft's route and where the next 90 km of it end; null off the route or against it. A slow aircraft's track says nothing."""
-    r = view(spark, sf_dir, "routes").where("aircraft%10 <> 7")
-    routes = r.groupBy("aircraft").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p")).selectExpr("aircraft", "transform(p, q -> named_struct('lat', q.lat, 'lon', q.lon)) AS points")
-    f = fix_stream(spark, sf_dir).selectExpr("aircraft", "event_id", "lat", "lon", f"CASE WHEN gs_ms >= {jobs.MOVING_MS} THEN double((event_id*47)%360) END AS track")
-    out = jobs.follow_route(f, routes, AHEAD_KM)
+    """Each fix on its aircraft's route and where the next 90 km of it end; null off the route or against it."""
+    out = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir), AHEAD_KM)
     end = F.element_at("ahead", -1)
     out = out.select("aircraft", "event_id", "leg", F.round("off_km", 3).alias("off_km"), F.when(F.col("ahead").isNotNull(), F.size("ahead")).alias("points"), F.round(end["lat"], 5).alias("end_lat"), F.round(end["lon"], 5).alias("end_lon"))
     return jobs.drained(out, "route")
