@@ -132,7 +132,7 @@ def shared_dir(df: DataFrame, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="skyquilt-")
+        root = spark._skyquilt_tmp = getattr(spark, "_skyquilt_tmp", None) or tempfile.mkdtemp(prefix="skyquilt-")
     return f"{root.rstrip('/')}/skyquilt/{name}-{uuid.uuid4().hex}"
 
 

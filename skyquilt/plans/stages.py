@@ -63,8 +63,8 @@ def ud1_stage(spark, sf_dir):
 
 @query(KEPT + ", " + cte("members").removeprefix("WITH ") + "SELECT 'rings' AS kind, count(*) AS n FROM (SELECT rel FROM members WHERE there GROUP BY rel HAVING count(*) = 6) UNION ALL SELECT 'points', count(*) FROM kept")
 def ud5_grouped_map(spark, sf_dir):
-    """Grouped maps for SQL-less work: ring order by relation, kept points by chain, counted side by side."""
-    rings = it2_stitch_rings(spark, sf_dir).agg(F.lit("rings").alias("kind"), F.count("*").alias("n"))
+    """A grouped map for SQL-less work, the kept points of chains, beside the rings that are ranked without one."""
+    rings = it2_stitch_rings(spark, sf_dir).where("place = 0").agg(F.lit("rings").alias("kind"), F.count("*").alias("n"))
     return rings.unionByName(ar6_simplify(spark, sf_dir).agg(F.lit("points").alias("kind"), F.count("*").alias("n")))
 
 

@@ -11,7 +11,7 @@ from ..operators.joins import as_of
 from ..registry import query
 
 # Counters sampled by run, phases between marks, and processes.
-VIEWS["samples"] = ("events", ["user_id AS run", "ts", "event_id", "CAST(floor(value*10) AS BIGINT) AS cpu", "CAST(event_id%5000 AS BIGINT) AS mem", "concat('t', CAST(event_id%4 AS VARCHAR(4))) AS thread", "concat('a=', CAST(CAST(floor(value*3000) AS BIGINT) AS VARCHAR(20)), ';b=', CAST(event_id*1000000 AS VARCHAR(20))) AS disks"])
+VIEWS["samples"] = ("events", ["user_id AS run", "ts", "event_id", "CAST(floor(value*10) AS BIGINT) AS cpu", "CAST(event_id%5000 AS BIGINT) AS mem", "concat('t', CAST(event_id%4 AS VARCHAR(4))) AS thread", "concat('a=', CAST(CAST(floor(value*3000) AS BIGINT) AS VARCHAR(20)), ';b=', CAST(event_id*1000000 AS VARCHAR(20))) AS disks", "event_type='signup' AS opens"])
 ORDERED = "PARTITION BY run ORDER BY ts, event_id"
 
 
@@ -102,14 +102,16 @@ def jn12_nearest_sample(spark, sf_dir):
     return as_of(marks, own, "run", "ts", ["sample", "cpu"]).where("sample IS NOT NULL").select("run", "mark", "sample", "cpu")
 
 
-@query(cte("samples") + """, p AS (SELECT run, CAST(event_id//1000 AS BIGINT) AS phase, ts, event_id, cpu, mem, disks FROM samples),
+@query(cte("samples") + f""", p AS (SELECT * FROM (SELECT run, count(*) FILTER (opens) OVER ({ORDERED}) AS phase, ts, event_id, cpu, mem, disks FROM samples) WHERE phase > 0),
 e AS (SELECT run, phase, arg_min(cpu, struct_pack(a := ts, b := event_id)) AS a, arg_max(cpu, struct_pack(a := ts, b := event_id)) AS b, arg_min(disks, struct_pack(a := ts, b := event_id)) AS da, arg_max(disks, struct_pack(a := ts, b := event_id)) AS db, epoch(max(ts)) - epoch(min(ts)) AS span, list_sort(list(mem))[count(*)//2 + 1] AS median, max(mem) AS most, count(*) AS n FROM p GROUP BY ALL),
 x AS (SELECT *, unnest(['a', 'b']) AS disk FROM e)
 SELECT run, phase, disk, b - a AS cpu, round((b - a)/greatest(span, 1e-9), 6) + 0e0 AS cores, median, most, n, (CAST(regexp_extract(db, disk || '=(-?[0-9]+)', 1) AS BIGINT) - CAST(regexp_extract(da, disk || '=(-?[0-9]+)', 1) AS BIGINT))/1e9 + 0e0 AS gb FROM x""")
 def ag16_phase_costs(spark, sf_dir):
-    """By phase and disk: the counters' change from the first sample to the last, cores, median and most memory.
+    """By phase, which a mark opens, and disk: the counters' change from the first sample to the last, cores, median and most memory.
+
     Samples of equal memory are summed up before the window that finds the median."""
-    p = view(spark, sf_dir, "samples").withColumn("phase", F.expr("event_id div 1000"))
+    marks = F.sum(F.col("opens").cast("long")).over(_w("run").rowsBetween(Window.unboundedPreceding, 0))
+    p = view(spark, sf_dir, "samples").withColumn("phase", marks).where("phase > 0")
     sample = F.struct("ts", "event_id", "cpu", "disks")
     m = p.groupBy("run", "phase", "mem").agg(F.count("*").alias("k"), F.min(sample).alias("a"), F.max(sample).alias("b"))
     own = Window.partitionBy("run", "phase")
