@@ -89,9 +89,11 @@ def ar3_grid_walk(spark, sf_dir):
 
 
 def tiles_near(df: DataFrame, radius_km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Adds tlat, tlon: the one-degree tiles whose nearest point lies within the radius."""
+    """Adds tlat, tlon: the one-degree tiles whose nearest point lies within the radius; round a pole a tile may come twice."""
     dphi = min(radius_km / geo.KM_PER_DEGREE, 180.0)
-    dlam = F.least(F.lit(dphi) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9)), F.lit(179.4))
+    # Where a circle's sides are, which is poleward of its middle; a circle round a pole has none.
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(dphi, 90.0)))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))))) + 1e-9
+    dlam = F.when(F.abs(lat) + dphi < 90, side).otherwise(180.0)
     rows = F.sequence(F.greatest(F.lit(-90), F.floor(F.col(lat) - dphi)), F.least(F.lit(89), F.floor(F.col(lat) + dphi)))
     df = df.withColumn("tlat", F.explode(rows)).withColumn("_t", F.explode(F.sequence(F.floor(F.col(lon) - dlam), F.floor(F.col(lon) + dlam))))
     clamp = lambda v, t: F.least(F.greatest(F.col(v), F.col(t).cast("double")), F.col(t) + 1.0)

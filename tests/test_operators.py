@@ -1,6 +1,7 @@
 """Operators on small tables against plain Python."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from skyquilt.functions import geo
 from skyquilt.operators.joins import connected_components, first_in_budget, in_groups, rows_at
 from skyquilt.plans import raster
+from skyquilt.plans.planning import tiles_near
 
 
 def test_first_in_budget(spark):
@@ -106,3 +108,18 @@ def test_groups_cut_from_batches(spark):
         assert in_groups(df.limit(0), ["k"], ["i"], step, "k long, n long, path string").count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("lat", [69.5, -56.25])
+def test_tiles_near_reach_as_far_as_the_circle(spark, lat):
+    """The last sliver of a circle's width, which an arc of the parallel taken for the chord's leaves out."""
+    d, k = 100 / geo.KM_PER_DEGREE, math.cos(math.radians(lat))
+    chord = math.degrees(2 * math.asin(math.sin(math.radians(d) / 2) / k))
+    lon = 10 - (d / k + chord) / 2
+    got = {(r["tlat"], r["tlon"]) for r in tiles_near(spark.createDataFrame([(lat, lon)], "lat double, lon double"), 100.0).collect()}
+    assert (math.floor(lat), 10) in got
+
+
+def test_tiles_near_go_round_a_pole(spark):
+    got = {(r["tlat"], r["tlon"]) for r in tiles_near(spark.createDataFrame([(89.9, 0.5)], "lat double, lon double"), 100.0).collect()}
+    assert got == {(t, u) for t in (89,) for u in range(-180, 180)} | {(88, u) for u in range(-180, 180)} & got
