@@ -300,17 +300,25 @@ def quantize24(v, low: float, high: float) -> Column:
 
 
 def point_in_ring(x, y, xs, ys) -> Column:
-    """Even-odd rule over the vertex arrays ``xs`` and ``ys``."""
+    """Even-odd rule over the vertex arrays ``xs`` and ``ys``; a side belongs to the ring but for its lower end, so a level side does not.
+
+    A side that climbs from its lower to its upper end passes a point by the shares of its width and its height that
+    lie beyond and below the point: together 1 on the side itself.
+    """
     n = F.size(c(xs))
-    crosses = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(
-            ((F.get(c(ys), i) > c(y)) != (F.get(c(ys), (i + 1) % n) > c(y)))
-            & (c(x) < (F.get(c(xs), (i + 1) % n) - F.get(c(xs), i)) * (c(y) - F.get(c(ys), i)) / (F.get(c(ys), (i + 1) % n) - F.get(c(ys), i)) + F.get(c(xs), i)),
-            1,
-        ).otherwise(0),
-    )
-    return F.aggregate(crosses, F.lit(0), lambda a, v: a + v) % 2 == 1
+
+    def side(i):
+        j = (i + 1) % n
+        up = F.get(c(ys), i) < F.get(c(ys), j)
+        at = lambda v, low: F.when(up == F.lit(low), F.get(c(v), i)).otherwise(F.get(c(v), j))
+        x1, y1, x2, y2 = at(xs, True), at(ys, True), at(xs, False), at(ys, False)
+        part = (c(x) - x2) / F.nullif(x1 - x2, F.lit(0.0)) + (c(y) - y1) / F.nullif(y2 - y1, F.lit(0.0))
+        # negative beyond the side, zero on it, positive before it
+        before = F.when(x1 == x2, x1 - c(x)).when(x1 > x2, 1 - part).otherwise(part - 1)
+        return F.when((y1 < c(y)) & (c(y) <= y2), F.signum(before))
+
+    sides = F.filter(F.transform(F.sequence(F.lit(0), n - 1), side), lambda v: v.isNotNull())
+    return F.exists(sides, lambda v: v == 0) | (F.size(F.filter(sides, lambda v: v > 0)) % 2 == 1)
 
 
 def camera_position(lat, lon, east_m, south_m) -> tuple[Column, Column]:

@@ -136,3 +136,12 @@ def test_sun_is_high_at_noon_in_summer(spark):
     r = one(spark, geo.sun_height(F.lit(172), F.lit(12.0), F.lit(45.0)).alias("h"), geo.is_night(F.lit(172), F.lit(0.0), F.lit(45.0)).alias("n"))
     assert r["h"] == pytest.approx(45 + 23.44, abs=0.1) and r["n"]
     assert math.isclose(geo.KM_PER_DEGREE, 111.195, rel_tol=1e-4)
+
+
+def test_point_in_ring_on_its_sides(spark):
+    """Of a triangle and of a square turned on its tip: sides count in, lower ends and level sides don't."""
+    ring = {"t": ([0.0, 4.0, 0.0], [0.0, 0.0, 2.0]), "d": ([0.0, 2.0, 0.0, -2.0], [-2.0, 0.0, 2.0, 0.0])}
+    cases = [("t", 1.0, 1.0, True), ("t", 2.0, 1.0, True), ("t", 0.0, 1.0, True), ("t", 2.01, 1.0, False), ("t", -0.01, 1.0, False), ("t", 1.0, 0.0, False), ("t", 0.0, 2.0, True), ("t", 0.0, 0.0, False), ("d", 0.0, 0.0, True), ("d", 1.0, 1.0, True), ("d", -1.0, -1.0, True), ("d", 1.0, -1.0, True), ("d", 2.0, 0.0, True), ("d", -2.0, 0.0, True), ("d", 1.5, 1.0, False), ("d", -1.5, -1.0, False), ("d", 0.0, -2.0, False)]
+    df = spark.createDataFrame([(k, x, y, *ring[k], want) for k, x, y, want in cases], "k string, x double, y double, xs array<double>, ys array<double>, want boolean")
+    bad = df.where(geo.point_in_ring("x", "y", "xs", "ys") != F.col("want")).collect()
+    assert not bad
