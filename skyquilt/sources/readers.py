@@ -208,10 +208,31 @@ def read_sim_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_overlay_text(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks between BEGIN and END lines: file, block, kind, number, points."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    b = lines.withColumn("block", F.sum(F.col("line").startswith("BEGIN_").cast("int")).over(w)).where("block > 0")
-    head = F.col("line").startswith("BEGIN_")
-    out = b.groupBy("file", "block").agg(F.min(F.when(head, F.regexp_extract("line", r"^BEGIN_(\w+)", 1))).alias("kind"), F.min(F.when(head, F.regexp_extract("line", r" (\d+)", 1))).cast("long").alias("number"), F.count_if(F.col("line").startswith("POINT")).alias("points"))
-    return out
+    """Blocks between BEGIN and END lines: file, block, kind, number, points.
+
+    A line that begins with BEGIN_ ends the record before it, so a row is a block and a file of any size is read by
+    splits. What stands before a file's first block is no block: it is the first record of the file's first split.
+    Blocks are numbered from 1 in a file; who doesn't ask for the number doesn't pay for it.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, n = None, 0
+        for batch in batches:
+            kept, places = [], []
+            for own in zip(*(batch[c].to_pylist() for c in ("file", "start", "begun"))):
+                n = n + 1 if own[:2] == split else 0
+                split = own[:2]
+                kept.append(n > 0 or own[1] > 0 or own[2])
+                places.append(n)
+            out = batch.append_column("nth", pa.array(places, pa.int64())).filter(pa.array(kept, pa.bool_()))
+            yield out.select(["file", "start", "nth", "kind", "number", "points"])
+
+    lines = spark.read.option("lineSep", "\nBEGIN_").text(path)
+    record = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").startswith("BEGIN_").alias("begun"),
+        F.regexp_extract("value", r"^(?:BEGIN_)?(\w+)", 1).alias("kind"), F.nullif(F.regexp_extract("value", r"^[^\n]*? (\d+)", 1), F.lit("")).cast("long").alias("number"),
+        F.regexp_count("value", F.lit("\nPOINT")).cast("long").alias("points"),
+    )
+    own = record.mapInArrow(blocks, "file string, start long, nth long, kind string, number long, points long")
+    block = F.row_number().over(Window.partitionBy("file").orderBy("start", "nth"))
+    return own.select("file", block.alias("block"), "kind", "number", "points")

@@ -39,3 +39,19 @@ def test_system_and_threads(spark, tmp_path):
     assert got == [(1.0, 6, {"a": 7, "b": 8}, None), (4.0, 6, {"c": 9}, None)]
     (tmp_path / "threads.csv").write_text("wall,thread,name,cpu_s,state\n1.5,,main,2.5,R\n1.5,7,main,x,R\n2.5,8,io,1\n")
     assert [tuple(r) for r in readers.read_threads(spark, str(tmp_path / "threads.csv")).orderBy("wall").collect()] == [(1.5, "?", "main", 2.5, "R"), (2.5, "8", "io", 1.0, "")]
+
+
+def test_overlay_text_by_splits(spark, tmp_path):
+    """A file that is cut into many splits, and one with lines before its first block; no row holds a file."""
+    big = "".join(f"BEGIN_{k} {i}\n" + "".join(f"POINT {j}\n" for j in range(i % 4)) + f"END_{k}\n" for i in range(3000) for k in ("POLYGON",))
+    (tmp_path / "a.txt").write_text(big)
+    (tmp_path / "b.txt").write_text("A\n800\nPOLYGON_DEF lib 7\nPOINT 1\nBEGIN_PATCH 5\nPOINT 1\nBEGIN_SEGMENT 6\nEND_SEGMENT\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        own = readers.read_overlay_text(spark, str(tmp_path))
+        assert own.select("kind").rdd.getNumPartitions() > 4
+        got = [tuple(r) for r in own.orderBy("file", "block").select("block", "kind", "number", "points").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i + 1, "POLYGON", i, i % 4) for i in range(3000)] + [(1, "PATCH", 5, 1), (2, "SEGMENT", 6, 0)]
