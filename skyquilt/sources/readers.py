@@ -111,14 +111,17 @@ def _point(ident, name, lat, lon):
 
 
 def _route(plans: DataFrame) -> DataFrame:
-    """file, plan, points, first, last to a row a point: no point twice in a row, the ends named by the plan or by its points."""
-    at = lambda p: F.struct(p["lat"], p["lon"])
-    plans = plans.withColumn("points", F.filter("points", lambda p: p.isNotNull()))
-    kept = F.filter("points", lambda p, i: (i == 0) | (at(p) != at(F.get("points", i - 1))))
-    plans = plans.withColumn("points", kept)
-    end = lambda given, i: F.coalesce(F.nullif(F.left(F.upper(F.trim(given)), F.lit(8)), F.lit("")), F.get("points", i)["ident"])
-    named = plans.select("plan", end("first", F.lit(0)).alias("first"), end("last", F.size("points") - 1).alias("last"), F.posexplode("points").alias("n", "p"), "file")
-    return named.select("file", "plan", "n", "p.*", "first", "last")
+    """file, plan, points, first, last to a row a point: no point twice in a row, the ends named by the plan or by its points.
+
+    A point meets the one before it in a window of its plan, so a plan costs what it is long.
+    """
+    rows = plans.select("file", "plan", "first", "last", F.posexplode("points").alias("at", "p")).where("p IS NOT NULL")
+    way = Window.partitionBy("plan").orderBy("at")
+    whole = way.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct("p.lat", "p.lon")
+    rows = rows.withColumn("again", F.coalesce(F.lag(place).over(way) == place, F.lit(False))).where("NOT again")
+    end = lambda given, own: F.coalesce(F.nullif(F.left(F.upper(F.trim(given)), F.lit(8)), F.lit("")), own("p.ident").over(whole))
+    return rows.select("file", "plan", (F.row_number().over(way) - 1).alias("n"), "p.*", end("first", F.first).alias("first"), end("last", F.last).alias("last"))
 
 
 def read_flight_plan(spark: SparkSession, path: str, kind: str = "fms", lines: bool = False) -> DataFrame:

@@ -1,6 +1,9 @@
 """Readers on texts as they come: formats, missing parts, broken rows."""
 
 import json
+import time
+
+from pyspark.sql import functions as F
 
 from skyquilt.sources import readers
 
@@ -55,3 +58,12 @@ def test_overlay_text_by_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(i + 1, "POLYGON", i, i % 4) for i in range(3000)] + [(1, "PATCH", 5, 1), (2, "SEGMENT", 6, 0)]
+
+
+def test_long_plan_is_read_in_its_length(spark, tmp_path):
+    """Forty thousand points, each named twice: a reader that takes every point's plan anew doesn't end."""
+    (tmp_path / "a.fms").write_text("I\n1100 Version\nADEP AAAA\n" + "".join(f"1 P{i} ADEP 0.0 {i % 170 - 85}.0 {i % 340 - 170}.5\n" * 2 for i in range(20_000)))
+    began = time.time()
+    got = readers.read_flight_plan(spark, str(tmp_path)).agg(F.count("*"), F.max("n"), F.max("first"), F.min("last")).first()
+    assert tuple(got) == (20_000, 19_999, "AAAA", "P19999")
+    assert time.time() - began < 60
