@@ -220,8 +220,8 @@ VIEWS["faces"] = (
     ],
 )
 FACES = "tri AS (SELECT cell*2 AS tri, a1 AS v1, a2 AS v2, a3 AS v3, wet FROM faces WHERE whole UNION ALL SELECT cell*2+1, b1, b2, b3, wet FROM faces WHERE whole)"
-#: Side of the grid cells on which points meet triangles: about a triangle's box.
-FACE_CELL = 0.0125
+#: Side of the grid cells on which points meet triangles: a few of a triangle's box, since a triangle is wider as a row than a point.
+FACE_CELL = 0.04
 
 
 def faces(spark, sf_dir) -> DataFrame:
@@ -231,9 +231,9 @@ def faces(spark, sf_dir) -> DataFrame:
 
 
 def with_corners(triangles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Triangles with x1 ... z3, joined by id; a triangle without all its nodes goes."""
+    """Triangles with x1 ... z3 for their v1, v2 and v3, joined by id; a triangle without all its nodes goes."""
     for i in (1, 2, 3):
-        triangles = triangles.join(nodes.select(F.col("id").alias(f"v{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), f"v{i}")
+        triangles = triangles.join(nodes.select(F.col("id").alias(f"v{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), f"v{i}").drop(f"v{i}")
     return triangles
 
 
@@ -245,17 +245,20 @@ HEIGHT = f"{W1}*z1+{W2}*z2+(1-{W1}-{W2})*z3"
 XS, YS = "x1, x2, x3", "y1, y2, y3"
 
 
-def located(points: DataFrame, triangles: DataFrame, key: list[str], cell: float, also: list[str] | None = None) -> DataFrame:
+def located(points: DataFrame, triangles: DataFrame, key: list[str], cell: float, also: list[str] | None = None, every: bool = False) -> DataFrame:
     """Of each point (key, px, py) that lies on a triangle the lowest such, its height there, and ``also`` of the triangle: key, tri, height.
 
     ``triangles``: tri and their corners x1 ... z3. Both are laid on a grid, triangles by their box; triangles without
-    an area hold nothing. A point on a shared edge goes to the lower triangle.
+    an area hold nothing. A point on a shared edge goes to the lower triangle. ``every``: points that lie on none come
+    too, with nulls. A point has one cell, so its triangles meet where it is and no shuffle follows the join's.
     """
-    box = {"w": f"least({XS})", "s": f"least({YS})", "e": f"greatest({XS})", "n": f"greatest({YS})"}
-    slack = {"w": "- 1e-9", "s": "- 1e-9", "e": "+ 1e-9", "n": "+ 1e-9"}
-    t = triangles.selectExpr("tri", *(f"{c}{i}" for i in (1, 2, 3) for c in "xyz"), *(also or []), *(f"{e} {slack[k]} AS _{k}" for k, e in box.items()))
-    hit = box_join(points.selectExpr(*key, "px", "py", "px AS px2", "py AS py2"), t, cell, ("px", "py", "px2", "py2"), ("_w", "_s", "_e", "_n")).where(F.expr(HELD))
-    first = hit.withColumn("height", F.expr(HEIGHT)).groupBy(*key).agg(F.min(F.struct("tri", "height", *(also or []))).alias("m"))
+    laid = lambda low, high: F.explode(F.sequence(F.expr(f"floor((least({low}) - 1e-9) / {cell}D)"), F.expr(f"floor((greatest({high}) + 1e-9) / {cell}D)")))
+    t = triangles.select("tri", *(f"{c}{i}" for i in (1, 2, 3) for c in "xyz"), *(also or [])).withColumn("_cx", laid(XS, XS)).withColumn("_cy", laid(YS, YS))
+    p = points.selectExpr(*key, "px", "py", f"floor(px / {cell}D) AS _cx", f"floor(py / {cell}D) AS _cy")
+    t = t.withColumnsRenamed({"_cx": "_tx", "_cy": "_ty"})
+    hit = p.join(t, F.expr(f"_cx = _tx AND _cy = _ty AND {HELD}"), "left" if every else "inner")
+    on = F.struct("tri", F.expr(HEIGHT).alias("height"), *(also or []))
+    first = hit.groupBy("_cx", "_cy", *key).agg(F.min(F.when(F.col("tri").isNotNull(), on)).alias("m"))
     return first.select(*key, "m.tri", "m.height", *(F.col(f"m.{a}").alias(a) for a in also or []))
 
 
@@ -270,8 +273,8 @@ def jn27_locate(spark, sf_dir):
     """The triangle that holds each point, the lowest on shared edges, and the height on it; null where none does."""
     nodes = view(spark, sf_dir, "posts")
     p = nodes.selectExpr(*(x.strip() for x in SPOT.removeprefix("SELECT ").removesuffix(" FROM posts").split(", ")))
-    hit = located(p, with_corners(faces(spark, sf_dir), nodes), ["point"], FACE_CELL)
-    return p.select("point").join(hit, "point", "left").select("point", "tri", F.round("height", 6).alias("height"))
+    hit = located(p, with_corners(faces(spark, sf_dir), nodes), ["point"], FACE_CELL, every=True)
+    return hit.select("point", "tri", F.round("height", 6).alias("height"))
 
 
 LEVELS = 8

@@ -193,3 +193,18 @@ def test_located(spark):
     points = spark.createDataFrame([(1, 0.25, 0.25), (2, 0.5, 0.5), (3, 1.0, 1.0), (4, 2.0, 2.0), (5, 9.1, 9.1), (6, 0.0, 0.0)], "point long, px double, py double")
     got = {r["point"]: (r["tri"], round(r["height"], 9)) for r in located(points, t, ["point"], 0.3).collect()}
     assert got == {1: (5, 7.5), 2: (3, 15.0), 3: (3, 30.0), 5: (4, 1.0), 6: (5, 0.0)}
+
+
+def test_located_shuffles_each_side_once(spark):
+    """Points beside triangles come too when asked for, and what joins by place is not dealt out again to be grouped."""
+    t = spark.createDataFrame([(i, float(i), 0.0, 1.0, i + 1.0, 0.0, 2.0, float(i), 1.0, 3.0) for i in range(5)], "tri long, " + ", ".join(f"{c}{i} double" for i in (1, 2, 3) for c in "xyz"))
+    points = spark.createDataFrame([(1, 0.25, 0.25), (2, 0.9, 0.9), (3, 1.0, 0.0), (4, -3.0, 7.0)], "point long, px double, py double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = located(points, t, ["point"], 0.3, every=True)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = {r["point"]: (r["tri"], r["height"]) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {1: (0, pytest.approx(1.75)), 2: (None, None), 3: (0, pytest.approx(2.0)), 4: (None, None)}
