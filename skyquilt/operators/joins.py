@@ -125,6 +125,11 @@ def in_groups(rows: DataFrame, by: list[str], order: list[str], step: Callable[[
     return rows.repartition(parts, *by).withColumn("_first", first).mapInPandas(run, schema)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out to as many tasks as a shuffle has, by key: for few small rows, of one file, that become many or much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def shared_dir(df: DataFrame, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one in local runs that have none."""
     spark = df.sparkSession

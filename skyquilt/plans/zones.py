@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import VIEWS, cte, view
 from ..functions import geo
-from ..operators.joins import box_join
+from ..operators.joins import box_join, dealt
 from ..registry import query
 
 # Half-degree cells that hold a point, and the textures that were built before.
@@ -125,16 +125,23 @@ def clip_ring(ring, edges):
 
 @query(cte("zones") + """SELECT priority, tlat, t AS tlon, round(a, 6) AS area FROM (SELECT *, (least(east, t+1)-greatest(west, t))*(least(north, tlat+1)-greatest(south, tlat)) AS a FROM (SELECT *, unnest(range(CAST(floor(west) AS BIGINT), CAST(floor(east) AS BIGINT)+1)) AS t FROM (SELECT *, unnest(range(CAST(floor(south) AS BIGINT), CAST(floor(north) AS BIGINT)+1)) AS tlat FROM zones))) WHERE a > 1e-10""")
 def ar4_clip_to_tile(spark, sf_dir):
-    """Zone rings cut to the one-degree tiles they meet; slivers go."""
+    """Zone rings cut to the one-degree tiles they meet; slivers go.
+
+    A ring is cut and measured as a lambda's variable inside one generator: a filter on the area, which the planner
+    would push down, has nothing to copy.
+    """
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    z = view(spark, sf_dir, "zones").withColumn("ring", F.array(p("west", "south"), p("east", "south"), p("east", "north"), p("west", "north")))
+    z = dealt(view(spark, sf_dir, "zones"), "priority").withColumn("ring", F.array(p("west", "south"), p("east", "south"), p("east", "north"), p("west", "north")))
     z = z.withColumn("tlat", F.explode(F.sequence(F.floor("south"), F.floor("north")))).withColumn("tlon", F.explode(F.sequence(F.floor("west"), F.floor("east"))))
     line = lambda a, b, c: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c.cast("double").alias("c"))
     edges = F.array(line(1.0, 0.0, -F.col("tlon")), line(-1.0, 0.0, F.col("tlon") + 1), line(0.0, 1.0, -F.col("tlat")), line(0.0, -1.0, F.col("tlat") + 1))
-    z = z.withColumn("ring", clip_ring(F.col("ring"), edges))
-    n = F.size("ring")
-    twice = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + F.coalesce(F.get("ring", i)["x"] * F.get("ring", (i + 1) % F.greatest(n, F.lit(1)))["y"] - F.get("ring", (i + 1) % F.greatest(n, F.lit(1)))["x"] * F.get("ring", i)["y"], F.lit(0.0)))
-    return z.withColumn("a", F.abs(twice) / 2).where("a > 1e-10").select("priority", "tlat", "tlon", F.round("a", 6).alias("area"))
+
+    def area(ring):
+        cross = lambda v, i: F.get(ring, F.pmod(i - 1, F.size(ring)))["x"] * v["y"] - v["x"] * F.get(ring, F.pmod(i - 1, F.size(ring)))["y"]
+        return F.abs(F.aggregate(F.transform(ring, cross), F.lit(0.0), lambda a, v: a + v)) / 2
+
+    areas = F.filter(F.transform(F.array(clip_ring(F.col("ring"), edges)), area), lambda a: a > 1e-10)
+    return z.select("priority", "tlat", "tlon", F.explode(areas).alias("a")).select("priority", "tlat", "tlon", F.round("a", 6).alias("area"))
 
 
 @query(cte("points", "zones") + "SELECT p.id, min(z.priority) AS zone FROM points p JOIN zones z ON lon >= west AND lon < east AND lat > south AND lat <= north AND (lon-west)/(east-west)+(lat-south)/(north-south) <= 1 GROUP BY p.id")
