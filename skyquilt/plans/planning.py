@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from ..fixtures import cte, view
 from ..functions import geo
-from ..operators.joins import box_join, rows_at
+from ..operators.joins import box_join, dealt, rows_at
 from ..registry import query
 
 STEP_KM, RADIUS_KM, ZL = 50.0, 60.0, 11
 
 
 def legs(spark, sf_dir) -> DataFrame:
-    """A leg from each site to the next by id."""
+    """A leg from each site to the next by id, dealt out by leg: what a leg becomes stays where it is."""
     s = view(spark, sf_dir, "sites")
-    return s.select(F.col("id").alias("leg"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).join(s.select((F.col("id") - 1).alias("leg"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "leg")
+    own = s.select(F.col("id").alias("leg"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).join(s.select((F.col("id") - 1).alias("leg"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "leg")
+    return dealt(own, "leg")
 
 
 LEGS = ", legs AS (SELECT a.id AS leg, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM sites a JOIN sites b ON b.id = a.id+1) "
@@ -106,7 +107,7 @@ CANDIDATES = "SELECT *, unnest(range(CAST(floor(lon)-{w} AS BIGINT), CAST(floor(
 
 @query(cte("points") + f"SELECT DISTINCT id, tlat, (t+180+360)%360-180 AS tlon FROM ({CANDIDATES.format(w=6, table='points')}) WHERE {NEAR} <= 100")
 def jn8_tiles_within(spark, sf_dir):
-    return tiles_near(view(spark, sf_dir, "points"), 100.0).select("id", "tlat", "tlon").distinct()
+    return tiles_near(dealt(view(spark, sf_dir, "points"), "id"), 100.0).select("id", "tlat", "tlon").distinct()
 
 
 def corridor(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from skyquilt import catalog
 from skyquilt.fixtures import view
-from skyquilt.plans import scalar
+from skyquilt.plans import planning, scalar
 from skyquilt.sources import queries
 
 QUERIES = catalog.queries()
@@ -60,3 +60,24 @@ def test_all_texts_and_names_are_written(spark, sf_dir, folder):
     QUERIES["src8_read_texture_names"](spark, sf_dir)
     names = view(spark, sf_dir, "chunks").selectExpr("x div 256", "y div 256", "provider").distinct()
     assert sum(len(f.read_text().splitlines()) for f in folder.glob("names/part-*")) == 2 * names.count()
+
+
+def test_pieces_of_a_provider_are_many_tasks(spark, sf_dir, folder):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        QUERIES["src7_read_chunks"](spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len({f.name.split("-")[1] for f in folder.glob("chunks/provider=EOX/*/part-*")}) > 1
+
+
+def test_clipping_is_planned_once(spark, sf_dir):
+    """A filter on the area would copy the whole cut into itself, and again for each corner."""
+    assert QUERIES["ar4_clip_to_tile"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
+def test_legs_are_dealt_out(spark, sf_dir):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert planning.legs(spark, sf_dir).rdd.getNumPartitions() == parts
+    assert planning.corridor(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(leg") == 1
