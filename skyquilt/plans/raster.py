@@ -346,7 +346,7 @@ def night_lamps(points: DataFrame, density: DataFrame, textures: float) -> DataF
     """(way, nth, white, level, tx, ty, px, py) of the lamps that burn: one each spacing along a road from a start drawn for it.
 
     ``points``: way, pos, node, x, y, spacing, bright, and rows and columns, the posts to a length of 1; ``density``: r, c, d
-    by posts, read between four, 0 where one is missing. A share of lamps is out by
+    by posts, read between four, 0 where one is missing: the four are one row, so a lamp looks once. A share of lamps is out by
     the draw, and more the fewer people live there; a lamp's light is drawn and grows with them. ``textures``: how many
     there are to a length of 1.
     """
@@ -359,11 +359,14 @@ def night_lamps(points: DataFrame, density: DataFrame, textures: float) -> DataF
     p = p.where(first("to") > first("along")).withColumn("nth", F.explode(F.sequence(first("along"), first("to") - 1)))
     g = (F.col("offset") + F.col("nth") * F.col("spacing") - F.col("along")) / (F.col("to") - F.col("along"))
     lamp = p.where(drawn("out", F.col("way"), F.col("nth")) > LAMPS_OUT).select("way", "nth", "bright", "rows", "columns", (F.col("x") + g * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + g * (F.col("y2") - F.col("y"))).alias("y"))
-    at = lamp.select("way", "nth", (F.col("y") * F.col("rows")).alias("ry"), (F.col("x") * F.col("columns")).alias("rx"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("q"))
-    held = at.select("way", "nth", "ry", "rx", "q.i", "q.j", (F.floor("ry") + F.col("q.i")).alias("r"), (F.floor("rx") + F.col("q.j")).alias("c")).join(density, ["r", "c"])
-    part = lambda n, side: F.when(F.col(side) == 1, F.col(n) - F.floor(n)).otherwise(1 - F.col(n) + F.floor(n))
-    here = held.groupBy("way", "nth").agg(F.count("*").alias("k"), F.sum(F.col("d") * part("ry", "i") * part("rx", "j")).alias("d")).where("k = 4").drop("k")
-    lit = lamp.join(here, ["way", "nth"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    z = lambda i, j: F.max(F.when((F.col("q.i") == i) & (F.col("q.j") == j), F.col("d"))).alias(f"_z{i}{j}")
+    squares = density.select("r", "c", "d", corner.alias("q")).groupBy((F.col("r") - F.col("q.i")).alias("_r"), (F.col("c") - F.col("q.j")).alias("_c")).agg(*(z(i, j) for i in (0, 1) for j in (0, 1)), F.count("*").alias("_k")).where("_k = 4").drop("_k")
+    at = lamp.withColumn("_y", F.col("y") * F.col("rows")).withColumn("_x", F.col("x") * F.col("columns"))
+    at = at.withColumn("_r", F.floor("_y").cast("long")).withColumn("_c", F.floor("_x").cast("long"))
+    part = lambda n, side: F.col(n) - F.floor(n) if side else 1 - F.col(n) + F.floor(n)
+    between = reduce(lambda a, b: a + b, (F.col(f"_z{i}{j}") * part("_y", i) * part("_x", j) for i in (0, 1) for j in (0, 1)))
+    lit = at.join(squares, ["_r", "_c"], "left").withColumn("d", F.coalesce(between, F.lit(0.0)))
     lit = lit.where(drawn("lit", F.col("way"), F.col("nth")) < LIT_SHARE_MIN + (1 - LIT_SHARE_MIN) * F.least(F.col("d") / LIT_FULL, F.lit(1.0)))
     level = F.col("bright") * (0.35 + 0.45 * drawn("light", F.col("way"), F.col("nth"))) * (LAMP_COUNTRY + 2 * (1 - LAMP_COUNTRY) * F.col("d"))
     cell = lambda n: F.floor(F.col(n) * textures)

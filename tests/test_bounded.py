@@ -81,3 +81,10 @@ def test_legs_are_dealt_out(spark, sf_dir):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert planning.legs(spark, sf_dir).rdd.getNumPartitions() == parts
     assert planning.corridor(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(leg") == 1
+
+
+def test_lamps_look_once(spark, sf_dir):
+    """A lamp is one row of one join with the posts round it, and is not dealt out again by way and number."""
+    plan = QUERIES["ag41_night_lamps"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [way#" in line and "nth#" in line.split("]")[0]]
+    assert plan.count("Join LeftOuter") == 1
