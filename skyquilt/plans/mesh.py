@@ -58,9 +58,11 @@ LONGEST = "greatest((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1), (x3-x2)*(x3-x2)+(y3-y2)*(y3
 fan AS (SELECT type, max(k) AS fan FROM (SELECT type, v, count(*) AS k FROM (SELECT {TYPE} AS type, unnest([v1, v2, v3]) AS v FROM corners) GROUP BY ALL) GROUP BY type)
 SELECT CAST(type AS INT) AS type, count(*) AS triangles, round(sum(a)/2, 4) AS area, count(*) FILTER (a < 0.05*l) AS needles, max(fan) AS max_fan FROM t JOIN fan USING (type) GROUP BY type""")
 def ag7_mesh_measures(spark, sf_dir):
+    """Areas, needles and the widest fan by type; triangles meet their corners once, for both aggregates."""
     t = corners(spark, sf_dir).withColumn("type", geo.triangle_type("attr"))
+    t = written(t.select("type", "v1", "v2", "v3", F.expr(DOUBLE_AREA).alias("a"), F.expr(f"{DOUBLE_AREA} < 0.05*{LONGEST}").alias("needle")), "measured")
     fan = t.select("type", F.explode(F.array("v1", "v2", "v3")).alias("v")).groupBy("type", "v").count().groupBy("type").agg(F.max("count").alias("max_fan"))
-    own = t.groupBy("type").agg(F.count("*").alias("triangles"), F.round(F.sum(F.expr(DOUBLE_AREA)) / 2, 4).alias("area"), F.count_if(F.expr(f"{DOUBLE_AREA} < 0.05*{LONGEST}")).alias("needles"))
+    own = t.groupBy("type").agg(F.count("*").alias("triangles"), F.round(F.sum("a") / 2, 4).alias("area"), F.count_if("needle").alias("needles"))
     return own.join(fan, "type")
 
 

@@ -88,3 +88,8 @@ def test_lamps_look_once(spark, sf_dir):
     plan = QUERIES["ag41_night_lamps"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [way#" in line and "nth#" in line.split("]")[0]]
     assert plan.count("Join LeftOuter") == 1
+
+
+def test_corners_are_met_once(spark, sf_dir):
+    """Both aggregates read triangles that have their corners; neither joins them anew."""
+    assert QUERIES["ag7_mesh_measures"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
