@@ -152,7 +152,7 @@ def sm12_follow_route(spark, sf_dir):
     """Each fix on its aircraft's route and where the next 90 km of it end; null off the route or against it."""
     out = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir), AHEAD_KM)
     end = F.element_at("ahead", -1)
-    out = out.select("aircraft", "event_id", "leg", F.round("off_km", 3).alias("off_km"), F.when(F.col("ahead").isNotNull(), F.size("ahead")).alias("points"), F.round(end["lat"], 5).alias("end_lat"), F.round(end["lon"], 5).alias("end_lon"))
+    out = out.select("aircraft", "event_id", "leg", (F.round(F.col("off_km") * 1000) / 1000).alias("off_km"), F.when(F.col("ahead").isNotNull(), F.size("ahead")).alias("points"), F.round(end["lat"], 5).alias("end_lat"), F.round(end["lon"], 5).alias("end_lon"))
     return jobs.drained(out, "route")
 
 

@@ -92,3 +92,14 @@ def test_loads_as_sessions(spark):
     out = jobs.stateful(stream, jobs.load_session, "aircraft long, start timestamp, n long, how string", ["ts", "event_type"], jobs.no_more_loads)
     got = sorted((r.aircraft, int((r.start - T0).total_seconds()), r.n, r.how) for r in jobs.drained(out, "test-loads").collect())
     assert got == [(1, 0, 2, "mark"), (1, 100, 1, "silence"), (1, 3700, 1, "silence"), (2, 5, 1, "silence")]
+
+
+def test_a_distance_between_two_millimetres_is_the_sqls(spark, tmp_path):
+    """A fix 8.0865 km off its route: as a double that is a little less."""
+    from skyquilt import catalog
+
+    at = datetime.datetime(2024, 1, 11, 20, 30, 59)
+    spark.createDataFrame([(136270, at, 1670, 13.83)], "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(16700, 16710).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.queries()["sm12_follow_route"](spark, str(tmp_path)).collect()
+    assert [(r.event_id, r.leg, r.off_km, r.points) for r in got] == [(136270, 1, 8.086, 5)]
