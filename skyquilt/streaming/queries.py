@@ -71,12 +71,12 @@ j AS (SELECT aircraft, event_id, name, level, min(2*6371.0088*asin(least(1, sqrt
 w AS (SELECT *, CAST(CASE WHEN km <= 13.6*1.11 THEN 0 WHEN km <= 23.7*1.11 THEN 1 WHEN km <= 42.9*1.11 THEN 2 WHEN km <= 81.4*1.11 THEN 3 ELSE 4 END AS INT) AS want FROM j WHERE km <= 300)
 SELECT aircraft, event_id, name, want, round(km, 3) AS km, round(km - CASE want WHEN 0 THEN 13.6e0*1.11e0 WHEN 1 THEN 23.7e0*1.11e0 WHEN 2 THEN 42.9e0*1.11e0 WHEN 3 THEN 81.4e0*1.11e0 ELSE {geo.LOAD_KM}e0 END, 3) AS urgency FROM w WHERE want < level""")
 def sm1_plan_stream(spark, sf_dir):
-    """Fixes and the routes ahead of them against an index of one texture a square, as its middle."""
+    """Fixes and the routes ahead of them against an index of one texture a square, as its middle; 64,800 at most, so it goes to every task."""
     p = view(spark, sf_dir, "points").groupBy(F.floor("lat").alias("tlat"), F.floor("lon").alias("tlon")).agg(F.min("id").alias("id"))
     index = p.select("tlat", "tlon", F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.expr("int(id%7)").alias("level"), (F.col("tlat") + 0.5).alias("ty"), (F.col("tlon") + 0.5).alias("tx"))
     f = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir), AHEAD_KM)
     own = F.array(F.struct("lat", "lon"))
-    return jobs.drained(jobs.level_work(f.withColumn("places", F.concat(own, F.coalesce("ahead", F.slice(own, 1, 0)))), index), "plan")
+    return jobs.drained(jobs.level_work(f.withColumn("places", F.concat(own, F.coalesce("ahead", F.slice(own, 1, 0)))), F.broadcast(index)), "plan")
 
 
 # One row a step: the window of an aircraft's next fix follows from its last.

@@ -103,3 +103,29 @@ def test_a_distance_between_two_millimetres_is_the_sqls(spark, tmp_path):
     spark.range(16700, 16710).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = catalog.queries()["sm12_follow_route"](spark, str(tmp_path)).collect()
     assert [(r.event_id, r.leg, r.off_km, r.points) for r in got] == [(136270, 1, 8.086, 5)]
+
+
+def test_staged_rows_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "shared_dir", lambda df, name: f"{tmp_path}/{name}")
+    jobs.stream_of(spark.range(100, numPartitions=1).toDF("id"), "dealt")
+    assert len(list(tmp_path.glob("stream-dealt/part-*"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_level_work_is_every_pair_in_reach(spark):
+    """Across the date line, round a pole and along a path, against all pairs."""
+    paths = [[(10.2, 179.8)], [(10.2, -179.9), (11.0, 179.3)], [(89.4, 20.0)], [(-87.0, -170.0), (-86.0, 178.0)], [(47.1, 8.2), (47.5, 9.6), (48.6, 9.9)]]
+    near = [(t, u) for t in (*range(-90, -82), *range(6, 16), *range(43, 53), *range(85, 90)) for u in range(-180, 180) if abs(t) > 60 or abs(u) > 170 or 0 <= u < 20]
+    index = spark.createDataFrame([(t, u, f"{t}/{u}", (t * 5 + u) % 7, t + 0.5, u + 0.5) for t, u in near], "tlat long, tlon long, name string, level int, ty double, tx double")
+    fixes = spark.createDataFrame([(1, i, p) for i, p in enumerate(paths)], "aircraft long, event_id long, places array<struct<lat:double,lon:double>>")
+    plan = jobs.level_work(fixes, index)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("array_min(transform(places") <= 3
+    got = {(r.event_id, r.name): (r.want, r.km) for r in plan.collect()}
+    want = {}
+    for i, p in enumerate(paths):
+        for t, u in near:
+            km = min(float(jobs.km({"lat": np.array(a), "lon": np.array(b)}, {"lat": np.array(t + 0.5), "lon": np.array(u + 0.5)})) for a, b in p)
+            level = next((n for n, r in enumerate((13.6, 23.7, 42.9, 81.4)) if km <= r * 1.11), 4)
+            if km <= jobs.REACH_KM and level < (t * 5 + u) % 7:
+                want[i, f"{t}/{u}"] = (level, round(km, 3))
+    assert len(want) > 500 and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 0.0011 for k in want)
