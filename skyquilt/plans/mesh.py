@@ -18,6 +18,15 @@ def corners(spark, sf_dir) -> DataFrame:
     return t
 
 
+def sums(spark, sf_dir, axes: str) -> DataFrame:
+    """Triangles (v1, v2, v3, n) with the sums of their corners' coordinates: each join adds to them, so no shuffle carries more than one corner's."""
+    t, nodes = view(spark, sf_dir, "triangles").select("v1", "v2", "v3", "n"), view(spark, sf_dir, "nodes")
+    for i in (1, 2, 3):
+        corner = nodes.select(F.col("id").alias(f"v{i}"), *(F.col(k).alias(f"_{k}") for k in axes))
+        t = t.join(corner, f"v{i}").select("v1", "v2", "v3", "n", *((F.col(f"s{k}") + F.col(f"_{k}") if i > 1 else F.col(f"_{k}")).alias(f"s{k}") for k in axes))
+    return t
+
+
 CORNERS = ", corners AS (SELECT t.*, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2, c.x AS x3, c.y AS y3, c.z AS z3 FROM triangles t JOIN nodes a ON a.id=t.v1 JOIN nodes b ON b.id=t.v2 JOIN nodes c ON c.id=t.v3) "
 MESH = cte("triangles", "nodes") + CORNERS
 TYPE = "CASE WHEN attr & 7 = 0 THEN 0 WHEN attr & 7 > 1 THEN 2 ELSE 1 END"
@@ -25,16 +34,15 @@ TYPE = "CASE WHEN attr & 7 = 0 THEN 0 WHEN attr & 7 > 1 THEN 2 ELSE 1 END"
 
 @query(MESH + "SELECT v1, v2, v3, n, round(x1+x2+x3, 5) AS sx, round(y1+y2+y3, 5) AS sy, round(z1+z2+z3, 5) AS sz FROM corners")
 def jn3_triangle_corners(spark, sf_dir):
-    s = lambda k, n: F.round(F.col(f"{k}1") + F.col(f"{k}2") + F.col(f"{k}3"), n).alias(f"s{k}")
-    return corners(spark, sf_dir).select("v1", "v2", "v3", "n", s("x", 5), s("y", 5), s("z", 5))
+    return sums(spark, sf_dir, "xyz").select("v1", "v2", "v3", "n", *(F.round(f"s{k}", 5).alias(f"s{k}") for k in "xyz"))
 
 
 @query(MESH + ", cells AS (SELECT CAST(floor(x*50) AS BIGINT) AS cx, CAST(floor(y*50) AS BIGINT) AS cy, min(id) AS texture FROM nodes GROUP BY 1, 2) SELECT v1, n, texture FROM corners JOIN cells ON cx = floor((x1+x2+x3)/3*50) AND cy = floor((y1+y2+y3)/3*50)")
 def jn4_assign_textures(spark, sf_dir):
     """Barycentre to cell to texture."""
     cells = view(spark, sf_dir, "nodes").groupBy(F.floor(F.col("x") * 50).alias("cx"), F.floor(F.col("y") * 50).alias("cy")).agg(F.min("id").alias("texture"))
-    mid = lambda k: F.floor((F.col(f"{k}1") + F.col(f"{k}2") + F.col(f"{k}3")) / 3 * 50)
-    return corners(spark, sf_dir).select("v1", "n", mid("x").alias("cx"), mid("y").alias("cy")).join(cells, ["cx", "cy"]).select("v1", "n", "texture")
+    mid = lambda k: F.floor(F.col(f"s{k}") / 3 * 50)
+    return sums(spark, sf_dir, "xy").select("v1", "n", mid("x").alias("cx"), mid("y").alias("cy")).join(cells, ["cx", "cy"]).select("v1", "n", "texture")
 
 
 @query(MESH + f""", w AS (SELECT v1, n, {TYPE} AS type, (x1+x2+x3)/3*20 AS mx, (y1+y2+y3)/3*20 AS my FROM corners),

@@ -93,3 +93,16 @@ def test_lamps_look_once(spark, sf_dir):
 def test_corners_are_met_once(spark, sf_dir):
     """Both aggregates read triangles that have their corners; neither joins them anew."""
     assert QUERIES["ag7_mesh_measures"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("jn3_triangle_corners", 7), ("jn4_assign_textures", 6)])
+def test_joins_carry_sums_of_corners(spark, sf_dir, name, most):
+    """What a join with nodes takes from the triangles' side holds one corner's columns, however many are met."""
+    todo, wide = [QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            wide.append(children[0].output().size())
+        todo += children
+    assert len(wide) >= 3 and max(wide) <= most
