@@ -124,8 +124,13 @@ def src8_read_texture_names(spark, sf_dir):
     return f.select("t.x", "t.y", "t.provider", "t.zl").distinct()
 
 
-#: How far a text's centre may be from its name's, in degrees; fixed first lines of a terrain text.
-CENTRE_TOLERANCE, TER_HEAD = 1e-4, ["A", "800", "TERRAIN"]
+#: How far a text's centre may be from its name's, in degrees.
+CENTRE_TOLERANCE = 1e-4
+#: Fixed first lines of a terrain text, and what follows a key at its first place: behind any three lines, and below that start, where a plain search will do. Lines of blanks alone don't count; no quantifier gives back, so a text is read once however long it is.
+BLANK_LINES = r"(?: *\r?\n)*+"
+TER_START = r"\A" + r"\r?\n".join(BLANK_LINES + line for line in ("A", "800", "TERRAIN")) + r"(?:\r?\n|\z)"
+TER_VALUE = r"{0}( [^\r\n]*+(?:\r(?!\n)[^\r\n]*+)*+)?(?:\r?\n|\z)"
+TER_SEARCH = r"\A(?:" + BLANK_LINES + r"[^\n]*+\n){{3}}+(?:(?!{0}(?: |\r?\n|\z))[^\n]*+\n)*+" + TER_VALUE
 TER_NAME = r"^(\d+)_(\d+)_([A-Za-z]+)(\d{2})\.ter$"
 
 
@@ -136,20 +141,22 @@ def read_terrain_files(files: DataFrame) -> DataFrame:
     BASE_TEX_NOWRAP), 'centre' (not four numbers, not the texture's middle, or not 4096), 'texture' (another's). Null if
     there is none. A line is a key and the rest; of equal keys the first counts.
     """
-    lines = F.filter(F.split("text", r"\r?\n"), lambda v: F.trim(v) != "")
-    f = files.select("name", lines.alias("lines"), *(F.regexp_extract("name", TER_NAME, i + 1).alias(k) for i, k in enumerate(("y", "x", "provider", "z"))))
-    value = lambda key: F.get(F.transform(F.filter(F.slice("lines", 4, 1_000_000), lambda v: F.split(v, " ", 2)[0] == key), lambda v: F.trim(F.get(F.split(v, " ", 2), 1))), 0)
-    f = f.withColumn("centre", value("LOAD_CENTER")).withColumn("base", value("BASE_TEX_NOWRAP"))
-    f = f.withColumn("n", F.transform(F.split("centre", " +"), lambda v: F.try_to_number(v, F.lit("S9999990.0000000")).cast("double")))
-    whole = lambda k: F.expr(f"try_cast({k} AS BIGINT)")
-    f = f.withColumn("til_x", whole("x")).withColumn("til_y", whole("y")).withColumn("zl", F.expr("try_cast(z AS INT)"))
+    named, stem = F.rlike("name", F.lit(TER_NAME)), F.replace("name", F.lit(".ter"), F.lit(""))
+    headed = F.coalesce(F.startswith("text", F.lit("A\n800\nTERRAIN\n")) | F.rlike("text", F.lit(TER_START)), F.lit(False))
+    f = files.select("name", "text", named.alias("named"), F.split(F.substring_index("name", ".", 1), "_").alias("part"), headed.alias("headed"))
+    value = lambda key: F.trim(F.nullif(F.when(F.col("headed"), F.regexp_extract("text", r"\n" + TER_VALUE.format(key), 1)).otherwise(F.regexp_extract("text", TER_SEARCH.format(key), 1)), F.lit("")))
+    f = f.withColumn("centre", value("LOAD_CENTER")).withColumn("base", value("BASE_TEX_NOWRAP")).withColumn("n", F.split("centre", " +"))
+    number = lambda i: F.try_to_number(F.get("n", i), F.lit("S9999990.0000000")).cast("double")
+    of_name = lambda v: F.when(F.col("named"), F.expr(v))
+    f = f.withColumn("til_x", of_name("try_cast(get(part, 1) AS BIGINT)")).withColumn("til_y", of_name("try_cast(get(part, 0) AS BIGINT)")).withColumn("zl", of_name("try_cast(right(get(part, 2), 2) AS INT)"))
+    f = f.withColumn("provider", of_name("left(get(part, 2), length(get(part, 2)) - 2)")).withColumn("provider", F.when(~F.col("named"), "").otherwise(F.col("provider")))
     lat, lon = geo.tile_corner(F.col("til_x") + 8, F.col("til_y") + 8, F.col("zl"))
-    off = F.greatest(F.abs(F.get("n", 0) - lat), F.abs(F.get("n", 1) - lon))
-    good = (F.size("n") == 4) & F.coalesce(off <= CENTRE_TOLERANCE, F.lit(False)) & F.coalesce(F.get("n", 3) == 4096, F.lit(False))
-    stem = F.regexp_replace("name", r"\.ter$", "")
+    off = F.greatest(F.abs(number(0) - lat), F.abs(number(1) - lon))
+    good = (F.size("n") == 4) & F.coalesce(off <= CENTRE_TOLERANCE, F.lit(False)) & F.coalesce(number(3) == 4096, F.lit(False))
+    same = F.endswith("base", F.concat(F.lit("/"), stem, F.lit(".dds"))) | (F.regexp_extract("base", r"([^/]+)\.\w+$", 1) == stem)
     fault = (
-        F.when(F.col("til_x").isNull(), "name").when(~F.coalesce(F.slice("lines", 1, 3) == F.array(*map(F.lit, TER_HEAD)), F.lit(False)), "header").when(F.col("centre").isNull() | F.col("base").isNull(), "missing")
-        .when(~good, "centre").when(F.regexp_extract("base", r"([^/]+)\.\w+$", 1) != stem, "texture")
+        F.when(F.col("til_x").isNull(), "name").when(~F.col("headed"), "header").when(F.col("centre").isNull() | F.col("base").isNull(), "missing")
+        .when(~good, "centre").when(~same, "texture")
     )
     return f.select("name", "til_x", "til_y", "provider", "zl", F.col("base").alias("texture"), fault.alias("fault"))
 
@@ -168,9 +175,10 @@ def src9_read_terrain_files(spark, sf_dir):
     stem = F.concat_ws("_", F.col("til_y").cast("string"), F.col("til_x").cast("string"), F.concat("provider", F.col("zl").cast("string")))
     lat, lon = geo.tile_corner(F.col("til_x") + 8, F.col("til_y") + 8, F.col("zl"))
     bad = lambda n: F.col("til_x") % n == 0
+    five = lambda v: v.cast("decimal(28,5)").cast("string")
     text = F.concat_ws(
         "\n", F.when(bad(208), "I").otherwise("A"), F.lit("800"), F.lit("TERRAIN"), F.lit(""),
-        F.concat(F.lit("LOAD_CENTER "), F.format_string("%.5f %.5f", lat + F.when(bad(304), 0.001).otherwise(0.0), lon), F.lit(" 4000 4096")),
+        F.concat(F.lit("LOAD_CENTER "), five(lat + F.when(bad(304), 0.001).otherwise(0.0)), F.lit(" "), five(lon), F.lit(" 4000 4096")),
         F.when(~bad(272), F.concat(F.lit("BASE_TEX_NOWRAP ../textures/"), F.when(bad(368), "other").otherwise(stem), F.lit(".dds"))), F.lit("NO_ALPHA"),
     )
     path = shared_dir(t, "ter")

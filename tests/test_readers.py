@@ -1,11 +1,14 @@
 """Readers on texts as they come: formats, missing parts, broken rows."""
 
 import json
+import math
 import time
 
 from pyspark.sql import functions as F
 
+from skyquilt import catalog  # noqa: F401
 from skyquilt.sources import readers
+from skyquilt.sources.queries import read_terrain_files
 
 
 def points(df):
@@ -67,3 +70,23 @@ def test_long_plan_is_read_in_its_length(spark, tmp_path):
     got = readers.read_flight_plan(spark, str(tmp_path)).agg(F.count("*"), F.max("n"), F.max("first"), F.min("last")).first()
     assert tuple(got) == (20_000, 19_999, "AAAA", "P19999")
     assert time.time() - began < 60
+
+
+def test_read_terrain_files(spark):
+    """Lines of blanks, ends of lines, places and repeats of keys; and no text is too long, nor is a list made of its lines."""
+    lon, name, head, base = 24 / 4096 * 360 - 180, "16_16_BI12", "A\n800\nTERRAIN\n", "BASE_TEX_NOWRAP ../textures/16_16_BI12.dds\n"
+    centre = f"LOAD_CENTER {math.degrees(2 * math.atan(math.exp(math.pi * (1 - 2 * 24 / 4096)))) - 90:.5f} {lon:.5f} 4000 4096\n"
+    good = head + "\n" + centre + base
+    texts = {
+        "plain": (good, None), "returns": (good.replace("\n", "\r\n"), None), "blanks": ("\n  \n" + good.replace("\n", "\n \n"), None), "no end": (good[:-1], None), "swapped": (head + base + centre, None),
+        "first": (head + base + "BASE_TEX_NOWRAP other.dds\n" + centre, None), "other": (head + "BASE_TEX_NOWRAP other.dds\n" + base + centre, "texture"), "longer key": (head + "LOAD_CENTERS 1\n" + centre + base, None),
+        "no value": (head + "LOAD_CENTER\n" + centre + base, "missing"), "empty": (head + "LOAD_CENTER \n" + centre + base, "centre"), "key inside": (head + "X " + centre + base, "missing"), "early": ("A\n800\n" + base + "TERRAIN\n" + centre, "header"),
+        "three": (head + centre.replace(" 4096", "") + base, "centre"), "size": (head + centre.replace("4096", "2048") + base, "centre"), "long": ("\n" * 200_000 + head + "K v\n" * 300_000 + centre + base, None), "none": (None, "header"),
+    }
+    rows = spark.createDataFrame([(name + ".ter", t) for t, _ in texts.values()], "name string, text string")
+    out = read_terrain_files(rows)
+    assert [r["fault"] for r in out.collect()] == [fault for _, fault in texts.values()]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    names = {"16_16_BI12.ter": 16, "x16_16_BI12.ter": None, "16_16_BI2.ter": None, "16_99999999999999999999_BI12.ter": None, "16_16_BI12": None}
+    got = read_terrain_files(spark.createDataFrame([(n, good) for n in names], "name string, text string")).collect()
+    assert [r["til_x"] for r in got] == list(names.values()) and [r["fault"] for r in got] == [None if v else "name" for v in names.values()]
