@@ -46,17 +46,29 @@ def tk10_largest_clouds(spark, sf_dir):
     return c.where("area > 2").orderBy(F.desc("area"), "cloud").limit(200)
 
 
+#: Longest run of cells in a row.
+RUN = 256
+
+
 def cell_components(cells: DataFrame) -> DataFrame:
-    """Cells (x, y) with the number of their blob, joined over edges and corners."""
-    own = cells.withColumn("id", F.expr("y*4294967296 + x + 2147483648"))  # both in one number, also below 0
-    sides = F.expr("explode(array(named_struct('dx', 1, 'dy', 0), named_struct('dx', 0, 'dy', 1), named_struct('dx', 1, 'dy', 1), named_struct('dx', -1, 'dy', 1)))")
-    ahead = own.select("id", "x", "y", sides.alias("d")).selectExpr("id AS a", "x+d.dx AS x", "y+d.dy AS y")
-    links = ahead.join(own.select(F.col("id").alias("b"), "x", "y"), ["x", "y"]).select("a", "b")
+    """Cells (x, y) with the number of their blob, joined over edges and corners.
+
+    Cells side by side in a row are a run, named by its first; runs end at multiples of RUN, so no task sorts a row.
+    Two runs of neighbouring rows touch if a cell of the upper one is below the next one's first cell or a step to its
+    side, or a cell of the lower one above the step before the upper's first, so a run looks at five places however
+    many cells it has, and the links are between runs.
+    """
+    w = Window.partitionBy("y", "_block").orderBy("x")
+    own = cells.select("x", "y", F.floor(F.col("x") / RUN).alias("_block")).withColumn("_run", F.col("x") - F.row_number().over(w))
+    own = own.withColumn("id", F.min("x").over(Window.partitionBy("y", "_block", "_run"))).select("x", "y", F.expr("y*4294967296 + id + 2147483648").alias("id"), (F.col("x") == F.col("id")).alias("first"))  # both in one number, also below 0
+    own = written(own, "runs")
+    places = F.expr("explode(array(named_struct('dx', -1, 'dy', 0), named_struct('dx', -1, 'dy', -1), named_struct('dx', 0, 'dy', -1), named_struct('dx', 1, 'dy', -1), named_struct('dx', -1, 'dy', 1)))")
+    looks = own.where("first").select("id", "x", "y", places.alias("d")).selectExpr("id AS a", "x+d.dx AS x", "y+d.dy AS y")
+    links = looks.join(own.select(F.col("id").alias("b"), "x", "y"), ["x", "y"]).select("a", "b")
     roots = connected_components(links)
     return own.join(roots, own["id"] == roots["node"], "left").select("x", "y", F.coalesce("root", "id").alias("blob"))
 
 
-
 def disc(radius: int) -> list[tuple[int, int]]:
     """Offsets of the cells within a radius."""
     span = range(-radius, radius + 1)

@@ -4,12 +4,13 @@ import random
 
 import pytest
 
-from skyquilt.operators.joins import ranked
+from skyquilt.operators.joins import connected_components, ranked
 from skyquilt.plans.coast import coast_loops
 from skyquilt.plans.imagery import evictions
 from skyquilt.plans.maps import rings
 from skyquilt.plans.mesh import located
-from skyquilt.plans.sky import cloud_areas, disc
+from skyquilt.plans import sky
+from skyquilt.plans.sky import cell_components, cloud_areas, disc
 
 
 def walked(after):
@@ -186,6 +187,20 @@ def test_cloud_areas(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
 
 
+def test_cell_components(spark, monkeypatch):
+    """Cells touch over edges and corners, also where runs end and below 0; links grow with runs, not with cells."""
+    rng, links = random.Random(4), []
+    monkeypatch.setattr(sky, "RUN", 8)
+    for share in (0.25, 0.4, 0.7):
+        cells = [(x, y) for x in range(-20, 21) for y in range(-12, 13) if rng.random() < share]
+        got = cell_components(spark.createDataFrame(cells, "x long, y long").repartition(3)).collect()
+        assert {(r["x"], r["y"]): r["blob"] for r in got} == labels(cells) and len(got) == len(cells)
+    monkeypatch.setattr(sky, "RUN", 256)
+    monkeypatch.setattr(sky, "connected_components", lambda t: links.append(t.count()) or connected_components(t))
+    got = cell_components(spark.range(9000).selectExpr("id % 300 - 20 AS x", "id div 300 AS y"))
+    assert got.select("blob").distinct().count() == 1 and links[0] <= 5 * 3 * 30
+
+
 def test_located(spark):
     tris = [(5, 0, 0, 0, 1, 0, 10, 0, 1, 20), (3, 1, 0, 10, 1, 1, 30, 0, 1, 20), (1, 0, 0, 5, 1, 1, 5, 0.5, 0.5, 5), (4, 9, 9, 1, 9.5, 9, 1, 9, 9.5, 1)]
     names = "tri long, " + ", ".join(f"{c}{i} double" for i in (1, 2, 3) for c in "xyz")
