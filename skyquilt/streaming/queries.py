@@ -52,10 +52,10 @@ e AS (SELECT *, CASE WHEN upto >= {AHEAD_KM} THEN ({AHEAD_KM}-upto+step)/step EL
 
 
 def routes(spark, sf_dir):
-    """(aircraft, points): a row a route."""
+    """(aircraft, points, seqs): a row a route, with its points' numbers; a route may lack some."""
     r = view(spark, sf_dir, "routes").where("aircraft%10 <> 7")
     p = r.groupBy("aircraft").agg(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
-    return p.selectExpr("aircraft", "transform(p, q -> named_struct('lat', q.lat, 'lon', q.lon)) AS points")
+    return p.selectExpr("aircraft", "transform(p, q -> named_struct('lat', q.lat, 'lon', q.lon)) AS points", "transform(p, q -> int(q.seq)) AS seqs")
 
 
 def tracked(spark, sf_dir):
@@ -74,7 +74,7 @@ def sm1_plan_stream(spark, sf_dir):
     """Fixes and the routes ahead of them against an index of one texture a square, as its middle; 64,800 at most, so it goes to every task."""
     p = view(spark, sf_dir, "points").groupBy(F.floor("lat").alias("tlat"), F.floor("lon").alias("tlon")).agg(F.min("id").alias("id"))
     index = p.select("tlat", "tlon", F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.expr("int(id%7)").alias("level"), (F.col("tlat") + 0.5).alias("ty"), (F.col("tlon") + 0.5).alias("tx"))
-    f = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir), AHEAD_KM)
+    f = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir).drop("seqs"), AHEAD_KM)
     own = F.array(F.struct("lat", "lon"))
     return jobs.drained(jobs.level_work(f.withColumn("places", F.concat(own, F.coalesce("ahead", F.slice(own, 1, 0)))), F.broadcast(index)), "plan")
 
@@ -149,10 +149,10 @@ def sm10_load_sessions(spark, sf_dir):
 @query(cte("fixes", "routes") + ON_ROUTE + """, z AS (SELECT event_id, min(leg) AS leg, min(d) AS d, count(*)+1 AS points, arg_max(plat+part*(lat-plat), k) AS elat, arg_max(plon+part*(lon-plon), k) AS elon FROM e GROUP BY event_id)
 SELECT aircraft, event_id, CAST(leg AS INT) AS leg, round(d, 3) AS off_km, CAST(points AS INT) AS points, round(elat, 5) AS end_lat, round(elon, 5) AS end_lon FROM fixes LEFT JOIN z USING (event_id)""")
 def sm12_follow_route(spark, sf_dir):
-    """Each fix on its aircraft's route and where the next 90 km of it end; null off the route or against it."""
+    """Each fix on its aircraft's route, at the leg that begins at a point of that number, and where the next 90 km of it end; null off the route or against it."""
     out = jobs.follow_route(tracked(spark, sf_dir), routes(spark, sf_dir), AHEAD_KM)
     end = F.element_at("ahead", -1)
-    out = out.select("aircraft", "event_id", "leg", (F.round(F.col("off_km") * 1000) / 1000).alias("off_km"), F.when(F.col("ahead").isNotNull(), F.size("ahead")).alias("points"), F.round(end["lat"], 5).alias("end_lat"), F.round(end["lon"], 5).alias("end_lon"))
+    out = out.select("aircraft", "event_id", F.expr("get(seqs, leg)").alias("leg"), (F.round(F.col("off_km") * 1000) / 1000).alias("off_km"), F.when(F.col("ahead").isNotNull(), F.size("ahead")).alias("points"), F.round(end["lat"], 5).alias("end_lat"), F.round(end["lon"], 5).alias("end_lon"))
     return jobs.drained(out, "route")
 
 

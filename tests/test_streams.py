@@ -105,6 +105,38 @@ def test_a_distance_between_two_millimetres_is_the_sqls(spark, tmp_path):
     assert [(r.event_id, r.leg, r.off_km, r.points) for r in got] == [(136270, 1, 8.086, 5)]
 
 
+def followed(spark, path, fixes, keys):
+    """Rows of sm12_follow_route and of its SQL, by event."""
+    import duckdb
+
+    from skyquilt import catalog
+
+    at = datetime.datetime(2024, 1, 11, 20, 30, 59)
+    spark.createDataFrame([(e, at, a, v) for e, a, v in fixes], "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("events", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    names = ["event_id", "aircraft", "leg", "off_km", "points", "end_lat", "end_lon"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({catalog.oracle_sql()['sm12_follow_route']}) ORDER BY event_id").fetchall()
+    return sorted(map(tuple, catalog.queries()["sm12_follow_route"](spark, str(path)).select(*names).collect())), want
+
+
+def test_a_track_at_the_very_limit_is_the_sqls(spark, tmp_path):
+    """Fixes that fly at 100 degrees to a leg that goes due east: taken by way of the fix, its direction is a hair more."""
+    fixes = [(2223050, 123, 100.0), (3681050, 204, 100.0), (9081050, 504, 100.0)]
+    got, want = followed(spark, tmp_path, fixes, [a * 10 + k for _, a, _ in fixes for k in range(10)])
+    assert got == want and [r[2] for r in got] == [2, 2, 2]
+
+
+def test_a_leg_is_named_by_its_point(spark, tmp_path):
+    """Routes that lack their first points, or one between."""
+    keys = [16703, 16704, 16705, 16706, 1230, 1231, 1233, 1234, 1235, 1239]
+    fixes = [(136270 + 6000 * k, 1670, 3.0) for k in range(3)] + [(n, 123, 3.0) for n in range(0, 6000, 7)]
+    got, want = followed(spark, tmp_path, fixes, keys)
+    assert got == want and {r[2] for r in got} >= {1, 3, 4}
+
+
 def test_staged_rows_are_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "shared_dir", lambda df, name: f"{tmp_path}/{name}")
     jobs.stream_of(spark.range(100, numPartitions=1).toDF("id"), "dealt")
