@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,10 +242,10 @@ def faces(spark, sf_dir) -> DataFrame:
     return f.selectExpr("stack(2, cell*2, a1, a2, a3, wet, cell*2+1, b1, b2, b3, wet) AS (tri, v1, v2, v3, wet)")
 
 
-def with_corners(triangles: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_corners(triangles: DataFrame, nodes: DataFrame, columns: Iterable[str] = "xyz") -> DataFrame:
     """Triangles with x1 ... z3 for their v1, v2 and v3, joined by id; a triangle without all its nodes goes."""
     for i in (1, 2, 3):
-        triangles = triangles.join(nodes.select(F.col("id").alias(f"v{i}"), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), f"v{i}").drop(f"v{i}")
+        triangles = triangles.join(nodes.select(F.col("id").alias(f"v{i}"), *(F.col(c).alias(f"{c}{i}") for c in columns)), f"v{i}").drop(f"v{i}")
     return triangles
 
 

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyquilt import catalog
 from skyquilt.functions import geo
+from skyquilt.plans.diff import SPOTS, surface_moves
 from skyquilt.plans.lineage import estimates, ewma_costs
 from skyquilt.plans.maps import smooth_along
 from skyquilt.plans.raster import land_shares, painted, smoothed
@@ -147,3 +149,72 @@ def test_estimates_inherit_the_latest_version(spark):
     got = {(r["rule"], r["version"]): (round(r["cost"], 9), r["from_version"]) for r in estimates(asked, costs).collect()}
     assert got == {("a", 1): (13.0, 1), ("a", 2): (3.5, 3), ("a", 3): (3.5, 3), ("a", 9): (3.5, 3), ("b", 1): (7.0, 2), ("c", 1): (1.0, None)}
     assert costs.select(F.sum("n")).first()[0] == 5
+
+
+def held(px, py, corners):
+    """The height at a point that lies on a triangle."""
+    (x1, y1, z1), (x2, y2, z2), (x3, y3, z3) = corners
+    det = (y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)
+    if det == 0:
+        return None
+    w1, w2 = ((y2 - y3) * (px - x3) + (x3 - x2) * (py - y3)) / det, ((y3 - y1) * (px - x3) + (x1 - x3) * (py - y3)) / det
+    return w1 * z1 + w2 * z2 + (1 - w1 - w2) * z3 if min(w1, w2, 1 - w1 - w2) >= -1e-9 else None
+
+
+def moves_by_hand(triangles, posts):
+    meshes = [{}, {}]
+    for tri, v1, v2, v3, wet, mesh in triangles:
+        for k in (0, 1):
+            if mesh & 1 << k and all(v in posts for v in (v1, v2, v3)):
+                meshes[k][tri] = ([posts[v][3:] if k and posts[v][3] is not None else posts[v][:3] for v in (v1, v2, v3)], wet)
+    place = lambda p: (round(p[0] * 1e8), round(p[1] * 1e8))
+    key = lambda c: tuple(sorted((*place(p), round(p[2] * 1e4)) for p in c))
+    out = []
+    for k in (0, 1):
+        keys, places = {key(c) for c, _ in meshes[1 - k].values()}, {place(p) for c, _ in meshes[1 - k].values() for p in c}
+        for c, wet in meshes[k].values():
+            if wet or key(c) in keys:
+                continue
+            for w in SPOTS:
+                px, py, pz = (sum(a * p[i] for a, p in zip(w, c)) for i in range(3))
+                on = next((h for h in ((held(px, py, meshes[1 - k][t][0]), meshes[1 - k][t][1]) for t in sorted(meshes[1 - k])) if h[0] is not None), None)
+                if on and not on[1]:
+                    out.append((all(place(p) in places for p in c), round(abs(on[0] - pz) * 1000)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sheet", [0.07, 0.3, 9.0])
+def test_surface_moves(spark, sheet):
+    """Two meshes on sheets narrower than a triangle, a few triangles wide, and on one; left and below of 0 as well."""
+    rng, side, posts, triangles = random.Random(5), 9, {}, []
+    for i in range(side * side):
+        x, y, z = i % side / 10 - 0.4 + rng.uniform(0, 0.03), i // side / 10 - 0.4 + rng.uniform(0, 0.03), rng.uniform(0, 9)
+        new = (x + 0.004, y, z) if i % 11 == 0 else (x, y, z + 1.5) if i % 7 == 0 else (None,) * 3
+        posts[i] = (x, y, z, *new)
+    for i in (i for i in range(side * (side - 1)) if i % side < side - 1):
+        a, b, c, d = i, i + 1, i + side, i + side + 1
+        wet, turned = i % 5 == 0, i % 4 == 0
+        triangles += [(2 * i, a, b, c, wet, 1 if turned else 3), (2 * i + 1, b, d, c, wet, 1 if turned else 3)]
+        if turned:
+            triangles += [(2 * i, a, b, d, wet, 2), (2 * i + 1, a, d, c, wet, 2)]
+    triangles += [(900, 0, 8, 72, False, 2), (901, 3, 3, 50, False, 1), (902, 1, 2, 999, False, 3), (903, 10, 11, 20, False, 1), (904, 20, 10, 11, False, 2)]
+    rng.shuffle(triangles)
+    t = spark.createDataFrame(triangles, "tri long, v1 long, v2 long, v3 long, wet boolean, mesh int").repartition(3)
+    p = spark.createDataFrame([(i, *v) for i, v in posts.items()], "id long, x double, y double, z double, nx double, ny double, nz double")
+    want = moves_by_hand(triangles, posts)
+    assert sorted(map(tuple, surface_moves(t, p, sheet, 0.05).collect())) == want
+    assert len(want) > 300 and {r for r, _ in want} == {True, False}
+
+
+def test_meshes_are_laid_out_once(spark, sf_dir, monkeypatch):
+    """Both meshes take their corners together and are shuffled by place once; neither is written."""
+    from skyquilt.operators import joins
+
+    monkeypatch.setattr(joins, "shared_dir", lambda df, name: pytest.fail(f"{name} is written"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = catalog.queries()["jn42_surface_moves"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning(cx") == 1
